@@ -1,0 +1,122 @@
+"""The registered queries: one callable ``(spark, sf_dir) -> DataFrame``
+per operator group of the inventory, each over the whole driver tables."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from chatlake.functions import json as JS
+from chatlake.operators import search as SR
+from chatlake.operators import sessions as SS
+from chatlake.operators import usage as US
+from chatlake.plans import params as P
+from chatlake.sources import driver_views as DV
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _mv(spark, d):
+    return DV.views(spark, d)
+
+
+def search_keyword(spark, d):
+    m, s = _mv(spark, d)
+    return SR.search_sessions(m, s, P.KW_ONE, limit=P.SEARCH_LIMIT)
+
+
+def search_multi_keyword(spark, d):
+    m, s = _mv(spark, d)
+    return SR.search_sessions(m, s, P.KW_MULTI, limit=P.SEARCH_LIMIT)
+
+
+def search_scoped_since(spark, d):
+    m, s = _mv(spark, d)
+    return SR.search_sessions(m, s, P.KW_SCOPED, source=P.SOURCE, scope=P.SCOPE,
+                              since_ms=P.SINCE_MS, limit=P.SEARCH_LIMIT)
+
+
+def search_context(spark, d):
+    m = DV.message_view(spark, d)
+    return SR.search_context(m, P.CONTEXT_KW, P.CONTEXT_RADIUS)
+
+
+def list_sessions(spark, d):
+    _, s = _mv(spark, d)
+    return SS.list_sessions(s, limit=P.LIST_LIMIT)
+
+
+def session_report(spark, d):
+    _, s = _mv(spark, d)
+    return SS.session_report(SS.list_sessions(s, limit=P.LIST_LIMIT), P.NOW_MS)
+
+
+def sessions_by_file(spark, d):
+    m, s = _mv(spark, d)
+    return SR.sessions_by_file(m, s, P.FILE_NEEDLE, limit=P.SEARCH_LIMIT)
+
+
+def read_messages(spark, d):
+    m = DV.message_view(spark, d)
+    return SS.read_messages(m, P.READ_PREFIX, from_=P.READ_FROM, to=P.READ_TO)
+
+
+def read_around(spark, d):
+    m = DV.message_view(spark, d)
+    return SS.read_messages(m, P.AROUND_PREFIX, around=P.AROUND_AT, radius=P.AROUND_RADIUS,
+                            role=P.AROUND_ROLE)
+
+
+def skim_all(spark, d):
+    m = DV.message_view(spark, d)
+    return SS.skim(m, P.SKIM_HEAD, P.SKIM_TAIL)
+
+
+def preview_lines(spark, d):
+    m = DV.message_view(spark, d)
+    return SS.preview(m, P.PREVIEW_HEAD, P.PREVIEW_TAIL, P.PREVIEW_MAX_LINES)
+
+
+def model_usage(spark, d):
+    m, s = _mv(spark, d)
+    return US.model_usage(m, s)
+
+
+def daily_activity(spark, d):
+    m, s = _mv(spark, d)
+    return US.daily_activity(m, s)
+
+
+def daily_last14(spark, d):
+    return US.last_days(daily_activity(spark, d), P.LAST_DAYS)
+
+
+def json_extract(spark, d):
+    ev = DV.read_table(spark, d, "events")
+    return ev.select("event_id", JS.json_str("props", "$.k").alias("k_text"),
+                     JS.json_bigint("props", "$.k").alias("k"))
+
+
+def queries() -> dict[str, Query]:
+    return {
+        "search_keyword": search_keyword,
+        "search_multi_keyword": search_multi_keyword,
+        "search_scoped_since": search_scoped_since,
+        "search_context": search_context,
+        "list_sessions": list_sessions,
+        "session_report": session_report,
+        "sessions_by_file": sessions_by_file,
+        "read_messages": read_messages,
+        "read_around": read_around,
+        "skim_all": skim_all,
+        "preview_lines": preview_lines,
+        "model_usage": model_usage,
+        "daily_activity": daily_activity,
+        "daily_last14": daily_last14,
+        "json_extract": json_extract,
+    }
+
+
+__all__ = ["queries", "F"]
