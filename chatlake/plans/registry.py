@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from chatlake.functions import json as JS
 from chatlake.operators import search as SR
+from chatlake.operators import sessionize as SZ
 from chatlake.operators import sessions as SS
 from chatlake.operators import usage as US
 from chatlake.plans import params as P
 from chatlake.sources import driver_views as DV
+from chatlake.sources import transcripts as TR
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -99,6 +101,36 @@ def json_extract(spark, d):
                      JS.json_bigint("props", "$.k").alias("k"))
 
 
+def _parsed_raw(spark, d):
+    return TR.parse_lines(DV.raw_view(spark, d))
+
+
+def parse_filter_raw(spark, d):
+    return TR.clean(TR.usable(_parsed_raw(spark, d))).select(
+        "session_id", "msg_type", "role", "content", "ts", "timestamp_ms", "model",
+        "output_tokens", "cache_read", "cache_write")
+
+
+def model_usage_raw(spark, d):
+    return US.raw_model_usage(_parsed_raw(spark, d))
+
+
+def sessionize(spark, d):
+    sessions, _ = SZ.index_lines(DV.raw_view(spark, d))
+    return sessions
+
+
+def index_messages(spark, d):
+    _, messages = SZ.index_lines(DV.raw_view(spark, d))
+    return messages
+
+
+def prefix_owner(spark, d):
+    prefixes = DV.message_view(spark, d).select(
+        F.substring("session_id", 1, P.OWNER_PREFIX_LEN).alias("prefix")).distinct()
+    return SZ.prefix_owner(_parsed_raw(spark, d), prefixes)
+
+
 def queries() -> dict[str, Query]:
     return {
         "search_keyword": search_keyword,
@@ -116,6 +148,11 @@ def queries() -> dict[str, Query]:
         "daily_activity": daily_activity,
         "daily_last14": daily_last14,
         "json_extract": json_extract,
+        "parse_filter_raw": parse_filter_raw,
+        "model_usage_raw": model_usage_raw,
+        "sessionize": sessionize,
+        "index_messages": index_messages,
+        "prefix_owner": prefix_owner,
     }
 
 

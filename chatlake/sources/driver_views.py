@@ -116,6 +116,7 @@ def raw_view(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.concat(F.lit("u"), cid.cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("uuid"))
     return conv.select(
         F.concat(F.lit("/projects/"), slug_of(directory), F.lit("/"), conv_key(cid), F.lit(".jsonl")).alias("path"),
+        (F.lit(EPOCH_BASE_MS) + cid * MS_PER_CONVERSATION).alias("mtime_ms"),
         (cid * 1000 + F.col("turn")).alias("line_no"),
         F.to_json(line).alias("value"))
 
