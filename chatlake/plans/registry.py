@@ -16,6 +16,8 @@ from chatlake.operators import usage as US
 from chatlake.plans import params as P
 from chatlake.sources import driver_views as DV
 from chatlake.sources import transcripts as TR
+from chatlake.store import incremental as INC
+from chatlake import schema as SC
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -131,6 +133,44 @@ def prefix_owner(spark, d):
     return SZ.prefix_owner(_parsed_raw(spark, d), prefixes)
 
 
+def changed_files(spark, d):
+    return INC.changed_files(DV.files_view(spark, d), DV.manifest_view(spark, d))
+
+
+def stale_files(spark, d):
+    return INC.stale_files(DV.manifest_view(spark, d), DV.files_view(spark, d))
+
+
+def manifest_upsert(spark, d):
+    files, manifest = DV.files_view(spark, d), DV.manifest_view(spark, d)
+    return INC.next_manifest(manifest, files, INC.changed_files(files, manifest))
+
+
+def _session_versions(spark, d):
+    _, s = _mv(spark, d)
+    cid = F.col("conv_id")
+    old = s.where(cid % 5 != 4).select(*SC.SESSION_COLS)
+    new = s.where(cid % 2 == 0).select(
+        *[F.concat(F.lit("v2 "), F.col("title")).alias("title") if c == "title"
+          else (F.col("message_count") + 1).alias("message_count") if c == "message_count"
+          else F.col(c) for c in SC.SESSION_COLS])
+    return old, new
+
+
+def session_upsert(spark, d):
+    old, new = _session_versions(spark, d)
+    return INC.upsert(old, new, "id")
+
+
+def message_replace(spark, d):
+    m = DV.message_view(spark, d)
+    old = m.select(*SC.MESSAGE_COLS)
+    new = m.where((F.col("conv_id") % 2 == 0) & (F.col("position") < 2)).select(
+        *[F.concat(F.lit("[v2] "), F.col("content")).alias("content") if c == "content" else F.col(c)
+          for c in SC.MESSAGE_COLS])
+    return INC.replace_groups(old, new, "session_id")
+
+
 def queries() -> dict[str, Query]:
     return {
         "search_keyword": search_keyword,
@@ -153,6 +193,11 @@ def queries() -> dict[str, Query]:
         "sessionize": sessionize,
         "index_messages": index_messages,
         "prefix_owner": prefix_owner,
+        "changed_files": changed_files,
+        "stale_files": stale_files,
+        "manifest_upsert": manifest_upsert,
+        "session_upsert": session_upsert,
+        "message_replace": message_replace,
     }
 
 

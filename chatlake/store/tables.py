@@ -1,0 +1,164 @@
+"""The session / message / manifest table set on plain Parquet (SNK1, SNK10).
+
+Layout under ``root`` (any Hadoop path: a shared folder, HDFS, object store)::
+
+    session/v=<n>/            full snapshot (one row per session: small)
+    manifest/v=<n>/           full snapshot (one row per file: small)
+    message/v=<n>/bucket=<b>/ only the buckets rewritten by run n
+    _pointer/v=<n>/           one small JSON file: table versions and, per
+                              message bucket, the run that last wrote it
+
+A run writes its new files first and the pointer last; readers follow the
+newest pointer.  A crash before the pointer leaves the previous state
+readable and the next run redoes the work (it is idempotent).  Messages are
+bucketed by ``pmod(xxhash64(session_id), buckets)`` and sorted by
+``(session_id, position)`` inside each bucket, so a run that touches a few
+sessions rewrites a few buckets, and reads of one session skip most row
+groups by min/max statistics.
+"""
+
+from __future__ import annotations
+
+import json
+import time
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from chatlake import schema as SC
+from chatlake.session import checkpoint_dir
+from chatlake.store import incremental as INC
+
+DEFAULT_BUCKETS = 64
+
+
+def bucket_of(col: str, buckets: int) -> F.Column:
+    return F.pmod(F.xxhash64(F.col(col)), F.lit(buckets)).cast("int")
+
+
+class TableSet:
+    def __init__(self, spark: SparkSession, root: str, buckets: int = DEFAULT_BUCKETS):
+        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
+
+    # ---- pointer ----------------------------------------------------------
+
+    def _fs(self, path: str):
+        jvm = self.spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        return p.getFileSystem(conf), p
+
+    def _versions(self) -> list[int]:
+        fs, p = self._fs(f"{self.root}/_pointer")
+        if not fs.exists(p):
+            return []
+        out = []
+        for st in fs.listStatus(p):
+            name = st.getPath().getName()
+            if name.startswith("v="):
+                done_fs, done = self._fs(f"{self.root}/_pointer/{name}/_SUCCESS")
+                if done_fs.exists(done):   # a pointer counts once fully written
+                    out.append(int(name[2:]))
+        return sorted(out)
+
+    def pointer(self) -> dict | None:
+        vs = self._versions()
+        if not vs:
+            return None
+        rows = self.spark.read.json(f"{self.root}/_pointer/v={vs[-1]}").collect()
+        return json.loads(rows[0]["state"])
+
+    def _write_pointer(self, version: int, state: dict) -> None:
+        df = self.spark.createDataFrame([(json.dumps(state),)], "state string")
+        df.coalesce(1).write.mode("overwrite").json(f"{self.root}/_pointer/v={version}")
+
+    # ---- reads ------------------------------------------------------------
+
+    def sessions(self) -> DataFrame:
+        st = self.pointer()
+        if st is None:
+            return INC.empty(self.spark, SC.SESSION)
+        return self.spark.read.schema(SC.SESSION).parquet(f"{self.root}/session/v={st['session']}")
+
+    def manifest(self) -> DataFrame:
+        st = self.pointer()
+        if st is None:
+            return INC.empty(self.spark, SC.MANIFEST)
+        return self.spark.read.schema(SC.MANIFEST).parquet(f"{self.root}/manifest/v={st['manifest']}")
+
+    def messages(self) -> DataFrame:
+        st = self.pointer()
+        if st is None or not st["buckets"]:
+            return INC.empty(self.spark, SC.MESSAGE)
+        paths = [f"{self.root}/message/v={v}/bucket={b}" for b, v in sorted(st["buckets"].items())]
+        return self.spark.read.schema(SC.MESSAGE).parquet(*paths)
+
+    # ---- commit -----------------------------------------------------------
+
+    def commit(self, new_sessions: DataFrame, new_messages: DataFrame,
+               new_manifest: DataFrame) -> int:
+        """Upsert sessions, replace touched sessions' messages, replace manifest."""
+        st = self.pointer() or {"version": 0, "session": None, "manifest": None, "buckets": {}}
+        v = st["version"] + 1
+        old_sessions = self.sessions()
+        sessions = INC.upsert(old_sessions, new_sessions.select(*SC.SESSION_COLS), "id")
+        sessions.write.mode("overwrite").parquet(f"{self.root}/session/v={v}")
+
+        touched_ids = new_sessions.select("id").distinct()
+        tb = touched_ids.select(bucket_of("id", self.buckets).alias("bucket")).distinct()
+        # bounded by the bucket count, so it can come to the driver
+        touched = sorted(r["bucket"] for r in tb.collect())
+        buckets = dict(st["buckets"])
+        if touched:
+            old = self.messages().withColumn("bucket", bucket_of("session_id", self.buckets)) \
+                .where(F.col("bucket").isin(touched))
+            new = new_messages.select(*SC.MESSAGE_COLS) \
+                .withColumn("bucket", bucket_of("session_id", self.buckets))
+            merged = INC.replace_groups(old.drop("bucket"), new.drop("bucket"), "session_id") \
+                .withColumn("bucket", bucket_of("session_id", self.buckets))
+            (merged.repartition(len(touched), "bucket")
+             .sortWithinPartitions("session_id", "position")
+             .write.mode("overwrite").partitionBy("bucket")
+             .parquet(f"{self.root}/message/v={v}"))
+            for b in touched:
+                buckets[str(b)] = v
+        new_manifest.select(*[c for c in SC.MANIFEST_COLS if c in new_manifest.columns]) \
+            .withColumn("indexed_at", F.current_timestamp()) \
+            .write.mode("overwrite").parquet(f"{self.root}/manifest/v={v}")
+        self._write_pointer(v, {"version": v, "session": v, "manifest": v, "buckets": buckets,
+                                "committed_ms": int(time.time() * 1000)})
+        return v
+
+
+def run_index(spark: SparkSession, transcripts_root: str, store: TableSet,
+              force: bool = False, merge_files: bool = False) -> dict:
+    """SNK10: one incremental run; returns ``IndexStats``-like counts."""
+    from chatlake.operators.sessionize import index_lines
+    from chatlake.sources.transcripts import list_files, scan_lines
+
+    t0 = time.time()
+    files = list_files(spark, transcripts_root)
+    manifest = store.manifest()
+    changed = INC.changed_files(files, manifest, force)
+    # the changed paths feed the text reader; Spark's own file index already
+    # holds every listed path on the driver, so this is no larger than that
+    paths = [r["path"] for r in changed.select("path").collect()]
+    files_checked = files.count()
+    sessions_indexed = 0
+    if paths:
+        lines = scan_lines(spark, paths)
+        new_sessions, new_messages = index_lines(lines, merge_files=merge_files)
+        # cut lineage in the shared checkpoint folder: the commit reads these
+        # twice and an executor loss must not re-parse every changed file
+        checkpoint_dir(spark)
+        new_sessions = new_sessions.checkpoint(eager=True)
+        new_messages = new_messages.checkpoint(eager=True)
+        sessions_indexed = new_sessions.count()
+    else:
+        new_sessions = INC.empty(spark, SC.SESSION)
+        new_messages = INC.empty(spark, SC.MESSAGE)
+    if paths or not INC.stale_files(manifest, files).isEmpty():
+        nm = INC.next_manifest(manifest, files, changed)
+        store.commit(new_sessions, new_messages, nm)
+    return {"files_checked": files_checked, "files_indexed": len(paths),
+            "sessions_indexed": sessions_indexed, "elapsed_ms": int((time.time() - t0) * 1000)}
