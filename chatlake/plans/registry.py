@@ -15,6 +15,7 @@ from chatlake.operators import sessions as SS
 from chatlake.operators import usage as US
 from chatlake.plans import params as P
 from chatlake.sources import driver_views as DV
+from chatlake.sources import relational as RL
 from chatlake.sources import transcripts as TR
 from chatlake.store import incremental as INC
 from chatlake import schema as SC
@@ -171,6 +172,57 @@ def message_replace(spark, d):
     return INC.replace_groups(old, new, "session_id")
 
 
+def text_parts(spark, d):
+    _, messages = RL.index_relational(*DV.relational_views(spark, d))
+    return messages
+
+
+def sessionize_parts(spark, d):
+    sessions, _ = RL.index_relational(*DV.relational_views(spark, d))
+    return sessions
+
+
+def message_counts(spark, d):
+    rs, rm, _ = DV.relational_views(spark, d)
+    return RL.list_roots_with_counts(rs, rm)
+
+
+def merge_sources(spark, d):
+    _, s = _mv(spark, d)
+    claude = s.where(F.col("source") == "claude-code")
+    oc, _ = RL.index_relational(*DV.relational_views(spark, d))
+    return SS.merge_sources(claude, oc, limit=P.LIST_LIMIT)
+
+
+def dedupe_sessions(spark, d):
+    old, new = _session_versions(spark, d)
+    both = old.withColumn("ord", F.lit(0)).unionByName(new.withColumn("ord", F.lit(1)))
+    return SS.dedupe_first(both, "id", ["ord"]).drop("ord")
+
+
+def distinct_first_hit(spark, d):
+    rs, rm, rp = DV.relational_views(spark, d)
+    return RL.first_hits(rs, rm, rp, P.KW_ONE)
+
+
+def usage_merge(spark, d):
+    m, s = _mv(spark, d)
+    asst = m.where(F.col("model").isNotNull() & (F.col("role") == "assistant"))
+    per_project = (asst.join(s.select(F.col("id").alias("session_id"), "directory"), "session_id")
+                   .groupBy("directory", "model")
+                   .agg(F.count(F.lit(1)).alias("turns"),
+                        *[F.sum(c).alias(c) for c in US.TOKEN_COLS]))
+    return US.merge_model_usage(per_project)
+
+
+def daily_merge(spark, d):
+    m, s = _mv(spark, d)
+    pairs = US.session_days(m).join(
+        s.select(F.col("id").alias("session_id"), "directory"), "session_id")
+    per_project = pairs.select("directory", "session_id", "day", "user_msgs", "asst_turns")
+    return US.merge_daily(per_project)
+
+
 def queries() -> dict[str, Query]:
     return {
         "search_keyword": search_keyword,
@@ -198,6 +250,14 @@ def queries() -> dict[str, Query]:
         "manifest_upsert": manifest_upsert,
         "session_upsert": session_upsert,
         "message_replace": message_replace,
+        "text_parts": text_parts,
+        "sessionize_parts": sessionize_parts,
+        "message_counts": message_counts,
+        "merge_sources": merge_sources,
+        "dedupe_sessions": dedupe_sessions,
+        "distinct_first_hit": distinct_first_hit,
+        "usage_merge": usage_merge,
+        "daily_merge": daily_merge,
     }
 
 

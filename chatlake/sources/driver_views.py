@@ -193,3 +193,11 @@ def rel_part_view(messages: DataFrame) -> DataFrame:
         "session_id",
         F.to_json(F.struct(ptype.alias("type"), F.col("line").alias("text"))).alias("data"),
         (F.col("timestamp_ms") + F.col("idx")).alias("time_created"))
+
+
+def relational_views(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(session, message, part)`` of the relational store: the sessions whose
+    derived source is 'opencode' (so the two sources do not overlap)."""
+    m, s = views(spark, sf_dir)
+    oc = F.col("conv_id") % 4 == 0
+    return rel_session_view(s.where(oc)), rel_message_view(m.where(oc)), rel_part_view(m.where(oc))
