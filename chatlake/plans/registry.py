@@ -12,6 +12,8 @@ from chatlake.functions import json as JS
 from chatlake.operators import search as SR
 from chatlake.operators import sessionize as SZ
 from chatlake.operators import sessions as SS
+from chatlake.operators import filters as FL
+from chatlake.operators import tree as TRE
 from chatlake.operators import usage as US
 from chatlake.plans import params as P
 from chatlake.sources import driver_views as DV
@@ -223,6 +225,41 @@ def daily_merge(spark, d):
     return US.merge_daily(per_project)
 
 
+def project_rollup(spark, d):
+    _, s = _mv(spark, d)
+    return TRE.project_rollup(s)
+
+
+def tree_rows(spark, d):
+    _, s = _mv(spark, d)
+    return TRE.tree_rows(s)
+
+
+def flat_rows(spark, d):
+    _, s = _mv(spark, d)
+    return TRE.flat_rows(s)
+
+
+def flat_filter(spark, d):
+    _, s = _mv(spark, d)
+    return TRE.flat_rows(FL.text_filter(s, P.FILTER_TEXT))
+
+
+def project_filter(spark, d):
+    _, s = _mv(spark, d)
+    return TRE.project_filter(TRE.tree_rows(s), P.PROJECT_FILTER_TEXT)
+
+
+def lineage(spark, d):
+    _, s = _mv(spark, d)
+    return TRE.lineage(s)
+
+
+def lineage_rows(spark, d):
+    _, s = _mv(spark, d)
+    return TRE.lineage_rows(s)
+
+
 def queries() -> dict[str, Query]:
     return {
         "search_keyword": search_keyword,
@@ -258,6 +295,13 @@ def queries() -> dict[str, Query]:
         "distinct_first_hit": distinct_first_hit,
         "usage_merge": usage_merge,
         "daily_merge": daily_merge,
+        "project_rollup": project_rollup,
+        "tree_rows": tree_rows,
+        "flat_rows": flat_rows,
+        "flat_filter": flat_filter,
+        "project_filter": project_filter,
+        "lineage": lineage,
+        "lineage_rows": lineage_rows,
     }
 
 
