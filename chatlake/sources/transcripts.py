@@ -74,7 +74,11 @@ def parse_lines(lines: DataFrame, max_line_chars: int = MAX_LINE_CHARS) -> DataF
     """SRC2: typed columns of each line (see ``schema.RAW_ROW``)."""
     ok = F.length("value") <= F.lit(max_line_chars)
     j = F.when(ok, F.from_json(F.col("value"), SC.TRANSCRIPT_LINE, {"mode": "PERMISSIVE"}))
-    parsed = lines.withColumn("_j", j)
+    # Parse exactly once per line.  As a plain projection, later filters on
+    # the fields would be pushed below it with ``from_json`` inlined into
+    # every field reference (one parse per field).  A filter on a generator's
+    # output cannot move below the generator, so the parse stays single.
+    parsed = lines.select("*", F.explode(F.array(j)).alias("_j"))
     cols = [c for c in ("path", "mtime_ms", "line_no") if c in lines.columns]
     return parsed.select(
         *cols,
