@@ -1,0 +1,58 @@
+"""Incremental index round trip: run, rerun, change, delete, force."""
+
+import os
+import time
+
+from test_transcripts import BASIC, line, write_project
+
+from chatlake.store.tables import TableSet, run_index
+
+
+def snapshot(store):
+    s = sorted((r["id"], r["message_count"], r["title"]) for r in store.sessions().collect())
+    m = sorted((r["session_id"], r["position"], r["content"]) for r in store.messages().collect())
+    return s, m
+
+
+def test_incremental_round_trip(spark, tmpdir_fresh):
+    src = os.path.join(tmpdir_fresh, "projects")
+    p1 = write_project(src, "-home-dev-app", "a.jsonl", BASIC[:4])
+    p2 = write_project(src, "-home-dev-api", "b.jsonl", BASIC[4:])
+    store = TableSet(spark, os.path.join(tmpdir_fresh, "index"), buckets=4)
+
+    st = run_index(spark, src, store)
+    assert st["files_checked"] == 2 and st["files_indexed"] == 2 and st["sessions_indexed"] == 2
+    first = snapshot(store)
+    assert len(first[0]) == 2 and len(first[1]) == 6
+
+    st = run_index(spark, src, store)                   # nothing changed: nothing written
+    assert st["files_indexed"] == 0
+    assert store.pointer()["version"] == 1
+    assert snapshot(store) == first
+
+    with open(p2, "a", encoding="utf-8") as f:          # append in place
+        f.write(line("user", "bbb22222-0000-0000-0000-000000000002", "2026-0311T14:05:00Z".replace("03", "03-", 1),
+                     "feature/api", "user", "And sort the users by name") + "\n")
+    later = time.time() + 10
+    os.utime(p2, (later, later))
+    st = run_index(spark, src, store)
+    assert st["files_indexed"] == 1
+    s, m = snapshot(store)
+    b = [x for x in s if x[0].startswith("bbb")][0]
+    assert b[1] == 2                                     # user messages of session B
+    assert len([x for x in m if x[0].startswith("bbb")]) == 3
+    assert [x for x in m if x[0].startswith("aaa")] == [x for x in first[1] if x[0].startswith("aaa")]
+
+    os.remove(p1)                                        # deleted file: manifest row goes (S11)
+    run_index(spark, src, store)
+    paths = [r["path"] for r in store.manifest().collect()]
+    assert len(paths) == 1 and paths[0].endswith("b.jsonl")
+    assert len(snapshot(store)[0]) == 2                  # its sessions stay
+
+    fresh = TableSet(spark, os.path.join(tmpdir_fresh, "index2"), buckets=4)
+    run_index(spark, src, fresh)
+    forced = run_index(spark, src, store, force=True)    # force == fresh build for listed files
+    assert forced["files_indexed"] == 1
+    fs, fm = snapshot(fresh)
+    s, m = snapshot(store)
+    assert [x for x in m if x[0].startswith("bbb")] == fm
