@@ -136,3 +136,14 @@ def bidirectional_scope(col, prefixes: list[str]) -> Column:
 def contains_ci(col, needle: str) -> Column:
     """FLT14: plain (no wildcard) case-insensitive containment."""
     return F.contains(F.lower(_c(col)), F.lit(needle.lower()))
+
+
+def scaled_tokens(col, unit: int, suffix: str) -> Column:
+    """FN11: tokens in millions/billions with one decimal ('1.2M').
+
+    Rounded half up in exact integer arithmetic (no binary-float edge cases).
+    """
+    c = _c(col).cast("decimal(38,0)")
+    tenths = F.floor((c * 10 + F.lit(unit // 2)) / F.lit(unit)).cast("bigint")
+    return F.concat(F.floor(tenths / 10).cast("bigint").cast("string"), F.lit("."),
+                    F.pmod(tenths, F.lit(10)).cast("string"), F.lit(suffix))

@@ -71,6 +71,32 @@ def search_sessions(messages: DataFrame, sessions: DataFrame, keywords: list[str
         "session_id", *SESSION_OUT, "total_hits", "hit_position", "hit_role", "hit_ts", "snippet")
 
 
+def search_sessions_window(messages: DataFrame, sessions: DataFrame, keywords: list[str],
+                           source: str | None = None, scope=None, since_ms: int | None = None,
+                           limit: int | None = 20) -> DataFrame:
+    """TOP2 in the reference's window form (WIN1 + WIN2): ``row_number``
+    for the first hit and ``count(*) OVER`` for the hit count per session.
+
+    Same rows as ``search_sessions``; kept as the literal twin.  It sorts
+    every hit row per session and carries the snippet through the shuffle,
+    so ``search_sessions`` is the one to use at scale.
+    """
+    from pyspark.sql import Window
+
+    s = _sessions_out(filter_sessions(sessions, source, scope, since_ms))
+    hits = messages.where(TX.any_keyword("content", keywords)).select(
+        "session_id", F.col("position").alias("hit_position"), F.col("role").alias("hit_role"),
+        F.col("timestamp_ms").alias("hit_ts"), TX.snippet("content").alias("snippet"))
+    w = Window.partitionBy("session_id")
+    ranked = (hits.withColumn("_rn", F.row_number().over(w.orderBy("hit_ts", "hit_position")))
+              .withColumn("total_hits", F.count(F.lit(1)).over(w))
+              .where(F.col("_rn") == 1).drop("_rn")
+              .join(s, "session_id"))
+    out = ranked.orderBy(F.col("total_hits").desc(), F.col("last_at").desc_nulls_last(), "session_id")
+    out = out.limit(int(limit)) if limit is not None else out
+    return out.select("session_id", *SESSION_OUT, "total_hits", "hit_position", "hit_role", "hit_ts", "snippet")
+
+
 def sessions_mentioning(messages: DataFrame, sessions: DataFrame, needle: str,
                         source: str | None = None, scope=None,
                         since_ms: int | None = None) -> DataFrame:

@@ -26,3 +26,5 @@ CHANGE_TOLERANCE_MS = 1000
 OWNER_PREFIX_LEN = 11                     # 'conv-000000' spans ten sessions
 FILTER_TEXT = "proj1"                      # FLT14 over the flat list
 PROJECT_FILTER_TEXT = "nicht"             # FLT15 matches via session titles
+PER_PROJECT_K = 3
+BIDI_SCOPE = ["/work/team2", "/work/team3/proj13/src"]   # below and above stored directories

@@ -260,6 +260,60 @@ def lineage_rows(spark, d):
     return TRE.lineage_rows(s)
 
 
+def search_window(spark, d):
+    m, s = _mv(spark, d)
+    return SR.search_sessions_window(m, s, P.KW_ONE, limit=P.SEARCH_LIMIT)
+
+
+def all_sessions(spark, d):
+    _, s = _mv(spark, d)
+    return SS.list_sessions(s, limit=None)
+
+
+def recent_per_project(spark, d):
+    _, s = _mv(spark, d)
+    listed = SS.list_sessions(s, limit=None)
+    return SS.top_per_group(listed, "directory",
+                            [F.col("last_at").desc_nulls_last(), F.col("id")], P.PER_PROJECT_K)
+
+
+def scope_bidirectional(spark, d):
+    _, s = _mv(spark, d)
+    return SS.list_sessions(FL.filter_sessions(s, scope=P.BIDI_SCOPE, bidirectional=True), limit=None)
+
+
+def usage_report(spark, d):
+    from chatlake.functions import text as TX
+    m, s = _mv(spark, d)
+    u = US.model_usage(m, s)
+    return u.select("model", "turns",
+                    TX.scaled_tokens("output_tokens", 1_000_000, "M").alias("out"),
+                    TX.scaled_tokens("cache_read", 1_000_000_000, "B").alias("cache_r"),
+                    TX.scaled_tokens("cache_write", 1_000_000, "M").alias("cache_w"))
+
+
+def session_removal(spark, d):
+    m = DV.message_view(spark, d)
+    gone = m.where(F.col("conv_id") % 10 == 0).select("session_id")
+    return INC.remove_keys(m.select(*SC.MESSAGE_COLS), gone, "session_id")
+
+
+def daily_activity_raw(spark, d):
+    from chatlake.functions import time as TM
+    raw = _parsed_raw(spark, d).where(F.col("msg_type").isin("user", "assistant"))
+    return (raw.groupBy(TM.day_of_iso("ts").alias("day"))
+            .agg(F.count_distinct("session_id").alias("sessions"),
+                 F.count_if(F.col("msg_type") == "user").alias("user_msgs"),
+                 F.count_if(F.col("msg_type") == "assistant").alias("asst_turns"))
+            .orderBy("day"))
+
+
+def index_stats(spark, d):
+    files, manifest = DV.files_view(spark, d), DV.manifest_view(spark, d)
+    sessions, _ = SZ.index_lines(DV.raw_view(spark, d))
+    return INC.run_stats(files, INC.changed_files(files, manifest), sessions)
+
+
 def queries() -> dict[str, Query]:
     return {
         "search_keyword": search_keyword,
@@ -302,6 +356,14 @@ def queries() -> dict[str, Query]:
         "project_filter": project_filter,
         "lineage": lineage,
         "lineage_rows": lineage_rows,
+        "search_window": search_window,
+        "all_sessions": all_sessions,
+        "recent_per_project": recent_per_project,
+        "scope_bidirectional": scope_bidirectional,
+        "usage_report": usage_report,
+        "session_removal": session_removal,
+        "daily_activity_raw": daily_activity_raw,
+        "index_stats": index_stats,
     }
 
 
