@@ -19,6 +19,10 @@ from chatlake.sources import transcripts as TR
 ORDER_KEY = "struct(ts IS NULL, ts, line_no)"
 
 
+def prefix_owner_empty(spark):
+    return spark.createDataFrame([], "prefix string, directory string, projects long, sessions long")
+
+
 def pick_latest_file(msgs: DataFrame) -> DataFrame:
     """A session found in several files takes the rows of its latest
     file by ``(mtime_ms, path)``.  The winner is chosen on the distinct
@@ -74,16 +78,22 @@ def prefix_owner(parsed: DataFrame, prefixes: DataFrame) -> DataFrame:
     """AGG12: the project(s) holding sessions that start with each prefix.
 
     Lines are first reduced to distinct ``(session_id, directory)`` pairs;
-    every prefix of each id is then equi-joined with the prefix table (ids
-    are short), so all prefixes are resolved in one pass.
+    each id's prefixes of the requested lengths are then equi-joined with
+    the prefix table, so all prefixes are resolved in one pass.
     """
     pairs = (parsed.where(F.col("session_id").isNotNull())
              .select("session_id", TR.directory_of_path("path").alias("directory"))
              .distinct())
-    expanded = pairs.select("session_id", "directory", F.explode(F.transform(
-        F.sequence(F.lit(1), F.length("session_id")),
-        lambda i: F.substring("session_id", 1, i))).alias("prefix"))
-    return (expanded.join(prefixes.select("prefix").distinct(), "prefix")
+    wanted = prefixes.select("prefix").distinct()
+    # only the prefix lengths asked for; there are at most as many distinct
+    # lengths as characters in the longest prefix, so the list is small
+    lengths = sorted(r[0] for r in wanted.select(F.length("prefix").alias("n")).distinct()
+                     .where(F.col("n") > 0).collect())
+    if not lengths:
+        return prefix_owner_empty(parsed.sparkSession)
+    expanded = pairs.select("session_id", "directory", F.explode(F.array(
+        *[F.substring("session_id", 1, n) for n in lengths])).alias("prefix"))
+    return (expanded.join(wanted, "prefix")
             .groupBy("prefix")
             .agg(F.min("directory").alias("directory"),
                  F.count_distinct("directory").alias("projects"),

@@ -57,7 +57,9 @@ def session_view(messages: DataFrame) -> DataFrame:
         F.min("timestamp_ms").alias("started_at"),
         F.max("timestamp_ms").alias("last_at"),
         F.count(F.when(F.col("role") == "user", 1)).cast("int").alias("message_count"),
-        F.expr("min_by(content, position) FILTER (WHERE role = 'user')").alias("first_user"))
+        # normalise first: at most 200 characters travel through the aggregate
+        F.min_by(F.when(F.col("role") == "user", normalize_title("content")),
+                 F.when(F.col("role") == "user", F.col("position"))).alias("first_user"))
     return agg.select(
         F.col("session_id").alias("id"),
         F.when(cid % 4 == 0, F.lit("opencode")).otherwise(F.lit("claude-code")).alias("source"),
@@ -65,7 +67,7 @@ def session_view(messages: DataFrame) -> DataFrame:
                  F.lit("/proj"), (cid % 20).cast("string")).alias("directory"),
         F.when(cid % 3 == 0, F.lit(None).cast("string"))
          .otherwise(F.concat(F.lit("branch-"), (cid % 3).cast("string"))).alias("branch"),
-        F.coalesce(normalize_title("first_user"), F.lit(NO_TITLE)).alias("title"),
+        F.coalesce(F.col("first_user"), F.lit(NO_TITLE)).alias("title"),
         F.when(cid % 60 >= 20, conv_key(cid - 20)).alias("parent_id"),
         "started_at", "last_at", "message_count", "conv_id")
 
