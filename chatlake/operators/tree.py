@@ -120,12 +120,13 @@ def lineage(sessions: DataFrame, max_rounds: int = 64) -> DataFrame:
     checkpoint_dir(spark)
     linked = link_parents(sessions.select("id", "directory", "parent_id", "started_at", "last_at"))
     is_root = F.col("link").isNull()
-    base = linked.select("id", "directory", F.col("link").alias("tree_parent"),
-                         _elem(is_root).alias("elem"))
+    # pass-through columns ride along, so the result needs no join back
+    keep = ["directory", "tree_parent", "elem"]
     state = linked.select(
-        "id", F.col("link").alias("up"), _elem(is_root).alias("seg"),
+        "id", "directory", F.col("link").alias("tree_parent"), _elem(is_root).alias("elem"),
+        F.col("link").alias("up"), _elem(is_root).alias("seg"),
         F.lit(1).alias("d"), is_root.alias("done"),
-        F.when(is_root, F.col("id")).alias("root_id")).checkpoint(eager=True)
+        F.when(is_root, F.col("id")).alias("root_id"))
     active = state.where(~F.col("done")).count()
     rounds = 0
     while active and rounds < max_rounds:
@@ -134,21 +135,20 @@ def lineage(sessions: DataFrame, max_rounds: int = 64) -> DataFrame:
                          F.col("root_id").alias("_troot"))
         moving = ~F.col("done")
         nxt = state.join(t, state["up"] == t["_tid"], "left").select(
-            "id",
+            "id", *keep,
             F.when(moving, F.col("_tup")).otherwise(F.col("up")).alias("up"),
             F.when(moving, F.concat("_tseg", "seg")).otherwise(F.col("seg")).alias("seg"),
             F.when(moving, F.col("_td") + F.col("d")).otherwise(F.col("d")).alias("d"),
             F.when(moving, F.coalesce("_tdone", F.lit(False))).otherwise(F.col("done")).alias("done"),
             F.when(moving, F.col("_troot")).otherwise(F.col("root_id")).alias("root_id"))
-        state = nxt.checkpoint(eager=True)
+        state = nxt.checkpoint(eager=True)     # lineage cut in the shared folder
         rounds += 1
         left = state.where(~F.col("done")).count()
         if left == active:
             break       # only cycles (and what hangs on them) remain
         active = left
-    resolved = state.where(F.col("done")).select(
-        "id", "root_id", (F.col("d") - 1).cast("int").alias("depth"), F.col("seg").alias("path_key"))
-    nodes = base.join(resolved, "id")
+    nodes = state.where(F.col("done")).select(
+        "id", *keep, "root_id", (F.col("d") - 1).cast("int").alias("depth"), F.col("seg").alias("path_key"))
     kids = nodes.where(F.col("tree_parent").isNotNull()).groupBy("tree_parent").agg(
         F.count(F.lit(1)).alias("child_count")).withColumnRenamed("tree_parent", "id")
     nodes = nodes.join(kids, "id", "left").withColumn("child_count", F.coalesce("child_count", F.lit(0)))
