@@ -23,7 +23,7 @@ SKIM_HEAD, SKIM_TAIL = 3, 3
 PREVIEW_HEAD, PREVIEW_TAIL, PREVIEW_MAX_LINES = 2, 5, 8
 LAST_DAYS = 14
 CHANGE_TOLERANCE_MS = 1000
-OWNER_PREFIX_LEN = 11                     # 'conv-000000' spans ten sessions
+OWNER_PREFIX_LEN = 12                     # 'conv-0000001' spans ten sessions
 FILTER_TEXT = "proj1"                      # FLT14 over the flat list
 PROJECT_FILTER_TEXT = "nicht"             # FLT15 matches via session titles
 PER_PROJECT_K = 3

@@ -56,3 +56,27 @@ def test_incremental_round_trip(spark, tmpdir_fresh):
     fs, fm = snapshot(fresh)
     s, m = snapshot(store)
     assert [x for x in m if x[0].startswith("bbb")] == fm
+
+
+def test_small_store_operators(spark, tmpdir_fresh):
+    from chatlake.store import incremental as INC
+    from chatlake.store.output import as_json_lines, write_json
+    from chatlake.sources.transcripts import list_files
+
+    src = os.path.join(tmpdir_fresh, "projects")
+    write_project(src, "-a", "x.jsonl", BASIC[:2])
+    store = TableSet(spark, os.path.join(tmpdir_fresh, "index"), buckets=2)
+    files = list_files(spark, src)
+    assert INC.needs_index(store.sessions(), files, store.manifest())        # SNK9: empty index
+    run_index(spark, src, store)
+    assert not INC.needs_index(store.sessions(), list_files(spark, src), store.manifest())
+    sessions = store.sessions()
+    gone = INC.remove_keys(sessions, sessions.select("id"), "id")             # SNK4
+    assert gone.count() == 0
+    stats = INC.run_stats(files, INC.changed_files(files, store.manifest(), force=True), sessions).collect()[0]
+    assert (stats["files_checked"], stats["files_indexed"], stats["sessions_indexed"]) == (1, 1, 1)  # SNK11
+    js = as_json_lines(sessions).collect()[0]["json"]                          # SNK12
+    assert '"id":"aaa11111' in js
+    out = os.path.join(tmpdir_fresh, "json")
+    write_json(sessions, out)
+    assert spark.read.json(out).count() == 1
