@@ -14,8 +14,10 @@ task sorts a third of the data.  ``sequence_within`` splits hot keys:
 4. join the offsets back on ``(key, slice)`` - the big side is already
    hash-partitioned on those keys by step 2, so only the small side moves.
 
-The order must be total (add a unique tie-break such as a line number) so
-recomputation after an executor loss gives the same numbers.
+The order must be total (add a unique tie-break such as a line number).
+The numbered slices are checkpointed once (shared checkpoint folder), so
+the sizes and the join back read the same slice ids even when Spark runs
+the two branches separately or recomputes after an executor loss.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chatlake.session import checkpoint_dir
+
 
 def sequence_within(df: DataFrame, key: str, order: list, out: str = "position",
                     slices: int | None = None) -> DataFrame:
@@ -31,7 +35,12 @@ def sequence_within(df: DataFrame, key: str, order: list, out: str = "position",
     order_cols = [F.col(o) if isinstance(o, str) else o for o in order]
     ranged = df.repartitionByRange(n, F.col(key), *order_cols).withColumn("_slice", F.spark_partition_id())
     w_local = Window.partitionBy(key, "_slice").orderBy(*order_cols)
-    local = ranged.withColumn("_local", F.row_number().over(w_local))
+    # The slice id is a partition id: both branches below (sizes and the
+    # join back) must see the same one, and a recomputation (separate
+    # execution of each branch, a lost executor) may assign rows to other
+    # slices.  A reliable checkpoint in the shared folder freezes it.
+    checkpoint_dir(spark)
+    local = ranged.withColumn("_local", F.row_number().over(w_local)).checkpoint(eager=True)
     sizes = local.groupBy(key, "_slice").agg(F.count(F.lit(1)).alias("_n"))
     w_off = Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(key, "_slice", F.coalesce(F.sum("_n").over(w_off), F.lit(0)).alias("_off"))
