@@ -48,6 +48,13 @@ def extended(df: DataFrame, fields: list[T.StructField]) -> tuple[DataFrame, T.S
     return kept, T.StructType([*kept.schema.fields, *fields])
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column of ``df`` has it."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def doc_key() -> list[Column]:
     """Key of a document that survives a recomputation: id and text.  Rows
     that repeat both are the same document and get the same decision."""
