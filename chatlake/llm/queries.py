@@ -5,21 +5,106 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from chatlake.llm import decontaminate
+from chatlake.llm import (decontaminate, kdtree, language, licenses, line_dedup, mixing, pii, simhash, toxicity)
 from chatlake.llm.common import table
 
+MIX_WEIGHTS = {"src0": 4, "src1": 2, "src2": 2}  # every other source: 1
+PII_KEY = "pipeline-demo-key"  # a deployment passes its own secret
+
+
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kdtree.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return mixing.mix(docs, MIX_WEIGHTS)
+
+
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"), licenses.template_grams(spark))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.line_clusters(table(spark, sf_dir, "documents"))
+    return found.select(F.col("k_id").alias("doc_id"), F.col("line").alias("line_no"), F.col("root").alias("component"),
+                        F.col("first.k_id").alias("kept_doc_id"), F.col("first.line").alias("kept_line_no"), "kept")
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    learned = language.prototypes(docs.where(~language.held_out()))
+    found = language.predict(docs.select("doc_id", language.held_out().alias("held_out"), "text"), learned)
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), toxicity.label_grade())
+    return toxicity.score(docs, model).select("doc_id", "severity", "toxic")
+
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+    return out.select("doc_id", "text", "n_pii", "pii_kinds")
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.clusters(table(spark, sf_dir, "documents"))
+    return out.select(F.col("k_id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        "op7_decontaminate": op7_decontaminate,
-    }
+    found = [op1_topk, op2_mix, op3_licenses, op4_lines, op5_language, op6_toxicity, op7_decontaminate, op9_pii,
+             op10_simhash]
+    return {f.__name__: f for f in found}
+
 
+OP1_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+WHERE rank <= 10
+"""
+
+# The fold over the slots of a period is a recursion: each step takes, of the
+# released blocks not yet taken, the one due first.
+OP2_SQL = """
+WITH RECURSIVE src AS (
+  SELECT source, count(*) AS n, CASE source WHEN 'src0' THEN 4 WHEN 'src1' THEN 2 WHEN 'src2' THEN 2 ELSE 1 END AS a
+  FROM documents GROUP BY source),
+tot AS (SELECT CAST(sum(a) AS BIGINT) AS p FROM src),
+blk AS (SELECT source, a, p, i, (i * p) // a AS free, ((i + 1) * p + a - 1) // a AS due
+        FROM (SELECT source, a, p, unnest(range(0, a)) AS i FROM src, tot)),
+num AS (SELECT *, row_number() OVER (ORDER BY due, source, i) AS id FROM blk),
+fold AS (
+  SELECT CAST(-1 AS BIGINT) AS slot_no, CAST(0 AS BIGINT) AS id, CAST([] AS BIGINT[]) AS done
+  UNION ALL
+  SELECT slot_no + 1, pick, list_append(done, pick)
+  FROM (SELECT slot_no, done, (SELECT min(num.id) FROM num WHERE free <= slot_no + 1 AND NOT list_contains(done, num.id)) AS pick
+        FROM fold) WHERE pick IS NOT NULL),
+slots AS (SELECT source, a, p, i, slot_no FROM fold JOIN num USING (id)),
+docs AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(CAST(doc_id AS VARCHAR))) - 1 AS k FROM documents),
+placed AS (SELECT doc_id, docs.source, k // 8 AS block, k % 8 AS pos, ((k // 8) // a) * p + slot_no AS slot
+           FROM docs JOIN slots ON docs.source = slots.source AND (k // 8) % a = i),
+ends AS (SELECT min(last) AS horizon FROM (SELECT source, max(slot) AS last FROM placed GROUP BY source))
+SELECT doc_id, source, CAST(block AS BIGINT) AS block, CAST(pos AS BIGINT) AS pos, CAST(slot AS BIGINT) AS slot,
+       slot <= horizon AS on_target
+FROM placed, ends
+"""
 
 OP7_SQL = r"""
 WITH d AS (
@@ -50,5 +135,7 @@ FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id)
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_topk": OP1_SQL,
+        "op2_mix": OP2_SQL,
         "op7_decontaminate": OP7_SQL,
     }
