@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatlake.llm import (decontaminate, kdtree, language, licenses, line_dedup, mixing, pii, simhash, toxicity)
+from chatlake.llm import (decontaminate, kdtree, language, licenses, line_dedup, mixing, pii, simhash, toxicity, urls)
 from chatlake.llm.common import table
 
 MIX_WEIGHTS = {"src0": 4, "src1": 2, "src2": 2}  # every other source: 1
@@ -52,6 +52,11 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = urls.judge(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "host", "path", "rule", "verdict", "score")
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
     return out.select("doc_id", "text", "n_pii", "pii_kinds")
@@ -63,7 +68,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_topk, op2_mix, op3_licenses, op4_lines, op5_language, op6_toxicity, op7_decontaminate, op9_pii,
+    found = [op1_topk, op2_mix, op3_licenses, op4_lines, op5_language, op6_toxicity, op7_decontaminate, op8_urls, op9_pii,
              op10_simhash]
     return {f.__name__: f for f in found}
 
