@@ -47,7 +47,8 @@ def _hits(rows: DataFrame, windows: DataFrame, keep: list[str]) -> DataFrame:
     at = at.select(*keep, "pos", "len", gram.alias("g")).withColumn("gh", F.xxhash64("g"))
     found = at.join(F.broadcast(windows) if few else windows,
                     (F.col("gh") == F.col("h")) & (F.col("g") == F.col("gram")), "left")
-    return found.where((F.col("pos") == 0) | F.col("item").isNotNull()).drop("g", "gh", "gram", "h", "n")
+    # a window cut short by the text's end may be that of a shorter item: its own length counts
+    return found.where((F.col("pos") == 0) | F.col("item").isNotNull()).withColumn("len", F.col("n")).drop("g", "gh", "gram", "h", "n")
 
 
 def _covered(hits) -> F.Column:

@@ -144,8 +144,8 @@ def prototypes(train: DataFrame, dim: int = DIM, n: int = N) -> dict[str, np.nda
 def predict(docs: DataFrame, learned: dict[str, np.ndarray], n: int = N) -> DataFrame:
     """``docs`` with lang_pred and score (the cosine, 0 to 1); only ``text`` is read."""
     names = list(learned)
-    unit = np.array([v / (np.linalg.norm(v) or 1.0) for v in learned.values()]).reshape(len(names), -1)
-    dim = unit.shape[1] or DIM
+    unit = np.array([v / (np.linalg.norm(v) or 1.0) for v in learned.values()])
+    dim = unit.shape[1] if names else DIM
     kept, schema = extended(docs, [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches):
