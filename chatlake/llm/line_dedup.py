@@ -11,18 +11,21 @@ line number; all others are removed from their documents.
 
 1. One pass over the texts gives a row per line: two 64-bit hashes of the form
    and its BANDS band keys.
-2. Keys held by several lines are buckets; buckets with the same members are
-   compared once (two near copies meet in most bands).
+2. Keys are counted, with partial aggregation; only those that occur more than
+   once are joined back to their lines.  A key held by several lines is a
+   bucket; buckets with the same members are compared once (two near copies
+   meet in most bands).
 3. Only lines in a bucket fetch their text.  A group holds one bucket, or one
-   pair of chunks of a bucket beyond ``CHUNK`` lines; it verifies pairs by
-   exact Jaccard similarity and returns a spanning forest, never all pairs.
-   Pairs that the forest already joins are not compared again.
+   pair of chunks of a bucket beyond ``CHUNK`` lines.  Groups stream, sorted,
+   through a task, which counts the shared shingles of all pairs of a group as
+   one matrix product and returns a spanning forest of the pairs at or above
+   the threshold, never all pairs.
 4. Components by ``components``; the first occurrence of each is found with
    partial aggregation, so a line repeated in a third of the documents is no
    hot group.
 
-With 10 bands of 4 values a pair at similarity 0.8 meets with probability
-0.995, one at 0.9 with 0.99998.
+With 9 bands of 4 values a pair at similarity 0.8 meets with probability
+0.991, one at 0.9 with 0.9999.
 
 A document whose lines are all removed stays, with an empty text.  Rows that
 repeat doc_id and text are one document and keep the same lines.  NULL texts
@@ -32,21 +35,22 @@ have no line and stay NULL.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chatlake.llm.common import checkpoint
+from chatlake.llm.common import saved
 from chatlake.llm.components import components
 
 K = 8              # characters in a shingle
-BANDS, ROWS = 10, 4
+BANDS, ROWS = 9, 4
 MIN_CHARS = 40
 THRESHOLD = 0.8
 CHUNK = 256        # lines on one side of a verification group
+FEW_LINES = 1_000_000  # line hashes that may be broadcast (8 bytes each)
+COLUMNS = 8192     # shingles of a group multiplied at once
 PART = 1 << 16     # characters of lines signed at once (fits the cache)
 _rng = np.random.default_rng(20240607)
 MASKS = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
@@ -101,8 +105,24 @@ def band_keys(forms: list[str]) -> np.ndarray:
     return _mix(keys)
 
 
-def jaccard_sets(form: str) -> np.ndarray:
-    return np.unique(shingles([form])[0])
+def similar_pairs(forms: list[str], threshold: float) -> np.ndarray:
+    """Boolean matrix: exact Jaccard similarity of the lines' shingle sets."""
+    h, starts = shingles(forms)
+    owner = np.repeat(np.arange(len(forms)), np.diff(np.r_[starts, len(h)]))
+    order = np.argsort(h, kind="stable")
+    h, owner = h[order], owner[order]
+    new = np.r_[True, h[1:] != h[:-1]]
+    code = np.cumsum(new) - 1
+    fresh = np.r_[True, ~((code[1:] == code[:-1]) & (owner[1:] == owner[:-1]))]  # a set holds a shingle once
+    code, owner = code[fresh], owner[fresh]
+    size = np.bincount(owner, minlength=len(forms)).astype(np.float32)
+    both = np.zeros((len(forms), len(forms)), np.float32)
+    for s in range(0, int(code[-1]) + 1, COLUMNS):
+        a, b = np.searchsorted(code, [s, s + COLUMNS])
+        m = np.zeros((len(forms), COLUMNS if b < len(code) else int(code[-1]) + 1 - s), np.float32)
+        m[owner[a:b], code[a:b] - s] = 1
+        both += m @ m.T
+    return both >= np.float32(threshold) * (size[:, None] + size[None, :] - both) - 1e-4
 
 
 def _parts(forms: list[str]):
@@ -163,67 +183,84 @@ def _line_rows(docs: DataFrame, min_chars: int, with_text: bool) -> DataFrame:
     return docs.select(*key, "text").mapInArrow(run, schema)
 
 
+def _forest(side: np.ndarray, forms: list[str], ci: int, cj: int, threshold: float) -> list[tuple[int, int]]:
+    """Spanning forest of the similar pairs between chunk ci and chunk cj."""
+    near = similar_pairs(forms, threshold)
+    if ci != cj:
+        near &= (side[:, None] == ci) & (side[None, :] == cj)
+    label, out = np.arange(len(forms)), []
+    for i, j in zip(*np.nonzero(np.triu(near, 1) if ci == cj else near)):
+        if label[i] != label[j]:
+            out.append((int(i), int(j)))
+            label[label == label[j]] = label[i]
+    return out
+
+
 def _edges(groups: DataFrame, threshold: float) -> DataFrame:
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates(["h1", "h2"])
-        side, ids = pdf["c"].to_numpy(), pdf["id"].tolist()
-        sets = [jaccard_sets(f) for f in pdf["form"]]
-        size = np.array([len(s) for s in sets], float)
-        parent = list(range(len(sets)))
-
-        def find(x):
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        out, ci, cj = [], int(key[1]), int(key[2])
-        first = np.flatnonzero(side == ci)
-        second = np.flatnonzero(side == cj)
-        for i in first:
-            near = second[(np.minimum(size[second], size[i]) >= threshold * np.maximum(size[second], size[i]))]
-            for j in near[near > i] if ci == cj else near:
-                a, b = find(i), find(j)
-                if a != b:
-                    both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                    if both >= threshold * (size[i] + size[j] - both):
-                        parent[b] = a
-                        out.append((ids[i], ids[j]))
-        return pd.DataFrame(out, columns=["a", "b"], dtype=object)
-
-    return groups.groupBy("bucket", "ci", "cj").applyInPandas(run, "a string, b string")
-
-
-def _id():
-    return F.concat(F.lpad(F.hex("h1"), 16, "0"), F.lpad(F.hex("h2"), 16, "0"))
+    """Links (a, b), structs of two hashes, of the groups' lines."""
+    names = ["bucket", "ci", "cj"]
 
+    def finish(key, rows):
+        if len(rows) < 2:
+            return []
+        ids, side = [(r["h1"], r["h2"]) for r in rows], np.array([r["c"] for r in rows])
+        return [(ids[i], ids[j]) for i, j in _forest(side, [r["form"] for r in rows], key[1], key[2], threshold)]
 
-def line_clusters(docs: DataFrame, threshold: float = THRESHOLD, min_chars: int = MIN_CHARS,
-                  chunk: int = CHUNK) -> DataFrame:
-    """A row per line that takes part: k_id, k_text, k_len, line, id (the
-    line's hash), root (its component), first (the kept occurrence as a
-    struct) and kept."""
-    rows = checkpoint(_line_rows(docs, min_chars, with_text=False))
-    keyed = rows.select("h1", F.explode("keys").alias("key")).distinct()
-    buckets = (keyed.groupBy("key").agg(F.count("*").alias("m"), F.bit_xor("h1").alias("x"),
-                                        F.bit_xor(F.xxhash64("h1")).alias("y"))
+    def run(batches):
+        key, rows = None, []           # rows of the group that is being read
+        for b in batches:
+            found = []
+            for r in b.to_pylist():
+                k = (r["bucket"], r["ci"], r["cj"])
+                if k != key:
+                    found += finish(key, rows)
+                    key, rows = k, []
+                rows.append(r)
+            yield batch(found)
+        yield batch(finish(key, rows))
+
+    def batch(found):
+        node = pa.struct([("h1", pa.int64()), ("h2", pa.int64())])
+        side = lambda i: pa.array([{"h1": e[i][0], "h2": e[i][1]} for e in found], node)
+        return pa.RecordBatch.from_arrays([side(0), side(1)], names=["a", "b"])
+
+    return (groups.repartition(*names).sortWithinPartitions(*names)
+            .mapInArrow(run, "a struct<h1:long,h2:long>, b struct<h1:long,h2:long>"))
+
+
+def _groups(rows: DataFrame, docs: DataFrame, min_chars: int, chunk: int) -> DataFrame:
+    """bucket, ci, cj, c, h1, h2, form: the lines of every group to verify."""
+    keyed = rows.select("h1", F.explode("keys").alias("key"))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
+    # a line that occurs often shares its keys with itself: distinct, then count again
+    cand = saved(keyed.join(shared.hint("shuffle_hash"), "key").distinct(), "line-candidates")
+    buckets = (cand.groupBy("key").agg(F.count("*").alias("m"), F.bit_xor("h1").alias("x"),
+                                       F.bit_xor(F.xxhash64("h1")).alias("y"))
                .where("m > 1").groupBy("m", "x", "y").agg(F.min("key").alias("bucket"))
                .select("bucket", F.ceil(F.col("m") / chunk).cast("int").alias("parts")))
-    members = checkpoint(keyed.join(buckets, F.col("key") == F.col("bucket")).select(
-        "bucket", "h1", "parts", F.pmod(F.xxhash64(F.lit(7), "h1"), F.col("parts")).cast("int").alias("c")))
+    members = saved(cand.join(buckets, F.col("key") == F.col("bucket")).select(
+        "bucket", "h1", "parts", F.pmod(F.xxhash64(F.lit(7), "h1"), F.col("parts")).cast("int").alias("c")), "line-members")
     wanted = members.select(F.col("h1").alias("w")).distinct()
-    forms = (_line_rows(docs, min_chars, with_text=True).join(wanted, F.col("h1") == F.col("w"), "left_semi")
-             .dropDuplicates(["h1", "h2"]).withColumn("id", _id()))
-    groups = (members.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-              .select("bucket", F.least("c", "o").alias("ci"), F.greatest("c", "o").alias("cj"), "c", "h1")
-              .join(forms, "h1"))
-    comp = components(_edges(groups, threshold))
-    lines = rows.select("k_id", "k_text", "k_len", "line", _id().alias("id"))
+    few = wanted.limit(FEW_LINES + 1).count() <= FEW_LINES
+    forms = _line_rows(docs, min_chars, with_text=True).join(
+        F.broadcast(wanted) if few else wanted, F.col("h1") == F.col("w"), "left_semi").dropDuplicates(["h1", "h2"])
+    spread = members.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return spread.select("bucket", F.least("c", "o").alias("ci"), F.greatest("c", "o").alias("cj"), "c", "h1").join(forms, "h1")
+
+
+def line_clusters(docs: DataFrame, threshold: float = THRESHOLD, min_chars: int = MIN_CHARS,
+                  chunk: int = CHUNK) -> DataFrame:
+    """A row per line that takes part: k_id, k_text, k_len, line, id (the line's
+    hashes), root (its component), first (the kept occurrence) and kept."""
+    rows = saved(_line_rows(docs, min_chars, with_text=False), "lines")
+    comp = components(_edges(_groups(rows, docs, min_chars, chunk), threshold))
+    lines = rows.select("k_id", "k_text", "k_len", "line", F.struct("h1", "h2").alias("id"))
     at = F.struct(F.col("k_id").isNull().alias("no_id"), "k_id", "k_text", "k_len", "line")
     heads = lines.groupBy("id").agg(F.min(at).alias("first"))
     heads = heads.join(comp, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id"))
-    best = heads.groupBy("root").agg(F.min("first").alias("first"))
-    named = heads.select(F.col("id").alias("of"), "root").join(best, "root")
+    best = heads.where("node is not null").groupBy(F.col("root").alias("best_root")).agg(F.min("first").alias("best"))
+    named = heads.join(best, F.col("root") == F.col("best_root"), "left").select(
+        F.col("id").alias("of"), "root", F.coalesce("best", "first").alias("first"))
     out = lines.join(named, F.col("id") == F.col("of")).drop("of")
     return out.withColumn("kept", at.eqNullSafe(F.col("first")))
 

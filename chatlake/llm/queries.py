@@ -30,7 +30,7 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.line_clusters(table(spark, sf_dir, "documents"))
-    return found.select(F.col("k_id").alias("doc_id"), F.col("line").alias("line_no"), F.col("root").alias("component"),
+    return found.select(F.col("k_id").alias("doc_id"), F.col("line").alias("line_no"), F.concat_ws("-", F.hex("root.h1"), F.hex("root.h2")).alias("component"),
                         F.col("first.k_id").alias("kept_doc_id"), F.col("first.line").alias("kept_line_no"), "kept")
 
 
