@@ -13,15 +13,21 @@ from chatlake.operators import search as SR
 from chatlake.operators import sessions as SS
 from chatlake.operators import tree as TRE
 from chatlake.operators import usage as US
-from chatlake.store.tables import DEFAULT_BUCKETS, TableSet, run_index
+from chatlake.operators.filters import filter_sessions, text_filter
+from chatlake.sources.transcripts import list_files
+from chatlake.store.incremental import needs_index
+from chatlake.store.output import as_json_lines
+from chatlake.store.tables import DEFAULT_BUCKETS, RelationalStore, TableSet, run_index
 
 
 class TranscriptIndex:
     def __init__(self, spark: SparkSession, index_root: str, transcripts_root: str | None = None,
-                 buckets: int = DEFAULT_BUCKETS, now_ms: int | None = None, tz: str = "UTC"):
+                 buckets: int = DEFAULT_BUCKETS, now_ms: int | None = None, tz: str = "UTC",
+                 relational: RelationalStore | None = None, auto_index: bool = False):
+        """``auto_index`` brings the index up to date before a command that reads it."""
         self.spark = spark
         self.store = TableSet(spark, index_root, buckets)
-        self.transcripts_root = transcripts_root
+        self.transcripts_root, self.relational, self.auto_index = transcripts_root, relational, auto_index
         self.now_ms, self.tz = now_ms, tz
 
     # -- helpers -----------------------------------------------------------
@@ -30,52 +36,68 @@ class TranscriptIndex:
             return since
         ms = parse_since(str(since), self.now_ms, self.tz)
         if ms is None:
-            raise ValueError(f"cannot read since value {since!r} (e.g. 2h, 3d, 1w, today, 2026-03-10)")
+            raise ValueError(f"cannot read since value {since!r} (e.g. 2h, 3d, 1w, today, 2025-07-04)")
         return ms
 
-    @property
-    def sessions_table(self) -> DataFrame:
-        return self.store.sessions()
+    def refresh(self) -> dict | None:
+        """SNK9: index if there is no index yet or any listed file is new or changed."""
+        listed = self.spark.createDataFrame([], "path string, mtime_ms long")
+        if self.transcripts_root:
+            listed = listed.unionByName(list_files(self.spark, self.transcripts_root).select("path", "mtime_ms"))
+        if self.relational:
+            listed = listed.unionByName(self.relational.listed())
+        return self.index() if needs_index(self.store.sessions(), listed, self.store.manifest()) else None
 
-    @property
-    def messages_table(self) -> DataFrame:
-        return self.store.messages()
+    def _tables(self) -> tuple[DataFrame, DataFrame]:
+        if self.auto_index:
+            self.refresh()
+        return self.store.sessions(), self.store.messages()
 
     # -- commands ----------------------------------------------------------
-    def index(self, force: bool = False) -> dict:
-        if not self.transcripts_root:
-            raise ValueError("no transcripts root given")
-        return run_index(self.spark, self.transcripts_root, self.store, force=force)
+    def index(self, force: bool = False, merge_files: bool = False, purge: bool = False) -> dict:
+        if not self.transcripts_root and not self.relational:
+            raise ValueError("no transcripts root and no relational store given")
+        return run_index(self.spark, self.transcripts_root, self.store, force, merge_files, self.relational, purge)
 
-    def sessions(self, source=None, scope=None, since=None, limit: int | None = 50) -> DataFrame:
-        return SS.list_sessions(self.sessions_table, source, scope, self._since(since), limit)
+    def sessions(self, source=None, scope=None, since=None, limit: int | None = 50,
+                 boundary: bool = False, bidirectional: bool = False) -> DataFrame:
+        s, _ = self._tables()
+        return SS.list_sessions(s, source, scope, self._since(since), limit, boundary, bidirectional)
 
-    def search(self, keywords: list[str], source=None, scope=None, since=None,
-               limit: int | None = 20) -> DataFrame:
-        return SR.search_sessions(self.messages_table, self.sessions_table, keywords,
-                                  source, scope, self._since(since), limit)
+    def search(self, keywords: list[str], source=None, scope=None, since=None, limit: int | None = 20,
+               rank: str = "hits", boundary: bool = False, bidirectional: bool = False) -> DataFrame:
+        s, m = self._tables()
+        return SR.search_sessions(m, s, keywords, source, scope, self._since(since), limit, rank, boundary, bidirectional)
 
     def read(self, prefix: str, from_=None, to=None, around=None, radius: int = 3,
              role=None) -> DataFrame:
-        return SS.read_messages(self.messages_table, prefix, from_, to, around, radius, role)
+        return SS.read_messages(self._tables()[1], prefix, from_, to, around, radius, role)
 
     def skim(self, prefix: str | None = None, head: int = 3, tail: int = 3, role=None) -> DataFrame:
-        return SS.skim(self.messages_table, head, tail, role, prefix)
+        return SS.skim(self._tables()[1], head, tail, role, prefix)
+
+    def preview(self, prefix: str, head: int = 2, tail: int = 5) -> DataFrame:
+        m = self._tables()[1]
+        return SS.preview(m.where(m["session_id"].startswith(prefix)), head, tail)
 
     def stats(self, scope=None, source=None, since=None) -> tuple[DataFrame, DataFrame]:
-        s, m = self.sessions_table, self.messages_table
+        s, m = self._tables()
         return (US.model_usage(m, s, scope, source, self._since(since)),
                 US.daily_activity(m, s, scope, source, self._since(since), self.tz))
 
     def files(self, path: str, source=None, scope=None, since=None, limit: int | None = 20) -> DataFrame:
-        return SR.sessions_by_file(self.messages_table, self.sessions_table, path, source, scope,
-                                   self._since(since), limit)
-
-    def browse(self, scope=None, mode: str = "tree") -> DataFrame:
-        from chatlake.operators.filters import filter_sessions
-        s = filter_sessions(self.sessions_table, scope=scope)
-        if mode == "lineage":
-            return TRE.lineage_rows(s)
-        if mode == "recent":
-            return TRE.flat_rows(s)
-        return TRE.tree_rows(s)
+        s, m = self._tables()
+        return SR.sessions_by_file(m, s, path, source, scope, self._since(since), limit)
+
+    def browse(self, scope=None, mode: str = "tree", text: str | None = None, project: str | None = None) -> DataFrame:
+        """``mode``: tree, lineage or recent; ``text`` keeps sessions, ``project`` whole projects."""
+        s = filter_sessions(self._tables()[0], scope=scope)
+        if text:
+            s = text_filter(s, text)
+        if project:
+            s = TRE.project_sessions(s, project)
+        return {"lineage": TRE.lineage_rows, "recent": TRE.flat_rows}.get(mode, TRE.tree_rows)(s)
+
+    def as_json(self, rows: DataFrame) -> DataFrame:
+        """SNK12: any command's rows as one JSON text each."""
+        return as_json_lines(rows)

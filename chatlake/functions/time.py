@@ -67,7 +67,8 @@ _UNIT_MS = {"m": MS_PER_MIN, "h": MS_PER_HOUR, "d": MS_PER_DAY, "w": MS_PER_WEEK
 
 
 def parse_since(value: str, now_ms: int | None = None, tz: str = "UTC") -> int | None:
-    """FLT5: '30m', '2h', '3d', '1w', 'today', 'yesterday', a date -> ms.
+    """FLT5: '30m', '2h', '3d', '1w', 'today', 'yesterday', a date
+    ('2025-07-04', '2025-07', 'Jul 4 2025') -> ms.
 
     Returns None for text it cannot read.  ``now_ms`` and ``tz`` are
     injectable so results are reproducible.
@@ -93,6 +94,15 @@ def parse_since(value: str, now_ms: int | None = None, tz: str = "UTC") -> int |
         if re.fullmatch(r"\d{4}-\d{2}-\d{2}", lower):
             d = _dt.datetime.strptime(lower, "%Y-%m-%d").replace(tzinfo=_dt.timezone.utc)
             return int(d.timestamp() * 1000)
+        if re.fullmatch(r"\d{4}-\d{2}", lower):
+            d = _dt.datetime.strptime(lower, "%Y-%m").replace(tzinfo=_dt.timezone.utc)
+            return int(d.timestamp() * 1000)
+        for form in ("%b %d %Y", "%B %d %Y", "%d %b %Y", "%d %B %Y"):
+            try:
+                d = _dt.datetime.strptime(" ".join(lower.replace(",", " ").split()), form)
+                return int(d.replace(tzinfo=zone).timestamp() * 1000)
+            except ValueError:
+                continue
         d = _dt.datetime.fromisoformat(lower.upper().replace("Z", "+00:00"))
         if d.tzinfo is None:
             d = d.replace(tzinfo=zone)

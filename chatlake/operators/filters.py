@@ -50,8 +50,19 @@ def in_scope(df: DataFrame, scope, col: str = "directory", boundary: bool = Fals
     return df.where(TX.starts_with_any(col, list(scope), boundary=boundary))
 
 
-def in_scope_bidirectional(df: DataFrame, scope: list[str], col: str = "directory") -> DataFrame:
-    """FLT3: directory under a prefix or a prefix under the directory."""
+def in_scope_bidirectional(df: DataFrame, scope, col: str = "directory") -> DataFrame:
+    """FLT3: directory under a prefix or a prefix under the directory.
+
+    A scope DataFrame (column ``prefix``) is matched by equi-joins both ways:
+    prefixes of the distinct directories with the scope, and prefixes of the
+    distinct scope rows with the directories.
+    """
+    if isinstance(scope, DataFrame):
+        pref = scope.select("prefix").where(F.col("prefix").isNotNull()).distinct()
+        dirs = df.select(F.col(col).alias("_dir")).distinct()
+        under = _scope_prefixes(dirs, "_dir").join(pref.withColumnRenamed("prefix", "_prefix"), "_prefix", "left_semi").select("_dir")
+        above = dirs.join(_scope_prefixes(pref, "prefix").select(F.col("_prefix").alias("_dir")), "_dir", "left_semi")
+        return df.join(under.unionByName(above).distinct(), F.col(col) == F.col("_dir"), "left_semi")
     if not scope:
         return df
     return df.where(TX.bidirectional_scope(col, scope))
@@ -66,21 +77,23 @@ def filter_sessions(sessions: DataFrame, source: str | None = None, scope=None,
         out = out.where(F.col("source") == F.lit(source))
     if since_ms is not None:
         out = out.where(F.col("last_at") >= F.lit(int(since_ms)))
-    if bidirectional and scope is not None and not isinstance(scope, DataFrame):
-        out = in_scope_bidirectional(out, list(scope))
+    if bidirectional and scope is not None:
+        out = in_scope_bidirectional(out, scope if isinstance(scope, DataFrame) else list(scope))
     else:
         out = in_scope(out, scope, boundary=boundary)
     return out
 
 
-def keyword_match(col: str | Column, keywords: list[str]) -> Column:
-    """FLT6/FLT7."""
-    return TX.any_keyword(col, keywords)
-
-
-def session_prefix(df: DataFrame, prefix: str, col: str = "session_id") -> DataFrame:
-    """FLT8: id prefix (several sessions may match)."""
-    return df.where(F.col(col).startswith(prefix))
+def session_prefixes(df: DataFrame, prefixes: DataFrame, col: str = "session_id") -> DataFrame:
+    """FLT8 set-wise: rows whose id starts with any of the ``prefix`` values, by an
+    equi-join on the id's prefixes of the asked lengths (a short list)."""
+    wanted = prefixes.select(F.col("prefix").alias("_prefix")).where(F.length("prefix") > 0).distinct()
+    lengths = sorted(r[0] for r in wanted.select(F.length("_prefix")).distinct().collect())
+    if not lengths:
+        return df.limit(0)
+    ids = df.select(F.col(col).alias("_id")).distinct()
+    ids = ids.select("_id", F.explode(F.array(*[F.substring("_id", 1, n) for n in lengths])).alias("_prefix"))
+    return df.join(ids.join(wanted, "_prefix", "left_semi").select("_id").distinct(), F.col(col) == F.col("_id"), "left_semi")
 
 
 def position_range(df: DataFrame, from_: int | None = None, to: int | None = None,

@@ -1,56 +1,37 @@
 """Position inside a group without sending a whole group to one task.
 
 ``row_number() OVER (PARTITION BY key ORDER BY ...)`` puts every row of a
-key into one task.  With a session that holds a third of all messages that
-task sorts a third of the data.  ``sequence_within`` splits hot keys:
-
-1. range-partition on ``(key, order...)``: the sampled bounds cut a hot key
-   into many contiguous slices, and ``spark_partition_id()`` names them;
-2. number rows inside each ``(key, slice)`` with a window (bounded by the
-   slice size);
-3. count rows per ``(key, slice)`` (a small aggregate: one row per key and
-   slice) and take a running sum over slices per key (at most #slices rows
-   per key) to get each slice's offset;
-4. join the offsets back on ``(key, slice)`` - the big side is already
-   hash-partitioned on those keys by step 2, so only the small side moves.
-
-The order must be total (add a unique tie-break such as a line number).
-The numbered slices are checkpointed once (shared checkpoint folder), so
-the sizes and the join back read the same slice ids even when Spark runs
-the two branches separately or recomputes after an executor loss.
+key into one task.  ``sequence_within`` cuts each key into slices by a
+column that follows the order (every slice lies before the next one), such as
+the minute of a timestamp:
+
+1. rows are numbered inside each ``(key, slice)``: the only exchange that
+   moves whole rows;
+2. rows are counted per ``(key, slice)``, on the key and order columns alone,
+   and a running sum over a key's slices gives each slice its offset;
+3. the offsets are joined on ``(key, slice)``, which the numbered rows are
+   already partitioned by, so only the small side moves.
+
+The slice is computed from the row itself, so the plan is lazy, nothing is
+checkpointed, and a recomputation gives the same positions.  The order must
+be total (add a unique tie-break such as a line number).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chatlake.session import checkpoint_dir
-
 
-def sequence_within(df: DataFrame, key: str, order: list, out: str = "position",
-                    slices: int | None = None) -> DataFrame:
-    spark = df.sparkSession
-    n = slices or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+def sequence_within(df: DataFrame, key: str, slices: Column, order: list, out: str = "position") -> DataFrame:
     order_cols = [F.col(o) if isinstance(o, str) else o for o in order]
-    ranged = df.repartitionByRange(n, F.col(key), *order_cols).withColumn("_slice", F.spark_partition_id())
-    w_local = Window.partitionBy(key, "_slice").orderBy(*order_cols)
-    # The slice id is a partition id: both branches below (sizes and the
-    # join back) must see the same one, and a recomputation (separate
-    # execution of each branch, a lost executor) may assign rows to other
-    # slices.  A reliable checkpoint in the shared folder freezes it.
-    checkpoint_dir(spark)
-    local = ranged.withColumn("_local", F.row_number().over(w_local)).checkpoint(eager=True)
-    sizes = local.groupBy(key, "_slice").agg(F.count(F.lit(1)).alias("_n"))
-    w_off = Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(key, "_slice", F.coalesce(F.sum("_n").over(w_off), F.lit(0)).alias("_off"))
-    return (local.join(offsets, [key, "_slice"])
+    sliced = df.withColumn("_slice", slices)
+    inside = Window.partitionBy(key, "_slice").orderBy(*order_cols)
+    numbered = sliced.withColumn("_local", F.row_number().over(inside))
+    sizes = sliced.groupBy(key, "_slice").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(F.col(key).alias("_key"), F.col("_slice").alias("_at"),
+                           F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    return (numbered.join(offsets, (F.col(key) == F.col("_key")) & (F.col("_slice") == F.col("_at")))
             .withColumn(out, (F.col("_off") + F.col("_local") - 1).cast("int"))
-            .drop("_slice", "_local", "_off"))
-
-
-def sequence_window(df: DataFrame, key: str, order: list, out: str = "position") -> DataFrame:
-    """The plain window form (one task per key); the reference semantics."""
-    order_cols = [F.col(o) if isinstance(o, str) else o for o in order]
-    w = Window.partitionBy(key).orderBy(*order_cols)
-    return df.withColumn(out, (F.row_number().over(w) - 1).cast("int"))
+            .drop("_slice", "_local", "_off", "_key", "_at"))

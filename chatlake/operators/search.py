@@ -2,20 +2,18 @@
 
 Plan shape of ``search_sessions`` (checked with ``explain``):
 
-1. scan ``message`` with the keyword predicate, keep ``session_id`` and
-   ``position`` only (content is never shuffled);
-2. ``HashAggregate`` per session: ``count(*)`` and ``min(position)``
-   (partial aggregation before the shuffle, so a session holding a third
-   of all messages costs one partial row per task);
-3. join the per-session rows to the filtered session table;
-4. ``TakeOrderedAndProject`` for the top ``limit`` sessions;
-5. the ``limit`` winners (a size bound by construction) are broadcast and
-   joined to ``message`` on ``(session_id, position)`` for role, time and
-   snippet.
-
-``position`` follows timestamp order by construction (positions are
-assigned in ``(timestamp, line)`` order at ingest), so ``min(position)``
-is the earliest hit.
+1. one scan of ``message`` with the keyword predicate; of a matching row only
+   ids, role, time and the 300-character snippet go on;
+2. an aggregate per session: ``count(*)`` and the smallest
+   ``(no time, time, position, ...)`` struct, which carries the snippet of
+   the first hit (partial aggregation before the shuffle, so a session
+   holding a third of all messages costs one partial row per task);
+3. join with the filtered session table;
+4. ``TakeOrderedAndProject`` for the top ``limit`` sessions.
+
+The first hit is the earliest by ``timestamp_ms``, then by position; a hit
+without a time comes last.  (Positions follow the timestamp *text*, which may
+order mixed precisions differently.)
 """
 
 from __future__ import annotations
@@ -36,65 +34,37 @@ def _sessions_out(sessions: DataFrame) -> DataFrame:
                            "started_at", "last_at", "message_count")
 
 
-def hit_counts(messages: DataFrame, keywords: list[str]) -> DataFrame:
-    """AGG2 core: ``(session_id, total_hits, hit_position)`` per session."""
+def first_hits(messages: DataFrame, keywords: list[str]) -> DataFrame:
+    """AGG2 core: total hits and the first hit per session."""
+    hit = F.struct(F.col("timestamp_ms").isNull().alias("no_time"), F.col("timestamp_ms").alias("hit_ts"),
+                   F.col("position").alias("hit_position"), F.col("role").alias("hit_role"),
+                   TX.snippet("content").alias("snippet"))
     return (messages.where(TX.any_keyword("content", keywords))
+            .select("session_id", hit.alias("hit"))
             .groupBy("session_id")
-            .agg(F.count(F.lit(1)).alias("total_hits"),
-                 F.min("position").alias("hit_position")))
+            .agg(F.count(F.lit(1)).alias("total_hits"), F.min("hit").alias("hit"))
+            .select("session_id", "total_hits", "hit.hit_position", "hit.hit_role", "hit.hit_ts", "hit.snippet"))
 
 
 def search_sessions(messages: DataFrame, sessions: DataFrame, keywords: list[str],
                     source: str | None = None, scope=None, since_ms: int | None = None,
                     limit: int | None = 20, rank: str = "hits",
-                    boundary: bool = False) -> DataFrame:
+                    boundary: bool = False, bidirectional: bool = False) -> DataFrame:
     """TOP2: sessions with any keyword, ranked by hits then recency.
 
     ``rank='recency'`` orders by ``last_at`` only (the direct-path option,
     S22).  Ties are broken by session id.  ``limit=None`` returns every
-    matching session (no broadcast: a shuffle join fetches the hit rows).
+    matching session.
     """
-    s = _sessions_out(filter_sessions(sessions, source, scope, since_ms, boundary=boundary))
-    ranked = hit_counts(messages, keywords).join(s, "session_id")
+    s = _sessions_out(filter_sessions(sessions, source, scope, since_ms, boundary=boundary, bidirectional=bidirectional))
+    ranked = first_hits(messages, keywords).join(s, "session_id")
     if rank == "recency":
         order = [F.col("last_at").desc_nulls_last(), F.col("session_id")]
     else:
         order = [F.col("total_hits").desc(), F.col("last_at").desc_nulls_last(), F.col("session_id")]
-    top = ranked.orderBy(*order)
-    if limit is not None:
-        top = F.broadcast(top.limit(int(limit)))
-    hit_rows = messages.select(
-        "session_id", F.col("position").alias("hit_position"),
-        F.col("role").alias("hit_role"), F.col("timestamp_ms").alias("hit_ts"),
-        TX.snippet("content").alias("snippet"))
-    return top.join(hit_rows, ["session_id", "hit_position"]).select(
-        "session_id", *SESSION_OUT, "total_hits", "hit_position", "hit_role", "hit_ts", "snippet")
-
-
-def search_sessions_window(messages: DataFrame, sessions: DataFrame, keywords: list[str],
-                           source: str | None = None, scope=None, since_ms: int | None = None,
-                           limit: int | None = 20) -> DataFrame:
-    """TOP2 in the reference's window form (WIN1 + WIN2): ``row_number``
-    for the first hit and ``count(*) OVER`` for the hit count per session.
-
-    Same rows as ``search_sessions``; kept as the literal twin.  It sorts
-    every hit row per session and carries the snippet through the shuffle,
-    so ``search_sessions`` is the one to use at scale.
-    """
-    from pyspark.sql import Window
-
-    s = _sessions_out(filter_sessions(sessions, source, scope, since_ms))
-    hits = messages.where(TX.any_keyword("content", keywords)).select(
-        "session_id", F.col("position").alias("hit_position"), F.col("role").alias("hit_role"),
-        F.col("timestamp_ms").alias("hit_ts"), TX.snippet("content").alias("snippet"))
-    w = Window.partitionBy("session_id")
-    ranked = (hits.withColumn("_rn", F.row_number().over(w.orderBy("hit_ts", "hit_position")))
-              .withColumn("total_hits", F.count(F.lit(1)).over(w))
-              .where(F.col("_rn") == 1).drop("_rn")
-              .join(s, "session_id"))
-    out = ranked.orderBy(F.col("total_hits").desc(), F.col("last_at").desc_nulls_last(), "session_id")
-    out = out.limit(int(limit)) if limit is not None else out
-    return out.select("session_id", *SESSION_OUT, "total_hits", "hit_position", "hit_role", "hit_ts", "snippet")
+    top = ranked.select("session_id", *SESSION_OUT, "total_hits", "hit_position", "hit_role", "hit_ts",
+                        "snippet").orderBy(*order)
+    return top.limit(int(limit)) if limit is not None else top
 
 
 def sessions_mentioning(messages: DataFrame, sessions: DataFrame, needle: str,
@@ -135,5 +105,5 @@ def search_context(messages: DataFrame, keywords: list[str], radius: int = 3) ->
                                                 F.col("position") + r)).alias("position"))
                .groupBy("session_id", "position")
                .agg(F.min(F.abs(F.col("position") - F.col("hit_pos"))).alias("distance")))
-    return messages.select("session_id", "position", "role", "timestamp_ms").join(
+    return messages.select("session_id", "position", "role", "timestamp_ms", "content").join(
         covered, ["session_id", "position"])

@@ -23,14 +23,14 @@ def prefix_owner_empty(spark):
     return spark.createDataFrame([], "prefix string, directory string, projects long, sessions long")
 
 
-def pick_latest_file(msgs: DataFrame) -> DataFrame:
-    """A session found in several files takes the rows of its latest
-    file by ``(mtime_ms, path)``.  The winner is chosen on the distinct
-    ``(session, file)`` pairs, then applied with a semi-join."""
+def older_files(msgs: DataFrame) -> DataFrame:
+    """``(session_id, path)`` of files that hold a session but are not its
+    latest file by ``(mtime_ms, path)``; no rows where sessions have one file."""
     pairs = msgs.groupBy("session_id", "path").agg(F.max("mtime_ms").alias("mtime_ms"))
-    winner = pairs.groupBy("session_id").agg(
-        F.max_by("path", F.struct("mtime_ms", "path")).alias("path"))
-    return msgs.join(winner, ["session_id", "path"], "left_semi")
+    several = pairs.groupBy("session_id").agg(
+        F.count(F.lit(1)).alias("n"), F.max_by("path", F.struct("mtime_ms", "path")).alias("latest"),
+        F.collect_set("path").alias("paths")).where(F.col("n") > 1)
+    return several.select("session_id", F.explode(F.array_except("paths", F.array("latest"))).alias("path"))
 
 
 def sessionize(msgs: DataFrame, source: str = "claude-code") -> DataFrame:
@@ -51,27 +51,36 @@ def sessionize(msgs: DataFrame, source: str = "claude-code") -> DataFrame:
         "started_at", "last_at", "message_count")
 
 
-def assign_positions(msgs: DataFrame, skew_safe: bool = True) -> DataFrame:
-    """SRC10: 0-based position in ``(ts, line_no)`` order per session."""
-    order = [F.col("ts").asc_nulls_last(), F.col("line_no")]
-    if skew_safe:
-        return sequence_within(msgs, "session_id", order)
-    from chatlake.operators.ranking import sequence_window
-    return sequence_window(msgs, "session_id", order)
+def assign_positions(msgs: DataFrame) -> DataFrame:
+    """SRC10: 0-based position in ``(ts, line_no)`` order per session, slice by
+    slice: the minute of the timestamp text, or a run of lines without one."""
+    minute = F.when(F.col("ts").isNotNull(), F.struct(
+        F.lit(0).alias("no_ts"), F.substring("ts", 1, 16).alias("minute"), F.lit(0).cast("bigint").alias("run"))).otherwise(
+        F.struct(F.lit(1).alias("no_ts"), F.lit("").alias("minute"),
+                 F.shiftright(F.col("line_no").cast("bigint"), 16).alias("run")))
+    return sequence_within(msgs, "session_id", minute, [F.col("ts").asc_nulls_last(), F.col("line_no")])
 
 
-def index_lines(lines: DataFrame, merge_files: bool = False, skew_safe: bool = True,
-                source: str = "claude-code") -> tuple[DataFrame, DataFrame]:
-    """Lines -> (session table rows, message table rows)."""
-    parsed = TR.parse_lines(lines)
-    msgs = TR.clean(TR.usable(parsed)).withColumn("directory", TR.directory_of_path("path"))
+def usable_messages(lines: DataFrame, merge_files: bool = False, older: DataFrame | None = None) -> DataFrame:
+    """Parsed, filtered and cleaned messages, of each session's latest file only
+    unless ``merge_files``.  ``older``: the result of ``older_files``, where the
+    caller has it already."""
+    msgs = TR.clean(TR.usable(TR.parse_lines(lines))).withColumn("directory", TR.directory_of_path("path"))
     if "mtime_ms" not in msgs.columns:
         msgs = msgs.withColumn("mtime_ms", F.lit(0).cast("bigint"))
-    if not merge_files:
-        msgs = pick_latest_file(msgs)
-    sessions = sessionize(msgs, source)
-    messages = assign_positions(msgs, skew_safe).select(*SC.MESSAGE_COLS)
-    return sessions, messages
+    if merge_files:
+        return msgs
+    return msgs.join(older_files(msgs) if older is None else older, ["session_id", "path"], "left_anti")
+
+
+def index_sessions(lines: DataFrame, merge_files: bool = False, source: str = "claude-code") -> DataFrame:
+    """Lines -> session table rows."""
+    return sessionize(usable_messages(lines, merge_files), source)
+
+
+def index_messages(lines: DataFrame, merge_files: bool = False) -> DataFrame:
+    """Lines -> message table rows."""
+    return assign_positions(usable_messages(lines, merge_files)).select(*SC.MESSAGE_COLS)
 
 
 def prefix_owner(parsed: DataFrame, prefixes: DataFrame) -> DataFrame:

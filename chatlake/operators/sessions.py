@@ -24,14 +24,18 @@ def _recency(df: DataFrame, id_col: str = "id") -> DataFrame:
     return df.orderBy(F.col("last_at").desc_nulls_last(), F.col(id_col))
 
 
+def session_list(sessions: DataFrame) -> DataFrame:
+    """The columns of a session listing, in no order."""
+    return sessions.select("id", "source", "directory", "branch", TX.title_or_default("title").alias("title"),
+                           "parent_id", "started_at", "last_at", "message_count")
+
+
 def list_sessions(sessions: DataFrame, source: str | None = None, scope=None,
                   since_ms: int | None = None, limit: int | None = 50,
-                  boundary: bool = False) -> DataFrame:
+                  boundary: bool = False, bidirectional: bool = False) -> DataFrame:
     """TOP1 (``limit=None``: TOP7, every session by recency)."""
-    out = filter_sessions(sessions, source, scope, since_ms, boundary=boundary).select(
-        "id", "source", "directory", "branch", TX.title_or_default("title").alias("title"),
-        "parent_id", "started_at", "last_at", "message_count")
-    out = _recency(out)
+    out = _recency(session_list(filter_sessions(sessions, source, scope, since_ms, boundary=boundary,
+                                                bidirectional=bidirectional)))
     return out.limit(int(limit)) if limit is not None else out
 
 
@@ -72,27 +76,25 @@ def skim(messages: DataFrame, head: int = 3, tail: int = 3, role: str | None = N
     m = role_is(messages, role)
     if prefix is not None:
         m = m.where(F.col("session_id").startswith(prefix))
-    m = m.select("session_id", "position", "role", "content", "timestamp_ms")
     h, t = int(head), int(tail)
-    totals = m.groupBy("session_id").agg(F.count(F.lit(1)).alias("total"))
-    w_first = Window.partitionBy("session_id").orderBy(F.col("position"))
-    w_last = Window.partitionBy("session_id").orderBy(F.col("position").desc())
-    first = (m.withColumn("_rn", F.row_number().over(w_first))
-             .where(F.col("_rn") <= F.lit(max(h + t, 1))))
-    first = first.join(totals, "session_id").where(
-        (F.col("_rn") <= F.lit(h)) | (F.col("total") <= F.lit(h + t)))
-    first = first.select("session_id", "position", "role", "content", "timestamp_ms",
-                         F.lit("head").alias("section"), "total")
-    parts = [first]
+    # pick by narrow rows; the text is fetched for the kept ones only
+    at = m.select("session_id", "position")
+    totals = at.groupBy("session_id").agg(F.count(F.lit(1)).alias("total"))
+    per = Window.partitionBy("session_id")
+    first = (at.withColumn("_rn", F.row_number().over(per.orderBy("position")))
+             .where(F.col("_rn") <= F.lit(max(h + t, 1))).join(totals, "session_id")
+             .where((F.col("_rn") <= F.lit(h)) | (F.col("total") <= F.lit(h + t)))
+             .select("session_id", "position", F.lit("head").alias("section"), "total"))
+    picked = first
     if t > 0:
-        last = (m.withColumn("_rn", F.row_number().over(w_last))
-                .where(F.col("_rn") <= F.lit(t)))
-        last = last.join(totals, "session_id").where(F.col("total") > F.lit(h + t)).select(
-            "session_id", "position", "role", "content", "timestamp_ms",
-            F.lit("tail").alias("section"), "total")
-        parts.append(last)
-    out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    return out.withColumn("skipped", F.greatest(F.col("total") - F.lit(h + t), F.lit(0)))
+        last = (at.withColumn("_rn", F.row_number().over(per.orderBy(F.col("position").desc())))
+                .where(F.col("_rn") <= F.lit(t)).join(totals, "session_id")
+                .where(F.col("total") > F.lit(h + t))
+                .select("session_id", "position", F.lit("tail").alias("section"), "total"))
+        picked = first.unionByName(last)
+    return m.select("session_id", "position", "role", "content", "timestamp_ms").join(
+        picked, ["session_id", "position"]).withColumn(
+        "skipped", F.greatest(F.col("total") - F.lit(h + t), F.lit(0)))
 
 
 def preview(messages: DataFrame, head: int = 2, tail: int = 5,

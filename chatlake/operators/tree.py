@@ -19,23 +19,26 @@ nothing (depths are contiguous, so nothing deeper can follow).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatlake.functions import text as TX
-from chatlake.session import checkpoint_dir
+from chatlake.session import checkpointed
 
 SEP = "\u0001"
 KEY_WIDTH = 20
 BIG = 10 ** 18          # newest-first keys are BIG - ms, so string order = time desc
 
 
-def _num(x: Column) -> Column:
-    return F.lpad(F.coalesce(x, F.lit(0)).cast("string"), KEY_WIDTH, "0")
+def _num(x: Column, missing: int = 0) -> Column:
+    return F.lpad(F.coalesce(x, F.lit(missing)).cast("string"), KEY_WIDTH, "0")
 
 
 def newest_first_key(ms: str, tie: str) -> Column:
-    return F.concat(_num(F.lit(BIG) - F.col(ms)), F.col(tie))
+    """A missing time sorts last, as in the flat list (``BIG + 1``)."""
+    return F.concat(_num(F.lit(BIG) - F.col(ms), BIG + 1), F.col(tie))
 
 
 def project_rollup(sessions: DataFrame) -> DataFrame:
@@ -87,13 +90,14 @@ def flat_rows(sessions: DataFrame) -> DataFrame:
     ).orderBy(F.col("last_at").desc_nulls_last(), "session_id")
 
 
-def project_filter(rows: DataFrame, query: str) -> DataFrame:
-    """FLT15: every row of a project whose name/directory, or any of whose
-    session titles/directories, contains ``query`` (case-insensitive)."""
-    hit = (TX.contains_ci(F.coalesce("title", F.lit("")), query)
-           | TX.contains_ci("directory", query) | TX.contains_ci("name", query))
-    dirs = rows.where(hit).select("directory").distinct()
-    return rows.join(dirs, "directory", "left_semi")
+def project_sessions(sessions: DataFrame, query: str) -> DataFrame:
+    """FLT15: the sessions of every project whose name or directory, or any of
+    whose session titles, contains ``query`` (case-insensitive).  The tree is
+    built and ordered from these, once."""
+    hit = (TX.contains_ci(TX.title_or_default("title"), query) | TX.contains_ci("directory", query)
+           | TX.contains_ci(TX.project_name("directory"), query))
+    dirs = sessions.where(hit).select("directory").distinct()
+    return sessions.join(dirs, "directory", "left_semi")
 
 
 # ---- lineage ---------------------------------------------------------------
@@ -109,15 +113,13 @@ def link_parents(sessions: DataFrame) -> DataFrame:
 
 
 def _elem(is_root: Column) -> Column:
-    k = F.when(is_root, F.lit(BIG) - F.col("last_at")).otherwise(F.col("started_at"))
-    return F.concat(_num(k), F.col("id"), F.lit(SEP))
+    k = F.when(is_root, _num(F.lit(BIG) - F.col("last_at"), BIG + 1)).otherwise(_num(F.col("started_at"), BIG + 1))
+    return F.concat(k, F.col("id"), F.lit(SEP))
 
 
 def lineage(sessions: DataFrame, max_rounds: int = 64) -> DataFrame:
     """TREE3-5: ``(id, directory, tree_parent, root_id, depth, path_key,
     child_count, is_last)`` for every session not on a parent cycle."""
-    spark = sessions.sparkSession
-    checkpoint_dir(spark)
     linked = link_parents(sessions.select("id", "directory", "parent_id", "started_at", "last_at"))
     is_root = F.col("link").isNull()
     # pass-through columns ride along, so the result needs no join back
@@ -127,27 +129,31 @@ def lineage(sessions: DataFrame, max_rounds: int = 64) -> DataFrame:
         F.col("link").alias("up"), _elem(is_root).alias("seg"),
         F.lit(1).alias("d"), is_root.alias("done"),
         F.when(is_root, F.col("id")).alias("root_id"))
-    active = state.where(~F.col("done")).count()
-    rounds = 0
-    while active and rounds < max_rounds:
+    # Only sessions that still move are joined and rewritten; a pointer's target
+    # is looked up among all sessions, so no round has a NULL join key.
+    state = checkpointed(state)
+    settled = [state.where("done")]
+    moving = state.where(~F.col("done"))
+    active, rounds = moving.count(), 0
+    while active:
+        if rounds == max_rounds:
+            raise RuntimeError(f"lineage unresolved after {max_rounds} rounds")
         t = state.select(F.col("id").alias("_tid"), F.col("up").alias("_tup"), F.col("seg").alias("_tseg"),
-                         F.col("d").alias("_td"), F.col("done").alias("_tdone"),
-                         F.col("root_id").alias("_troot"))
-        moving = ~F.col("done")
-        nxt = state.join(t, state["up"] == t["_tid"], "left").select(
-            "id", *keep,
-            F.when(moving, F.col("_tup")).otherwise(F.col("up")).alias("up"),
-            F.when(moving, F.concat("_tseg", "seg")).otherwise(F.col("seg")).alias("seg"),
-            F.when(moving, F.col("_td") + F.col("d")).otherwise(F.col("d")).alias("d"),
-            F.when(moving, F.coalesce("_tdone", F.lit(False))).otherwise(F.col("done")).alias("done"),
-            F.when(moving, F.col("_troot")).otherwise(F.col("root_id")).alias("root_id"))
-        state = nxt.checkpoint(eager=True)     # lineage cut in the shared folder
+                         F.col("d").alias("_td"), F.col("done").alias("_tdone"), F.col("root_id").alias("_troot"))
+        nxt = moving.join(t, moving["up"] == t["_tid"]).select(
+            "id", *keep, F.col("_tup").alias("up"), F.concat("_tseg", "seg").alias("seg"),
+            (F.col("_td") + F.col("d")).alias("d"), F.col("_tdone").alias("done"), F.col("_troot").alias("root_id"))
+        nxt = checkpointed(nxt)             # lineage cut in the shared folder
         rounds += 1
-        left = state.where(~F.col("done")).count()
+        settled.append(nxt.where("done"))
+        moving = nxt.where(~F.col("done"))
+        left = moving.count()
         if left == active:
             break       # only cycles (and what hangs on them) remain
         active = left
-    nodes = state.where(F.col("done")).select(
+        # targets of the next round: what has settled so far, and what moved
+        state = reduce(DataFrame.unionAll, [*settled, moving])
+    nodes = reduce(DataFrame.unionAll, settled).select(
         "id", *keep, "root_id", (F.col("d") - 1).cast("int").alias("depth"), F.col("seg").alias("path_key"))
     kids = nodes.where(F.col("tree_parent").isNotNull()).groupBy("tree_parent").agg(
         F.count(F.lit(1)).alias("child_count")).withColumnRenamed("tree_parent", "id")

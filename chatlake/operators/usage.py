@@ -90,6 +90,34 @@ def daily_activity(messages: DataFrame, sessions: DataFrame | None = None, scope
             .orderBy("day"))
 
 
+def project_model_usage(asst: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Per-project partials of AGG9: assistant turns and tokens per (directory, model)."""
+    return (asst.join(sessions.select(F.col("id").alias("session_id"), "directory"), "session_id")
+            .groupBy("directory", "model")
+            .agg(F.count(F.lit(1)).alias("turns"), *[F.sum(c).alias(c) for c in TOKEN_COLS]))
+
+
+def project_session_days(messages: DataFrame, sessions: DataFrame, tz: str = "UTC") -> DataFrame:
+    """Per-project partials of AGG10, at the grain (directory, session, day)."""
+    return session_days(messages, tz).join(
+        sessions.select(F.col("id").alias("session_id"), "directory"), "session_id").select(
+        "directory", "session_id", "day", "user_msgs", "asst_turns")
+
+
+def raw_daily_activity(raw: DataFrame) -> DataFrame:
+    """Daily activity straight from parsed lines: every user and assistant line
+    counts, with or without usable text, by the day of its timestamp text.
+    Counted per (session, day) first, so a hot day or session is no hot key."""
+    lines = raw.where(F.col("msg_type").isin("user", "assistant"))
+    pairs = lines.groupBy("session_id", TM.day_of_iso("ts").alias("day")).agg(
+        F.count_if(F.col("msg_type") == "user").alias("user_msgs"),
+        F.count_if(F.col("msg_type") == "assistant").alias("asst_turns"))
+    return (pairs.groupBy("day")
+            .agg(F.count("session_id").alias("sessions"), F.sum("user_msgs").cast("bigint").alias("user_msgs"),
+                 F.sum("asst_turns").cast("bigint").alias("asst_turns"))
+            .orderBy("day"))
+
+
 def last_days(daily: DataFrame, n: int = 14) -> DataFrame:
     """TOP9: the latest ``n`` days, oldest first."""
     return daily.orderBy(F.col("day").desc()).limit(n).orderBy("day")

@@ -15,15 +15,15 @@ NOW_MS = EPOCH_BASE_MS + 400 * 86_400_000  # injected "now" for ages
 FILE_NEEDLE = "nicht"
 CONTEXT_KW = ["schst"]
 CONTEXT_RADIUS = 2
-READ_PREFIX = "conv-0000004"
+READ_PREFIX = "conv-" + "0" * 18 + "4"        # ids 40 to 49
 READ_FROM, READ_TO = 1, 5
-AROUND_PREFIX = "conv-0000001"
+AROUND_PREFIX = "conv-" + "0" * 18 + "1"
 AROUND_AT, AROUND_RADIUS, AROUND_ROLE = 3, 2, "assistant"
 SKIM_HEAD, SKIM_TAIL = 3, 3
 PREVIEW_HEAD, PREVIEW_TAIL, PREVIEW_MAX_LINES = 2, 5, 8
 LAST_DAYS = 14
 CHANGE_TOLERANCE_MS = 1000
-OWNER_PREFIX_LEN = 12                     # 'conv-0000001' spans ten sessions
+OWNER_PREFIX_LEN = 24                     # all but the last digit: a prefix spans ten sessions
 FILTER_TEXT = "proj1"                      # FLT14 over the flat list
 PROJECT_FILTER_TEXT = "nicht"             # FLT15 matches via session titles
 PER_PROJECT_K = 3

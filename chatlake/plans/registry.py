@@ -121,13 +121,11 @@ def model_usage_raw(spark, d):
 
 
 def sessionize(spark, d):
-    sessions, _ = SZ.index_lines(DV.raw_view(spark, d))
-    return sessions
+    return SZ.index_sessions(DV.raw_view(spark, d))
 
 
 def index_messages(spark, d):
-    _, messages = SZ.index_lines(DV.raw_view(spark, d))
-    return messages
+    return SZ.index_messages(DV.raw_view(spark, d))
 
 
 def prefix_owner(spark, d):
@@ -153,7 +151,7 @@ def _session_versions(spark, d):
     _, s = _mv(spark, d)
     cid = F.col("conv_id")
     old = s.where(cid % 5 != 4).select(*SC.SESSION_COLS)
-    new = s.where(cid % 2 == 0).select(
+    new = s.where((cid % 2 == 0) | (cid % 5 == 4)).select(
         *[F.concat(F.lit("v2 "), F.col("title")).alias("title") if c == "title"
           else (F.col("message_count") + 1).alias("message_count") if c == "message_count"
           else F.col(c) for c in SC.SESSION_COLS])
@@ -175,13 +173,11 @@ def message_replace(spark, d):
 
 
 def text_parts(spark, d):
-    _, messages = RL.index_relational(*DV.relational_views(spark, d))
-    return messages
+    return RL.relational_messages(*DV.relational_views(spark, d))
 
 
 def sessionize_parts(spark, d):
-    sessions, _ = RL.index_relational(*DV.relational_views(spark, d))
-    return sessions
+    return RL.relational_sessions(*DV.relational_views(spark, d))
 
 
 def message_counts(spark, d):
@@ -192,7 +188,7 @@ def message_counts(spark, d):
 def merge_sources(spark, d):
     _, s = _mv(spark, d)
     claude = s.where(F.col("source") == "claude-code")
-    oc, _ = RL.index_relational(*DV.relational_views(spark, d))
+    oc = RL.relational_sessions(*DV.relational_views(spark, d, own_sessions=True))
     return SS.merge_sources(claude, oc, limit=P.LIST_LIMIT)
 
 
@@ -210,19 +206,12 @@ def distinct_first_hit(spark, d):
 def usage_merge(spark, d):
     m, s = _mv(spark, d)
     asst = m.where(F.col("model").isNotNull() & (F.col("role") == "assistant"))
-    per_project = (asst.join(s.select(F.col("id").alias("session_id"), "directory"), "session_id")
-                   .groupBy("directory", "model")
-                   .agg(F.count(F.lit(1)).alias("turns"),
-                        *[F.sum(c).alias(c) for c in US.TOKEN_COLS]))
-    return US.merge_model_usage(per_project)
+    return US.merge_model_usage(US.project_model_usage(asst, s))
 
 
 def daily_merge(spark, d):
     m, s = _mv(spark, d)
-    pairs = US.session_days(m).join(
-        s.select(F.col("id").alias("session_id"), "directory"), "session_id")
-    per_project = pairs.select("directory", "session_id", "day", "user_msgs", "asst_turns")
-    return US.merge_daily(per_project)
+    return US.merge_daily(US.project_session_days(m, s))
 
 
 def project_rollup(spark, d):
@@ -247,7 +236,7 @@ def flat_filter(spark, d):
 
 def project_filter(spark, d):
     _, s = _mv(spark, d)
-    return TRE.project_filter(TRE.tree_rows(s), P.PROJECT_FILTER_TEXT)
+    return TRE.tree_rows(TRE.project_sessions(s, P.PROJECT_FILTER_TEXT))
 
 
 def lineage(spark, d):
@@ -262,7 +251,7 @@ def lineage_rows(spark, d):
 
 def search_window(spark, d):
     m, s = _mv(spark, d)
-    return SR.search_sessions_window(m, s, P.KW_ONE, limit=P.SEARCH_LIMIT)
+    return SR.search_sessions(m, s, P.KW_ONE, limit=None)
 
 
 def all_sessions(spark, d):
@@ -272,8 +261,7 @@ def all_sessions(spark, d):
 
 def recent_per_project(spark, d):
     _, s = _mv(spark, d)
-    listed = SS.list_sessions(s, limit=None)
-    return SS.top_per_group(listed, "directory",
+    return SS.top_per_group(SS.session_list(s), "directory",
                             [F.col("last_at").desc_nulls_last(), F.col("id")], P.PER_PROJECT_K)
 
 
@@ -299,18 +287,12 @@ def session_removal(spark, d):
 
 
 def daily_activity_raw(spark, d):
-    from chatlake.functions import time as TM
-    raw = _parsed_raw(spark, d).where(F.col("msg_type").isin("user", "assistant"))
-    return (raw.groupBy(TM.day_of_iso("ts").alias("day"))
-            .agg(F.count_distinct("session_id").alias("sessions"),
-                 F.count_if(F.col("msg_type") == "user").alias("user_msgs"),
-                 F.count_if(F.col("msg_type") == "assistant").alias("asst_turns"))
-            .orderBy("day"))
+    return US.raw_daily_activity(_parsed_raw(spark, d))
 
 
 def index_stats(spark, d):
     files, manifest = DV.files_view(spark, d), DV.manifest_view(spark, d)
-    sessions, _ = SZ.index_lines(DV.raw_view(spark, d))
+    sessions = SZ.index_sessions(DV.raw_view(spark, d))
     return INC.run_stats(files, INC.changed_files(files, manifest), sessions)
 
 
@@ -366,5 +348,3 @@ def queries() -> dict[str, Query]:
         "index_stats": index_stats,
     }
 
-
-__all__ = ["queries", "F"]

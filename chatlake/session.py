@@ -9,7 +9,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings the library relies on.  AQE re-plans joins and coalesces small
 # shuffle partitions at run time; its skew-join handling splits a hot
@@ -46,8 +46,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for lineage cuts.
 
     Read from the session (``spark.checkpoint.dir`` or the context's
-    checkpoint dir).  Only when neither is set - local tests - a scratch
-    folder is created and registered.
+    checkpoint dir).  Only with a local master and neither set - tests - a
+    scratch folder is created and registered; on a cluster that would be a
+    folder other machines cannot read, so it is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -55,6 +56,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if sc.master != "local" and not (sc.master or "").startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         conf_dir = tempfile.mkdtemp(prefix="chatlake-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
@@ -66,7 +69,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared checkpoint folder."""
-    base = checkpoint_dir(spark)
-    if base.startswith("file:"):
-        base = base[len("file:"):]
-    return os.path.join(base, f"{name}-{os.urandom(6).hex()}")
+    return os.path.join(checkpoint_dir(spark), f"{name}-{os.urandom(6).hex()}")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut lineage in the shared checkpoint folder: for results that are read more
+    than once and must not be computed again when an executor is lost."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

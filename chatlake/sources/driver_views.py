@@ -18,7 +18,7 @@ from chatlake.functions.text import NO_TITLE, normalize_title
 EPOCH_BASE_MS = 1704067200000      # 2024-01-01T00:00:00Z
 MS_PER_CONVERSATION = 7200000      # conversations start two hours apart
 MS_PER_TURN = 60000                # turns one minute apart
-ID_WIDTH = 8
+ID_WIDTH = 20                      # holds every BIGINT, so no id is cut
 MANIFEST_CUTOFF = "2024-01-15 00:00:00"
 
 
@@ -119,7 +119,7 @@ def raw_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conv.select(
         F.concat(F.lit("/projects/"), slug_of(directory), F.lit("/"), conv_key(cid), F.lit(".jsonl")).alias("path"),
         (F.lit(EPOCH_BASE_MS) + cid * MS_PER_CONVERSATION).alias("mtime_ms"),
-        (cid * 1000 + F.col("turn")).alias("line_no"),
+        F.col("turn").alias("line_no"),
         F.to_json(line).alias("value"))
 
 
@@ -175,7 +175,7 @@ def rel_session_view(sessions: DataFrame) -> DataFrame:
 
 def rel_message_view(messages: DataFrame) -> DataFrame:
     return messages.select(
-        F.concat("session_id", F.lit(":"), F.lpad(F.col("position").cast("string"), 4, "0")).alias("id"),
+        F.concat("session_id", F.lit(":"), F.lpad(F.col("position").cast("string"), ID_WIDTH, "0")).alias("id"),
         "session_id",
         F.to_json(F.struct(F.col("role").alias("role"))).alias("data"),
         F.col("timestamp_ms").alias("time_created"))
@@ -187,7 +187,7 @@ def rel_part_view(messages: DataFrame) -> DataFrame:
     exploded = messages.select(
         "session_id", "position", "timestamp_ms",
         F.posexplode(F.split("content", "\n")).alias("idx", "line"))
-    mid = F.concat("session_id", F.lit(":"), F.lpad(F.col("position").cast("string"), 4, "0"))
+    mid = F.concat("session_id", F.lit(":"), F.lpad(F.col("position").cast("string"), ID_WIDTH, "0"))
     ptype = F.when(F.col("idx") % 5 == 4, F.lit("reasoning")).otherwise(F.lit("text"))
     return exploded.select(
         F.concat(mid, F.lit(":"), F.col("idx").cast("string")).alias("id"),
@@ -197,9 +197,12 @@ def rel_part_view(messages: DataFrame) -> DataFrame:
         (F.col("timestamp_ms") + F.col("idx")).alias("time_created"))
 
 
-def relational_views(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``(session, message, part)`` of the relational store: the sessions whose
-    derived source is 'opencode' (so the two sources do not overlap)."""
+def relational_views(spark: SparkSession, sf_dir: str,
+                     own_sessions: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(session, message, part)`` of the relational store, over all
+    conversations.  ``own_sessions`` keeps those whose derived source is
+    'opencode', for queries that merge it with the other source."""
     m, s = views(spark, sf_dir)
-    oc = F.col("conv_id") % 4 == 0
-    return rel_session_view(s.where(oc)), rel_message_view(m.where(oc)), rel_part_view(m.where(oc))
+    if own_sessions:
+        m, s = (x.where(F.col("conv_id") % 4 == 0) for x in (m, s))
+    return rel_session_view(s), rel_message_view(m), rel_part_view(m)

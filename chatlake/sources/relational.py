@@ -51,29 +51,37 @@ def text_parts(rel_part: DataFrame, rel_message: DataFrame) -> DataFrame:
             .select("session_id", "role", "content", "mtime", "ptime", "part_id"))
 
 
-def index_relational(rel_session: DataFrame, rel_message: DataFrame,
-                     rel_part: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """SRC9: (session rows, message rows) of the relational store.
+def _indexed_parts(rel_session: DataFrame, rel_message: DataFrame, rel_part: DataFrame) -> DataFrame:
+    ids = session_rows(rel_session).select(F.col("id").alias("session_id"))
+    return text_parts(rel_part, rel_message).join(ids, "session_id", "left_semi")
+
+
+def relational_sessions(rel_session: DataFrame, rel_message: DataFrame, rel_part: DataFrame) -> DataFrame:
+    """SRC9: session rows of the relational store.
 
     Sessions without a text part are skipped (inner join), the user count
-    comes from the parts, times from the session row; no model or tokens.
+    comes from the parts, times from the session row.
     """
-    sessions = session_rows(rel_session)
-    parts = text_parts(rel_part, rel_message).join(
-        sessions.select(F.col("id").alias("session_id")), "session_id", "left_semi")
-    counts = parts.groupBy("session_id").agg(
+    counts = _indexed_parts(rel_session, rel_message, rel_part).groupBy("session_id").agg(
         F.count_if(F.col("role") == "user").cast("int").alias("message_count"))
-    srows = sessions.join(counts.withColumnRenamed("session_id", "id"), "id").select(
+    return session_rows(rel_session).join(counts.withColumnRenamed("session_id", "id"), "id").select(
         "id", F.lit(SOURCE).alias("source"), "directory", F.lit(None).cast("string").alias("branch"),
         "title", "parent_id", F.col("time_created").alias("started_at"),
-        F.col("time_updated").alias("last_at"), "message_count")
-    ordered = sequence_within(parts, "session_id", ["mtime", "ptime", "part_id"])
-    mrows = ordered.select(
+        F.col("time_updated").alias("last_at"), "message_count").select(*SC.SESSION_COLS)
+
+
+def relational_messages(rel_session: DataFrame, rel_message: DataFrame, rel_part: DataFrame) -> DataFrame:
+    """SRC9: message rows of the relational store; no model or tokens."""
+    parts = _indexed_parts(rel_session, rel_message, rel_part)
+    # a minute of message time is a slice; parts without one are cut by part time
+    minute = F.struct(F.col("mtime").isNull().alias("no_time"), F.coalesce(
+        F.floor(F.col("mtime") / 60000), F.floor(F.col("ptime") / 60000), F.lit(0)).alias("minute"))
+    ordered = sequence_within(parts, "session_id", minute, [F.col("mtime").asc_nulls_last(), "ptime", "part_id"])
+    return ordered.select(
         "session_id", "role", TX.strip_nul("content").alias("content"),
         F.col("mtime").alias("timestamp_ms"), "position",
         F.lit(None).cast("string").alias("model"),
-        *[F.lit(0).cast("bigint").alias(c) for c in ("output_tokens", "cache_read", "cache_write")])
-    return srows.select(*SC.SESSION_COLS), mrows.select(*SC.MESSAGE_COLS)
+        *[F.lit(0).cast("bigint").alias(c) for c in ("output_tokens", "cache_read", "cache_write")]).select(*SC.MESSAGE_COLS)
 
 
 def list_roots_with_counts(rel_session: DataFrame, rel_message: DataFrame) -> DataFrame:
@@ -101,7 +109,8 @@ def first_hits(rel_session: DataFrame, rel_message: DataFrame, rel_part: DataFra
         F.col("id").alias("session_id"), "directory",
         F.coalesce(F.nullif(F.col("title"), F.lit("")), F.col("slug")).alias("title"),
         "time_created", "time_updated")
-    p = rel_part.select("session_id", "message_id", F.col("time_created").alias("ptime"),
+    p = rel_part.select("session_id", "message_id", F.col("id").alias("part_id"),
+                        F.col("time_created").alias("ptime"),
                         F.get_json_object("data", "$.type").alias("ptype"),
                         F.get_json_object("data", "$.text").alias("text"))
     m = rel_message.select(F.col("id").alias("message_id"),
@@ -109,9 +118,9 @@ def first_hits(rel_session: DataFrame, rel_message: DataFrame, rel_part: DataFra
                            F.col("time_created").alias("hit_time"))
     hits = (p.where((F.col("ptype") == "text") & TX.any_keyword("text", keywords))
             .join(m, "message_id")
-            .select("session_id", "hit_role", "hit_time", "ptime",
+            .select("session_id", "hit_role", "hit_time", "ptime", "part_id",
                     TX.snippet("text").alias("snippet")))
-    first = dedupe_first(hits, "session_id", ["hit_time", "ptime"])
+    first = dedupe_first(hits, "session_id", ["hit_time", "ptime", "part_id"]).drop("part_id")
     return first.join(roots, "session_id").select(
         "session_id", "directory", "title", "time_created", "time_updated",
         "snippet", "hit_role", "hit_time")

@@ -1,8 +1,8 @@
 """Line-delimited JSON transcripts (SRC1-5, SRC11, SRC12).
 
-``scan_lines`` reads every ``*.jsonl`` under a root (or an explicit list of
-changed files) with the text source: one row per line, plus the file path
-and modification time from the ``_metadata`` column.  ``parse_lines`` turns
+``scan_lines`` reads the ``*.jsonl`` files of every project directory under a
+root (or the changed ones among them) with the text source: one row per line,
+plus the file path and modification time from the ``_metadata`` column.  ``parse_lines`` turns
 each line into typed columns with one ``from_json`` against a fixed schema
 (no inference, no per-path re-parsing).  Bad JSON, blank and over-long
 lines give NULL fields instead of failing the job; ``line_rejects`` counts
@@ -11,7 +11,9 @@ them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatlake import schema as SC
@@ -23,35 +25,64 @@ MAX_LINE_CHARS = 10_000_000      # longest line the reference accepts
 USABLE_TYPES = ("user", "assistant")
 
 
-def scan_lines(spark: SparkSession, root: str | list[str], glob: str = "*.jsonl") -> DataFrame:
-    """SRC1: ``(path, mtime_ms, line_no, value)``.
+def _plain(path: Column) -> Column:
+    """A file URI as a plain path: percent-decoded, one slash after the scheme."""
+    decoded = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+    return F.regexp_replace(decoded, "^([A-Za-z][A-Za-z0-9+.-]*):/+", "$1:/")
+
+
+def _literal(path: str) -> str:
+    """``path`` with the characters that Spark reads as a pattern escaped."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
+def _root_uri(spark: SparkSession, root: str) -> str:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    uri = fs.makeQualified(hadoop).toString().rstrip("/")
+    return re.sub(r"^([A-Za-z][A-Za-z0-9+.-]*):/+", r"\1:/", uri)
+
+
+def _one_level(path: Column, root: str) -> Column:
+    """True for ``<root>/<project>/<file>`` and nothing deeper (SRC4)."""
+    return F.regexp_extract(path, "(?s)^(.*)/[^/]+/[^/]+$", 1) == F.lit(root)
+
+
+def scan_lines(spark: SparkSession, root: str, glob: str = "*.jsonl", only: list[str] | None = None) -> DataFrame:
+    """SRC1: ``(path, mtime_ms, line_no, value)`` of ``<root>/<project>/<glob>``.
 
+    ``only`` restricts the scan to files by their ``uri`` (see ``list_files``);
+    the predicate is on a file's metadata, so other files are not opened.
     ``line_no`` rises with the line's offset inside a file split; it is only
     a tie-break for equal timestamps.
     """
-    reader = spark.read.option("pathGlobFilter", glob)
-    if isinstance(root, str):
-        reader = reader.option("recursiveFileLookup", True)
-    df = reader.text(root)
-    return df.select(
-        F.col("_metadata.file_path").alias("path"),
+    df = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", True).text(_literal(root))
+    uri = F.col("_metadata.file_path")
+    if only is not None:
+        df = df.where(uri.isin(only))
+    df = df.select(
+        uri.alias("uri"),
         F.unix_millis(F.col("_metadata.file_modification_time")).alias("mtime_ms"),
         F.monotonically_increasing_id().alias("line_no"),
         "value")
+    return df.select(_plain(F.col("uri")).alias("path"), "mtime_ms", "line_no", "value").where(
+        _one_level(F.col("path"), _root_uri(spark, root)))
 
 
 def list_files(spark: SparkSession, root: str, glob: str = "*.jsonl") -> DataFrame:
-    """SRC4: ``(path, mtime_ms, size, slug, directory)`` without reading content.
+    """SRC4: ``(path, uri, mtime_ms, size, slug, directory)`` without reading content.
 
     ``binaryFile`` with only metadata columns selected prunes ``content``
     from the read schema.
     """
     df = (spark.read.format("binaryFile").option("pathGlobFilter", glob)
-          .option("recursiveFileLookup", True).load(root))
-    return df.select(F.col("path"), F.unix_millis("modificationTime").alias("mtime_ms"),
-                     F.col("length").alias("size"),
-                     slug_of_path("path").alias("slug"),
-                     directory_of_path("path").alias("directory"))
+          .option("recursiveFileLookup", True).load(_literal(root)))
+    uri = F.col("_metadata.file_path")
+    return df.select(_plain(uri).alias("path"), uri.alias("uri"),
+                     F.unix_millis("modificationTime").alias("mtime_ms"),
+                     F.col("length").alias("size")).where(
+        _one_level(F.col("path"), _root_uri(spark, root))).select(
+        "*", slug_of_path("path").alias("slug"), directory_of_path("path").alias("directory"))
 
 
 def slug_of_path(path_col) -> F.Column:
@@ -60,14 +91,18 @@ def slug_of_path(path_col) -> F.Column:
     return F.element_at(F.split(p, "/"), -2)
 
 
-def slug_to_directory(slug_col) -> F.Column:
-    """SRC5 (S15): every '-' becomes '/'."""
+def slug_to_directory(slug_col, slug_map: dict[str, str] | None = None) -> F.Column:
+    """SRC5 (S15): every '-' becomes '/', unless ``slug_map`` names the directory."""
     s = F.col(slug_col) if isinstance(slug_col, str) else slug_col
-    return F.regexp_replace(s, "-", "/")
+    out = F.regexp_replace(s, "-", "/")
+    if slug_map:
+        known = F.create_map(*[F.lit(x) for kv in slug_map.items() for x in kv])
+        out = F.coalesce(F.try_element_at(known, s), out)
+    return out
 
 
-def directory_of_path(path_col) -> F.Column:
-    return slug_to_directory(slug_of_path(path_col))
+def directory_of_path(path_col, slug_map: dict[str, str] | None = None) -> F.Column:
+    return slug_to_directory(slug_of_path(path_col), slug_map)
 
 
 def parse_lines(lines: DataFrame, max_line_chars: int = MAX_LINE_CHARS) -> DataFrame:

@@ -4,32 +4,38 @@ Layout under ``root`` (any Hadoop path: a shared folder, HDFS, object store)::
 
     session/v=<n>/            full snapshot (one row per session: small)
     manifest/v=<n>/           full snapshot (one row per file: small)
+    session_file/v=<n>/       which sessions each file holds (small)
     message/v=<n>/bucket=<b>/ only the buckets rewritten by run n
-    _pointer/v=<n>/           one small JSON file: table versions and, per
-                              message bucket, the run that last wrote it
+    _pointer/v=<n>/           one small JSON file: table versions, the number of
+                              buckets and, per bucket, the run that last wrote it
 
 A run writes its new files first and the pointer last; readers follow the
 newest pointer.  A crash before the pointer leaves the previous state
 readable and the next run redoes the work (it is idempotent).  Messages are
-bucketed by ``pmod(xxhash64(session_id), buckets)`` and sorted by
-``(session_id, position)`` inside each bucket, so a run that touches a few
-sessions rewrites a few buckets, and reads of one session skip most row
-groups by min/max statistics.
+bucketed by ``pmod(xxhash64(session_id), buckets)``; ``bucket`` is a partition
+column, so a run that touches a few sessions reads and rewrites their buckets
+only.  The number of buckets is that of the first run and stays.  Within a
+bucket files are cut by ranges of ``(session_id, position)``, so a bucket is
+written by several tasks and reads of one session skip most row groups.
 """
 
 from __future__ import annotations
 
 import json
 import time
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chatlake import schema as SC
-from chatlake.session import checkpoint_dir
+from chatlake.session import checkpointed
 from chatlake.store import incremental as INC
 
 DEFAULT_BUCKETS = 64
+MAX_LISTED = 10_000   # paths that go into a scan's file filter as a list
+SESSION_FILE = T.StructType([T.StructField("session_id", T.StringType()), T.StructField("path", T.StringType())])
 
 
 def bucket_of(col: str, buckets: int) -> F.Column:
@@ -38,7 +44,13 @@ def bucket_of(col: str, buckets: int) -> F.Column:
 
 class TableSet:
     def __init__(self, spark: SparkSession, root: str, buckets: int = DEFAULT_BUCKETS):
-        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
+        """``buckets`` counts for a new store; an existing one keeps its own."""
+        self.spark, self.root, self._new_buckets = spark, root.rstrip("/"), buckets
+
+    @property
+    def buckets(self) -> int:
+        st = self.pointer()
+        return st["n_buckets"] if st else self._new_buckets
 
     # ---- pointer ----------------------------------------------------------
 
@@ -86,79 +98,206 @@ class TableSet:
             return INC.empty(self.spark, SC.MANIFEST)
         return self.spark.read.schema(SC.MANIFEST).parquet(f"{self.root}/manifest/v={st['manifest']}")
 
-    def messages(self) -> DataFrame:
+    def session_files(self) -> DataFrame:
+        """``(session_id, path)``: the files that hold each session's lines."""
+        st = self.pointer()
+        if st is None:
+            return INC.empty(self.spark, SESSION_FILE)
+        return self.spark.read.schema(SESSION_FILE).parquet(f"{self.root}/session_file/v={st['session']}")
+
+    def messages(self, buckets: list[int] | None = None) -> DataFrame:
+        """All messages, or those of some buckets (other buckets' files are not read)."""
         st = self.pointer()
-        if st is None or not st["buckets"]:
+        at = {} if st is None else {int(b): v for b, v in st["buckets"].items()}
+        paths = [f"{self.root}/message/v={at[b]}/bucket={b}" for b in sorted(at) if buckets is None or b in set(buckets)]
+        if not paths:
             return INC.empty(self.spark, SC.MESSAGE)
-        paths = [f"{self.root}/message/v={v}/bucket={b}" for b, v in sorted(st["buckets"].items())]
         return self.spark.read.schema(SC.MESSAGE).parquet(*paths)
 
+    def session_messages(self, session_ids: list[str]) -> DataFrame:
+        """Messages of the given sessions; only their buckets are read."""
+        n = self.buckets
+        ids = self.spark.createDataFrame([(i,) for i in session_ids], "id string")
+        want = [r["b"] for r in ids.select(bucket_of("id", n).alias("b")).distinct().collect()]
+        return self.messages(want).where(F.col("session_id").isin(session_ids))
+
     # ---- commit -----------------------------------------------------------
 
-    def commit(self, new_sessions: DataFrame, new_messages: DataFrame,
-               new_manifest: DataFrame) -> int:
-        """Upsert sessions, replace touched sessions' messages, replace manifest."""
-        st = self.pointer() or {"version": 0, "session": None, "manifest": None, "buckets": {}}
-        v = st["version"] + 1
-        old_sessions = self.sessions()
-        sessions = INC.upsert(old_sessions, new_sessions.select(*SC.SESSION_COLS), "id")
+    def commit(self, new_sessions: DataFrame, new_messages: DataFrame, new_manifest: DataFrame,
+               new_session_files: DataFrame | None = None, removed: DataFrame | None = None) -> int:
+        """Upsert sessions, replace touched sessions' messages, replace the
+        manifest and drop ``removed`` sessions (column id)."""
+        st = self.pointer() or {"version": 0, "buckets": {}, "n_buckets": self._new_buckets}
+        v, n = st["version"] + 1, st["n_buckets"]
+        gone = INC.empty(self.spark, SC.SESSION).select("id") if removed is None else removed.select("id").distinct()
+        sessions = INC.upsert(INC.remove_keys(self.sessions(), gone, "id"), new_sessions.select(*SC.SESSION_COLS), "id")
         sessions.write.mode("overwrite").parquet(f"{self.root}/session/v={v}")
+        held = INC.remove_keys(self.session_files(), gone, "session_id", "id")
+        if new_session_files is not None:
+            held = INC.replace_groups(held, new_session_files.select("session_id", "path").distinct(), "session_id")
+        held.write.mode("overwrite").parquet(f"{self.root}/session_file/v={v}")
 
-        touched_ids = new_sessions.select("id").distinct()
-        tb = touched_ids.select(bucket_of("id", self.buckets).alias("bucket")).distinct()
+        touched_ids = new_sessions.select("id").unionByName(gone)
+        tb = touched_ids.select(bucket_of("id", n).alias("bucket")).distinct()
         # bounded by the bucket count, so it can come to the driver
         touched = sorted(r["bucket"] for r in tb.collect())
         buckets = dict(st["buckets"])
         if touched:
-            old = self.messages().withColumn("bucket", bucket_of("session_id", self.buckets)) \
-                .where(F.col("bucket").isin(touched))
-            new = new_messages.select(*SC.MESSAGE_COLS) \
-                .withColumn("bucket", bucket_of("session_id", self.buckets))
-            merged = INC.replace_groups(old.drop("bucket"), new.drop("bucket"), "session_id") \
-                .withColumn("bucket", bucket_of("session_id", self.buckets))
-            (merged.repartition(len(touched), "bucket")
-             .sortWithinPartitions("session_id", "position")
+            old = INC.remove_keys(self.messages(touched), gone, "session_id", "id")
+            merged = INC.replace_groups(old, new_messages.select(*SC.MESSAGE_COLS), "session_id") \
+                .withColumn("bucket", bucket_of("session_id", n))
+            tasks = max(len(touched), int(self.spark.conf.get("spark.sql.shuffle.partitions", "200")))
+            (merged.repartitionByRange(tasks, "bucket", "session_id", "position")
+             .sortWithinPartitions("bucket", "session_id", "position")
              .write.mode("overwrite").partitionBy("bucket")
              .parquet(f"{self.root}/message/v={v}"))
+            fs, p = self._fs(f"{self.root}/message/v={v}")
+            written = {int(x.getPath().getName()[7:]) for x in fs.listStatus(p) if x.getPath().getName().startswith("bucket=")}
             for b in touched:
-                buckets[str(b)] = v
+                buckets.pop(str(b), None)      # a bucket may have become empty
+                if b in written:
+                    buckets[str(b)] = v
         new_manifest.select(*[c for c in SC.MANIFEST_COLS if c in new_manifest.columns]) \
             .withColumn("indexed_at", F.current_timestamp()) \
             .write.mode("overwrite").parquet(f"{self.root}/manifest/v={v}")
-        self._write_pointer(v, {"version": v, "session": v, "manifest": v, "buckets": buckets,
+        self._write_pointer(v, {"version": v, "session": v, "manifest": v, "n_buckets": n, "buckets": buckets,
                                 "committed_ms": int(time.time() * 1000)})
         return v
 
+    def remove_sessions(self, ids: DataFrame) -> int:
+        """SNK4 on the stored tables: delete sessions (column id) and their messages."""
+        return self.commit(INC.empty(self.spark, SC.SESSION), INC.empty(self.spark, SC.MESSAGE),
+                           self.manifest(), removed=checkpointed(ids.select("id").distinct()))
+
+    def vacuum(self, keep: int = 2) -> list[str]:
+        """Delete the files of versions that the last ``keep`` pointers don't name."""
+        versions = self._versions()
+        live, used = versions[-keep:], set()
+        for v in live:
+            state = json.loads(self.spark.read.json(f"{self.root}/_pointer/v={v}").first()["state"])
+            used |= {f"session/v={state['session']}", f"session_file/v={state['session']}",
+                     f"manifest/v={state['manifest']}", f"_pointer/v={v}"}
+            used |= {f"message/v={w}/bucket={b}" for b, w in state["buckets"].items()}
+        newest, out = max(versions, default=0), []
+        for table in ("session", "session_file", "manifest", "_pointer", "message"):
+            fs, p = self._fs(f"{self.root}/{table}")
+            for st in fs.listStatus(p) if fs.exists(p) else []:
+                name = st.getPath().getName()
+                if not name.startswith("v=") or int(name[2:]) > newest:
+                    continue               # a later run may be writing it
+                inner = fs.listStatus(st.getPath()) if table == "message" else [st]
+                for x in inner:
+                    rel = f"{table}/{name}" + (f"/{x.getPath().getName()}" if table == "message" else "")
+                    if (table != "message" or "bucket=" in rel) and rel not in used:
+                        fs.delete(x.getPath(), True)
+                        out.append(rel)
+        return sorted(out)
+
+
+@dataclass
+class RelationalStore:
+    """A relational session store as three DataFrames.  ``name`` stands for it
+    in the manifest; its modification time is its newest row's."""
 
-def run_index(spark: SparkSession, transcripts_root: str, store: TableSet,
-              force: bool = False, merge_files: bool = False) -> dict:
-    """SNK10: one incremental run; returns ``IndexStats``-like counts."""
-    from chatlake.operators.sessionize import index_lines
-    from chatlake.sources.transcripts import list_files, scan_lines
+    session: DataFrame
+    message: DataFrame
+    part: DataFrame
+    name: str = "relational-store"
+
+    def listed(self) -> DataFrame:
+        spark = self.session.sparkSession
+        times = [self.session.select(F.max("time_updated").alias("t")), self.session.select(F.max("time_archived").alias("t")),
+                 self.part.select(F.max("time_created").alias("t"))]
+        newest = max((r["t"] for df in times for r in df.collect() if r["t"] is not None), default=0)  # three rows
+        return spark.createDataFrame([(self.name, int(newest))], "path string, mtime_ms long")
+
+
+def _listed_uris(files: DataFrame, paths: DataFrame) -> list[str] | None:
+    """URIs of the given paths, or None where they are so many that the scan
+    should filter by a join instead of a list."""
+    rows = files.join(paths, "path", "left_semi").select("uri").limit(MAX_LISTED + 1).collect()
+    return None if len(rows) > MAX_LISTED else [r["uri"] for r in rows]
+
+
+def run_index(spark: SparkSession, transcripts_root: str | None, store: TableSet, force: bool = False,
+              merge_files: bool = False, relational: RelationalStore | None = None, purge: bool = False,
+              glob: str = "*.jsonl") -> dict:
+    """SNK10: one incremental run over both sources; returns counts and the
+    lines rejected by reason.
+
+    Files that hold a session of a changed file are read along with it, so a
+    session in several files comes out as in a full run.  ``force`` reads
+    everything again, the relational store too.  ``purge`` drops the sessions
+    of which no file is listed any more.
+    """
+    from chatlake.operators.sessionize import assign_positions, older_files, sessionize
+    from chatlake.sources import relational as RL
+    from chatlake.sources import transcripts as TR
 
     t0 = time.time()
-    files = list_files(spark, transcripts_root)
     manifest = store.manifest()
-    changed = INC.changed_files(files, manifest, force)
-    # the changed paths feed the text reader; Spark's own file index already
-    # holds every listed path on the driver, so this is no larger than that
-    paths = [r["path"] for r in changed.select("path").collect()]
-    files_checked = files.count()
-    sessions_indexed = 0
-    if paths:
-        lines = scan_lines(spark, paths)
-        new_sessions, new_messages = index_lines(lines, merge_files=merge_files)
-        # cut lineage in the shared checkpoint folder: the commit reads these
-        # twice and an executor loss must not re-parse every changed file
-        checkpoint_dir(spark)
-        new_sessions = new_sessions.checkpoint(eager=True)
-        new_messages = new_messages.checkpoint(eager=True)
-        sessions_indexed = new_sessions.count()
+    if transcripts_root:
+        files = checkpointed(TR.list_files(spark, transcripts_root, glob))
     else:
-        new_sessions = INC.empty(spark, SC.SESSION)
-        new_messages = INC.empty(spark, SC.MESSAGE)
-    if paths or not INC.stale_files(manifest, files).isEmpty():
-        nm = INC.next_manifest(manifest, files, changed)
-        store.commit(new_sessions, new_messages, nm)
-    return {"files_checked": files_checked, "files_indexed": len(paths),
-            "sessions_indexed": sessions_indexed, "elapsed_ms": int((time.time() - t0) * 1000)}
+        files = spark.createDataFrame([], "path string, uri string, mtime_ms long")
+    listed = files.select("path", "mtime_ms")
+    extra = relational.listed() if relational else None
+    if extra is not None:
+        listed = listed.unionByName(extra)
+    changed = checkpointed(INC.changed_files(listed, manifest, force))
+    n_changed = changed.count()
+    texts = changed.select("path").join(files.select("path"), "path", "left_semi")
+    sessions, messages = INC.empty(spark, SC.SESSION), INC.empty(spark, SC.MESSAGE)
+    held, rejects, removed = None, {}, None
+    if not texts.isEmpty():
+        lines = lambda p: _scan(spark, transcripts_root, files, p, glob)
+        parsed = TR.parse_lines(lines(texts))
+        rejects = {r["reject"]: r["lines"] for r in TR.line_rejects(parsed).collect()}   # three reasons
+        # files of the touched sessions that did not change themselves
+        known = store.session_files()
+        touched = TR.usable(parsed).select("session_id").unionByName(
+            known.join(texts, "path", "left_semi").select("session_id")).distinct()
+        siblings = checkpointed(known.join(touched, "session_id", "left_semi").select("path").distinct()
+                                .join(texts, "path", "left_anti").join(files.select("path"), "path", "left_semi"))
+        if not siblings.isEmpty():
+            mine = touched.withColumnRenamed("session_id", "_touched")
+            more = TR.parse_lines(lines(siblings))
+            parsed = parsed.unionByName(more.join(mine, F.col("session_id") == F.col("_touched"), "left_semi"))
+        msgs = TR.clean(TR.usable(parsed)).withColumn("directory", TR.directory_of_path("path"))
+        held = checkpointed(msgs.select("session_id", "path").distinct())
+        if not merge_files:
+            older = checkpointed(older_files(msgs))
+            n = older.count()
+            if n:
+                msgs = msgs.join(F.broadcast(older) if n <= MAX_LISTED else older, ["session_id", "path"], "left_anti")
+        sessions = checkpointed(sessionize(msgs))
+        messages = checkpointed(assign_positions(msgs).select(*SC.MESSAGE_COLS))
+    if extra is not None and not changed.join(extra, "path", "left_semi").isEmpty():
+        rel = (relational.session, relational.message, relational.part)
+        sessions = sessions.unionByName(checkpointed(RL.relational_sessions(*rel)))
+        messages = messages.unionByName(checkpointed(RL.relational_messages(*rel)))
+    if purge:
+        alive = (store.session_files() if held is None else
+                 INC.replace_groups(store.session_files(), held, "session_id")).join(listed.select("path"), "path", "left_semi")
+        removed = checkpointed(store.session_files().select(F.col("session_id").alias("id")).distinct().join(
+            alive.select(F.col("session_id").alias("id")).distinct(), "id", "left_anti"))
+    # a manifest row of the other source is none of this run's business
+    manifest_in = manifest if relational else manifest.where(F.col("source") != RL.SOURCE)
+    kept = None if relational else manifest.where(F.col("source") == RL.SOURCE).select("path", "source", "mtime_ms")
+    if n_changed or not INC.stale_files(manifest_in, listed).isEmpty() or (removed is not None and not removed.isEmpty()):
+        nm = INC.next_manifest(manifest_in, listed, changed)
+        if relational:
+            nm = nm.withColumn("source", F.when(F.col("path") == relational.name, F.lit(RL.SOURCE)).otherwise(F.col("source")))
+        if kept is not None:
+            nm = nm.unionByName(kept)
+        store.commit(sessions, messages, nm, held, removed)
+    return {"files_checked": listed.count(), "files_indexed": n_changed, "sessions_indexed": sessions.count(),
+            "lines_rejected": rejects, "elapsed_ms": int((time.time() - t0) * 1000)}
+
+
+def _scan(spark: SparkSession, root: str, files: DataFrame, paths: DataFrame, glob: str) -> DataFrame:
+    from chatlake.sources.transcripts import scan_lines
+
+    only = _listed_uris(files, paths)
+    lines = scan_lines(spark, root, glob, only)
+    return lines if only is not None else lines.join(paths, "path", "left_semi")

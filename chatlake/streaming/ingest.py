@@ -34,15 +34,15 @@ def transcript_stream(spark: SparkSession, root: str, glob: str = "*.jsonl",
 
 def upsert_batch(store: TableSet):
     """``foreachBatch`` callback: index the batch's lines and commit them."""
-    from chatlake.operators.sessionize import index_lines
+    from chatlake.operators.sessionize import index_messages, index_sessions
     from chatlake.store import incremental as INC
 
     def run(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
         batch = batch.withColumn("line_no", F.monotonically_increasing_id())
-        sessions, messages = index_lines(batch)
-        sessions, messages = sessions.checkpoint(eager=True), messages.checkpoint(eager=True)
+        sessions = index_sessions(batch).checkpoint(eager=True)
+        messages = index_messages(batch).checkpoint(eager=True)
         files = batch.groupBy("path").agg(F.max("mtime_ms").alias("mtime_ms"))
         manifest = INC.upsert(store.manifest().select("path", "source", "mtime_ms"),
                               files.select("path", F.lit("claude-code").alias("source"), "mtime_ms"),

@@ -52,12 +52,30 @@ def test_lineage_deep_chain_cycle_orphan(spark):
     assert lasts["f4"] and not lasts["f3"] and not lasts["r1"]
 
 
+def test_missing_times_sort_last_in_every_view(spark):
+    """In the tree, the lineage and the flat list."""
+    rows = [("a", "/d/p", None, 5, None), ("z", "/d/p", None, 5, 50), ("q", "/d/none", None, None, None)]
+    df = spark.createDataFrame(rows, "id string, directory string, parent_id string, started_at long, last_at long")
+    df = df.withColumn("branch", F.lit(None).cast("string")).withColumn("title", F.col("id")).withColumn("message_count", F.lit(1))
+    for rows in (TRE.tree_rows(df), TRE.lineage_rows(df)):
+        assert [r["session_id"] or r["directory"] for r in rows.collect()] == ["/d/p", "z", "a", "/d/none", "q"]
+    assert [r["session_id"] for r in TRE.flat_rows(df).collect()][0] == "z"
+
+
+def test_lineage_gives_up_loudly(spark):
+    import pytest
+    rows = [(f"n{i:02d}", "/d", f"n{i - 1:02d}" if i else None, i, i) for i in range(20)]
+    df = spark.createDataFrame(rows, "id string, directory string, parent_id string, started_at long, last_at long")
+    with pytest.raises(RuntimeError):
+        TRE.lineage(df, max_rounds=1)
+
+
 def test_sequence_within_hot_key(spark):
     hot = spark.range(0, 20000).select(F.lit("hot").alias("k"), (F.col("id") * 7 % 20000).alias("o"))
     cold = spark.range(0, 3000).select(F.concat(F.lit("c"), (F.col("id") % 300).cast("string")).alias("k"),
                                        F.col("id").alias("o"))
     df = hot.unionByName(cold)
-    got = sequence_within(df, "k", ["o"], slices=16)
+    got = sequence_within(df, "k", F.floor(F.col("o") / 1000), ["o"])
     want = df.withColumn("position", (F.row_number().over(Window.partitionBy("k").orderBy("o")) - 1).cast("int"))
     diff = got.select("k", "o", "position").exceptAll(want.select("k", "o", "position"))
     assert diff.count() == 0

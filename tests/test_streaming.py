@@ -3,7 +3,7 @@
 import os
 
 from pyspark.sql import functions as F
-from test_transcripts import BASIC, write_project
+from test_transcripts import GARDEN, WIND, write_project
 
 from chatlake.operators.usage import merge_daily
 from chatlake.sources import transcripts as TR
@@ -14,21 +14,21 @@ from chatlake.streaming import rollups as STR
 
 def test_stream_ingest_available_now(spark, tmpdir_fresh):
     src = os.path.join(tmpdir_fresh, "drops")
-    write_project(src, "-p-one", "a.jsonl", BASIC[:4])
+    write_project(src, "-p-one", "a.jsonl", GARDEN[:5])
     store = TableSet(spark, os.path.join(tmpdir_fresh, "index"), buckets=4)
     q = STI.start_ingest(spark, os.path.join(src, "*"), store, os.path.join(tmpdir_fresh, "ck"))
     q.awaitTermination(120)
     assert store.sessions().count() == 1
-    write_project(src, "-p-two", "b.jsonl", BASIC[4:])
+    write_project(src, "-p-two", "b.jsonl", GARDEN[5:])
     q = STI.start_ingest(spark, os.path.join(src, "*"), store, os.path.join(tmpdir_fresh, "ck"))
     q.awaitTermination(120)
     assert store.sessions().count() == 2
-    assert store.messages().count() == 6
+    assert store.messages().count() == 7
 
 
 def test_session_day_stream_exact(spark, tmpdir_fresh):
     src = os.path.join(tmpdir_fresh, "drops")
-    write_project(src, "-p-one", "a.jsonl", BASIC)
+    write_project(src, "-p-one", "a.jsonl", GARDEN)
     lines = STI.transcript_stream(spark, os.path.join(src, "*"))
     msgs = TR.clean(TR.usable(TR.parse_lines(lines)))
     out = os.path.join(tmpdir_fresh, "pairs")
@@ -36,22 +36,22 @@ def test_session_day_stream_exact(spark, tmpdir_fresh):
          .option("path", out).option("checkpointLocation", os.path.join(tmpdir_fresh, "ck2"))
          .outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination(120)
-    # the watermark closes 2026-03-10 once 2026-03-11 rows arrive; the last
+    # the watermark closes 2025-11-02 once 2025-12-24 rows arrive; the last
     # day stays open until later data moves the watermark past it
     pairs = spark.read.parquet(out)
     daily = {r["day"]: (r["sessions"], r["user_msgs"], r["asst_turns"]) for r in merge_daily(pairs).collect()}
-    assert daily.get("2026-03-10") == (1, 2, 2)
+    assert daily.get("2025-11-02") == (1, 3, 2)
 
 
 def test_summary_stream_memory(spark, tmpdir_fresh):
     src = os.path.join(tmpdir_fresh, "drops")
-    write_project(src, "-p-one", "a.jsonl", BASIC)
+    write_project(src, "-p-one", "a.jsonl", GARDEN)
     lines = STI.transcript_stream(spark, os.path.join(src, "*"))
     msgs = TR.clean(TR.usable(TR.parse_lines(lines))).withColumn("directory", TR.directory_of_path("path"))
     q = (STR.session_summary_stream(msgs).writeStream.format("memory").queryName("summ")
          .outputMode("update").trigger(availableNow=True).start())
     q.awaitTermination(120)
     rows = {r["session_id"]: r for r in spark.sql("select * from summ").collect()}
-    assert rows["aaa11111-0000-0000-0000-000000000001"]["message_count"] == 2
-    assert "refactor" in rows["aaa11111-0000-0000-0000-000000000001"]["_title"]
+    assert rows[WIND]["message_count"] == 3
+    assert "tulip" in rows[WIND]["_title"]
     assert F is not None

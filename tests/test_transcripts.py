@@ -1,5 +1,5 @@
-"""Transcript lines of the reference's fixture shape (our own lines), the
-checks its tests assert, and the edge cases of the semantics ledger."""
+"""Transcript lines: a small fixture of our own and the edge cases of the
+semantics ledger."""
 
 import json
 import os
@@ -9,12 +9,11 @@ from pyspark.sql import functions as F
 from chatlake.operators import search as SR
 from chatlake.operators import sessions as SS
 from chatlake.operators import usage as US
-from chatlake.operators.sessionize import index_lines
+from chatlake.operators.sessionize import index_messages, index_sessions
 from chatlake.sources import transcripts as TR
 
-A = "aaa11111-0000-0000-0000-000000000001"
-B = "bbb22222-0000-0000-0000-000000000002"
-MODEL = "test-model-1"
+RAIN, WIND = "rain-0007", "wind-0042"
+MODEL = "m-small"
 
 
 def line(t, sid, ts, branch, role, content, model=None, usage=None, **extra):
@@ -32,16 +31,15 @@ def usage(o, r, w):
     return {"output_tokens": o, "cache_read_input_tokens": r, "cache_creation_input_tokens": w}
 
 
-BASIC = [
-    line("user", A, "2026-03-10T10:00:00Z", "main", "user", "Please refactor the auth module for me"),
-    line("assistant", A, "2026-03-10T10:01:00Z", "main", "assistant",
-         "Looking at the auth module layout now.", MODEL, usage(150, 5000, 200)),
-    line("user", A, "2026-03-10T10:02:00Z", "main", "user", "Keep the middleware simple, token checks too."),
-    line("assistant", A, "2026-03-10T10:03:00Z", "main", "assistant",
-         "Token checks live in auth/middleware.ts; here is a shorter one.", MODEL, usage(300, 8000, 100)),
-    line("user", B, "2026-03-11T14:00:00Z", "feature/api", "user", "Add pagination to the /users endpoint"),
-    line("assistant", B, "2026-03-11T14:01:00Z", "feature/api", "assistant",
-         "Adding cursor pagination to users.", MODEL, usage(200, 3000, 150)),
+GARDEN = [
+    line("user", WIND, "2025-11-02T06:15:20Z", "south-bed", "user", "How deep do tulip bulbs go?"),
+    line("assistant", WIND, "2025-11-02T06:15:41Z", "south-bed", "assistant",
+         "About three times their height; see notes/bulbs.md.", MODEL, usage(41, 1200, 9)),
+    line("user", WIND, "2025-11-02T06:20:00Z", "south-bed", "user", "And how far apart?"),
+    line("assistant", WIND, "2025-11-02T06:20:30Z", "south-bed", "assistant", "A hand's width.", MODEL, usage(77, 0, 31)),
+    line("user", WIND, "2025-11-02T07:00:00Z", "south-bed", "user", "Thanks, that covers the tulips."),
+    line("assistant", RAIN, "2025-12-24T18:00:05Z", "north", "assistant", "The barrel is full again.", MODEL, usage(5, 640, 0)),
+    line("user", RAIN, "2025-12-24T18:00:00Z", "north", "user", "Check the rain barrel, and the tulip bed too."),
 ]
 
 
@@ -54,29 +52,64 @@ def write_project(root, slug, name, lines):
     return p
 
 
+def index_lines(lines, **kw):
+    return index_sessions(lines, **kw), index_messages(lines, **kw)
+
+
 def build(spark, root, **kw):
-    lines = TR.scan_lines(spark, root)
-    return index_lines(lines, **kw)
+    return index_lines(TR.scan_lines(spark, root), **kw)
 
 
-def test_reference_fixture_checks(spark, tmpdir_fresh):
-    write_project(tmpdir_fresh, "-home-dev-app", "s.jsonl", BASIC)
+def test_garden_fixture(spark, tmpdir_fresh):
+    write_project(tmpdir_fresh, "-srv-garden", "g.jsonl", GARDEN)
     sessions, messages = build(spark, tmpdir_fresh)
     s = {r["id"]: r for r in sessions.collect()}
-    assert len(s) == 2
-    assert s[A]["message_count"] == 2 and "refactor" in s[A]["title"]
-    assert s[B]["message_count"] == 1 and "pagination" in s[B]["title"]
-    assert s[A]["directory"] == "/home/dev/app"
-    assert s[A]["branch"] == "main"
-    hits = SR.search_sessions(messages, sessions, ["auth"]).collect()
-    assert [h["session_id"] for h in hits] == [A]
-    assert len(SR.search_sessions(messages, sessions, ["middleware"]).collect()) == 1
-    assert len(SR.search_sessions(messages, sessions, ["auth", "pagination"]).collect()) == 2
-    order = [r["id"] for r in SS.list_sessions(sessions).collect()]
-    assert order == [B, A]
+    assert sorted(s) == [RAIN, WIND]
+    assert (s[WIND]["message_count"], s[RAIN]["message_count"]) == (3, 1)
+    assert s[WIND]["title"] == "How deep do tulip bulbs go?" and s[WIND]["branch"] == "south-bed"
+    assert s[RAIN]["title"].startswith("Check the rain barrel") and s[RAIN]["directory"] == "/srv/garden"
+    assert [m["role"] for m in messages.where(F.col("session_id") == RAIN).orderBy("position").collect()] == ["user", "assistant"]
+    found = SR.search_sessions(messages, sessions, ["tulip"]).collect()
+    assert [(h["session_id"], h["total_hits"], h["hit_position"]) for h in found] == [(WIND, 2, 0), (RAIN, 1, 0)]
+    assert [h["hit_role"] for h in SR.search_sessions(messages, sessions, ["bulbs.md"]).collect()] == ["assistant"]
+    assert SR.search_sessions(messages, sessions, ["barrel", "hand's"]).count() == 2
+    assert [r["id"] for r in SS.list_sessions(sessions).collect()] == [RAIN, WIND]
     raw = TR.parse_lines(TR.scan_lines(spark, tmpdir_fresh))
     u = US.raw_model_usage(raw).collect()
-    assert len(u) == 1 and u[0]["output_tokens"] == 650 and u[0]["turns"] == 3
+    assert [(r["model"], r["turns"], r["output_tokens"], r["cache_read"], r["cache_write"]) for r in u] == [
+        (MODEL, 3, 41 + 77 + 5, 1200 + 640, 9 + 31)]
+
+
+def test_search_shows_the_earliest_hit_by_time(spark, tmpdir_fresh):
+    """The half second sorts before the bare second as text, but is later."""
+    write_project(tmpdir_fresh, "-p-mixed", "m.jsonl", [
+        line("user", "mix", "2025-05-05T05:05:05.500Z", "b", "user", "late needle"),
+        line("user", "mix", "2025-05-05T05:05:05Z", "b", "user", "early needle"),
+        line("user", "mix", None, "b", "user", "timeless needle")])
+    sessions, messages = build(spark, tmpdir_fresh)
+    hit = SR.search_sessions(messages, sessions, ["needle"]).collect()[0]
+    assert (hit["snippet"], hit["total_hits"]) == ("early needle", 3)
+
+
+def test_only_one_level_of_files_and_plain_paths(spark, tmpdir_fresh):
+    """Nested files stay out; blanks, plus and percent signs survive."""
+    slug = "-w-my app+100%"
+    write_project(tmpdir_fresh, slug, "main.jsonl", GARDEN)
+    write_project(tmpdir_fresh, os.path.join(slug, "sub", "agents"), "x.jsonl",
+                  [line("user", WIND, "2026-01-01T00:00:00Z", "b", "user", "nested line")])
+    write_project(tmpdir_fresh, "", "top.jsonl", [line("user", "top", "2026-01-01T00:00:00Z", "b", "user", "no project")])
+    sessions, messages = build(spark, tmpdir_fresh)
+    assert messages.count() == len(GARDEN)
+    assert {r["directory"] for r in sessions.collect()} == {"/w/my app+100%"}
+    files = TR.list_files(spark, tmpdir_fresh).collect()
+    assert [(r["slug"], r["directory"]) for r in files] == [(slug, "/w/my app+100%")]
+    assert files[0]["path"] in {r["path"] for r in TR.scan_lines(spark, tmpdir_fresh).select("path").distinct().collect()}
+
+
+def test_slug_map(spark):
+    row = spark.createDataFrame([("-a-b-c",), ("-x-y",)], "slug string")
+    got = [r[0] for r in row.select(TR.slug_to_directory("slug", {"-a-b-c": "/a/b-c"})).collect()]
+    assert got == ["/a/b-c", "/x/y"]
 
 
 def test_edge_lines(spark, tmpdir_fresh):
@@ -173,3 +206,22 @@ def test_scope_boundary(spark):
     scope = spark.createDataFrame([("/work/team1/proj1",)], "prefix string")
     assert got(in_scope(s, scope)) == ["a", "b"]
     assert got(in_scope(s, scope, boundary=True)) == ["a"]
+
+
+def test_bidirectional_scope_as_rows(spark):
+    """A scope DataFrame matches both ways, as a list does."""
+    from chatlake.operators.filters import filter_sessions
+    rows = [("a", "/w/t1", 1), ("b", "/w/t1/p", 1), ("c", "/w/t2", 1), ("d", "/w", 1)]
+    s = spark.createDataFrame(rows, "id string, directory string, last_at long")
+    prefixes = ["/w/t1"]
+    scope = spark.createDataFrame([(p,) for p in prefixes], "prefix string")
+    for sc in (prefixes, scope):
+        assert sorted(r["id"] for r in filter_sessions(s, scope=sc, bidirectional=True).collect()) == ["a", "b", "d"]
+
+
+def test_session_prefix_set(spark):
+    from chatlake.operators.filters import session_prefixes
+    ids = spark.createDataFrame([("abc1",), ("abd2",), ("xyz",)], "session_id string")
+    want = spark.createDataFrame([("ab",), ("abc",), ("x",), ("q",), ("",)], "prefix string")
+    assert sorted(r[0] for r in session_prefixes(ids, want).collect()) == ["abc1", "abd2", "xyz"]
+    assert session_prefixes(ids, want.limit(0)).count() == 0
