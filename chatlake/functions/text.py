@@ -59,11 +59,6 @@ def truncate_plain(col, n: int) -> Column:
         F.concat(F.substring(c, 1, max(n - 3, 0)), F.lit(ELLIPSIS)))
 
 
-def one_line(col, n: int = 120) -> Column:
-    """Search-result line: whitespace collapsed, then FN8."""
-    return truncate_plain(F.regexp_replace(_c(col), _WS_RUN, " "), n)
-
-
 def project_name(col="directory") -> Column:
     """FN9: last path component."""
     return F.element_at(F.split(_c(col), "/"), -1)
@@ -97,10 +92,6 @@ def like_contains(keyword: str) -> str:
     return "%" + keyword.replace("\\", "\\\\") + "%"
 
 
-def like_prefix(prefix: str) -> str:
-    return prefix.replace("\\", "\\\\") + "%"
-
-
 def any_keyword(col, keywords: list[str]) -> Column:
     """FLT6: case-insensitive match of any keyword (OR)."""
     if not keywords:

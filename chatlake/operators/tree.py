@@ -10,9 +10,9 @@ right after its parent (a path key is a prefix of its children's keys).
 
 Lineage resolves roots by **pointer jumping**: each round joins every
 unresolved session with the session its pointer names and jumps two hops
-at once, so depth ``D`` resolves in ``ceil(log2 D) + 1`` rounds.  Each
-round's state is checkpointed to the shared checkpoint folder (lineage cut,
-survives executor loss).  Sessions on a parent cycle never resolve and are
+at once, so depth ``D`` resolves in ``ceil(log2 D) + 1`` rounds.  Only
+sessions that still move are joined; each round's result is checkpointed to
+the shared checkpoint folder (lineage cut, survives executor loss).  Sessions on a parent cycle never resolve and are
 dropped (S40); the loop stops when nothing is left or a round resolves
 nothing (depths are contiguous, so nothing deeper can follow).
 """
@@ -167,11 +167,6 @@ def lineage(sessions: DataFrame, max_rounds: int = 64) -> DataFrame:
         ((F.col("elem") == F.col("_last_elem")) & (F.col("child_count") == 0)).alias("is_last"))
 
 
-def cycle_count(sessions: DataFrame, resolved: DataFrame) -> int:
-    """Sessions dropped because they sit on (or hang from) a cycle."""
-    return sessions.select("id").join(resolved.select("id"), "id", "left_anti").count()
-
-
 def lineage_rows(sessions: DataFrame, max_rounds: int = 64) -> DataFrame:
     """TREE1 in lineage mode: project headers, then each project's sessions
     in preorder (roots newest first, children oldest first).  Projects are

@@ -23,6 +23,9 @@ SKIM_HEAD, SKIM_TAIL = 3, 3
 PREVIEW_HEAD, PREVIEW_TAIL, PREVIEW_MAX_LINES = 2, 5, 8
 LAST_DAYS = 14
 CHANGE_TOLERANCE_MS = 1000
+STORE_BUCKETS = 8
+CHANGED_SLUG = "-work-team1-proj1"        # the project whose files are replaced
+REMOVED_SCOPE = ["slug=/work/team2", "/work/team0/proj0"]
 OWNER_PREFIX_LEN = 24                     # all but the last digit: a prefix spans ten sessions
 FILTER_TEXT = "proj1"                      # FLT14 over the flat list
 PROJECT_FILTER_TEXT = "nicht"             # FLT15 matches via session titles

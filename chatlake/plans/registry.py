@@ -19,7 +19,9 @@ from chatlake.plans import params as P
 from chatlake.sources import driver_views as DV
 from chatlake.sources import relational as RL
 from chatlake.sources import transcripts as TR
+from chatlake.session import scratch_path
 from chatlake.store import incremental as INC
+from chatlake.store.tables import RelationalStore, TableSet, run_index
 from chatlake import schema as SC
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -296,8 +298,84 @@ def index_stats(spark, d):
     return INC.run_stats(files, INC.changed_files(files, manifest), sessions)
 
 
+def _indexed_store(spark, d):
+    """A stored index made by two real runs: the transcripts of all sessions that the
+    relational store does not own, as files; then one project's files replaced
+    (every text gets a prefix), and the relational store added."""
+    root = scratch_path(spark, "store-query")
+    cid = (F.col("mtime_ms") - DV.EPOCH_BASE_MS) / DV.MS_PER_CONVERSATION
+    lines = DV.raw_view(spark, d).where(cid % 4 != 0).select(TR.slug_of_path("path").alias("slug"), "value")
+
+    def write(df):
+        (df.repartition("slug").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("slug").text(f"{root}/projects"))
+
+    write(lines)
+    store = TableSet(spark, f"{root}/index", buckets=P.STORE_BUCKETS)
+    run_index(spark, f"{root}/projects", store, glob="*.txt")
+    write(lines.where(F.col("slug") == P.CHANGED_SLUG).withColumn(
+        "value", F.replace("value", F.lit('"content":"'), F.lit('"content":"v2: '))))
+    run_index(spark, f"{root}/projects", store, glob="*.txt",
+              relational=RelationalStore(*DV.relational_views(spark, d, own_sessions=True)))
+    return store
+
+
+def store_messages(spark, d):
+    return _indexed_store(spark, d).messages()
+
+
+def store_sessions(spark, d):
+    return _indexed_store(spark, d).sessions()
+
+
+def store_removed(spark, d):
+    """The stored sessions after those without a user message and those of an
+    archived scope were deleted from the tables."""
+    store = _indexed_store(spark, d)
+    keep = FL.with_user_messages(store.sessions())
+    scope = spark.createDataFrame([(p,) for p in P.REMOVED_SCOPE], "prefix string")
+    gone = store.sessions().join(keep.select("id"), "id", "left_anti").select("id").unionByName(
+        FL.in_scope(store.sessions(), scope).select("id"))
+    store.remove_sessions(gone)
+    return store.messages().groupBy("session_id").agg(F.count(F.lit(1)).alias("messages")).join(
+        store.sessions().select(F.col("id").alias("session_id"), "message_count"), "session_id")
+
+
+def index_state(spark, d):
+    """SNK9 / AGG11 on the listings: is there anything to index, and how much."""
+    files, manifest = DV.files_view(spark, d), DV.manifest_view(spark, d)
+    _, s = _mv(spark, d)
+    changed = INC.changed_files(files, manifest)
+    return changed.groupBy("status").agg(F.count(F.lit(1)).alias("files")).withColumn(
+        "needs_index", F.lit(INC.needs_index(s, files, manifest)))
+
+
+def read_prefix_set(spark, d):
+    """FLT8 set-wise: messages of the sessions of many id prefixes."""
+    m = DV.message_view(spark, d)
+    prefixes = m.where(F.col("conv_id") % 7 == 3).select(F.substring("session_id", 1, P.OWNER_PREFIX_LEN).alias("prefix"))
+    return FL.session_prefixes(m, prefixes).select("session_id", "position", "role")
+
+
+def stream_ingest(spark, d):
+    """STR1: the transcript files as a stream, until it has taken them all."""
+    from chatlake.streaming.ingest import start_ingest
+    root = scratch_path(spark, "stream-query")
+    (DV.raw_view(spark, d).select(TR.slug_of_path("path").alias("slug"), "value").repartition("slug")
+     .write.partitionBy("slug").text(f"{root}/drops"))
+    store = TableSet(spark, f"{root}/index", buckets=P.STORE_BUCKETS)
+    start_ingest(spark, f"{root}/drops/*", store, f"{root}/checkpoint", glob="*.txt").awaitTermination()
+    return store.messages()
+
+
 def queries() -> dict[str, Query]:
     return {
+        "store_messages": store_messages,
+        "store_sessions": store_sessions,
+        "store_removed": store_removed,
+        "index_state": index_state,
+        "read_prefix_set": read_prefix_set,
+        "stream_ingest": stream_ingest,
         "search_keyword": search_keyword,
         "search_multi_keyword": search_multi_keyword,
         "search_scoped_since": search_scoped_since,

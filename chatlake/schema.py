@@ -72,31 +72,3 @@ RAW_ROW = T.StructType([
     T.StructField("model", S), T.StructField("output_tokens", L),
     T.StructField("cache_read", L), T.StructField("cache_write", L),
 ])
-
-# ---- relational store ----------------------------------------------------
-
-REL_SESSION = T.StructType([
-    T.StructField("id", S), T.StructField("parent_id", S),
-    T.StructField("directory", S), T.StructField("title", S),
-    T.StructField("slug", S), T.StructField("time_created", L),
-    T.StructField("time_updated", L), T.StructField("time_archived", L),
-])
-REL_MESSAGE = T.StructType([
-    T.StructField("id", S), T.StructField("session_id", S),
-    T.StructField("data", S), T.StructField("time_created", L),
-])
-REL_PART = T.StructType([
-    T.StructField("id", S), T.StructField("message_id", S),
-    T.StructField("session_id", S), T.StructField("data", S),
-    T.StructField("time_created", L),
-])
-
-# ---- result records ------------------------------------------------------
-
-SEARCH_HIT_COLS = [
-    "session_id", "source", "directory", "branch", "title", "parent_id",
-    "started_at", "last_at", "message_count", "total_hits",
-    "hit_position", "hit_role", "hit_ts", "snippet",
-]
-MODEL_USAGE_COLS = ["model", "turns", "output_tokens", "cache_read", "cache_write"]
-DAILY_COLS = ["day", "sessions", "user_msgs", "asst_turns"]

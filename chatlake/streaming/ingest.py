@@ -52,12 +52,12 @@ def upsert_batch(store: TableSet):
 
 
 def start_ingest(spark: SparkSession, root: str, store: TableSet, checkpoint: str,
-                 available_now: bool = True, processing_time: str | None = None):
+                 available_now: bool = True, processing_time: str | None = None, glob: str = "*.jsonl"):
     """Start STR1; ``available_now`` processes what is there and stops."""
     from chatlake.session import checkpoint_dir
 
     checkpoint_dir(spark)
-    w = transcript_stream(spark, root).writeStream.foreachBatch(upsert_batch(store)) \
+    w = transcript_stream(spark, root, glob).writeStream.foreachBatch(upsert_batch(store)) \
         .option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time or "1 minute")
     return w.start()
