@@ -2,14 +2,16 @@
 
 Severity grades 0 < 1 < ... < G have P(grade > j) = sigmoid(w.x - t_j): one
 weight vector shared by ordered thresholds t_0 < t_1 < ....  The features x
-are the distinct words of the whole text and their prefixes of 4 and 5
-letters, each hashed into ``2 ** BITS`` columns, present or not.  The result is
+are the distinct words of the whole text, their stems (first letters) and stems
+that occur several times, each hashed into ``2 ** BITS`` columns, present or
+not.  The result is
 the expected severity, the sum of P(grade > j).
 
 The model is fitted on the ``SAMPLE`` labelled rows that come first by a hash
-of their id (a documented bound; all rows if fewer), by full-batch Adam with
-an L2 penalty and balanced classes; features seen in fewer than ``MIN_DOCS``
-sample rows get no weight.  Scores read every row's whole text.
+of their id (a documented bound; all rows if fewer), the lowest grade and
+all others weighing the same, and an L1 penalty that shrinks with the root of
+the smaller side's rows, so only words that tell the grades apart get a weight.  Scores read every row's whole
+text.
 
 NULL and empty texts have no feature: their severity is 0.  Rows with a NULL
 label or no document teach nothing; without any labelled grade above 0 every
@@ -20,6 +22,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -30,18 +33,28 @@ from pyspark.sql import types as T
 from chatlake.llm.common import extended, fresh
 
 BITS = 20
+STEMS = (4, 5, 6)  # letters
+OFTEN = (2, 4)     # occurrences
 SAMPLE = 6000
-MIN_DOCS = 3
-STEPS = 150
-L2 = 1e-4
-THRESHOLD = 0.5
+STEPS = 300
+RATE = 0.3
+L1 = 0.15
+RELAX = 10
+THRESHOLD = 0.4
 WORD = re.compile(r"[^\W\d_]+")
 
 
 def features(text: str | None, bits: int = BITS) -> np.ndarray:
     """Sorted distinct feature columns of the whole text."""
-    words = set(WORD.findall((text or "").lower()))
-    names = words | {w[:4] + "*" for w in words if len(w) > 4} | {w[:5] + "*" for w in words if len(w) > 5}
+    words = Counter(WORD.findall((text or "").lower()))
+    stems: Counter = Counter()
+    for w, n in words.items():
+        for k in STEMS:
+            if len(w) > k:
+                stems[w[:k]] += n
+    names = [*words, *[x + "*" for x in stems]]
+    for times in OFTEN:
+        names += [f"{x}*{times}" for x, n in stems.items() if n >= times]
     mask = (1 << bits) - 1
     return np.unique(np.array([zlib.crc32(x.encode("utf-8", "surrogatepass")) & mask for x in names], np.int64))
 
@@ -64,43 +77,60 @@ class Model:
         return float(_sigmoid(z - self.cuts).sum())
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, steps: int = STEPS, l2: float = L2) -> Model:
-    """Cumulative-link model by maximum likelihood (driver, a bounded sample)."""
+def fit(rows: list[np.ndarray], grades: np.ndarray, steps: int = STEPS, l1: float = L1) -> Model:
+    """Cumulative-link model by penalised maximum likelihood (driver, a bounded
+    sample): proximal AdaGrad over all rows in every step."""
     levels = np.unique(grades)
     if len(levels) < 2:
         return Model(np.zeros(0, int), np.zeros(0), np.zeros(0))
     y = np.searchsorted(levels, grades)
-    cols, inv, count = np.unique(np.concatenate(rows), return_inverse=True, return_counts=True)
+    rest = int((y > 0).sum())
+    share = np.where(y > 0, 0.5 / rest, 0.5 / (len(y) - rest))  # the lowest grade against all others, sums to one
+    penalty = l1 / np.sqrt(min(rest, len(y) - rest))            # above the noise of the smaller side
+    cols, inv = np.unique(np.concatenate(rows), return_inverse=True)
     doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    often = count >= MIN_DOCS
-    new = np.cumsum(often) - 1
-    use = often[inv]
-    doc, col, cols = doc[use], new[inv[use]], cols[often]
-    size = np.bincount(y, minlength=len(levels)).astype(float)
-    share = (1 / (len(levels) * size))[y]          # balanced classes, sums to one
-    w, first, gaps = np.zeros(len(cols)), np.array([0.0]), np.zeros(len(levels) - 2)
-    state = [[np.zeros_like(p), np.zeros_like(p)] for p in (w, first, gaps)]
-    for step in range(1, steps + 1):
+    first, gaps = np.zeros(1), np.zeros(len(levels) - 2)
+
+    def gradients(z):
         cuts = first + np.r_[0.0, np.cumsum(np.exp(gaps))]
-        z = np.bincount(doc, w[col], len(rows))
         # P(grade = k) = F(upper) - F(lower), F(-inf) = 0, F(inf) = 1
-        upper = np.where(y < len(cuts), cuts[np.minimum(y, len(cuts) - 1)] - z, np.inf)
-        lower = np.where(y > 0, cuts[np.maximum(y - 1, 0)] - z, -np.inf)
-        fu, fl = _sigmoid(upper), _sigmoid(lower)
+        fu = _sigmoid(np.where(y < len(cuts), cuts[np.minimum(y, len(cuts) - 1)] - z, np.inf))
+        fl = _sigmoid(np.where(y > 0, cuts[np.maximum(y - 1, 0)] - z, -np.inf))
         p = np.maximum(fu - fl, 1e-12)
         du, dl = fu * (1 - fu) / p * share, fl * (1 - fl) / p * share
-        g_z = du - dl                              # of -log likelihood
         g_cut = np.bincount(np.minimum(y, len(cuts) - 1)[y < len(cuts)], -du[y < len(cuts)], len(cuts))
         g_cut += np.bincount((y - 1)[y > 0], dl[y > 0], len(cuts))
-        g_gap = np.array([g_cut[i + 1:].sum() * np.exp(gaps[i]) for i in range(len(gaps))])
-        grads = (np.bincount(col, g_z[doc], len(cols)) + l2 * w, np.array([g_cut.sum()]), g_gap)
-        for q, g, s in zip((w, first, gaps), grads, state):
-            s[0][:] = 0.9 * s[0] + 0.1 * g
-            s[1][:] = 0.99 * s[1] + 0.01 * g * g
-            q -= 0.1 * (s[0] / (1 - 0.9 ** step)) / (np.sqrt(s[1] / (1 - 0.99 ** step)) + 1e-8)
+        return du - dl, np.array([g_cut.sum()]), np.array([g_cut[i + 1:].sum() * np.exp(g) for i, g in enumerate(gaps)])
+
+    def move(param, grad, seen, shrink=0.0):
+        seen += grad * grad
+        rate = RATE / (np.sqrt(seen) + 1e-9)
+        param -= rate * grad
+        param[:] = np.sign(param) * np.maximum(np.abs(param) - rate * shrink, 0)
+
+    # thresholds alone first; a feature whose gradient then stays below the penalty keeps no weight
+    seen = [np.zeros(1), np.zeros_like(gaps)]
+    for _ in range(steps):
+        _, g_first, g_gaps = gradients(np.zeros(len(rows)))
+        move(first, g_first, seen[0])
+        move(gaps, g_gaps, seen[1])
+    slope = np.bincount(inv, gradients(np.zeros(len(rows)))[0][doc], len(cols))
+    strong = np.abs(slope) > penalty
+    use = strong[inv]
+    doc, col, cols = doc[use], (np.cumsum(strong) - 1)[inv[use]], cols[strong]
+    w = np.zeros(len(cols))
+    for shrink in (penalty, penalty / RELAX):      # choose the words, then weigh the chosen ones more freely
+        kept = w != 0 if shrink < penalty else np.ones(len(w), bool)
+        use = kept[col]
+        doc, col, cols, w = doc[use], (np.cumsum(kept) - 1)[col[use]], cols[kept], w[kept]
+        seen_w = np.zeros(len(w))
+        for _ in range(steps):
+            g_z, g_first, g_gaps = gradients(np.bincount(doc, w[col], len(rows)))
+            move(w, np.bincount(col, g_z[doc], len(cols)), seen_w, shrink)
+            move(first, g_first, seen[0])
+            move(gaps, g_gaps, seen[1])
     cuts = first + np.r_[0.0, np.cumsum(np.exp(gaps))]
-    big = np.abs(w) > 1e-3
-    return Model(cols[big], w[big], cuts)
+    return Model(cols[w != 0], w[w != 0], cuts)
 
 
 def train(docs: DataFrame, labels: DataFrame, grade: Column, sample: int = SAMPLE, bits: int = BITS) -> Model:

@@ -3,7 +3,7 @@
 Each stage works on all that its predecessor kept; its result is written as
 Parquet to the shared folder and read again as the next stage's documents.
 
-1. toxicity    documents of an expected severity of 0.5 or more go
+1. toxicity    documents of an expected severity of 0.4 or more go
 2. lines       of every group of near-equal lines the first one stays
 3. simhash     of every group of near-equal documents one stays
 4. benchmark   documents contaminated by benchmark passages go

@@ -66,7 +66,19 @@ def test_language_accuracy_on_held_out(spark):
     assert len(rows) > 150 and right >= 0.98 * len(rows)
 
 
-def test_toxicity_on_labels(spark):
-    toxic = dict(duck(SF01).execute("SELECT doc_id, toxic FROM labels").fetchall())
-    rows = [r for r in queries.op6_toxicity(spark, SF01).collect() if r.doc_id in toxic]
-    assert sum(r.toxic == bool(toxic[r.doc_id]) for r in rows) >= 0.97 * len(rows)
+def test_toxicity_on_held_out_labels(spark):
+    """Fitted on half of sf0.1's labels, judged on the other half."""
+    from pyspark.sql import functions as F
+
+    from chatlake.llm import toxicity
+    from chatlake.llm.common import table
+    sf = "/root/testdata/sf0.1"
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    labels = table(spark, sf, "labels")
+    model = toxicity.train(docs, labels.where(F.col("doc_id") % 2 == 0), toxicity.label_grade())
+    rows = toxicity.score(docs, model).join(labels.select(F.col("doc_id").alias("l"), F.col("toxic").alias("is_toxic")),
+                                            F.col("doc_id") == F.col("l")).where(F.col("doc_id") % 2 == 1).collect()
+    bad = [r for r in rows if r.is_toxic]
+    # some of these labels are noise: toxic texts in which no word is
+    assert len(bad) > 50 and sum(r.toxic for r in bad) >= 0.84 * len(bad)
+    assert sum(r.toxic for r in rows if not r.is_toxic) <= 0.01 * len(rows)
