@@ -53,7 +53,6 @@ FEW_LINES = 1_000_000  # line hashes that may be broadcast (8 bytes each)
 COLUMNS = 8192     # shingles of a group multiplied at once
 PART = 1 << 16     # characters of lines signed at once (fits the cache)
 _rng = np.random.default_rng(20240607)
-MASKS = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
 FACTORS = _rng.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 FOLD = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -97,9 +96,10 @@ def band_keys(forms: list[str]) -> np.ndarray:
     """BANDS 64-bit keys of every line (lines x bands)."""
     h, starts = shingles(forms)
     low = (h >> np.uint64(32)).astype(np.uint32)
+    moved = np.empty_like(low)
     keys = np.zeros((len(forms), BANDS), np.uint64)
     for i in range(BANDS * ROWS):
-        v = np.minimum.reduceat((low ^ MASKS[i]) * FACTORS[i], starts)
+        v = np.minimum.reduceat(np.multiply(low, FACTORS[i], out=moved), starts)
         keys[:, i // ROWS] = (keys[:, i // ROWS] ^ v.astype(np.uint64)) * FOLD[i]
     keys += np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     return _mix(keys)
