@@ -23,17 +23,22 @@ def _state(edges: DataFrame) -> tuple:
     return r["n"], r["x"]
 
 
+def _lowest(edges: DataFrame) -> DataFrame:
+    """(u, m): smallest b of every a.  Grouped by a struct, so that the join back
+    shuffles both sides by itself and a hot node's rows can be split there."""
+    return edges.groupBy(F.struct("a").alias("g")).agg(F.min("b").alias("m")).select(F.col("g.a").alias("u"), "m")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = both.groupBy("a").agg(F.min("b").alias("m")).select(
-        F.col("a").alias("u"), F.least("a", "m").alias("m"))
+    low = _lowest(both).select("u", F.least("u", "m").alias("m"))
     return (both.where("b > a").join(low, F.col("a") == F.col("u"))
             .select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    low = down.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
+    low = _lowest(down)
     moved = down.join(low, F.col("a") == F.col("u")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionAll(low.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct()
 
