@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chatlake.llm.common import checkpoint, lower_ascii
+from chatlake.llm.common import checkpoint, lower_ascii, saved
 
 RULES = [  # fixed by the contract: verdict, host, path
     ("allow", "org", "/"),
@@ -138,9 +138,10 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None) ->
         F.sum(F.when(F.col("r.verdict") == "block", F.col("copies")).otherwise(0)).alias("bad"),
         F.sum(F.when(F.col("r.verdict") == "allow", F.col("copies")).otherwise(0)).alias("good"))
     totals = taught.agg(F.sum("bad").alias("all_bad"), F.sum("good").alias("all_good"), F.count("*").alias("kinds"))
-    odds = taught.join(F.broadcast(totals)).select(
+    # written first: the join below then shuffles two plain tables, and a hot word can be split
+    odds = saved(taught.join(F.broadcast(totals)).select(
         "part", "word", (F.log((F.col("bad") + 1) / (F.col("all_bad") + F.col("kinds")))
-                         - F.log((F.col("good") + 1) / (F.col("all_good") + F.col("kinds")))).alias("odds"))
+                         - F.log((F.col("good") + 1) / (F.col("all_good") + F.col("kinds")))).alias("odds")), "url-odds")
     uses = tokens.where("r is null").groupBy("id", "part", "word").agg(F.count("*").alias("m"))
     scored = uses.join(odds, ["part", "word"]).groupBy("id").agg(
         F.sum((F.col("m") * F.col("odds")).cast("decimal(30,12)")).cast("double").alias("score"))
