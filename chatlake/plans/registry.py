@@ -360,16 +360,59 @@ def read_prefix_set(spark, d):
 def stream_ingest(spark, d):
     """STR1: the transcript files as a stream, until it has taken them all."""
     from chatlake.streaming.ingest import start_ingest
-    root = scratch_path(spark, "stream-query")
-    (DV.raw_view(spark, d).select(TR.slug_of_path("path").alias("slug"), "value").repartition("slug")
-     .write.partitionBy("slug").text(f"{root}/drops"))
+    root = _drops(spark, d, "stream-ingest")
     store = TableSet(spark, f"{root}/index", buckets=P.STORE_BUCKETS)
     start_ingest(spark, f"{root}/drops/*", store, f"{root}/checkpoint", glob="*.txt").awaitTermination()
     return store.messages()
 
 
+def _drops(spark, d, name):
+    root = scratch_path(spark, name)
+    (DV.raw_view(spark, d).select(TR.slug_of_path("path").alias("slug"), "value").repartition("slug")
+     .write.partitionBy("slug").text(f"{root}/drops"))
+    return root
+
+
+def _message_stream(spark, root):
+    from chatlake.streaming.ingest import transcript_stream
+    lines = transcript_stream(spark, f"{root}/drops/*", "*.txt")
+    return TR.clean(TR.usable(TR.parse_lines(lines))).withColumn("directory", TR.directory_of_path("path"))
+
+
+def stream_daily(spark, d):
+    """STR2 exact: the days that the watermark has closed."""
+    from chatlake.streaming.rollups import session_day_stream
+    root = _drops(spark, d, "stream-daily")
+    (session_day_stream(_message_stream(spark, root), "0 seconds").writeStream.format("parquet")
+     .option("path", f"{root}/pairs").option("checkpointLocation", f"{root}/checkpoint").outputMode("append")
+     .trigger(availableNow=True).start().awaitTermination())
+    return US.merge_daily(spark.read.schema("day string, session_id string, user_msgs long, asst_turns long")
+                          .parquet(f"{root}/pairs"))
+
+
+def stream_summary(spark, d):
+    """STR3: running summaries, upserted into the session table."""
+    from chatlake.streaming.rollups import session_summary_stream, upsert_summaries
+    root = _drops(spark, d, "stream-summary")
+    store = TableSet(spark, f"{root}/index", buckets=P.STORE_BUCKETS)
+    (session_summary_stream(_message_stream(spark, root)).writeStream.foreachBatch(upsert_summaries(store))
+     .option("checkpointLocation", f"{root}/checkpoint").outputMode("update")
+     .trigger(availableNow=True).start().awaitTermination())
+    return store.sessions()
+
+
+def scope_rows(spark, d):
+    """SET5: a scope that lists prefixes twice, as rows."""
+    _, s = _mv(spark, d)
+    scope = s.where(F.col("directory").rlike("^/work/team[13]/proj1$")).select(F.col("directory").alias("prefix"))
+    return SS.list_sessions(s, scope=scope, limit=None)
+
+
 def queries() -> dict[str, Query]:
     return {
+        "stream_daily": stream_daily,
+        "stream_summary": stream_summary,
+        "scope_rows": scope_rows,
         "store_messages": store_messages,
         "store_sessions": store_sessions,
         "store_removed": store_removed,

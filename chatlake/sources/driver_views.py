@@ -18,6 +18,7 @@ from chatlake.functions.text import NO_TITLE, normalize_title
 EPOCH_BASE_MS = 1704067200000      # 2024-01-01T00:00:00Z
 MS_PER_CONVERSATION = 7200000      # conversations start two hours apart
 MS_PER_TURN = 60000                # turns one minute apart
+TOOL_TOKENS = 7
 ID_WIDTH = 20                      # holds every BIGINT, so no id is cut
 MANIFEST_CUTOFF = "2024-01-15 00:00:00"
 
@@ -113,14 +114,25 @@ def raw_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     message = F.struct(role.alias("role"), F.col("text").alias("content"),
                        F.when(is_asst, F.concat(F.lit("model-"), (cid % 3).cast("string"))).alias("model"),
                        usage.alias("usage"))
-    line = F.struct(role.alias("type"), conv_key(cid).alias("sessionId"), _iso_utc(ts).alias("timestamp"),
+    # every third session writes some times with a fraction
+    written = F.when((cid % 3 == 1) & (F.col("turn") % 2 == 1), F.regexp_replace(_iso_utc(ts), "Z$", ".000Z")).otherwise(_iso_utc(ts))
+    line = F.struct(role.alias("type"), conv_key(cid).alias("sessionId"), written.alias("timestamp"),
                     branch.alias("gitBranch"), message.alias("message"),
                     F.concat(F.lit("u"), cid.cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("uuid"))
+    # one session in five has assistant turns that only use a tool: a further line
+    # with array content and its own usage, which counts as a turn but has no text
+    tool = F.struct(role.alias("type"), conv_key(cid).alias("sessionId"), _iso_utc(ts).alias("timestamp"),
+                    branch.alias("gitBranch"), F.struct(
+                        role.alias("role"), F.array(F.struct(F.lit("tool_use").alias("type"), F.lit("grep").alias("name"))).alias("content"),
+                        F.concat(F.lit("model-"), (cid % 3).cast("string")).alias("model"),
+                        F.struct(F.lit(TOOL_TOKENS).alias("output_tokens")).alias("usage")).alias("message"))
+    conv = conv.select("*", F.explode(F.when(
+        is_asst & (cid % 5 == 2), F.array(F.to_json(line), F.to_json(tool))).otherwise(F.array(F.to_json(line)))).alias("value"))
     return conv.select(
         F.concat(F.lit("/projects/"), slug_of(directory), F.lit("/"), conv_key(cid), F.lit(".jsonl")).alias("path"),
         (F.lit(EPOCH_BASE_MS) + cid * MS_PER_CONVERSATION).alias("mtime_ms"),
         F.col("turn").alias("line_no"),
-        F.to_json(line).alias("value"))
+        "value")
 
 
 # ---- file listing and manifest ----------------------------------------------

@@ -103,7 +103,7 @@ class TableSet:
         st = self.pointer()
         if st is None:
             return INC.empty(self.spark, SESSION_FILE)
-        return self.spark.read.schema(SESSION_FILE).parquet(f"{self.root}/session_file/v={st['session']}")
+        return self.spark.read.schema(SESSION_FILE).parquet(f"{self.root}/session_file/v={st['session_file']}")
 
     def messages(self, buckets: list[int] | None = None) -> DataFrame:
         """All messages, or those of some buckets (other buckets' files are not read)."""
@@ -160,10 +160,21 @@ class TableSet:
         new_manifest.select(*[c for c in SC.MANIFEST_COLS if c in new_manifest.columns]) \
             .withColumn("indexed_at", F.current_timestamp()) \
             .write.mode("overwrite").parquet(f"{self.root}/manifest/v={v}")
-        self._write_pointer(v, {"version": v, "session": v, "manifest": v, "n_buckets": n, "buckets": buckets,
+        self._write_pointer(v, {"version": v, "session": v, "session_file": v, "manifest": v, "n_buckets": n, "buckets": buckets,
                                 "committed_ms": int(time.time() * 1000)})
         return v
 
+    def upsert_sessions(self, rows: DataFrame) -> int:
+        """SNK2 alone: replace or add session rows; messages and manifest stay."""
+        st = self.pointer()
+        if st is None:
+            return self.commit(rows, INC.empty(self.spark, SC.MESSAGE), INC.empty(self.spark, SC.MANIFEST))
+        v = st["version"] + 1
+        INC.upsert(self.sessions(), rows.select(*SC.SESSION_COLS), "id").write.mode("overwrite").parquet(
+            f"{self.root}/session/v={v}")
+        self._write_pointer(v, {**st, "version": v, "session": v})
+        return v
+
     def remove_sessions(self, ids: DataFrame) -> int:
         """SNK4 on the stored tables: delete sessions (column id) and their messages."""
         return self.commit(INC.empty(self.spark, SC.SESSION), INC.empty(self.spark, SC.MESSAGE),
@@ -175,7 +186,7 @@ class TableSet:
         live, used = versions[-keep:], set()
         for v in live:
             state = json.loads(self.spark.read.json(f"{self.root}/_pointer/v={v}").first()["state"])
-            used |= {f"session/v={state['session']}", f"session_file/v={state['session']}",
+            used |= {f"session/v={state['session']}", f"session_file/v={state['session_file']}",
                      f"manifest/v={state['manifest']}", f"_pointer/v={v}"}
             used |= {f"message/v={w}/bucket={b}" for b, w in state["buckets"].items()}
         newest, out = max(versions, default=0), []

@@ -60,7 +60,9 @@ def session_summary_stream(parsed_usable: DataFrame) -> DataFrame:
     """STR3: running session summary (update mode).
 
     Input: usable parsed lines with ``timestamp_ms`` (see
-    ``transcripts.clean``).  Same rules as the batch ``sessionize``.
+    ``transcripts.clean``).  Same rules as the batch ``sessionize``, but lines
+    of equal timestamp are ordered by a hash of the line: a stream has no line
+    numbers, so title and branch can differ from the batch's there.
     """
     key = "struct(ts IS NULL, ts, line_no)"
     pre = parsed_usable.withColumn(
@@ -77,7 +79,7 @@ def session_summary_stream(parsed_usable: DataFrame) -> DataFrame:
 def upsert_summaries(store: TableSet, source: str = "claude-code"):
     """``foreachBatch`` callback for STR3: upsert changed summaries."""
     from chatlake import schema as SC
-    from chatlake.store import incremental as INC
+    from chatlake.session import checkpointed
 
     def run(batch: DataFrame, batch_id: int) -> None:
         rows = batch.select(
@@ -85,13 +87,5 @@ def upsert_summaries(store: TableSet, source: str = "claude-code"):
             F.coalesce("_title", F.lit(TX.NO_TITLE)).alias("title"),
             F.lit(None).cast("string").alias("parent_id"),
             "started_at", "last_at", "message_count").select(*SC.SESSION_COLS)
-        sessions = INC.upsert(store.sessions(), rows, "id").checkpoint(eager=True)
-        st = store.pointer() or {"version": 0, "buckets": {}}
-        v = st["version"] + 1
-        sessions.write.mode("overwrite").parquet(f"{store.root}/session/v={v}")
-        manifest_v = st.get("manifest")
-        if manifest_v is None:
-            INC.empty(store.spark, SC.MANIFEST).write.mode("overwrite").parquet(f"{store.root}/manifest/v={v}")
-            manifest_v = v
-        store._write_pointer(v, {**st, "version": v, "session": v, "manifest": manifest_v})
+        store.upsert_sessions(checkpointed(rows))
     return run
