@@ -2,7 +2,7 @@
 plus the entry() smoke check."""
 
 import pytest
-from conftest import SF01, SF001
+from conftest import SF01
 from oracle_util import compare, duck
 
 import __spark_entry__ as E
