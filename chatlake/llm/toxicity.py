@@ -56,7 +56,7 @@ def features(text: str | None, bits: int = BITS) -> np.ndarray:
     for times in OFTEN:
         names += [f"{x}*{times}" for x, n in stems.items() if n >= times]
     mask = (1 << bits) - 1
-    return np.unique(np.array([zlib.crc32(x.encode("utf-8", "surrogatepass")) & mask for x in names], np.int64))
+    return np.unique(np.array([zlib.crc32(x.encode("utf-8", "surrogatepass")) & mask for x in names], np.int32))
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -87,8 +87,8 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, steps: int = STEPS, l1: floa
     rest = int((y > 0).sum())
     share = np.where(y > 0, 0.5 / rest, 0.5 / (len(y) - rest))  # the lowest grade against all others, sums to one
     penalty = l1 / np.sqrt(min(rest, len(y) - rest))            # above the noise of the smaller side
-    cols, inv = np.unique(np.concatenate(rows), return_inverse=True)
-    doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    col = np.concatenate(rows)
+    doc = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
     first, gaps = np.zeros(1), np.zeros(len(levels) - 2)
 
     def gradients(z):
@@ -114,10 +114,10 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, steps: int = STEPS, l1: floa
         _, g_first, g_gaps = gradients(np.zeros(len(rows)))
         move(first, g_first, seen[0])
         move(gaps, g_gaps, seen[1])
-    slope = np.bincount(inv, gradients(np.zeros(len(rows)))[0][doc], len(cols))
+    slope = np.bincount(col, gradients(np.zeros(len(rows)))[0][doc])
     strong = np.abs(slope) > penalty
-    use = strong[inv]
-    doc, col, cols = doc[use], (np.cumsum(strong) - 1)[inv[use]], cols[strong]
+    use = strong[col] if len(col) else np.zeros(0, bool)
+    doc, col, cols = doc[use], (np.cumsum(strong) - 1)[col[use]], np.flatnonzero(strong)
     w = np.zeros(len(cols))
     for shrink in (penalty, penalty / RELAX):      # choose the words, then weigh the chosen ones more freely
         kept = w != 0 if shrink < penalty else np.ones(len(w), bool)
@@ -144,16 +144,16 @@ def train(docs: DataFrame, labels: DataFrame, grade: Column, sample: int = SAMPL
 
     def run(batches):
         for b in batches:
-            rows = [features(t, bits).tolist() for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("l_id"), b.column("grade"), pa.array(rows, pa.list_(pa.int64()))],
+            rows = [features(t, bits).tobytes() for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("l_id"), b.column("grade"), pa.array(rows, pa.binary())],
                                              names=["l_id", "grade", "x"])
 
     texts = docs.select(F.col("doc_id").alias("d_id"), "text").join(
         F.broadcast(picked), F.col("d_id") == F.col("l_id"))  # at most `sample` ids
-    schema = T.StructType([picked.schema["l_id"], picked.schema["grade"], T.StructField("x", T.ArrayType(T.LongType()))])
+    schema = T.StructType([picked.schema["l_id"], picked.schema["grade"], T.StructField("x", T.BinaryType())])
     one = texts.select("l_id", "grade", "text").mapInArrow(run, schema).groupBy("l_id", "grade").agg(F.min("x").alias("x"))
     rows = one.orderBy("l_id").collect()
-    return fit([np.array(r["x"], np.int64) for r in rows], np.array([r["grade"] for r in rows], int)) if rows else Model(
+    return fit([np.frombuffer(r["x"], np.int32) for r in rows], np.array([r["grade"] for r in rows], int)) if rows else Model(
         np.zeros(0, int), np.zeros(0), np.zeros(0))
 
 
