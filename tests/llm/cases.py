@@ -1,6 +1,7 @@
 """Inputs and fixtures of the tests in this folder."""
 
 import pytest
+from pyspark.sql import functions as F
 
 SF001 = "/root/testdata/sf0.001"
 SF01 = "/root/testdata/sf0.01"
@@ -24,11 +25,17 @@ ROWS = [
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, SCORE double, Slot string"
 
 
+def clashing(df):
+    """Further columns named like the operators' working columns."""
+    names = ["k_id", "k_text", "k_len", "rid", "w", "fp", "gone", "row", "src", "m", "run", "d", "x", "h1"]
+    return df.withColumns({n: F.lit(f"own {n}") for n in names})
+
+
 @pytest.fixture(scope="session")
 def edge(spark):
-    return spark.createDataFrame(ROWS, SCHEMA)
+    return clashing(spark.createDataFrame(ROWS, SCHEMA))
 
 
 @pytest.fixture(scope="session")
 def empty(spark):
-    return spark.createDataFrame([], SCHEMA)
+    return clashing(spark.createDataFrame([], SCHEMA))
