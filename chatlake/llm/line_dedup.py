@@ -2,9 +2,9 @@
 verification and distributed union-find, keeping one line per component.
 
 A text is cut at line feeds.  Lines are compared in a normalised form (white
-space runs become one blank, outer blanks go, lower case); those of fewer
-than ``min_chars`` characters take no part and always stay.  Lines of equal
-form are one line; two different ones are linked if the Jaccard similarity of
+space runs become one blank, outer blanks go, lower case); only blank lines
+(those of fewer than ``min_chars`` characters, by default 1) take no part and
+always stay.  Lines of equal form are one line; two different ones are linked if the Jaccard similarity of
 their sets of ``K``-character shingles is at least ``threshold``.  Of every
 component the first occurrence stays, by doc_id, then hash of the text, then
 line number; all others are removed from their documents.
@@ -46,7 +46,7 @@ from chatlake.llm.components import components
 
 K = 8              # characters in a shingle
 BANDS, ROWS = 9, 4
-MIN_CHARS = 40
+MIN_CHARS = 1      # blank lines alone take no part
 THRESHOLD = 0.8
 CHUNK = 256        # lines on one side of a verification group
 FEW_LINES = 1_000_000  # line hashes that may be broadcast (8 bytes each)
