@@ -5,12 +5,18 @@ A text is cut at line feeds.  Lines are compared in a normalised form (white
 space runs become one blank, outer blanks go, lower case); only blank lines
 (those of fewer than ``min_chars`` characters, by default 1) take no part and
 always stay.  Lines of equal form are one line; two different ones are linked if the Jaccard similarity of
-their sets of ``K``-character shingles is at least ``threshold``.  Of every
+their sets of ``K``-character shingles is at least ``threshold``.  One changed
+letter costs up to K shingles on each side, too many for a short line, so two
+lines of SHORT characters (40 to 159) are also linked if the similarity of
+their sets of SHORT_K-character shingles is at least what one changed word of
+five letters leaves: (m - 9) / (m + 9) for m shingles, but 0.6 or more, and never
+more than ``threshold``.  Below 40 characters one word is too much of a line
+("part 11" and "part 12"): there ``threshold`` holds.  Of every
 component the first occurrence stays, by doc_id, then hash of the text, then
 line number; all others are removed from their documents.
 
-1. One pass over the texts gives a row per line: two 64-bit hashes of the form
-   and its BANDS band keys.
+1. One pass over the texts gives a row per line: two 64-bit hashes of the form,
+   its band keys (``_bands``).
 2. Keys are counted, with partial aggregation; only those that occur more than
    once are joined back to their lines.  A key held by several lines is a
    bucket; buckets with the same members are compared once (two near copies
@@ -26,6 +32,8 @@ line number; all others are removed from their documents.
 
 With 9 bands of 4 values a pair at similarity 0.8 meets with probability
 0.991, one at 0.9 with 0.9999.
+SHORT lines have 36 (40 characters) to 12 (from 77) bands of 4 values: a pair at
+the similarity asked of its length meets with probability 0.993 or more.
 
 A document whose lines are all removed stays, with an empty text.  Rows that
 repeat doc_id and text are one document and keep the same lines.  NULL texts
@@ -46,6 +54,10 @@ from chatlake.llm.components import components
 
 K = 8              # characters in a shingle
 BANDS, ROWS = 9, 4
+SHORT = range(40, 160)  # characters of lines that are also compared by shorter shingles
+SHORT_K, SHORT_BANDS, SHORT_LEAST = 5, 36, 0.6
+MISSED = 0.007     # share of SHORT pairs at the similarity asked that may not meet
+WORD = 9           # SHORT_K-character shingles that a word of five letters is in
 MIN_CHARS = 1      # blank lines alone take no part
 THRESHOLD = 0.8
 CHUNK = 256        # lines on one side of a verification group
@@ -53,8 +65,8 @@ FEW_LINES = 1_000_000  # line hashes that may be broadcast (8 bytes each)
 COLUMNS = 8192     # shingles of a group multiplied at once
 PART = 1 << 16     # characters of lines signed at once (fits the cache)
 _rng = np.random.default_rng(20240607)
-FACTORS = _rng.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-FOLD = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+FACTORS = _rng.integers(0, 1 << 31, max(BANDS, SHORT_BANDS) * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+FOLD = _rng.integers(0, 1 << 63, max(BANDS, SHORT_BANDS) * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def normal(line: str) -> str:
@@ -74,40 +86,68 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def shingles(forms: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all K-character shingles of the lines, one line after
-    the other, and each line's first index.  A line shorter than K is padded
-    and gives one."""
+def shingles(forms: list[str], k: int = K) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all k-character shingles (k from 5 to 8) of the lines,
+    one line after the other, and each line's first index.  A line shorter than
+    k is padded and gives one."""
     units = [f.encode("utf-16-le", "surrogatepass") for f in forms]
-    units = [u if len(u) >= 2 * K else u.ljust(2 * K, b"\0") for u in units]
+    units = [u if len(u) >= 2 * k else u.ljust(2 * k, b"\0") for u in units]
     u = np.frombuffer(b"".join(units), "<u2").astype(np.uint64)
     four = u[:-3] | u[1:-2] << np.uint64(16) | u[2:-1] << np.uint64(32) | u[3:] << np.uint64(48)
-    h = _mix(four[:-4] * np.uint64(0x9E3779B97F4A7C15) + (four[4:] ^ four[4:] >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9))
+    last = four[k - 4:]  # the last four characters; with the first four they are all
+    h = _mix(four[:len(last)] * np.uint64(0x9E3779B97F4A7C15) + (last ^ last >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9))
     n = np.array([len(x) // 2 for x in units])
     ends = np.cumsum(n)
     keep = np.ones(len(u), bool)
-    for back in range(1, K):
+    for back in range(1, k):
         keep[ends - back] = False  # shingles that would reach into the next line
-    starts = np.r_[0, np.cumsum(n - K + 1)[:-1]]
+    starts = np.r_[0, np.cumsum(n - k + 1)[:-1]]
     return h[keep[:len(h)]], starts
 
 
-def band_keys(forms: list[str]) -> np.ndarray:
-    """BANDS 64-bit keys of every line (lines x bands)."""
-    h, starts = shingles(forms)
+def band_keys(forms: list[str], k: int = K, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
+    """64-bit keys of every line (lines x bands)."""
+    h, starts = shingles(forms, k)
     low = (h >> np.uint64(32)).astype(np.uint32)
     moved = np.empty_like(low)
-    keys = np.zeros((len(forms), BANDS), np.uint64)
-    for i in range(BANDS * ROWS):
+    keys = np.zeros((len(forms), bands), np.uint64)
+    for i in range(bands * rows):
         v = np.minimum.reduceat(np.multiply(low, FACTORS[i], out=moved), starts)
-        keys[:, i // ROWS] = (keys[:, i // ROWS] ^ v.astype(np.uint64)) * FOLD[i]
-    keys += np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        keys[:, i // rows] = (keys[:, i // rows] ^ v.astype(np.uint64)) * FOLD[i]
+    keys += (np.arange(bands, dtype=np.uint64) + np.uint64(k << 32)) * np.uint64(0x9E3779B97F4A7C15)
     return _mix(keys)
 
 
-def similar_pairs(forms: list[str], threshold: float) -> np.ndarray:
-    """Boolean matrix: exact Jaccard similarity of the lines' shingle sets."""
-    h, starts = shingles(forms)
+def _least(m: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
+    """Similarity asked of two SHORT lines, the larger set having m shingles."""
+    return np.minimum(np.maximum((m - WORD) / (m + WORD), SHORT_LEAST), threshold)
+
+
+def _bands(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bands of K and of SHORT_K characters for lines of n characters.  The
+    longer line of a pair has the fewer SHORT_K bands, enough for the similarity
+    asked of its length.  A line of fewer than four shingles (two 16-bit units a
+    character at most) is linked only to an equal set: one band."""
+    k = np.where(2 * n < K + 3, 1, BANDS)
+    s = np.ceil(np.log(MISSED) / np.log1p(-_least(n - SHORT_K + 1.0) ** ROWS)).clip(BANDS, SHORT_BANDS).astype(int)
+    return k, np.where((n >= SHORT[0]) & (n <= SHORT[-1]), s, 0)
+
+
+def line_keys(forms: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """All keys of the lines, one line after the other, and their number by line."""
+    keys = np.zeros((len(forms), BANDS + SHORT_BANDS), np.uint64)
+    k, s = _bands(np.array([len(f) for f in forms]))
+    for n, at, args in ((k, slice(0, BANDS), (K, BANDS)), (s, slice(BANDS, None), (SHORT_K, SHORT_BANDS))):
+        some = np.flatnonzero(n)
+        if len(some):
+            keys[some, at] = band_keys([forms[i] for i in some], *args)
+    has = np.c_[np.arange(BANDS) < k[:, None], np.arange(SHORT_BANDS) < s[:, None]]
+    return keys[has], has.sum(1)
+
+
+def _shared(forms: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that each two lines share, and the sizes of the lines' shingle sets."""
+    h, starts = shingles(forms, k)
     owner = np.repeat(np.arange(len(forms)), np.diff(np.r_[starts, len(h)]))
     order = np.argsort(h, kind="stable")
     h, owner = h[order], owner[order]
@@ -122,7 +162,23 @@ def similar_pairs(forms: list[str], threshold: float) -> np.ndarray:
         m = np.zeros((len(forms), COLUMNS if b < len(code) else int(code[-1]) + 1 - s), np.float32)
         m[owner[a:b], code[a:b] - s] = 1
         both += m @ m.T
-    return both >= np.float32(threshold) * (size[:, None] + size[None, :] - both) - 1e-4
+    return both, size
+
+
+def _at_least(both: np.ndarray, size: np.ndarray, threshold) -> np.ndarray:
+    return both >= np.asarray(threshold, np.float32) * (size[:, None] + size[None, :] - both) - 1e-4
+
+
+def similar_pairs(forms: list[str], threshold: float) -> np.ndarray:
+    """Boolean matrix: exact Jaccard similarity of the lines' shingle sets, for
+    two SHORT lines also of their sets of shorter shingles."""
+    near = _at_least(*_shared(forms, K), threshold)
+    short = np.flatnonzero([len(f) in SHORT for f in forms])
+    if len(short) > 1:
+        both, size = _shared([forms[i] for i in short], SHORT_K)
+        m = np.maximum(size[:, None], size[None, :])
+        near[np.ix_(short, short)] |= _at_least(both, size, _least(m, threshold))
+    return near
 
 
 def _parts(forms: list[str]):
@@ -171,11 +227,11 @@ def _line_rows(docs: DataFrame, min_chars: int, with_text: bool) -> DataFrame:
                 if with_text:
                     out.append(pa.array(forms[s:e], pa.string()))
                 else:
-                    keys = band_keys(forms[s:e]).view(np.int64)
+                    keys, n = line_keys(forms[s:e])
                     of = pa.array(row[s:e], pa.int64())
                     out = [b.column("k_id").take(of), b.column("k_text").take(of), b.column("k_len").take(of),
                            pa.array(number[s:e], pa.int32()), *out,
-                           pa.ListArray.from_arrays(np.arange(0, keys.size + 1, BANDS, dtype=np.int32), keys.ravel())]
+                           pa.ListArray.from_arrays(np.r_[0, np.cumsum(n)].astype(np.int32), keys.view(np.int64))]
                 yield pa.RecordBatch.from_arrays(out, schema=None, names=schema.names)
 
     key = [] if with_text else [F.col("doc_id").alias("k_id"), F.xxhash64("text").alias("k_text"),

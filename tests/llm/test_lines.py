@@ -23,3 +23,31 @@ def test_op4_has_a_row_for_every_line_that_is_not_blank(spark):
     assert len(rows) == len(forms) and {(r.doc_id, r.line_no) for r in rows} == set(forms)
     kept = [forms[r.doc_id, r.line_no] for r in rows if r.kept]
     assert len(kept) == len(set(kept))
+
+
+def _edited(rng, n, edit):
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    words = ["".join(letters[rng.integers(0, 26, 5)]) for _ in range(n // 6 + 1)]
+    line = " ".join(words)[:n - 1] + "z"
+    at = 6 * int(rng.integers(1, n // 6 - 1))
+    if edit == "word":
+        return line, line[:at] + "".join(letters[rng.integers(0, 26, 5)]) + line[at + 5:]
+    return line, line[:at + 2] + ("7" if edit == "digit" else "é") + line[at + 3:]
+
+
+def test_small_edits_of_short_lines_are_linked(spark):
+    rng = np.random.default_rng(8)
+    cases = [_edited(rng, n, e) for n in range(40, 121, 4) for e in ("letter", "digit", "word") for _ in range(4)]
+    assert all(line_dedup.similar_pairs(list(c), 0.8)[0, 1] for c in cases)
+    assert not line_dedup.similar_pairs([a for a, _ in cases], 0.8)[~np.eye(len(cases), dtype=bool)].any()
+    docs = spark.createDataFrame([(i * 2 + j, x) for i, c in enumerate(cases) for j, x in enumerate(c)], "doc_id long, text string")
+    got = {r.k_id: (r.first.k_id, r.kept) for r in line_dedup.line_clusters(docs).collect()}
+    assert all(got[2 * i] == (2 * i, True) for i in range(len(cases)))
+    assert sum(got[2 * i + 1] == (2 * i, False) for i in range(len(cases))) >= 0.99 * len(cases)
+
+
+def test_lines_that_share_less_stay_apart():
+    a = "the first of these lines is about apples and pears"
+    b = "the second of those lines was about plums or pears"
+    assert not line_dedup.similar_pairs([a, b, "part 11", "part 12"], 0.8)[~np.eye(4, dtype=bool)].any()
+    assert not line_dedup.similar_pairs(["-" * 60, "=" * 60], 0.8)[0, 1]
