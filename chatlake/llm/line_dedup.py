@@ -16,10 +16,11 @@ component the first occurrence stays, by doc_id, then hash of the text, then
 line number; all others are removed from their documents.
 
 1. One pass over the texts gives a row per line: two 64-bit hashes of the form,
-   its band keys (``_bands``).
-2. Keys are counted, with partial aggregation; only those that occur more than
-   once are joined back to their lines.  A key held by several lines is a
-   bucket; buckets with the same members are compared once (two near copies
+   its band keys (``_bands``).  A task gives the keys of a form once: they
+   are the same for its repeats, which have their rows without keys.
+2. The smallest and largest line hash of each key are found, with partial
+   aggregation; only keys of two lines or more are joined back to their lines,
+   by a broadcast where they are few.  A key held by several lines is a bucket; buckets with the same members are compared once (two near copies
    meet in most bands).
 3. Only lines in a bucket fetch their text.  A group holds one bucket, or one
    pair of chunks of a bucket beyond ``CHUNK`` lines.  Groups stream, sorted,
@@ -30,8 +31,8 @@ line number; all others are removed from their documents.
    partial aggregation, so a line repeated in a third of the documents is no
    hot group.
 
-With 9 bands of 4 values a pair at similarity 0.8 meets with probability
-0.991, one at 0.9 with 0.9999.
+With 12 bands of 4 values a pair at similarity 0.8 meets with probability
+0.998, one at 0.9 with 0.999997.
 SHORT lines have 36 (40 characters) to 12 (from 77) bands of 4 values: a pair at
 the similarity asked of its length meets with probability 0.993 or more.
 
@@ -53,7 +54,7 @@ from chatlake.llm.common import saved
 from chatlake.llm.components import components
 
 K = 8              # characters in a shingle
-BANDS, ROWS = 9, 4
+BANDS, ROWS = 12, 4
 SHORT = range(40, 160)  # characters of lines that are also compared by shorter shingles
 SHORT_K, SHORT_BANDS, SHORT_LEAST = 5, 36, 0.6
 MISSED = 0.007     # share of SHORT pairs at the similarity asked that may not meet
@@ -61,6 +62,7 @@ WORD = 9           # SHORT_K-character shingles that a word of five letters is i
 MIN_CHARS = 1      # blank lines alone take no part
 THRESHOLD = 0.8
 CHUNK = 256        # lines on one side of a verification group
+SEEN = 1 << 18     # line hashes a task remembers, to give keys once
 FEW_LINES = 1_000_000  # line hashes that may be broadcast (8 bytes each)
 COLUMNS = 8192     # shingles of a group multiplied at once
 PART = 1 << 16     # characters of lines signed at once (fits the cache)
@@ -200,7 +202,8 @@ def _hash128(form: str) -> tuple[int, int]:
 
 def _line_rows(docs: DataFrame, min_chars: int, with_text: bool) -> DataFrame:
     """A row per line that takes part: document key, line number, two hashes
-    and the band keys, or (``with_text``) hashes and the normalised line."""
+    and the keys (none where the task gave them before), or (``with_text``)
+    hashes and the normalised line, repeats left out within a task."""
     fields = [T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType())]
     if with_text:
         fields.append(T.StructField("form", T.StringType()))
@@ -212,6 +215,7 @@ def _line_rows(docs: DataFrame, min_chars: int, with_text: bool) -> DataFrame:
     signed = lambda values: pa.array(np.array(values, np.uint64).view(np.int64))
 
     def run(batches):
+        seen = set()  # forms whose keys or text this task has given
         for b in batches:
             row, number, forms = [], [], []
             for r, text in enumerate(b.column("text").to_pylist()):
@@ -223,11 +227,22 @@ def _line_rows(docs: DataFrame, min_chars: int, with_text: bool) -> DataFrame:
                         forms.append(form)
             for s, e in _parts(forms):
                 h = [_hash128(f) for f in forms[s:e]]
+                first = []
+                for i, x in enumerate(h):
+                    if x not in seen:
+                        seen.add(x)
+                        first.append(i)
+                if len(seen) > SEEN:
+                    seen.clear()
+                new = [forms[s + i] for i in first]
+                if with_text:
+                    h = [h[i] for i in first]
                 out = [signed([x for x, _ in h]), signed([y for _, y in h])]
                 if with_text:
-                    out.append(pa.array(forms[s:e], pa.string()))
+                    out.append(pa.array(new, pa.string()))
                 else:
-                    keys, n = line_keys(forms[s:e])
+                    n = np.zeros(e - s, np.int64)
+                    keys, n[first] = line_keys(new) if new else (np.zeros(0, np.uint64), 0)
                     of = pa.array(row[s:e], pa.int64())
                     out = [b.column("k_id").take(of), b.column("k_text").take(of), b.column("k_len").take(of),
                            pa.array(number[s:e], pa.int32()), *out,
@@ -287,9 +302,11 @@ def _edges(groups: DataFrame, threshold: float) -> DataFrame:
 def _groups(rows: DataFrame, docs: DataFrame, min_chars: int, chunk: int) -> DataFrame:
     """bucket, ci, cj, c, h1, h2, form: the lines of every group to verify."""
     keyed = rows.select("h1", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
-    # a line that occurs often shares its keys with itself: distinct, then count again
-    cand = saved(keyed.join(shared.hint("shuffle_hash"), "key").distinct(), "line-candidates")
+    # a line that occurs often shares its keys with itself: only other lines count
+    shared = saved(keyed.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high"))
+                   .where("low < high").select("key"), "line-shared")
+    few = shared.count() <= FEW_LINES
+    cand = saved(keyed.join(F.broadcast(shared) if few else shared.hint("shuffle_hash"), "key").distinct(), "line-candidates")
     buckets = (cand.groupBy("key").agg(F.count("*").alias("m"), F.bit_xor("h1").alias("x"),
                                        F.bit_xor(F.xxhash64("h1")).alias("y"))
                .where("m > 1").groupBy("m", "x", "y").agg(F.min("key").alias("bucket"))

@@ -51,3 +51,26 @@ def test_lines_that_share_less_stay_apart():
     b = "the second of those lines was about plums or pears"
     assert not line_dedup.similar_pairs([a, b, "part 11", "part 12"], 0.8)[~np.eye(4, dtype=bool)].any()
     assert not line_dedup.similar_pairs(["-" * 60, "=" * 60], 0.8)[0, 1]
+
+
+def test_bands_let_few_pairs_at_the_threshold_pass():
+    assert 1 - (1 - 0.8 ** line_dedup.ROWS) ** line_dedup.BANDS >= 0.995
+    rng = np.random.default_rng(4)
+    letters = np.array(list("abcdefghijklmnop qrstuvwxyz"))
+    met = 0
+    for _ in range(500):
+        a = letters[rng.integers(0, 27, 300)]
+        b = a.copy()
+        b[[40, 110, 180, 250]] = "#"  # 32 of 293 shingles differ on each side: similarity 0.803
+        keys = line_dedup.band_keys(["".join(a), "".join(b)])
+        met += (keys[0] == keys[1]).any()
+    assert met >= 0.99 * 500
+
+
+def test_a_line_repeated_within_a_task_gives_its_keys_once(spark):
+    line = "one long line that stands in a lot of documents, again and again"
+    docs = spark.createDataFrame([(i, f"{line}\nown {i}") for i in range(50)], "doc_id long, text string").coalesce(1)
+    rows = line_dedup._line_rows(docs, 1, with_text=False).collect()
+    assert len(rows) == 100 and sum(len(r["keys"]) > 0 for r in rows) == 51
+    got = line_dedup.deduplicate(docs).collect()
+    assert sum(line in r.text for r in got) == 1
