@@ -197,15 +197,17 @@ def links(prints: DataFrame, n: int, radius: int = RADIUS, bucket: int = BUCKET,
 
 
 def clusters(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """(k_id, k_text, k_len, fp, component_id), one row per document;
-    component_id is the smallest doc_id reachable over links."""
+    """(k_id, k_text, k_len, fp, component_id, root), one row per document;
+    component_id is the smallest doc_id reachable over links, root the
+    component's smallest fingerprint.  Components whose ids are NULL or repeat
+    may share a component_id, never a root."""
     rows = checkpoint(fingerprints(docs, shingle))
     prints = checkpoint(rows.groupBy("fp").agg(F.min("k_id").alias("low")))
     comp = components(links(prints.select("fp"), prints.count(), radius))
     joined = prints.join(comp, F.col("fp") == F.col("node"), "left").select(
         "fp", "low", F.coalesce("root", "fp").alias("root"))
     low = joined.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = joined.join(low, "root").select(F.col("fp").alias("of"), "component_id")
+    named = joined.join(low, "root").select(F.col("fp").alias("of"), "component_id", "root")
     return rows.join(named, F.col("fp") == F.col("of")).drop("of")
 
 
@@ -213,7 +215,7 @@ def deduplicate(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -
     """One document of each component: the one with the smallest doc_id, of
     rows that share it the first by (hash of text, length); rows that repeat
     it whole collapse to one."""
-    found = clusters(docs, shingle, radius).groupBy("component_id").agg(
+    found = clusters(docs, shingle, radius).groupBy("root").agg(
         F.min(F.struct(F.col("k_id").isNull().alias("no_id"), "k_id", "k_text", "k_len")).alias("s"))
     kept = found.select("s.k_id", "s.k_text", "s.k_len")
     return key_join(docs, kept, "left_semi").dropDuplicates(["doc_id", "text"])
