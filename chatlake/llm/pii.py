@@ -10,10 +10,12 @@ same key gives the text back.
 kind    validated                                    kept
 card    13 to 19 digits, Luhn check digit right      length, punctuation, a right check digit
 ssn     ddd-dd-dddd outside the ranges never issued  punctuation, validity
-phone   +country (area) exchange-line, 10 to 15 digits punctuation, country code, exchange
+phone   +country (area) exchange-line or in pairs, 10 to 15 digits punctuation, country code
+        (area) exchange-line, area-exchange-line, 0d dd dd dd dd  punctuation, validity
 ip      four numbers 0 to 255 without leading zeros  validity
-date    a day of 1900 to 2099: y-m-d, d.m.y, m/d/y   form, validity, leading zeros
-iban    2 letters, mod-97 check                      country, length, right check digits
+date    a day of 1900 to 2099: y-m-d (also before T), form, validity, leading zeros
+        d.m.y, m/d/y, and d/m/y where that is no m/d/y
+iban    2 letters, the country's length, mod-97      country, length, right check digits, each letter a letter
 email   local part @ domain with a dot               domain, each letter a letter, each digit a digit
 
 The whole text is read.  NULL texts stay NULL.  The permutation depends on the
@@ -39,16 +41,27 @@ ROUNDS = 8
 FIRST, LAST = dt.date(1900, 1, 1).toordinal(), dt.date(2099, 12, 31).toordinal()
 PATTERN = re.compile(
     r"(?P<email>(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"
-    r"|(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[0-9]{4}){2,7}(?: ?[0-9]{1,3})?(?![A-Za-z0-9]))"
-    r"|(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3,4}[ .-]?\d{3,4}(?![\w-]))"
-    r"|(?P<iso>(?<![\w.-])\d{4}-\d{2}-\d{2}(?![\w-]))"
+    r"|(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))"
+    r"|(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?(?:(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3,4}[ .-]?\d{3,4}"
+    r"|(?:(?:\(0\))?\d{1,2}[ .-])?\d{2}(?:[ .-]\d{2}){3})(?![\w-]))"
+    r"|(?P<nanp>(?<![\w+.-])(?:1[ .-])?(?:\([2-9]\d{2}\)[ -]?[2-9]\d{2}[ .-]\d{4}"
+    r"|[2-9]\d{2}(?P<sep>[.-])[2-9]\d{2}(?P=sep)\d{4})(?!\w|[.-]\d))"
+    r"|(?P<pairs>(?<![\w+.-])0[1-9](?P<sep2>[ .-])\d{2}(?:(?P=sep2)\d{2}){3}(?!\w|[ .-]\d))"
+    r"|(?P<iso>(?<![\w.-])\d{4}-\d{2}-\d{2}(?:(?=T\d{2})|(?![\w-])))"
     r"|(?P<dmy>(?<![\w.])\d{1,2}\.\d{1,2}\.\d{4}(?!\w|\.\d))"
     r"|(?P<mdy>(?<![\w/])\d{1,2}/\d{1,2}/\d{4}(?![\w/]))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
     r"|(?P<ip>(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d))"
     r"|(?P<card>(?<![A-Za-z0-9])(?:\d{13,19}|\d{4}(?P<gap>[ -])\d{4}(?P=gap)\d{4}(?P=gap)\d{1,7}"
     r"|\d{4}(?P<gap2>[ -])\d{6}(?P=gap2)\d{5})(?![A-Za-z0-9]))")
-KINDS = ["email", "iban", "phone", "iso", "dmy", "mdy", "ssn", "ip", "card"]
+KINDS = ["email", "iban", "phone", "nanp", "pairs", "iso", "dmy", "mdy", "ssn", "ip", "card"]
+NAMES = {"iso": "date", "dmy": "date", "mdy": "date", "nanp": "phone", "pairs": "phone"}
+# characters of an IBAN by country (the registry's)
+IBAN = {c[:2]: int(c[2:]) for c in (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 "
+    "FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 "
+    "LY25 MC27 MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 QA29 RO24 RS22 SA24 SC31 SE24 SI19 SK24 SM27 "
+    "ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20").split()}
 QUICK = re.compile(r"[0-9@]")
 
 
@@ -115,11 +128,26 @@ def _days() -> dict[tuple[bool, bool], list[int]]:
     return out
 
 
+@lru_cache(maxsize=1)
+def _late_days() -> dict[tuple[bool, bool], list[int]]:
+    return {k: [n for n in days if dt.date.fromordinal(n).day > 12] for k, days in _days().items()}
+
+
 @lru_cache(maxsize=1)
 def _areas() -> list[int]:
     return [a for a in range(1, 900) if a != 666]
 
 
+def _iban_stop(text: str, m: re.Match) -> int:
+    """End of the country's length where a group ends there, else of the match."""
+    left = IBAN.get(m[0][:2], 0)
+    for i in range(m.start(), m.end()):
+        left -= text[i] != " "
+        if not left:
+            return i + 1 if i + 1 == m.end() or text[i + 1] == " " else m.end()
+    return m.end()
+
+
 class Pseudonyms:
     def __init__(self, key: bytes, invert: bool = False):
         self.key, self.invert = hashlib.blake2b(key).digest(), invert
@@ -131,31 +159,38 @@ class Pseudonyms:
     def _digits(self, tweak: str, digits: str) -> str:
         return str(self._move(tweak, 10 ** len(digits), int(digits))).zfill(len(digits))
 
-    def email(self, v: str) -> str:
-        local, _, domain = v.partition("@")
+    def _shaped(self, tweak: str, local: str) -> str | None:
+        """Each letter a letter, each digit a digit; None where there is neither."""
         bases = [(26, "a") if c.islower() else (26, "A") if c.isalpha() else (10, "0") if c.isdigit() else None for c in local]
         x, size = 0, 1
         for c, b in zip(local, bases):
             if b:
                 x, size = x * b[0] + ord(c) - ord(b[1]), size * b[0]
         if size < 2:
-            return v
+            return None
         shape = "".join(b[1] if b else c for c, b in zip(local, bases))
-        x, out = self._move(f"email {shape}", size, x), []
+        x, out = self._move(f"{tweak} {shape}", size, x), []
         for c, b in zip(reversed(local), reversed(bases)):
             if b:
                 x, r = divmod(x, b[0])
                 c = chr(ord(b[1]) + r)
             out.append(c)
-        return "".join(reversed(out)) + "@" + domain
+        return "".join(reversed(out))
+
+    def email(self, v: str) -> str:
+        local, _, domain = v.partition("@")
+        new = self._shaped("email", local)
+        return v if new is None else f"{new}@{domain}"
 
     def iban(self, v: str) -> str | None:
         flat = v.replace(" ", "")
         check = lambda s: int("".join(str(int(c, 36)) for c in s[4:] + s[:4]))
         if not 15 <= len(flat) <= 34 or check(flat) % 97 != 1 or not 2 <= int(flat[2:4]) <= 98:
             return None
-        body = self._digits(f"iban {flat[:2]}", flat[4:])
-        return v[:2] + _refill(v[2:], f"{98 - check(flat[:2] + '00' + body) % 97:02d}" + body)
+        body = flat[4:]
+        body = self._digits(f"iban {flat[:2]}", body) if body.isdigit() else self._shaped(f"iban {flat[:2]}", body)
+        it = iter(f"{98 - check(flat[:2] + '00' + body) % 97:02d}" + body)
+        return v[:2] + "".join(c if c == " " else next(it) for c in v[2:])
 
     def phone(self, v: str) -> str | None:
         digits = re.sub(r"\D", "", v)
@@ -164,20 +199,26 @@ class Pseudonyms:
         country = re.match(r"\+(\d{1,3})", v)[1]
         if not re.match(r"\+\d{1,3}[ .(-]", v):
             country = digits[:len(digits) - 9]
-        rest = digits[len(country):]
-        exchange = re.search(r"\D(\d{3})\D+\d{4}$", v)
-        if exchange and len(rest) == 10:  # area and line move, the exchange stays
-            new = self._digits(f"phone {country}", rest[:3] + rest[6:])
-            return _refill(v, country + new[:3] + rest[3:6] + new[3:])
-        return _refill(v, country + self._digits(f"phone {country}", rest))
-
-    def _day(self, y: str, m: str, d: str) -> dt.date | None:
+        return _refill(v, country + self._digits(f"phone {country}", digits[len(country):]))
+
+    def nanp(self, v: str) -> str:
+        digits = re.sub(r"\D", "", v)
+        area, exchange, line = int(digits[-10:-7]) - 200, int(digits[-7:-4]) - 200, int(digits[-4:])
+        x, line = divmod(self._move("phone nanp", 800 * 800 * 10_000, (area * 800 + exchange) * 10_000 + line), 10_000)
+        return _refill(v, f"{digits[:-10]}{x // 800 + 200}{x % 800 + 200}{line:04d}")
+
+    def pairs(self, v: str) -> str:
+        x = self._move("phone pairs", 9 * 10 ** 8, int(re.sub(r"\D", "", v)) - 10 ** 8)
+        return _refill(v, f"0{x + 10 ** 8}")
+
+    def _day(self, y: str, m: str, d: str, late: bool = False) -> dt.date | None:
+        """``late``: stays after the 12th, so that d/m/y is never read as m/d/y."""
         n = _day(y, m, d)
         if n is None:
             return None
         kind = _width_class(dt.date.fromordinal(n))
-        days = _days()[kind]
-        return dt.date.fromordinal(days[self._move(f"date {kind}", len(days), bisect_left(days, n))])
+        days = _late_days()[kind] if late else _days()[kind]
+        return dt.date.fromordinal(days[self._move(f"date {'late ' * late}{kind}", len(days), bisect_left(days, n))])
 
     def iso(self, v: str) -> str | None:
         new = self._day(*v.split("-"))
@@ -185,7 +226,7 @@ class Pseudonyms:
 
     def _written(self, v: str, sep: str, day_first: bool) -> str | None:
         a, b, y = v.split(sep)
-        new = self._day(y, b, a) if day_first else self._day(y, a, b)
+        new = self._day(y, b, a, late=sep == "/") if day_first else self._day(y, a, b)
         if new is None:
             return None
         x, z = (new.day, new.month) if day_first else (new.month, new.day)
@@ -195,7 +236,7 @@ class Pseudonyms:
         return self._written(v, ".", True)
 
     def mdy(self, v: str) -> str | None:
-        return self._written(v, "/", False)
+        return self._written(v, "/", False) or self._written(v, "/", True)
 
     def ssn(self, v: str) -> str | None:
         a, g, s = map(int, v.split("-"))
@@ -225,13 +266,19 @@ class Pseudonyms:
         if not text or not QUICK.search(text):
             return text, []
         out, found, at = [], [], 0
-        for m in PATTERN.finditer(text):
-            kind = next(k for k in KINDS if m[k] is not None)
-            new = getattr(self, kind)(m[0])
+        m = PATTERN.search(text)
+        while m:
+            kind, stop = next(k for k in KINDS if m[k] is not None), m.end()
+            if kind == "iban":  # what follows may look like a further group
+                stop = _iban_stop(text, m)
+            new = getattr(self, kind)(text[m.start():stop])
             if new is not None:
                 out += [text[at:m.start()], new]
-                at = m.end()
-                found.append((m.start(), m.end(), "date" if kind in ("iso", "dmy", "mdy") else kind))
+                at = stop
+                found.append((m.start(), stop, NAMES.get(kind, kind)))
+            elif kind == "iban":  # other values may stand in its groups
+                stop = m.start() + 4
+            m = PATTERN.search(text, stop)
         return "".join([*out, text[at:]]), found
 
 
