@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatlake.llm import (decontaminate, kdtree, language, licenses, line_dedup, mixing, pii, simhash, toxicity, urls)
+from chatlake.llm import (decontaminate, kdtree, language, lexical, licenses, line_dedup, mixing, periods, pii, simhash,
+                          toxicity, urls)
 from chatlake.llm.common import table
 
 MIX_WEIGHTS = {"src0": 4, "src1": 2, "src2": 2}  # every other source: 1
@@ -67,9 +68,38 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("k_id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def _repeating(docs: DataFrame) -> DataFrame:
+    """The documents of this query's contract: by a hash of the id, in every
+    tenth the words from one on repeat with a period.  No id: unchanged."""
+    w, n, at, size = F.col("w"), F.col("n"), F.col("at"), F.col("size")
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10).cast("long")
+    docs = docs.select("doc_id", "text", g.alias("g"), F.explode(F.array(F.when(h % 10 == 0, F.regexp_extract_all(
+        "text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))))).alias("w"))     # cut into words once, below the generator
+    docs = docs.withColumn("n", F.size("w")).withColumn("at", F.when(n > 0, F.col("g") % n).cast("int"))
+    docs = docs.withColumn("size", (1 + F.floor((n - at) / (3 + F.col("g") % 8))).cast("int"))
+    again = F.flatten(F.array_repeat(F.slice(w, at + 1, size), F.ceil((n - at) / size).cast("int")))
+    text = F.array_join(F.concat(F.slice(w, F.lit(1), at), F.slice(again, F.lit(1), n - at)), " ")
+    return docs.select("doc_id", F.when(n > 0, text).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periods.periodic_runs(_repeating(table(spark, sf_dir, "documents")))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    text = F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    return found.withColumn("best", periods.densest_run(F.col("runs"))).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000L * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.encode(text, "UTF-8"), 256).alias("runs_sha256"), F.sha2(F.encode("collapsed", "UTF-8"), 256).alias("collapsed_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [op1_topk, op2_mix, op3_licenses, op4_lines, op5_language, op6_toxicity, op7_decontaminate, op8_urls, op9_pii,
-             op10_simhash]
+             op10_simhash, op11_lexical, op13_periods]
     return {f.__name__: f for f in found}
 
 
@@ -138,9 +168,84 @@ FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
 
+OP11_SQL = r"""
+WITH words AS (
+  SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+docs AS (SELECT doc_id, r, w, CAST(len(w) AS BIGINT) AS n FROM words WHERE len(w) > 0),
+size AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM docs),
+asked AS (
+  SELECT item_id, text, term, count(*) AS times
+  FROM (SELECT item_id, text, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+          '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM (SELECT DISTINCT item_id, text FROM benchmark))
+  GROUP BY item_id, text, term),
+held AS (
+  SELECT r, doc_id, term, count(*) AS tf, 25 + (75 * n * docs) // terms AS m
+  FROM (SELECT r, doc_id, n, unnest(w) AS term FROM docs), size
+  WHERE term IN (SELECT term FROM asked) GROUP BY r, doc_id, n, term, docs, terms),
+weight AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM held, size GROUP BY term, docs),
+found AS (
+  SELECT item_id, text, r, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM asked JOIN held USING (term) JOIN weight USING (term) GROUP BY item_id, text, r, doc_id)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id) AS rank FROM found WHERE score > 0)
+WHERE rank <= 10
+"""
+
+# Runs by gaps and islands: where eight words equal those q further, one row; a
+# stretch of such rows, and seven words more, is where words equal those q further.
+# crc32 by table: eight halvings for each of 256 bytes, then one look-up a digit.
+OP13_SQL = r"""
+WITH tab AS (
+  SELECT list_transform(range(256), lambda b: list_reduce(list_concat([b], [0, 0, 0, 0, 0, 0, 0, 0]),
+    lambda s, z: xor(s >> 1, 3988292384 * (s & 1)))) AS t),
+d0 AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ord(c) AS BIGINT))),
+           lambda s, b: xor(s >> 8, t[(xor(s, b) & 255) + 1])), 4294967295) AS h
+  FROM documents, tab),
+d1 AS (SELECT *, CAST(len(w) AS BIGINT) AS n, h // 10 AS g FROM d0),
+d2 AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN g % n END AS a FROM d1),
+d AS (
+  SELECT doc_id, n, CASE WHEN a IS NULL THEN w ELSE
+    list_transform(range(0, n), lambda i: CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % (1 + (n - a) // (3 + g % 8)) + 1] END) END AS w
+  FROM d2),
+grams AS (
+  SELECT doc_id, n, i, array_to_string(w[i + 1:i + 8], ' ') AS gram
+  FROM (SELECT doc_id, n, w, unnest(range(0, n - 7)) AS i FROM d WHERE n >= 24)),
+same AS (
+  SELECT x.doc_id, y.i - x.i AS q, x.i FROM grams x JOIN grams y ON x.doc_id = y.doc_id AND x.gram = y.gram AND x.i < y.i
+  WHERE 3 * (y.i - x.i) <= x.n),
+isles AS (
+  SELECT doc_id, q, min(i) AS start, count(*) + 7 + q AS length
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS isle FROM same)
+  GROUP BY doc_id, q, isle),
+runs AS (
+  SELECT doc_id, start, length, min(q) AS period FROM isles WHERE length >= greatest(24, 3 * q) GROUP BY doc_id, start, length),
+best AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CAST(length AS DOUBLE) / period DESC, start, period) AS nth FROM runs)
+  WHERE nth = 1),
+told AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(concat(start, ',', length, ',', period, chr(10)), '' ORDER BY start, period) AS lines
+  FROM runs GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (
+  SELECT x.doc_id, string_agg(x.word, ' ' ORDER BY x.i) AS collapsed
+  FROM (SELECT doc_id, unnest(w) AS word, unnest(range(0, n)) AS i FROM d WHERE doc_id IN (SELECT doc_id FROM runs)) x
+  LEFT JOIN gone ON gone.doc_id = x.doc_id AND gone.i = x.i WHERE gone.i IS NULL GROUP BY x.doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli,
+       sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(collapsed, array_to_string(w, ' '))) AS collapsed_sha256
+FROM d LEFT JOIN best USING (doc_id) LEFT JOIN told USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_topk": OP1_SQL,
         "op2_mix": OP2_SQL,
         "op7_decontaminate": OP7_SQL,
+        "op11_lexical": OP11_SQL,
+        "op13_periods": OP13_SQL,
     }
