@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatlake.llm import (decontaminate, kdtree, language, lexical, licenses, line_dedup, mixing, periods, pii, simhash,
-                          toxicity, urls)
+from chatlake.llm import (decontaminate, kdtree, language, lexical, licenses, line_dedup, mixing, neighbours, periods, pii,
+                          simhash, toxicity, urls)
 from chatlake.llm.common import table
 
 MIX_WEIGHTS = {"src0": 4, "src1": 2, "src2": 2}  # every other source: 1
@@ -72,6 +72,10 @@ def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def _repeating(docs: DataFrame) -> DataFrame:
     """The documents of this query's contract: by a hash of the id, in every
     tenth the words from one on repeat with a period.  No id: unchanged."""
@@ -99,7 +103,7 @@ def op13_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [op1_topk, op2_mix, op3_licenses, op4_lines, op5_language, op6_toxicity, op7_decontaminate, op8_urls, op9_pii,
-             op10_simhash, op11_lexical, op13_periods]
+             op10_simhash, op11_lexical, op12_neighbours, op13_periods]
     return {f.__name__: f for f in found}
 
 
