@@ -21,8 +21,7 @@ above), which are scored and merged into the pool.  A query starts from its own
 node, which the graph holds, or, if it is no node, from members of its cells.  It
 ends when no pool has an unexpanded node among its ``EXPAND`` best, or after ``STEPS``.
 
-Vectors travel as 16-bit floats of unit length; only the pool's order depends on
-them.  The ``RESCORED`` best nodes of a pool are scored again from the original
+Vectors travel as 16-bit whole numbers; only the pool's order depends on them.  The ``RESCORED`` best nodes of a pool are scored again from the original
 vectors in double precision, and ranked by that, ties by smaller vec_id.  Every
 row is indexed and can be found.  Samples of a node's listers bound a group; a
 lister that is not drawn still has the node in its own list.
@@ -49,7 +48,7 @@ TREES, LEAF = 8, 512
 CELL_BEST = 14     # neighbours that a node takes from one cell
 NODE_BEST = 8      # candidates that a node takes from one meeting
 ROUNDS, STILL = 8, 0.05
-POOL, EXPAND, STEPS, RESCORED = 96, 24, 3, 24
+POOL, EXPAND, STEPS, RESCORED = 96, 24, 3, 48
 SEED = 20240917
 
 
@@ -61,19 +60,19 @@ def _usable(x: Column) -> Column:
     return F.coalesce(finite & F.exists(x, lambda v: v != 0), F.lit(False))
 
 
-def _codes(batch: pa.RecordBatch) -> list[bytes]:
-    """Unit vectors of a column of arrays of double as 16-bit floats."""
+def _codes(vectors: list) -> list[bytes]:
+    """Vectors as 16-bit whole numbers, 32767 being the largest component."""
     out = []
-    for v in batch:
+    for v in vectors:
         x = np.asarray(v, np.float64)
-        x = x / np.abs(x).max()
-        out.append((x / np.sqrt((x * x).sum())).astype(np.float16).tobytes())
+        out.append(np.rint(32767 * (x / np.abs(x).max())).astype(np.int16).tobytes())
     return out
 
 
 def _unit(column: pa.Array) -> np.ndarray:
-    """Rows of a binary column of 16-bit floats, all of one length."""
-    return np.frombuffer(b"".join(column.to_pylist()), np.float16).reshape(len(column), -1).astype(np.float32)
+    """Unit vectors of a binary column of ``_codes``, all of one length."""
+    x = np.frombuffer(b"".join(column.to_pylist()), np.int16).reshape(len(column), -1).astype(np.float32)
+    return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
 def nodes(vectors: DataFrame, trees: int = TREES, leaf: int = LEAF) -> tuple[DataFrame, DataFrame]:
@@ -209,7 +208,7 @@ def build(found: DataFrame, k: int = LIST, back: int = BACK, leaf: int = LEAF, r
 
 
 def _scored(pairs: DataFrame, found: DataFrame, queries: DataFrame) -> DataFrame:
-    """(q, w, sim) of pairs (q, w), from the 16-bit vectors."""
+    """(q, w, sim) of pairs (q, w) of one length, from the 16-bit vectors."""
     def work(batches):
         for b in batches:
             if b.num_rows:

@@ -235,15 +235,18 @@ def kept_words(n: int, runs: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.cumsum(gone[:-1]) == 0)
 
 
-def _chunks(words: list[list[bytes]]):
-    at = size = 0
-    for i, w in enumerate(words):
+def _chunks(texts: pa.Array):
+    """Words of the texts, of about CHUNK words at once."""
+    words, size = [], 0
+    for t in texts:
+        w = (t.as_py() or b"").split()
         if size and size + len(w) > CHUNK:
-            yield words[at:i]
-            at, size = i, 0
+            yield words
+            words, size = [], 0
+        words.append(w)
         size += len(w)
-    if at < len(words):
-        yield words[at:]
+    if words:
+        yield words
 
 
 def periodic_runs(docs: DataFrame, least: int = LEAST, times: int = TIMES) -> DataFrame:
@@ -255,9 +258,9 @@ def periodic_runs(docs: DataFrame, least: int = LEAST, times: int = TIMES) -> Da
 
     def work(batches):
         for b in batches:
-            texts = b.column(b.schema.names.index("text")).cast(pa.binary()).to_pylist()
+            texts = b.column(b.schema.names.index("text")).cast(pa.binary())
             sizes, runs, collapsed = [], [], []
-            for words in _chunks([t.split() if t else [] for t in texts]):
+            for words in _chunks(texts):
                 number = defaultdict(count().__next__)
                 ids = [np.fromiter(map(number.__getitem__, w), np.int64, len(w)) for w in words]
                 for w, found in zip(words, find_runs(ids, least, times)):

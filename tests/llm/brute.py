@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import string
+import zlib
+from collections import Counter
 from itertools import combinations
 
 import xxhash
@@ -66,33 +69,47 @@ def near_prints(prints, radius=3):
                                if (a ^ b).bit_count() <= radius])
 
 
-def similar_lines(forms, k=8, threshold=0.8):
-    """Component of every line form; similarity on sets of k-character shingles."""
-    sets = [{f[i:i + k] for i in range(max(1, len(f) - k + 1))} for f in forms]
+def shingle_sets(forms, k):
+    return [{f[i:i + k] for i in range(max(1, len(f) - k + 1))} for f in forms]
+
+
+def similar_lines(forms, threshold=0.8):
+    """Component of every line form: Jaccard similarity of the sets of 8-character
+    shingles, and for two lines of 40 to 159 characters of 5-character ones, with
+    a threshold that follows the larger set."""
+    long, short = shingle_sets(forms, 8), shingle_sets(forms, 5)
     pairs = []
     for i, j in combinations(range(len(forms)), 2):
-        a, b = sets[i], sets[j]
-        if min(len(a), len(b)) >= threshold * max(len(a), len(b)) and len(a & b) >= threshold * len(a | b):
+        a, b = long[i], long[j]
+        near = min(len(a), len(b)) >= threshold * max(len(a), len(b)) and len(a & b) >= threshold * len(a | b)
+        if not near and 40 <= len(forms[i]) < 160 and 40 <= len(forms[j]) < 160:
+            a, b = short[i], short[j]
+            m = max(len(a), len(b))
+            asked = min(max((m - 9) / (m + 9), 0.6), threshold)
+            near = min(len(a), len(b)) >= asked * m and len(a & b) >= asked * len(a | b) - 1e-4
+        if near:
             pairs.append((i, j))
     return union(len(forms), pairs)
 
 
-def dedup_lines(docs, min_chars=40):
-    """docs: list of (doc_id, text); the texts without repeated lines."""
-    order = sorted(range(len(docs)), key=lambda i: docs[i][0])
-    occ = [(docs[i][0], n, " ".join(x.split()).lower()) for i in order if docs[i][1] is not None
-           for n, x in enumerate(docs[i][1].split("\n"))]
-    occ = [o for o in occ if len(o[2]) >= min_chars]
+def line_components(docs):
+    """{(doc_id, line): (component, kept)} of every line that is not blank; docs:
+    (doc_id, text) with distinct ids."""
+    occ = [(d, n, " ".join(x.split()).lower()) for d, t in sorted(docs) if t is not None for n, x in enumerate(t.split("\n"))]
+    occ = [o for o in occ if o[2]]
     forms = sorted({o[2] for o in occ})
-    comp = dict(zip(forms, similar_lines(forms)))
-    kept, seen = set(), set()
+    comp, seen, out = dict(zip(forms, similar_lines(forms))), set(), {}
     for d, n, f in occ:
-        if comp[f] not in seen:
-            seen.add(comp[f])
-            kept.add((d, n))
-    part = {(d, n) for d, n, _ in occ}
-    return [(d, None if t is None else "\n".join(
-        x for n, x in enumerate(t.split("\n")) if (d, n) not in part or (d, n) in kept)) for d, t in docs]
+        out[d, n] = comp[f], comp[f] not in seen
+        seen.add(comp[f])
+    return out
+
+
+def dedup_lines(docs):
+    """docs: (doc_id, text) with distinct ids; the texts without repeated lines."""
+    part = line_components(docs)
+    return [(d, None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if part.get((d, n), (0, True))[1]))
+            for d, t in docs]
 
 
 def edf_slots(weights):
@@ -120,3 +137,61 @@ def mix(docs, weights, default=1, block=8):
             b = k // block
             out[d] = (b, k % block, b // w[s] * p + slots[s, b % w[s]])
     return out
+
+
+TERMS = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def lexical(docs, items, k=10):
+    """docs: (doc_id, text), items: (item_id, text); rows (item_id, rank, doc_id, score)."""
+    words_of = [(d, TERMS.findall((t or "").translate(LOWER))) for d, t in docs]
+    words_of = [(d, w) for d, w in words_of if w]
+    n, total = len(words_of), sum(len(w) for _, w in words_of)
+    counts = [(d, len(w), Counter(w)) for d, w in words_of]
+    out = []
+    for item, text in dict.fromkeys(items):
+        scores = []
+        asked = Counter(TERMS.findall((text or "").translate(LOWER)))
+        weights = {t: math.floor(1000 * math.log((2 * n + 2) / (2 * sum(t in c for _, _, c in counts) + 1))) for t in asked}
+        for d, length, c in counts:
+            m = 25 + 75 * length * n // total
+            s = sum(times * weights[t] * (10**9 * c[t] // (1000 * c[t] + 8 * m)) for t, times in asked.items() if t in c)
+            if s > 0:
+                scores.append((-s, d is None, d, s))
+        out += [(item, r, d, s) for r, (_, _, d, s) in enumerate(sorted(scores, key=lambda x: (x[0], x[1], x[2] or 0))[:k], 1)]
+    return out
+
+
+def periodic(w, least=24, times=3):
+    """Runs (start, length, period) of a list of words."""
+    found, n = {}, len(w)
+    for q in range(1, n // times + 1):
+        i = 0
+        while i + q < n:
+            j = i
+            while j + q < n and w[j] == w[j + q]:
+                j += 1
+            if j > i and j - i + q >= max(least, times * q):
+                found.setdefault((i, j - i + q), q)
+            i = max(j, i + 1)
+    return sorted((s, length, q) for (s, length), q in found.items())
+
+
+def repeated(doc_id, words):
+    """The words that the contract of op13 makes of a document's."""
+    h = zlib.crc32(str(doc_id).encode())
+    if doc_id is None or h % 10 or not words:
+        return words
+    n, g = len(words), h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [x if i < a else words[a + (i - a) % p] for i, x in enumerate(words)]
+
+
+def nearest(rows, queries, k=5):
+    """rows: (vec_id, vector) of one length; {(query_id, vector): [(vec_id, cosine)]}."""
+    out = {}
+    for q, x in queries:
+        scored = [(-sum(a * b for a, b in zip(x, y)) / (math.hypot(*x) * math.hypot(*y)), v) for v, y in rows if v != q]
+        out[q] = [(v, -s) for s, v in sorted(scored)[:k]]
+    return out
