@@ -23,10 +23,14 @@ from chatlake.store.tables import DEFAULT_BUCKETS, RelationalStore, TableSet, ru
 class TranscriptIndex:
     def __init__(self, spark: SparkSession, index_root: str, transcripts_root: str | None = None,
                  buckets: int = DEFAULT_BUCKETS, now_ms: int | None = None, tz: str = "UTC",
-                 relational: RelationalStore | None = None, auto_index: bool = False):
-        """``auto_index`` brings the index up to date before a command that reads it."""
+                 relational: RelationalStore | None = None, auto_index: bool = False, postings: bool = True,
+                 slug_map: dict[str, str] | None = None):
+        """``auto_index`` brings the index up to date before a command that reads it;
+        ``postings`` keeps trigram postings for search; ``slug_map`` names the
+        directories of project slugs."""
         self.spark = spark
-        self.store = TableSet(spark, index_root, buckets)
+        self.store = TableSet(spark, index_root, buckets, postings)
+        self.slug_map = slug_map
         self.transcripts_root, self.relational, self.auto_index = transcripts_root, relational, auto_index
         self.now_ms, self.tz = now_ms, tz
 
@@ -57,7 +61,8 @@ class TranscriptIndex:
     def index(self, force: bool = False, merge_files: bool = False, purge: bool = False) -> dict:
         if not self.transcripts_root and not self.relational:
             raise ValueError("no transcripts root and no relational store given")
-        return run_index(self.spark, self.transcripts_root, self.store, force, merge_files, self.relational, purge)
+        return run_index(self.spark, self.transcripts_root, self.store, force, merge_files, self.relational, purge,
+                         slug_map=self.slug_map)
 
     def sessions(self, source=None, scope=None, since=None, limit: int | None = 50,
                  boundary: bool = False, bidirectional: bool = False) -> DataFrame:
@@ -66,8 +71,8 @@ class TranscriptIndex:
 
     def search(self, keywords: list[str], source=None, scope=None, since=None, limit: int | None = 20,
                rank: str = "hits", boundary: bool = False, bidirectional: bool = False) -> DataFrame:
-        s, m = self._tables()
-        return SR.search_sessions(m, s, keywords, source, scope, self._since(since), limit, rank, boundary, bidirectional)
+        s, _ = self._tables()
+        return SR.search_sessions(self.store.messages_with(keywords), s, keywords, source, scope, self._since(since), limit, rank, boundary, bidirectional)
 
     def read(self, prefix: str, from_=None, to=None, around=None, radius: int = 3,
              role=None) -> DataFrame:
@@ -81,13 +86,18 @@ class TranscriptIndex:
         return SS.preview(m.where(m["session_id"].startswith(prefix)), head, tail)
 
     def stats(self, scope=None, source=None, since=None) -> tuple[DataFrame, DataFrame]:
+        """From the stored roll-ups; from the messages where these can't tell (a time
+        filter, days of another zone)."""
         s, m = self._tables()
+        if since is None and self.tz == "UTC":
+            rolled = [filter_sessions(t, source, scope) for t in (self.store.usage(), self.store.daily())]
+            return US.merge_model_usage(rolled[0]), US.merge_days(rolled[1])
         return (US.model_usage(m, s, scope, source, self._since(since)),
                 US.daily_activity(m, s, scope, source, self._since(since), self.tz))
 
     def files(self, path: str, source=None, scope=None, since=None, limit: int | None = 20) -> DataFrame:
-        s, m = self._tables()
-        return SR.sessions_by_file(m, s, path, source, scope, self._since(since), limit)
+        s, _ = self._tables()
+        return SR.sessions_by_file(self.store.messages_with([path]), s, path, source, scope, self._since(since), limit)
 
     def browse(self, scope=None, mode: str = "tree", text: str | None = None, project: str | None = None) -> DataFrame:
         """``mode``: tree, lineage or recent; ``text`` keeps sessions, ``project`` whole projects."""

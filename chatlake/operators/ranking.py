@@ -35,3 +35,25 @@ def sequence_within(df: DataFrame, key: str, slices: Column, order: list, out: s
     return (numbered.join(offsets, (F.col(key) == F.col("_key")) & (F.col("_slice") == F.col("_at")))
             .withColumn(out, (F.col("_off") + F.col("_local") - 1).cast("int"))
             .drop("_slice", "_local", "_off", "_key", "_at"))
+
+
+def previous_within(df: DataFrame, key: str, slices: Column, order: list, value: str, out: str = "previous") -> tuple[DataFrame, DataFrame]:
+    """``df`` with the ``value`` of the row before in the key's order (NULL for the first),
+    and ``(key, last)``: the value of each key's last row.  Sliced as above: a
+    slice's first row takes it from the last row of the slice before."""
+    sliced = df.withColumn("_slice", slices)
+    inside = Window.partitionBy(key, "_slice").orderBy(*order)
+    rows = sliced.withColumn("_before", F.lag(value).over(inside)).withColumn("_first", F.row_number().over(inside) == 1)
+    back = Window.partitionBy(key, "_slice").orderBy(*[_reversed(o) for o in order])
+    ends = (sliced.withColumn("_rn", F.row_number().over(back)).where(F.col("_rn") == 1)
+            .select(F.col(key).alias("_key"), F.col("_slice").alias("_at"), F.col(value).alias("_end")))
+    along = Window.partitionBy("_key").orderBy("_at")
+    ends = ends.withColumn("_carry", F.lag("_end").over(along)).withColumn("_next", F.lead("_at").over(along))
+    rows = rows.join(ends.select("_key", "_at", "_carry"), (F.col(key) == F.col("_key")) & (F.col("_slice") == F.col("_at")))
+    rows = rows.withColumn(out, F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_before")))
+    return (rows.drop("_slice", "_before", "_first", "_key", "_at", "_carry"),
+            ends.where(F.col("_next").isNull()).select(F.col("_key").alias(key), F.col("_end").alias("last")))
+
+
+def _reversed(order: str) -> Column:
+    return F.col(order).desc_nulls_last()

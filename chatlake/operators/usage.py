@@ -79,6 +79,13 @@ def merge_daily(pairs: DataFrame) -> DataFrame:
             .orderBy("day"))
 
 
+def merge_days(days: DataFrame) -> DataFrame:
+    """Daily activity from stored rows by source, directory and day: a session is in
+    one directory, so its distinct counts add up."""
+    return (days.groupBy("day").agg(*[F.sum(c).cast("bigint").alias(c) for c in ("sessions", "user_msgs", "asst_turns")])
+            .orderBy("day"))
+
+
 def daily_activity(messages: DataFrame, sessions: DataFrame | None = None, scope=None,
                    source=None, since_ms=None, tz: str = "UTC") -> DataFrame:
     """AGG7: distinct sessions, user messages, assistant turns per day."""

@@ -3,6 +3,7 @@ per operator group of the inventory, each over the whole driver tables."""
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -251,6 +252,14 @@ def lineage_rows(spark, d):
     return TRE.lineage_rows(s)
 
 
+def lineage_cycles(spark, d):
+    """Sessions without a root, on parents of which some are tied to cycles."""
+    _, s = _mv(spark, d)
+    cid = F.col("conv_id")
+    tied = F.when(cid % 240 < 20, DV.conv_key(cid + 40)).when((cid % 240).between(60, 79), DV.conv_key(cid - 60)).otherwise(F.col("parent_id"))
+    return TRE.cycles(s.withColumn("parent_id", tied))
+
+
 def search_window(spark, d):
     m, s = _mv(spark, d)
     return SR.search_sessions(m, s, P.KW_ONE, limit=None)
@@ -298,10 +307,18 @@ def index_stats(spark, d):
     return INC.run_stats(files, INC.changed_files(files, manifest), sessions)
 
 
-def _indexed_store(spark, d):
+class _Crashing(TableSet):
+    """A writer that dies after its files are written, before it publishes them."""
+
+    def _publish(self, version, state):
+        raise ConnectionError("the writer is gone")
+
+
+def _indexed_store(spark, d, postings=False, crash=False):
     """A stored index made by two real runs: the transcripts of all sessions that the
     relational store does not own, as files; then one project's files replaced
-    (every text gets a prefix), and the relational store added."""
+    (every text gets a prefix), and the relational store added.  ``crash``: a run
+    that fails before its commit comes between the two."""
     root = scratch_path(spark, "store-query")
     cid = (F.col("mtime_ms") - DV.EPOCH_BASE_MS) / DV.MS_PER_CONVERSATION
     lines = DV.raw_view(spark, d).where(cid % 4 != 0).select(TR.slug_of_path("path").alias("slug"), "value")
@@ -311,10 +328,13 @@ def _indexed_store(spark, d):
          .partitionBy("slug").text(f"{root}/projects"))
 
     write(lines)
-    store = TableSet(spark, f"{root}/index", buckets=P.STORE_BUCKETS)
+    store = TableSet(spark, f"{root}/index", buckets=P.STORE_BUCKETS, postings=postings)
     run_index(spark, f"{root}/projects", store, glob="*.txt")
     write(lines.where(F.col("slug") == P.CHANGED_SLUG).withColumn(
         "value", F.replace("value", F.lit('"content":"'), F.lit('"content":"v2: '))))
+    if crash:
+        with contextlib.suppress(ConnectionError):
+            run_index(spark, f"{root}/projects", _Crashing(spark, f"{root}/index"), glob="*.txt")
     run_index(spark, f"{root}/projects", store, glob="*.txt",
               relational=RelationalStore(*DV.relational_views(spark, d, own_sessions=True)))
     return store
@@ -328,19 +348,43 @@ def store_sessions(spark, d):
     return _indexed_store(spark, d).sessions()
 
 
-def store_removed(spark, d):
-    """The stored sessions after those without a user message and those of an
-    archived scope were deleted from the tables."""
-    store = _indexed_store(spark, d)
+def _reduced_store(spark, d, **kw):
+    """The stored index after those without a user message and those of an archived
+    scope were deleted from the tables."""
+    store = _indexed_store(spark, d, **kw)
     keep = FL.with_user_messages(store.sessions())
     scope = spark.createDataFrame([(p,) for p in P.REMOVED_SCOPE], "prefix string")
     gone = store.sessions().join(keep.select("id"), "id", "left_anti").select("id").unionByName(
         FL.in_scope(store.sessions(), scope).select("id"))
     store.remove_sessions(gone)
+    return store
+
+
+def store_removed(spark, d):
+    """SNK4: what is left per session after the deletion."""
+    store = _reduced_store(spark, d)
     return store.messages().groupBy("session_id").agg(F.count(F.lit(1)).alias("messages")).join(
         store.sessions().select(F.col("id").alias("session_id"), "message_count"), "session_id")
 
 
+def store_search(spark, d):
+    """TOP2 through the trigram postings, kept over a replacement, a crashed run and a
+    deletion."""
+    store = _reduced_store(spark, d, postings=True, crash=True)
+    return SR.search_sessions(store.messages_with(P.STORE_KW), store.sessions(), P.STORE_KW, limit=None)
+
+
+def store_usage(spark, d):
+    """AGG5 / AGG9 as maintained by the commits."""
+    return _reduced_store(spark, d).usage().select(
+        "source", "directory", "model", "turns", *[F.col(c).cast("long").alias(c) for c in SC.TOKENS])
+
+
+def store_daily(spark, d):
+    """AGG7 / AGG10 as maintained by the commits."""
+    return _reduced_store(spark, d).daily()
+
+
 def index_state(spark, d):
     """SNK9 / AGG11 on the listings: is there anything to index, and how much."""
     files, manifest = DV.files_view(spark, d), DV.manifest_view(spark, d)
@@ -366,6 +410,32 @@ def stream_ingest(spark, d):
     return store.messages()
 
 
+def _streamed_sessions(spark, d):
+    """STR1 over several micro-batches: every session is cut over up to three drops; of
+    every seventh the drops arrive in reverse order."""
+    from chatlake.streaming.ingest import start_ingest
+    root = scratch_path(spark, "stream-sessions")
+    cid = (F.col("mtime_ms") - DV.EPOCH_BASE_MS) / DV.MS_PER_CONVERSATION
+    part = sum((F.col("line_no") >= t).cast("int") for t in P.STREAM_CUTS)
+    lines = DV.raw_view(spark, d).select(
+        TR.slug_of_path("path").alias("slug"), F.when(cid % 7 == 0, len(P.STREAM_CUTS) - part).otherwise(part).alias("drop"), "value")
+    for k in range(len(P.STREAM_CUTS) + 1):
+        lines.where(F.col("drop") == k).select("slug", "value").repartition("slug").write.mode("append").partitionBy("slug").text(f"{root}/drops")
+    store = TableSet(spark, f"{root}/index", buckets=P.STORE_BUCKETS)
+    start_ingest(spark, f"{root}/drops/*", store, f"{root}/checkpoint", glob="*.txt", max_files_per_trigger=P.STREAM_FILES).awaitTermination()
+    return store
+
+
+def stream_sessions(spark, d):
+    """STR1: messages of sessions that go on in later drops."""
+    return _streamed_sessions(spark, d).messages()
+
+
+def stream_session_rows(spark, d):
+    """STR1: session rows of sessions that go on in later drops."""
+    return _streamed_sessions(spark, d).sessions()
+
+
 def _drops(spark, d, name):
     root = scratch_path(spark, name)
     (DV.raw_view(spark, d).select(TR.slug_of_path("path").alias("slug"), "value").repartition("slug")
@@ -410,6 +480,11 @@ def scope_rows(spark, d):
 
 def queries() -> dict[str, Query]:
     return {
+        "stream_sessions": stream_sessions,
+        "stream_session_rows": stream_session_rows,
+        "store_search": store_search,
+        "store_usage": store_usage,
+        "store_daily": store_daily,
         "stream_daily": stream_daily,
         "stream_summary": stream_summary,
         "scope_rows": scope_rows,
@@ -459,6 +534,7 @@ def queries() -> dict[str, Query]:
         "project_filter": project_filter,
         "lineage": lineage,
         "lineage_rows": lineage_rows,
+        "lineage_cycles": lineage_cycles,
         "search_window": search_window,
         "all_sessions": all_sessions,
         "recent_per_project": recent_per_project,

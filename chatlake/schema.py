@@ -37,6 +37,28 @@ MANIFEST = T.StructType([
     T.StructField("indexed_at", T.TimestampType(), True),
 ])
 
+# ---- what the store keeps beside them ---------------------------------------
+
+_AT = T.StructType([T.StructField("no_ts", T.BooleanType()), T.StructField("ts", S)])
+# per session, so that a later drop can go on where the earlier ones ended: its
+# number of messages, the place of the last one, of the title's and of the branch's,
+# and the file that names the directory
+SESSION_STATE = T.StructType([
+    T.StructField("n", L), T.StructField("last", _AT), T.StructField("title", _AT), T.StructField("branch", _AT),
+    T.StructField("file", T.StructType([T.StructField("mtime_ms", L), T.StructField("path", S)])),
+])
+STORED_SESSION = T.StructType([*SESSION.fields, T.StructField("state", SESSION_STATE)])
+SESSION_FILE = T.StructType([T.StructField("session_id", S), T.StructField("path", S)])
+TOKENS = ["output_tokens", "cache_read", "cache_write"]
+SESSION_USAGE = T.StructType([T.StructField("session_id", S), T.StructField("model", S), T.StructField("turns", L),
+                              *[T.StructField(c, T.DecimalType(38, 0)) for c in TOKENS]])
+SESSION_DAY = T.StructType([T.StructField("session_id", S), T.StructField("day", S), T.StructField("user_msgs", L),
+                            T.StructField("asst_turns", L)])
+USAGE = T.StructType([T.StructField("source", S), T.StructField("directory", S), *SESSION_USAGE.fields[1:]])
+DAILY = T.StructType([T.StructField("source", S), T.StructField("directory", S), T.StructField("day", S),
+                      T.StructField("sessions", L), *SESSION_DAY.fields[2:]])
+POSTING = T.StructType([T.StructField("trigram", S), T.StructField("session_id", S)])
+
 SESSION_COLS = [f.name for f in SESSION.fields]
 MESSAGE_COLS = [f.name for f in MESSAGE.fields]
 MANIFEST_COLS = [f.name for f in MANIFEST.fields]

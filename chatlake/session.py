@@ -72,6 +72,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(checkpoint_dir(spark), f"{name}-{os.urandom(6).hex()}")
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as Parquet under the shared folder and read back: for what
+    several plans read, by column, and must not be computed again."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut lineage in the shared checkpoint folder: for results that are read more
     than once and must not be computed again when an executor is lost."""

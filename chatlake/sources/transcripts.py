@@ -48,33 +48,54 @@ def _one_level(path: Column, root: str) -> Column:
     return F.regexp_extract(path, "(?s)^(.*)/[^/]+/[^/]+$", 1) == F.lit(root)
 
 
-def scan_lines(spark: SparkSession, root: str, glob: str = "*.jsonl", only: list[str] | None = None) -> DataFrame:
-    """SRC1: ``(path, mtime_ms, line_no, value)`` of ``<root>/<project>/<glob>``.
+def _exists(spark: SparkSession, path: str) -> bool:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+
+
+LINES = "path string, mtime_ms long, block long, line_no long, bytes long, value string"
+FILES = "path string, uri string, mtime_ms long, size long, slug string, directory string"
+
+
+def scan_lines(spark: SparkSession, root: str, glob: str = "*.jsonl", only: list[str] | None = None,
+               folders: list[str] | None = None) -> DataFrame:
+    """SRC1: ``(path, mtime_ms, block, line_no, bytes, value)`` of ``<root>/<project>/<glob>``.
 
     ``only`` restricts the scan to files by their ``uri`` (see ``list_files``);
     the predicate is on a file's metadata, so other files are not opened.
-    ``line_no`` rises with the line's offset inside a file split; it is only
-    a tie-break for equal timestamps.
+    ``folders``: the project folders to list, where they are known.
+    ``(path, block, line_no)`` is the order of the lines in a file, whatever else
+    the scan reads: the offset at which a split begins, then a number that rises
+    within it.  ``bytes`` is the line's length with its line feed.  A file that has
+    vanished or can't be read gives fewer bytes than it has.  No root, no lines.
     """
-    df = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", True).text(_literal(root))
+    paths = [_literal(x) for x in ([root] if folders is None else folders) if _exists(spark, x)]
+    if not paths:
+        return spark.createDataFrame([], LINES)
+    df = (spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", True).option("lineSep", "\n")
+          .option("ignoreMissingFiles", True).option("ignoreCorruptFiles", True).text(paths))
     uri = F.col("_metadata.file_path")
     if only is not None:
         df = df.where(uri.isin(only))
     df = df.select(
         uri.alias("uri"),
         F.unix_millis(F.col("_metadata.file_modification_time")).alias("mtime_ms"),
+        F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("line_no"),
-        "value")
-    return df.select(_plain(F.col("uri")).alias("path"), "mtime_ms", "line_no", "value").where(
+        (F.octet_length("value") + 1).cast("bigint").alias("bytes"),
+        F.rtrim(F.ltrim("value", F.lit("\ufeff")), F.lit("\r")).alias("value"))
+    return df.select(_plain(F.col("uri")).alias("path"), "mtime_ms", "block", "line_no", "bytes", "value").where(
         _one_level(F.col("path"), _root_uri(spark, root)))
 
 
-def list_files(spark: SparkSession, root: str, glob: str = "*.jsonl") -> DataFrame:
+def list_files(spark: SparkSession, root: str, glob: str = "*.jsonl", slug_map: dict[str, str] | None = None) -> DataFrame:
     """SRC4: ``(path, uri, mtime_ms, size, slug, directory)`` without reading content.
 
     ``binaryFile`` with only metadata columns selected prunes ``content``
-    from the read schema.
+    from the read schema.  A root that is not there yet holds no files.
     """
+    if not _exists(spark, root):
+        return spark.createDataFrame([], FILES)
     df = (spark.read.format("binaryFile").option("pathGlobFilter", glob)
           .option("recursiveFileLookup", True).load(_literal(root)))
     uri = F.col("_metadata.file_path")
@@ -82,7 +103,7 @@ def list_files(spark: SparkSession, root: str, glob: str = "*.jsonl") -> DataFra
                      F.unix_millis("modificationTime").alias("mtime_ms"),
                      F.col("length").alias("size")).where(
         _one_level(F.col("path"), _root_uri(spark, root))).select(
-        "*", slug_of_path("path").alias("slug"), directory_of_path("path").alias("directory"))
+        "*", slug_of_path("path").alias("slug"), directory_of_path("path", slug_map).alias("directory"))
 
 
 def slug_of_path(path_col) -> F.Column:
@@ -114,7 +135,9 @@ def parse_lines(lines: DataFrame, max_line_chars: int = MAX_LINE_CHARS) -> DataF
     # every field reference (one parse per field).  A filter on a generator's
     # output cannot move below the generator, so the parse stays single.
     parsed = lines.select("*", F.explode(F.array(j)).alias("_j"))
-    cols = [c for c in ("path", "mtime_ms", "line_no") if c in lines.columns]
+    cols = [c for c in ("path", "mtime_ms", "block", "line_no", "bytes") if c in lines.columns]
+    if "block" not in cols:
+        cols.append(F.lit(0).cast("bigint").alias("block"))
     return parsed.select(
         *cols,
         F.col("_j.type").alias("msg_type"),

@@ -15,6 +15,17 @@ from chatlake import schema as SC
 CHANGE_TOLERANCE_MS = 1000   # S12: |mtime - tracked| < 1 s counts as unchanged
 
 
+def file_status(files: DataFrame, manifest: DataFrame, force: bool = False,
+                tolerance_ms: int = CHANGE_TOLERANCE_MS) -> DataFrame:
+    """The listed files with ``tracked_ms`` and ``status``: 'new', 'changed', NULL for
+    unchanged ones or, with ``force``, 'forced'."""
+    m = manifest.select("path", F.col("mtime_ms").alias("tracked_ms"))
+    differs = F.abs(F.col("mtime_ms") - F.col("tracked_ms")) >= F.lit(tolerance_ms)
+    return files.join(m, "path", "left").withColumn(
+        "status", F.when(F.col("tracked_ms").isNull(), F.lit("new")).when(differs, F.lit("changed"))
+        .otherwise(F.lit("forced" if force else None).cast("string")))
+
+
 def changed_files(files: DataFrame, manifest: DataFrame, force: bool = False,
                   tolerance_ms: int = CHANGE_TOLERANCE_MS) -> DataFrame:
     """SNK7: listed files that are new, changed, or all of them with ``force``.
@@ -22,16 +33,7 @@ def changed_files(files: DataFrame, manifest: DataFrame, force: bool = False,
     ``(path, mtime_ms, tracked_ms, status)``; status is 'new' or 'changed'
     (or 'forced' for unchanged files re-read by ``force``).
     """
-    m = manifest.select("path", F.col("mtime_ms").alias("tracked_ms"))
-    j = files.select("path", "mtime_ms").join(m, "path", "left")
-    differs = F.abs(F.col("mtime_ms") - F.col("tracked_ms")) >= F.lit(tolerance_ms)
-    status = (F.when(F.col("tracked_ms").isNull(), F.lit("new"))
-              .when(differs, F.lit("changed"))
-              .otherwise(F.lit("forced")))
-    out = j.withColumn("status", status)
-    if not force:
-        out = out.where(F.col("status") != "forced")
-    return out
+    return file_status(files.select("path", "mtime_ms"), manifest, force, tolerance_ms).where(F.col("status").isNotNull())
 
 
 def stale_files(manifest: DataFrame, files: DataFrame) -> DataFrame:

@@ -1,208 +1,33 @@
-"""The session / message / manifest table set on plain Parquet (SNK1, SNK10).
+"""The incremental index run over both sources (SNK10, SNK11).
 
-Layout under ``root`` (any Hadoop path: a shared folder, HDFS, object store)::
-
-    session/v=<n>/            full snapshot (one row per session: small)
-    manifest/v=<n>/           full snapshot (one row per file: small)
-    session_file/v=<n>/       which sessions each file holds (small)
-    message/v=<n>/bucket=<b>/ only the buckets rewritten by run n
-    _pointer/v=<n>/           one small JSON file: table versions, the number of
-                              buckets and, per bucket, the run that last wrote it
-
-A run writes its new files first and the pointer last; readers follow the
-newest pointer.  A crash before the pointer leaves the previous state
-readable and the next run redoes the work (it is idempotent).  Messages are
-bucketed by ``pmod(xxhash64(session_id), buckets)``; ``bucket`` is a partition
-column, so a run that touches a few sessions reads and rewrites their buckets
-only.  The number of buckets is that of the first run and stays.  Within a
-bucket files are cut by ranges of ``(session_id, position)``, so a bucket is
-written by several tasks and reads of one session skip most row groups.
+Every changed file is scanned and parsed once: the parsed lines are staged as Parquet
+in the shared folder, without the text of lines that are no message, and all else
+is derived from their columns.  Counts are observed on the writes themselves.
 """
 
 from __future__ import annotations
 
-import json
 import time
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from chatlake import schema as SC
-from chatlake.session import checkpointed
+from chatlake.functions import text as TX
+from chatlake.operators.sessionize import assign_positions, older_files, sessionize
+from chatlake.session import checkpointed, scratch_path, staged
+from chatlake.sources import relational as RL
+from chatlake.sources import transcripts as TR
 from chatlake.store import incremental as INC
+from chatlake.store.layout import DEFAULT_BUCKETS, Change, CommitConflict, TableSet
 
-DEFAULT_BUCKETS = 64
-MAX_LISTED = 10_000   # paths that go into a scan's file filter as a list
-SESSION_FILE = T.StructType([T.StructField("session_id", T.StringType()), T.StructField("path", T.StringType())])
-
-
-def bucket_of(col: str, buckets: int) -> F.Column:
-    return F.pmod(F.xxhash64(F.col(col)), F.lit(buckets)).cast("int")
-
-
-class TableSet:
-    def __init__(self, spark: SparkSession, root: str, buckets: int = DEFAULT_BUCKETS):
-        """``buckets`` counts for a new store; an existing one keeps its own."""
-        self.spark, self.root, self._new_buckets = spark, root.rstrip("/"), buckets
-
-    @property
-    def buckets(self) -> int:
-        st = self.pointer()
-        return st["n_buckets"] if st else self._new_buckets
-
-    # ---- pointer ----------------------------------------------------------
-
-    def _fs(self, path: str):
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        return p.getFileSystem(conf), p
-
-    def _versions(self) -> list[int]:
-        fs, p = self._fs(f"{self.root}/_pointer")
-        if not fs.exists(p):
-            return []
-        out = []
-        for st in fs.listStatus(p):
-            name = st.getPath().getName()
-            if name.startswith("v="):
-                done_fs, done = self._fs(f"{self.root}/_pointer/{name}/_SUCCESS")
-                if done_fs.exists(done):   # a pointer counts once fully written
-                    out.append(int(name[2:]))
-        return sorted(out)
-
-    def pointer(self) -> dict | None:
-        vs = self._versions()
-        if not vs:
-            return None
-        rows = self.spark.read.json(f"{self.root}/_pointer/v={vs[-1]}").collect()
-        return json.loads(rows[0]["state"])
-
-    def _write_pointer(self, version: int, state: dict) -> None:
-        df = self.spark.createDataFrame([(json.dumps(state),)], "state string")
-        df.coalesce(1).write.mode("overwrite").json(f"{self.root}/_pointer/v={version}")
-
-    # ---- reads ------------------------------------------------------------
-
-    def sessions(self) -> DataFrame:
-        st = self.pointer()
-        if st is None:
-            return INC.empty(self.spark, SC.SESSION)
-        return self.spark.read.schema(SC.SESSION).parquet(f"{self.root}/session/v={st['session']}")
-
-    def manifest(self) -> DataFrame:
-        st = self.pointer()
-        if st is None:
-            return INC.empty(self.spark, SC.MANIFEST)
-        return self.spark.read.schema(SC.MANIFEST).parquet(f"{self.root}/manifest/v={st['manifest']}")
-
-    def session_files(self) -> DataFrame:
-        """``(session_id, path)``: the files that hold each session's lines."""
-        st = self.pointer()
-        if st is None:
-            return INC.empty(self.spark, SESSION_FILE)
-        return self.spark.read.schema(SESSION_FILE).parquet(f"{self.root}/session_file/v={st['session_file']}")
-
-    def messages(self, buckets: list[int] | None = None) -> DataFrame:
-        """All messages, or those of some buckets (other buckets' files are not read)."""
-        st = self.pointer()
-        at = {} if st is None else {int(b): v for b, v in st["buckets"].items()}
-        paths = [f"{self.root}/message/v={at[b]}/bucket={b}" for b in sorted(at) if buckets is None or b in set(buckets)]
-        if not paths:
-            return INC.empty(self.spark, SC.MESSAGE)
-        return self.spark.read.schema(SC.MESSAGE).parquet(*paths)
-
-    def session_messages(self, session_ids: list[str]) -> DataFrame:
-        """Messages of the given sessions; only their buckets are read."""
-        n = self.buckets
-        ids = self.spark.createDataFrame([(i,) for i in session_ids], "id string")
-        want = [r["b"] for r in ids.select(bucket_of("id", n).alias("b")).distinct().collect()]
-        return self.messages(want).where(F.col("session_id").isin(session_ids))
+__all__ = ["DEFAULT_BUCKETS", "Change", "CommitConflict", "RelationalStore", "TableSet", "run_index", "stage"]
 
-    # ---- commit -----------------------------------------------------------
-
-    def commit(self, new_sessions: DataFrame, new_messages: DataFrame, new_manifest: DataFrame,
-               new_session_files: DataFrame | None = None, removed: DataFrame | None = None) -> int:
-        """Upsert sessions, replace touched sessions' messages, replace the
-        manifest and drop ``removed`` sessions (column id)."""
-        st = self.pointer() or {"version": 0, "buckets": {}, "n_buckets": self._new_buckets}
-        v, n = st["version"] + 1, st["n_buckets"]
-        gone = INC.empty(self.spark, SC.SESSION).select("id") if removed is None else removed.select("id").distinct()
-        sessions = INC.upsert(INC.remove_keys(self.sessions(), gone, "id"), new_sessions.select(*SC.SESSION_COLS), "id")
-        sessions.write.mode("overwrite").parquet(f"{self.root}/session/v={v}")
-        held = INC.remove_keys(self.session_files(), gone, "session_id", "id")
-        if new_session_files is not None:
-            held = INC.replace_groups(held, new_session_files.select("session_id", "path").distinct(), "session_id")
-        held.write.mode("overwrite").parquet(f"{self.root}/session_file/v={v}")
-
-        touched_ids = new_sessions.select("id").unionByName(gone)
-        tb = touched_ids.select(bucket_of("id", n).alias("bucket")).distinct()
-        # bounded by the bucket count, so it can come to the driver
-        touched = sorted(r["bucket"] for r in tb.collect())
-        buckets = dict(st["buckets"])
-        if touched:
-            old = INC.remove_keys(self.messages(touched), gone, "session_id", "id")
-            merged = INC.replace_groups(old, new_messages.select(*SC.MESSAGE_COLS), "session_id") \
-                .withColumn("bucket", bucket_of("session_id", n))
-            tasks = max(len(touched), int(self.spark.conf.get("spark.sql.shuffle.partitions", "200")))
-            (merged.repartitionByRange(tasks, "bucket", "session_id", "position")
-             .sortWithinPartitions("bucket", "session_id", "position")
-             .write.mode("overwrite").partitionBy("bucket")
-             .parquet(f"{self.root}/message/v={v}"))
-            fs, p = self._fs(f"{self.root}/message/v={v}")
-            written = {int(x.getPath().getName()[7:]) for x in fs.listStatus(p) if x.getPath().getName().startswith("bucket=")}
-            for b in touched:
-                buckets.pop(str(b), None)      # a bucket may have become empty
-                if b in written:
-                    buckets[str(b)] = v
-        new_manifest.select(*[c for c in SC.MANIFEST_COLS if c in new_manifest.columns]) \
-            .withColumn("indexed_at", F.current_timestamp()) \
-            .write.mode("overwrite").parquet(f"{self.root}/manifest/v={v}")
-        self._write_pointer(v, {"version": v, "session": v, "session_file": v, "manifest": v, "n_buckets": n, "buckets": buckets,
-                                "committed_ms": int(time.time() * 1000)})
-        return v
-
-    def upsert_sessions(self, rows: DataFrame) -> int:
-        """SNK2 alone: replace or add session rows; messages and manifest stay."""
-        st = self.pointer()
-        if st is None:
-            return self.commit(rows, INC.empty(self.spark, SC.MESSAGE), INC.empty(self.spark, SC.MANIFEST))
-        v = st["version"] + 1
-        INC.upsert(self.sessions(), rows.select(*SC.SESSION_COLS), "id").write.mode("overwrite").parquet(
-            f"{self.root}/session/v={v}")
-        self._write_pointer(v, {**st, "version": v, "session": v})
-        return v
-
-    def remove_sessions(self, ids: DataFrame) -> int:
-        """SNK4 on the stored tables: delete sessions (column id) and their messages."""
-        return self.commit(INC.empty(self.spark, SC.SESSION), INC.empty(self.spark, SC.MESSAGE),
-                           self.manifest(), removed=checkpointed(ids.select("id").distinct()))
-
-    def vacuum(self, keep: int = 2) -> list[str]:
-        """Delete the files of versions that the last ``keep`` pointers don't name."""
-        versions = self._versions()
-        live, used = versions[-keep:], set()
-        for v in live:
-            state = json.loads(self.spark.read.json(f"{self.root}/_pointer/v={v}").first()["state"])
-            used |= {f"session/v={state['session']}", f"session_file/v={state['session_file']}",
-                     f"manifest/v={state['manifest']}", f"_pointer/v={v}"}
-            used |= {f"message/v={w}/bucket={b}" for b, w in state["buckets"].items()}
-        newest, out = max(versions, default=0), []
-        for table in ("session", "session_file", "manifest", "_pointer", "message"):
-            fs, p = self._fs(f"{self.root}/{table}")
-            for st in fs.listStatus(p) if fs.exists(p) else []:
-                name = st.getPath().getName()
-                if not name.startswith("v=") or int(name[2:]) > newest:
-                    continue               # a later run may be writing it
-                inner = fs.listStatus(st.getPath()) if table == "message" else [st]
-                for x in inner:
-                    rel = f"{table}/{name}" + (f"/{x.getPath().getName()}" if table == "message" else "")
-                    if (table != "message" or "bucket=" in rel) and rel not in used:
-                        fs.delete(x.getPath(), True)
-                        out.append(rel)
-        return sorted(out)
+MAX_LISTED = 10_000   # files that one scan names
+ATTEMPTS = 3          # runs, where another writer was faster
+SOURCE = "claude-code"
+REJECTS = ("blank", "malformed", "too_long")
 
 
 @dataclass
@@ -216,99 +41,145 @@ class RelationalStore:
     name: str = "relational-store"
 
     def listed(self) -> DataFrame:
-        spark = self.session.sparkSession
+        """One row: (path, mtime_ms)."""
         times = [self.session.select(F.max("time_updated").alias("t")), self.session.select(F.max("time_archived").alias("t")),
                  self.part.select(F.max("time_created").alias("t"))]
-        newest = max((r["t"] for df in times for r in df.collect() if r["t"] is not None), default=0)  # three rows
-        return spark.createDataFrame([(self.name, int(newest))], "path string, mtime_ms long")
+        rows = times[0].unionByName(times[1]).unionByName(times[2])
+        return rows.agg(F.coalesce(F.max("t"), F.lit(0)).cast("long").alias("mtime_ms")).select(F.lit(self.name).alias("path"), "mtime_ms")
+
+
+def parsed_messages(lines: DataFrame, slug_map: dict[str, str] | None = None) -> DataFrame:
+    """Parsed lines with ``usable``, the title text of user lines, the directory, and the
+    text of usable lines only."""
+    p = TR.clean(TR.parse_lines(lines))
+    ok = F.coalesce(F.col("msg_type").isin(*TR.USABLE_TYPES) & TX.usable_content("content") & F.col("session_id").isNotNull(), F.lit(False))
+    return p.withColumn("usable", ok).withColumn(
+        "title", F.when(ok & (F.col("role") == "user"), TX.normalize_title("content"))).withColumn(
+        "content", F.when(ok, F.col("content"))).withColumn("directory", TR.directory_of_path("path", slug_map))
+
+
+def stage(lines: DataFrame, path: str, counts: dict | None = None, slug_map: dict[str, str] | None = None) -> DataFrame:
+    """Parse lines once: written to ``path`` (further rows, if it exists) and read back."""
+    df, seen = parsed_messages(lines, slug_map), Observation()
+    found = df.observe(seen, *[F.count_if(F.col("reject") == r).alias(r) for r in REJECTS])
+    found.write.mode("append").parquet(path)
+    for k, v in seen.get.items():
+        if counts is not None and v:
+            counts[k] = counts.get(k, 0) + v
+    return lines.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _listed_uris(files: DataFrame, paths: DataFrame) -> list[str] | None:
-    """URIs of the given paths, or None where they are so many that the scan
-    should filter by a join instead of a list."""
-    rows = files.join(paths, "path", "left_semi").select("uri").limit(MAX_LISTED + 1).collect()
-    return None if len(rows) > MAX_LISTED else [r["uri"] for r in rows]
+def _stage_files(spark: SparkSession, root: str, glob: str, files: DataFrame, path: str, counts: dict, slug_map) -> DataFrame:
+    """Stage the lines of files (uri, path), MAX_LISTED files a scan, each of the folders
+    that hold its files."""
+    folder = F.regexp_extract("path", "(?s)^(.*)/[^/]+$", 1)
+    group, out = [], None
+
+    def scan():
+        lines = TR.scan_lines(spark, root, glob, [u for u, _ in group], sorted({f for _, f in group}))
+        return stage(lines, path, counts, slug_map)
+
+    for r in files.select("uri", folder.alias("folder")).orderBy("folder", "uri").toLocalIterator():
+        group.append((r["uri"], r["folder"]))
+        if len(group) == MAX_LISTED:
+            out, group = scan(), []
+    return scan() if group or out is None else out
 
 
 def run_index(spark: SparkSession, transcripts_root: str | None, store: TableSet, force: bool = False,
               merge_files: bool = False, relational: RelationalStore | None = None, purge: bool = False,
-              glob: str = "*.jsonl") -> dict:
+              glob: str = "*.jsonl", slug_map: dict[str, str] | None = None) -> dict:
     """SNK10: one incremental run over both sources; returns counts and the
     lines rejected by reason.
 
     Files that hold a session of a changed file are read along with it, so a
     session in several files comes out as in a full run.  ``force`` reads
     everything again, the relational store too.  ``purge`` drops the sessions
-    of which no file is listed any more.
+    of which no file is listed any more.  ``slug_map`` names the directories of
+    project slugs that the rule gets wrong (S15).  A file that can't be read to its
+    end is left out, stays unrecorded and is tried again by the next run.  Where
+    another writer commits meanwhile the run starts again from the new state.
     """
-    from chatlake.operators.sessionize import assign_positions, older_files, sessionize
-    from chatlake.sources import relational as RL
-    from chatlake.sources import transcripts as TR
+    for left in reversed(range(ATTEMPTS)):
+        try:
+            return _run(spark, transcripts_root, store, force, merge_files, relational, purge, glob, slug_map)
+        except CommitConflict:
+            if not left:
+                raise
 
+
+def _run(spark, transcripts_root, store, force, merge_files, relational, purge, glob, slug_map) -> dict:
     t0 = time.time()
     manifest = store.manifest()
+    listed = spark.createDataFrame([], "path string, uri string, mtime_ms long, size long")
     if transcripts_root:
-        files = checkpointed(TR.list_files(spark, transcripts_root, glob))
-    else:
-        files = spark.createDataFrame([], "path string, uri string, mtime_ms long")
-    listed = files.select("path", "mtime_ms")
-    extra = relational.listed() if relational else None
-    if extra is not None:
-        listed = listed.unionByName(extra)
-    changed = checkpointed(INC.changed_files(listed, manifest, force))
-    n_changed = changed.count()
-    texts = changed.select("path").join(files.select("path"), "path", "left_semi")
-    sessions, messages = INC.empty(spark, SC.SESSION), INC.empty(spark, SC.MESSAGE)
-    held, rejects, removed = None, {}, None
-    if not texts.isEmpty():
-        lines = lambda p: _scan(spark, transcripts_root, files, p, glob)
-        parsed = TR.parse_lines(lines(texts))
-        rejects = {r["reject"]: r["lines"] for r in TR.line_rejects(parsed).collect()}   # three reasons
-        # files of the touched sessions that did not change themselves
-        known = store.session_files()
-        touched = TR.usable(parsed).select("session_id").unionByName(
-            known.join(texts, "path", "left_semi").select("session_id")).distinct()
-        siblings = checkpointed(known.join(touched, "session_id", "left_semi").select("path").distinct()
-                                .join(texts, "path", "left_anti").join(files.select("path"), "path", "left_semi"))
-        if not siblings.isEmpty():
-            mine = touched.withColumnRenamed("session_id", "_touched")
-            more = TR.parse_lines(lines(siblings))
-            parsed = parsed.unionByName(more.join(mine, F.col("session_id") == F.col("_touched"), "left_semi"))
-        msgs = TR.clean(TR.usable(parsed)).withColumn("directory", TR.directory_of_path("path"))
-        held = checkpointed(msgs.select("session_id", "path").distinct())
+        listed = TR.list_files(spark, transcripts_root, glob).select("path", "uri", "mtime_ms", "size")
+    if relational:
+        listed = listed.unionByName(relational.listed().withColumns({"uri": F.lit(None).cast("string"), "size": F.lit(0).cast("long")}))
+    watch = Observation()
+    is_text = F.col("uri").isNotNull()
+    files = staged(INC.file_status(listed, manifest, force).observe(
+        watch, F.count(F.lit(1)).alias("checked"), F.count_if(F.col("status").isNotNull()).alias("changed"),
+        F.count_if(F.col("status").isNotNull() & is_text).alias("texts")), "index-files")
+    seen = watch.get
+    changed = files.where(F.col("status").isNotNull())
+    # a manifest row of the other source is none of this run's business
+    mine = manifest if relational else manifest.where(F.col("source") != RL.SOURCE)
+    stale = INC.stale_files(mine, files).select("path")
+    change, counts, failed = Change(forget=stale), {}, 0
+    sessions = messages = facts = texts = held = None
+    if seen["texts"]:
+        todo = changed.where(is_text)
+        lines = _stage_files(spark, transcripts_root, glob, todo, scratch_path(spark, "index-lines"), counts, slug_map)
+        # files that gave fewer bytes than they have: try again another time
+        read = lines.groupBy("path").agg(F.sum("bytes").alias("bytes"))
+        bad = checkpointed(todo.join(read, "path", "left").where(F.col("size") > F.coalesce("bytes", F.lit(0))).select("path"))
+        failed = bad.count()
+        if failed:
+            lines, changed, todo = (df.join(bad, "path", "left_anti") for df in (lines, changed, todo))
+        msgs = lines.where("usable")
+        if store.pointer():
+            # unchanged files that hold sessions of the changed ones
+            known = store.session_files()
+            touched = msgs.select("session_id").unionByName(known.join(todo, "path", "left_semi").select("session_id")).distinct()
+            siblings = (known.join(touched, "session_id", "left_semi").select("path").distinct().join(todo, "path", "left_anti")
+                        .join(files.where(is_text).select("path", "uri"), "path"))
+            siblings = checkpointed(siblings)
+            if not siblings.isEmpty():
+                more = _stage_files(spark, transcripts_root, glob, siblings, scratch_path(spark, "index-siblings"), {}, slug_map)
+                msgs = msgs.unionByName(more.where("usable").join(touched, "session_id", "left_semi"))
+        held = staged(msgs.groupBy("session_id", "path").agg(F.max("mtime_ms").alias("mtime_ms")), "index-held")
         if not merge_files:
-            older = checkpointed(older_files(msgs))
-            n = older.count()
-            if n:
-                msgs = msgs.join(F.broadcast(older) if n <= MAX_LISTED else older, ["session_id", "path"], "left_anti")
-        sessions = checkpointed(sessionize(msgs))
-        messages = checkpointed(assign_positions(msgs).select(*SC.MESSAGE_COLS))
-    if extra is not None and not changed.join(extra, "path", "left_semi").isEmpty():
+            msgs = msgs.join(older_files(held), ["session_id", "path"], "left_anti")
+        sessions = sessionize(msgs, state=True).drop("first")
+        messages = assign_positions(msgs).select(*SC.MESSAGE_COLS)
+        facts = msgs.select("session_id", "role", "model", *SC.TOKENS, "timestamp_ms")
+        texts = msgs.select("session_id", "content")
+    if relational and seen["changed"] > seen["texts"]:
         rel = (relational.session, relational.message, relational.part)
-        sessions = sessions.unionByName(checkpointed(RL.relational_sessions(*rel)))
-        messages = messages.unionByName(checkpointed(RL.relational_messages(*rel)))
+        rows = RL.relational_sessions(*rel).withColumn("state", F.lit(None).cast(SC.SESSION_STATE))
+        more = staged(RL.relational_messages(*rel), "index-relational")
+        sessions = rows if sessions is None else sessions.unionByName(rows)
+        messages = more if messages is None else messages.unionByName(more)
+        narrow = more.select("session_id", "role", "model", *SC.TOKENS, "timestamp_ms")
+        facts = narrow if facts is None else facts.unionByName(narrow)
+        texts = more.select("session_id", "content") if texts is None else texts.unionByName(more.select("session_id", "content"))
+    n_sessions = 0
+    if sessions is not None:
+        count = Observation()
+        sessions = staged(sessions.observe(count, F.count(F.lit(1)).alias("n")), "index-sessions")
+        n_sessions = count.get["n"]
     if purge:
-        alive = (store.session_files() if held is None else
-                 INC.replace_groups(store.session_files(), held, "session_id")).join(listed.select("path"), "path", "left_semi")
-        removed = checkpointed(store.session_files().select(F.col("session_id").alias("id")).distinct().join(
+        stored = store.session_files()
+        alive = (stored if held is None else INC.replace_groups(stored, held.select("session_id", "path"), "session_id")).join(
+            files.select("path"), "path", "left_semi")
+        change.removed = checkpointed(stored.select(F.col("session_id").alias("id")).distinct().join(
             alive.select(F.col("session_id").alias("id")).distinct(), "id", "left_anti"))
-    # a manifest row of the other source is none of this run's business
-    manifest_in = manifest if relational else manifest.where(F.col("source") != RL.SOURCE)
-    kept = None if relational else manifest.where(F.col("source") == RL.SOURCE).select("path", "source", "mtime_ms")
-    if n_changed or not INC.stale_files(manifest_in, listed).isEmpty() or (removed is not None and not removed.isEmpty()):
-        nm = INC.next_manifest(manifest_in, listed, changed)
-        if relational:
-            nm = nm.withColumn("source", F.when(F.col("path") == relational.name, F.lit(RL.SOURCE)).otherwise(F.col("source")))
-        if kept is not None:
-            nm = nm.unionByName(kept)
-        store.commit(sessions, messages, nm, held, removed)
-    return {"files_checked": listed.count(), "files_indexed": n_changed, "sessions_indexed": sessions.count(),
-            "lines_rejected": rejects, "elapsed_ms": int((time.time() - t0) * 1000)}
-
-
-def _scan(spark: SparkSession, root: str, files: DataFrame, paths: DataFrame, glob: str) -> DataFrame:
-    from chatlake.sources.transcripts import scan_lines
-
-    only = _listed_uris(files, paths)
-    lines = scan_lines(spark, root, glob, only)
-    return lines if only is not None else lines.join(paths, "path", "left_semi")
+    source = F.when(F.col("uri").isNull(), F.lit(RL.SOURCE)).otherwise(F.lit(SOURCE))
+    change.manifest = changed.select("path", source.alias("source"), "mtime_ms")
+    change.sessions, change.messages, change.facts, change.texts, change.files = sessions, messages, facts, texts, held
+    n_changed = seen["changed"] - failed
+    if n_changed or not stale.isEmpty() or (purge and not change.removed.isEmpty()):
+        store.commit(change)
+    return {"files_checked": seen["checked"], "files_indexed": n_changed, "files_failed": failed, "sessions_indexed": n_sessions,
+            "lines_rejected": counts, "elapsed_ms": int((time.time() - t0) * 1000)}

@@ -1,5 +1,8 @@
 """STR2 and STR3: continuous daily activity and session summaries.
 
+Rows behind the watermark are not lost silently: ``late_rows`` reads from a query's
+progress how many (day, session) rows its tasks dropped.
+
 STR2 (exact): messages are grouped per ``(1-day window, session_id)`` with a
 watermark; in append mode each pair is emitted once, when the watermark
 closes its day.  The emitted pairs are the mergeable roll-up grain, so the
@@ -56,6 +59,13 @@ def daily_activity_approx_stream(messages: DataFrame, watermark: str = "2 days")
     return agg.select(_window_day().alias("day"), "sessions", "user_msgs", "asst_turns")
 
 
+def late_rows(query) -> int:
+    """Rows that a query's stateful operators dropped as later than the watermark, from
+    its progress reports.  Rows are counted after each task's partial aggregation: one
+    per (day, session) of a task in the exact form, one per day in the approximate."""
+    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
+
+
 def session_summary_stream(parsed_usable: DataFrame) -> DataFrame:
     """STR3: running session summary (update mode).
 
@@ -87,5 +97,7 @@ def upsert_summaries(store: TableSet, source: str = "claude-code"):
             F.coalesce("_title", F.lit(TX.NO_TITLE)).alias("title"),
             F.lit(None).cast("string").alias("parent_id"),
             "started_at", "last_at", "message_count").select(*SC.SESSION_COLS)
-        store.upsert_sessions(checkpointed(rows))
+        rows = checkpointed(rows)
+        if not rows.isEmpty():
+            store.upsert_sessions(rows)
     return run
