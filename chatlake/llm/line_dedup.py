@@ -57,6 +57,7 @@ K = 8              # characters in a shingle
 BANDS, ROWS = 12, 4
 SHORT = range(40, 160)  # characters of lines that are also compared by shorter shingles
 SHORT_K, SHORT_BANDS, SHORT_LEAST = 5, 36, 0.6
+TIERS = (12, 14, 16, 20, 24, 30, SHORT_BANDS)  # bands computed at once for SHORT lines of alike length
 MISSED = 0.007     # share of SHORT pairs at the similarity asked that may not meet
 WORD = 9           # SHORT_K-character shingles that a word of five letters is in
 MIN_CHARS = 1      # blank lines alone take no part
@@ -64,6 +65,7 @@ THRESHOLD = 0.8
 CHUNK = 256        # lines on one side of a verification group
 SEEN = 1 << 18     # line hashes a task remembers, to give keys once
 FEW_LINES = 1_000_000  # line hashes that may be broadcast (8 bytes each)
+FEW, PAIRS = 8, 1024  # lines of a small group; pairs compared in one go
 COLUMNS = 8192     # shingles of a group multiplied at once
 PART = 1 << 16     # characters of lines signed at once (fits the cache)
 _rng = np.random.default_rng(20240607)
@@ -139,10 +141,13 @@ def line_keys(forms: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """All keys of the lines, one line after the other, and their number by line."""
     keys = np.zeros((len(forms), BANDS + SHORT_BANDS), np.uint64)
     k, s = _bands(np.array([len(f) for f in forms]))
-    for n, at, args in ((k, slice(0, BANDS), (K, BANDS)), (s, slice(BANDS, None), (SHORT_K, SHORT_BANDS))):
-        some = np.flatnonzero(n)
-        if len(some):
-            keys[some, at] = band_keys([forms[i] for i in some], *args)
+    def fill(some, at, shingle, bands):
+        for i, j in _parts([forms[x] for x in some]):
+            keys[some[i:j], at:at + bands] = band_keys([forms[x] for x in some[i:j]], shingle, bands)
+
+    fill(np.flatnonzero(k), 0, K, BANDS)
+    for low, high in zip((0, *TIERS), TIERS):              # not more bands than lines of that length need
+        fill(np.flatnonzero((s > low) & (s <= high)), BANDS, SHORT_K, high)
     has = np.c_[np.arange(BANDS) < k[:, None], np.arange(SHORT_BANDS) < s[:, None]]
     return keys[has], has.sum(1)
 
@@ -183,21 +188,47 @@ def similar_pairs(forms: list[str], threshold: float) -> np.ndarray:
     return near
 
 
-def _parts(forms: list[str]):
-    """Slices of ``forms`` of about PART characters."""
+def _pair_sets(forms: list[str], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For lines 2p and 2p + 1 of every pair p (PAIRS at most): shingles shared, and
+    each one's number.  One sort of (pair, 53 bits of the shingle's hash, line)."""
+    h, starts = shingles(forms, k)
+    owner = np.repeat(np.arange(len(forms), dtype=np.uint64), np.diff(np.r_[starts, len(h)]))
+    x = np.sort(owner >> np.uint64(1) << np.uint64(54) | h >> np.uint64(11) << np.uint64(1) | owner & np.uint64(1))
+    x = x[np.r_[True, x[1:] != x[:-1]]]                    # a set holds a shingle once
+    pair, one = (x >> np.uint64(54)).astype(np.int64), (x & np.uint64(1)).astype(bool)
+    both = (x[1:] ^ x[:-1]) == 1
+    count = lambda p: np.bincount(p, minlength=len(forms) // 2).astype(np.float32)
+    return count(pair[1:][both]), count(pair[~one]), count(pair[one])
+
+
+def similar_two(forms: list[str], threshold: float) -> np.ndarray:
+    """The rule of ``similar_pairs`` for lines 2p and 2p + 1, all pairs at once."""
+    def at_least(both, a, b, asked):
+        return both >= np.asarray(asked, np.float32) * (a + b - both) - 1e-4
+
+    near = at_least(*_pair_sets(forms, K), threshold)
+    n = np.array([len(f) in SHORT for f in forms])
+    short = np.flatnonzero(n[::2] & n[1::2] & ~near)
+    if len(short):
+        both, a, b = _pair_sets([f for p in short for f in forms[2 * p:2 * p + 2]], SHORT_K)
+        near[short] = at_least(both, a, b, _least(np.maximum(a, b), threshold))
+    return near
+
+
+def _parts(forms: list[str], part: int = PART):
+    """Slices of ``forms`` of about ``part`` characters."""
     at = size = 0
     for i, f in enumerate(forms):
         size += len(f)
-        if size >= PART:
+        if size >= part:
             yield at, i + 1
             at, size = i + 1, 0
     if at < len(forms):
         yield at, len(forms)
 
 
-def _hash128(form: str) -> tuple[int, int]:
-    d = xxhash.xxh3_128_intdigest(form.encode("utf-8", "surrogatepass"))
-    return d >> 64, d & 0xFFFFFFFFFFFFFFFF
+def _hash128(form: str) -> bytes:
+    return xxhash.xxh3_128_digest(form.encode("utf-8", "surrogatepass"))
 
 
 def _line_rows(docs: DataFrame, min_chars: int, with_text: bool) -> DataFrame:
@@ -212,7 +243,10 @@ def _line_rows(docs: DataFrame, min_chars: int, with_text: bool) -> DataFrame:
                   T.StructField("k_len", T.IntegerType()), T.StructField("line", T.IntegerType()), *fields,
                   T.StructField("keys", T.ArrayType(T.LongType()))]
     schema = T.StructType(fields)
-    signed = lambda values: pa.array(np.array(values, np.uint64).view(np.int64))
+
+    def halves(hashes):
+        both = np.frombuffer(b"".join(hashes), ">i8").reshape(-1, 2).astype(np.int64)
+        return [pa.array(both[:, 0]), pa.array(both[:, 1])]
 
     def run(batches):
         seen = set()  # forms whose keys or text this task has given
@@ -225,7 +259,7 @@ def _line_rows(docs: DataFrame, min_chars: int, with_text: bool) -> DataFrame:
                         row.append(r)
                         number.append(i)
                         forms.append(form)
-            for s, e in _parts(forms):
+            for s, e in _parts(forms, 64 * PART):
                 h = [_hash128(f) for f in forms[s:e]]
                 first = []
                 for i, x in enumerate(h):
@@ -237,7 +271,7 @@ def _line_rows(docs: DataFrame, min_chars: int, with_text: bool) -> DataFrame:
                 new = [forms[s + i] for i in first]
                 if with_text:
                     h = [h[i] for i in first]
-                out = [signed([x for x, _ in h]), signed([y for _, y in h])]
+                out = halves(h)
                 if with_text:
                     out.append(pa.array(new, pa.string()))
                 else:
@@ -268,31 +302,48 @@ def _forest(side: np.ndarray, forms: list[str], ci: int, cj: int, threshold: flo
 
 
 def _edges(groups: DataFrame, threshold: float) -> DataFrame:
-    """Links (a, b), structs of two hashes, of the groups' lines."""
+    """Links (a, b), structs of two hashes, of the groups' lines.  The pairs of many
+    small groups are compared in one go, a larger group's as one matrix."""
     names = ["bucket", "ci", "cj"]
 
-    def finish(key, rows):
-        if len(rows) < 2:
-            return []
-        ids, side = [(r["h1"], r["h2"]) for r in rows], np.array([r["c"] for r in rows])
-        return [(ids[i], ids[j]) for i, j in _forest(side, [r["form"] for r in rows], key[1], key[2], threshold)]
-
     def run(batches):
-        key, rows = None, []           # rows of the group that is being read
+        key, rows = None, []           # (id, form, chunk) of the group that is being read
+        ends, forms, found = [], [], []
+
+        def finish():
+            if len(rows) < 2:
+                return
+            if len(rows) <= FEW and key[1] == key[2]:
+                for i, (a, x, _) in enumerate(rows):
+                    for b, y, _ in rows[:i]:
+                        ends.append((a, b))
+                        forms.extend((x, y))
+            else:
+                side = np.array([r[2] for r in rows])
+                found.extend((rows[i][0], rows[j][0]) for i, j in _forest(side, [r[1] for r in rows], key[1], key[2], threshold))
+
+        def compare():
+            for s in range(0, len(ends), PAIRS):
+                near = similar_two(forms[2 * s:2 * (s + PAIRS)], threshold)
+                found.extend(e for e, x in zip(ends[s:s + PAIRS], near) if x)
+            out = batch(found)
+            for x in (ends, forms, found):
+                x.clear()
+            return out
+
         for b in batches:
-            found = []
-            for r in b.to_pylist():
-                k = (r["bucket"], r["ci"], r["cj"])
+            cols = {n: c.to_pylist() for n, c in zip(b.schema.names, b.columns)}
+            for k, h1, h2, form, c in zip(zip(*(cols[n] for n in names)), cols["h1"], cols["h2"], cols["form"], cols["c"]):
                 if k != key:
-                    found += finish(key, rows)
+                    finish()
                     key, rows = k, []
-                rows.append(r)
-            yield batch(found)
-        yield batch(finish(key, rows))
+                rows.append(((h1, h2), form, c))
+            yield compare()
+        finish()
+        yield compare()
 
     def batch(found):
-        node = pa.struct([("h1", pa.int64()), ("h2", pa.int64())])
-        side = lambda i: pa.array([{"h1": e[i][0], "h2": e[i][1]} for e in found], node)
+        side = lambda i: pa.StructArray.from_arrays([pa.array([e[i][j] for e in found], pa.int64()) for j in (0, 1)], ["h1", "h2"])
         return pa.RecordBatch.from_arrays([side(0), side(1)], names=["a", "b"])
 
     return (groups.repartition(*names).sortWithinPartitions(*names)

@@ -25,6 +25,43 @@ def test_op4_has_a_row_for_every_line_that_is_not_blank(spark):
     assert len(kept) == len(set(kept))
 
 
+def test_components_equal_brute_force(spark):
+    """op4 on sf0.001, where the bands miss none of the links."""
+    from brute import line_components
+    from cases import SF001
+    from oracle_util import duck
+    docs = duck(SF001).execute("SELECT doc_id, text FROM documents").fetchall()
+    want = line_components(docs)
+    rows = {(r.doc_id, r.line_no): r for r in queries.op4_lines(spark, SF001).collect()}
+    assert set(rows) == set(want) and {k for k, r in rows.items() if r.kept} == {k for k, (_, kept) in want.items() if kept}
+    assert len({(want[k][0], r.component) for k, r in rows.items()}) == len({c for c, _ in want.values()})
+
+
+def test_pairs_at_once_follow_the_same_rule():
+    rng = np.random.default_rng(9)
+    forms = []
+    for _ in range(300):
+        a = "".join(rng.choice(list("abcde fg"), int(rng.integers(1, 220))))
+        b = list(a)
+        for _ in range(int(rng.integers(0, 6))):
+            b[int(rng.integers(0, len(b)))] = "#"
+        forms += [a, "".join(b)]
+    want = [line_dedup.similar_pairs(forms[i:i + 2], 0.8)[0, 1] for i in range(0, len(forms), 2)]
+    assert line_dedup.similar_two(forms, 0.8).tolist() == want and 0 < sum(want) < 300
+
+
+def test_small_and_large_groups_and_the_far_side(spark, monkeypatch):
+    """The same links by matrix as by pairs, with broadcast hashes as with joined ones."""
+    rng = np.random.default_rng(12)
+    docs = [(2 * i + j, x) for i in range(150) for j, x in enumerate(_edited(rng, int(rng.integers(60, 110)), "letter"))]
+    docs += [(1000 + i, "the same start of a line that many others have, and number %03d" % i) for i in range(40)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    answer = lambda: sorted((r.k_id, r.kept, r.first.k_id) for r in line_dedup.line_clusters(df, chunk=16).collect())
+    one = answer()
+    monkeypatch.setattr(line_dedup, "FEW_LINES", 0)
+    assert answer() == one
+
+
 def _edited(rng, n, edit):
     letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
     words = ["".join(letters[rng.integers(0, 26, 5)]) for _ in range(n // 6 + 1)]
