@@ -50,6 +50,11 @@ def snippet(col="content", n: int = SNIPPET_MAX) -> Column:
     return F.substring(F.coalesce(_c(col), F.lit("")), 1, n)
 
 
+def one_line(col="snippet", n: int = 120) -> Column:
+    """FN4: the snippet in one line: white space runs become one blank, cut to ``n``."""
+    return truncate_plain(F.regexp_replace(_c(col), _WS_RUN, " "), n)
+
+
 def truncate_plain(col, n: int) -> Column:
     """FN8: keep if it fits, else ``n - 3`` chars and '...'."""
     c = _c(col)

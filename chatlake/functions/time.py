@@ -109,3 +109,44 @@ def parse_since(value: str, now_ms: int | None = None, tz: str = "UTC") -> int |
         return int(d.timestamp() * 1000)
     except ValueError:
         return None
+
+
+# English month names and their numbers.
+MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
+
+
+def _ntz_ms(text: Column, tz: str) -> Column:
+    """Local date or time text in zone ``tz`` -> epoch ms, whatever the session's zone; NULL
+    for other text."""
+    local = text.try_cast("timestamp_ntz")
+    utc = F.convert_timezone(F.lit(tz), F.lit("UTC"), local)
+    return F.timestamp_diff("MILLISECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), utc)
+
+
+def since_ms(value, now_ms, tz: str = "UTC") -> Column:
+    """FLT5 as a column: the epoch ms of a time expression per row, by the rules of
+    ``parse_since``; NULL where it can't be read.  ``now_ms``: a number or a Column."""
+    v = F.lower(F.trim(F.col(value) if isinstance(value, str) else value))
+    now = now_ms if isinstance(now_ms, Column) else F.lit(int(now_ms))
+    number = F.regexp_extract(v, r"^(\d+)[mhdw]$", 1).try_cast("bigint")
+    unit = F.right(v, F.lit(1))
+    step = F.when(unit == "m", MS_PER_MIN).when(unit == "h", MS_PER_HOUR).when(unit == "d", MS_PER_DAY).otherwise(MS_PER_WEEK)
+    today = day_of_ms(now, tz).try_cast("date")
+    words = F.split(F.trim(F.regexp_replace(v, r"[,\s]+", " ")), " ")
+    month = F.create_map(*[x for i, m in enumerate(MONTHS, 1) for n in {m, m[:3]} for x in (F.lit(n), F.lit(i))])
+
+    def named(day, name):
+        parts = [F.get(words, F.lit(2)), F.lpad(F.try_element_at(month, F.get(words, F.lit(name))).cast("string"), 2, "0"),
+                 F.lpad(F.get(words, F.lit(day)), 2, "0")]
+        return F.when(F.size(words) == 3, F.concat(parts[0], F.lit("-"), parts[1], F.lit("-"), parts[2]))
+
+    date = r"^\d{4}-\d{2}-\d{2}$"
+    return (F.when(v == "today", _ntz_ms(today.cast("string"), tz))
+            .when(v == "yesterday", _ntz_ms(F.date_sub(today, 1).cast("string"), tz))
+            .when(v.rlike(r"^\d+[mhdw]$"), now - number * step)
+            .when(v.rlike(date), _ntz_ms(v, "UTC"))
+            .when(v.rlike(r"^\d{4}-\d{2}$"), _ntz_ms(F.concat(v, F.lit("-01")), "UTC"))
+            .when(v.rlike(r"^[a-z]+[ ,]+\d{1,2}[ ,]+\d{4}$"), _ntz_ms(named(1, 0), tz))
+            .when(v.rlike(r"^\d{1,2}[ ,]+[a-z]+[ ,]+\d{4}$"), _ntz_ms(named(0, 1), tz))
+            .when(v.rlike(r"^\d{4}-\d{2}-\d{2}[t ].*(z|[+-]\d{2}:?\d{2})$"), F.unix_millis(F.upper(v).try_cast("timestamp")))
+            .when(v.rlike(r"^\d{4}-\d{2}-\d{2}[t ]"), _ntz_ms(F.upper(v), tz)))

@@ -125,6 +125,53 @@ def raw_daily_activity(raw: DataFrame) -> DataFrame:
             .orderBy("day"))
 
 
+# ---- mergeable sketches of distinct sessions (AGG7, AGG8, AGG10) --------------
+
+SKETCH_LG = 12        # 4,096 registers: a relative standard error of 1.6 percent
+SKETCH_ERROR = 0.05   # three standard errors
+
+
+def day_sketches(pairs: DataFrame, lg: int = SKETCH_LG) -> DataFrame:
+    """``(directory, day, sketch)`` of ``(directory, session_id, day)`` rows: a sketch of
+    the session ids, of fixed size however many there are."""
+    return pairs.groupBy("directory", "day").agg(F.hll_sketch_agg("session_id", lg).alias("sketch"))
+
+
+def merged_sketches(sketches: DataFrame, *keys) -> DataFrame:
+    """AGG10 for sketches: directories, days or weeks merged; a session in two of them
+    counts once, which adding distinct counts would not do (S30)."""
+    return sketches.groupBy(*keys).agg(F.hll_union_agg("sketch").alias("sketch"))
+
+
+def week_of(day) -> F.Column:
+    """The Monday of a day (text), as text."""
+    return F.date_sub(F.next_day(F.col(day).cast("date"), "Mon"), 7).cast("string")
+
+
+def distinct_by_period(pairs: DataFrame, lg: int = SKETCH_LG) -> DataFrame:
+    """Per day, week and all time: exact distinct sessions, the sketch's estimate (merged
+    day to week to all) and the sum of the directories' distinct counts."""
+    pairs = pairs.select("directory", "session_id", "day").distinct()
+    days = day_sketches(pairs, lg)
+    day = merged_sketches(days, "day")
+    week = merged_sketches(day.withColumn("week", week_of("day")), "week")
+    whole = merged_sketches(week.withColumn("all", F.lit("all")), "all")
+    out = None
+    for level, key, sketch in (("day", F.col("day"), day), ("week", week_of("day"), week), ("all", F.lit("all"), whole)):
+        per_dir = pairs.groupBy(key.alias("period"), "directory").agg(F.count_distinct("session_id").alias("n"))
+        added = per_dir.groupBy("period").agg(F.sum("n").alias("added"))
+        exact = pairs.groupBy(key.alias("period")).agg(F.count_distinct("session_id").alias("sessions"))
+        est = sketch.select(F.col(level).alias("period"), F.hll_sketch_estimate("sketch").alias("estimate"))
+        rows = exact.join(added, "period").join(est, "period").select(F.lit(level).alias("level"), "period", "sessions", "estimate", "added")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def within_error(estimate, exact) -> F.Column:
+    """A sketch's estimate is as near as ``SKETCH_LG`` promises (a count of few is off by one at most)."""
+    return F.abs(F.col(estimate) - F.col(exact)) <= F.greatest(F.lit(1.0), SKETCH_ERROR * F.col(exact))
+
+
 def last_days(daily: DataFrame, n: int = 14) -> DataFrame:
     """TOP9: the latest ``n`` days, oldest first."""
     return daily.orderBy(F.col("day").desc()).limit(n).orderBy("day")

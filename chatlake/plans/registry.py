@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatlake.functions import json as JS
+from chatlake.functions import text as TX
+from chatlake.functions import time as TM
 from chatlake.operators import search as SR
 from chatlake.operators import sessionize as SZ
 from chatlake.operators import sessions as SS
@@ -22,6 +24,7 @@ from chatlake.sources import relational as RL
 from chatlake.sources import transcripts as TR
 from chatlake.session import scratch_path
 from chatlake.store import incremental as INC
+from chatlake.store.output import as_json_lines
 from chatlake.store.tables import RelationalStore, TableSet, run_index
 from chatlake import schema as SC
 
@@ -282,7 +285,6 @@ def scope_bidirectional(spark, d):
 
 
 def usage_report(spark, d):
-    from chatlake.functions import text as TX
     m, s = _mv(spark, d)
     u = US.model_usage(m, s)
     return u.select("model", "turns",
@@ -471,6 +473,94 @@ def stream_summary(spark, d):
     return store.sessions()
 
 
+def stream_late(spark, d):
+    """STR2 exact with late drops: the closed days of what came in time, and how many
+    (day, session) rows came after the watermark had passed their day."""
+    from chatlake.streaming.ingest import transcript_stream
+    from chatlake.streaming.rollups import late_rows, session_day_stream
+    root = scratch_path(spark, "stream-late")
+    cid = (F.col("mtime_ms") - DV.EPOCH_BASE_MS) / DV.MS_PER_CONVERSATION
+    lines = DV.raw_view(spark, d).select(TR.slug_of_path("path").alias("slug"), "value", (cid % 9 == 4).alias("late"))
+
+    def take(part):
+        lines.where(part).select("slug", "value").repartition("slug").write.mode("append").partitionBy("slug").text(f"{root}/drops")
+        msgs = TR.clean(TR.usable(TR.parse_lines(transcript_stream(spark, f"{root}/drops/*", "*.txt"))))
+        query = (session_day_stream(msgs, "0 seconds").writeStream.format("parquet").option("path", f"{root}/pairs")
+                 .option("checkpointLocation", f"{root}/checkpoint").outputMode("append").trigger(availableNow=True).start())
+        query.awaitTermination()
+        return late_rows(query)
+
+    late = take(~F.col("late")) + take(F.col("late"))
+    pairs = spark.read.schema("day string, session_id string, user_msgs long, asst_turns long").parquet(f"{root}/pairs")
+    return US.merge_daily(pairs).withColumn("late_rows", F.lit(late).cast("long"))
+
+
+def stream_daily_approx(spark, d):
+    """STR2 approximate: the last update of every day, and whether its estimate of distinct
+    sessions is near the exact count."""
+    from chatlake.streaming.rollups import daily_activity_approx_stream
+    root = _drops(spark, d, "stream-approx")
+    seen = f"{root}/days"
+
+    def put(batch, batch_id):
+        batch.withColumn("batch", F.lit(batch_id)).write.mode("append").parquet(seen)
+
+    (daily_activity_approx_stream(_message_stream(spark, root)).writeStream.foreachBatch(put).outputMode("update")
+     .option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination())
+    last = SS.dedupe_first(spark.read.parquet(seen), "day", [F.col("batch").desc()])
+    exact = daily_activity(spark, d).select("day", F.col("sessions").alias("exact"))
+    return last.join(exact, "day").select("day", "user_msgs", "asst_turns", US.within_error("sessions", "exact").alias("near"))
+
+
+def daily_sketch(spark, d):
+    """AGG8 / AGG10 by sketches, day to week to all; a fifth of the sessions went on in a
+    second directory (S30)."""
+    m, s = _mv(spark, d)
+    place = s.select(F.col("id").alias("session_id"), "directory")
+    moved = (F.col("conv_id") % 5 == 1) & (F.col("position") >= 2)
+    pairs = m.join(place, "session_id").select(
+        F.when(moved, F.lit("/work/shared")).otherwise(F.col("directory")).alias("directory"), "session_id",
+        TM.day_of_ms("timestamp_ms", "UTC").alias("day"))
+    return US.distinct_by_period(pairs).select("level", "period", "sessions", "added", US.within_error("estimate", "sessions").alias("near"))
+
+
+def relational_changes(spark, d):
+    """SRC6 change feed between two states of the relational store."""
+    rs, _, _ = DV.relational_views(spark, d)
+    cid = F.col("conv_id")
+    now = rs.where(cid % 10 != 7)
+    marks = rs.where(cid % 6 != 1).select("id", (F.col("time_updated") - F.when(cid % 6 == 2, 1000).otherwise(0)).alias("last_at"))
+    return RL.session_changes(now, marks)
+
+
+def relational_changed_parts(spark, d):
+    """SRC7 / SRC9: messages of the new and updated sessions alone."""
+    rel = DV.relational_views(spark, d)
+    feed = relational_changes(spark, d).where(F.col("status").isin("new", "changed"))
+    return RL.relational_messages(*RL.of_sessions(*rel, feed)).select("session_id", "role", "content", "timestamp_ms", "position")
+
+
+def since_expressions(spark, d):
+    """FLT5: a time expression per session, as a column."""
+    _, s = _mv(spark, d)
+    cid = F.col("conv_id")
+    kinds = [F.concat((cid % 50).cast("string"), F.lit(u)) for u in ("m", "h", "D", "w")] + [
+        F.lit("today"), F.lit(" Yesterday "), TM.day_of_ms("last_at", "UTC"), F.lit("Jul 4, 2025"), F.lit("2025-07"), F.lit("soon")]
+    text = F.element_at(F.array(*kinds), (cid % len(kinds) + 1).cast("int"))
+    return s.select("id", text.alias("expression")).withColumn("since", TM.since_ms("expression", P.NOW_MS))
+
+
+def hit_lines(spark, d):
+    """FN4: the hits of a search, in one line each."""
+    return search_window(spark, d).select("session_id", TX.one_line("snippet").alias("line"))
+
+
+def json_rows(spark, d):
+    """SNK12: a listing written as JSON texts and read back."""
+    rows = as_json_lines(list_sessions(spark, d))
+    return rows.select(F.from_json("json", SC.SESSION).alias("r")).select("r.*")
+
+
 def scope_rows(spark, d):
     """SET5: a scope that lists prefixes twice, as rows."""
     _, s = _mv(spark, d)
@@ -485,6 +575,14 @@ def queries() -> dict[str, Query]:
         "store_search": store_search,
         "store_usage": store_usage,
         "store_daily": store_daily,
+        "stream_late": stream_late,
+        "stream_daily_approx": stream_daily_approx,
+        "daily_sketch": daily_sketch,
+        "relational_changes": relational_changes,
+        "relational_changed_parts": relational_changed_parts,
+        "since_expressions": since_expressions,
+        "hit_lines": hit_lines,
+        "json_rows": json_rows,
         "stream_daily": stream_daily,
         "stream_summary": stream_summary,
         "scope_rows": scope_rows,

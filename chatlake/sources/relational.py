@@ -84,6 +84,26 @@ def relational_messages(rel_session: DataFrame, rel_message: DataFrame, rel_part
         *[F.lit(0).cast("bigint").alias(c) for c in ("output_tokens", "cache_read", "cache_write")]).select(*SC.MESSAGE_COLS)
 
 
+def session_changes(rel_session: DataFrame, marks: DataFrame) -> DataFrame:
+    """Change feed: ``(id, status)`` of the sessions that differ from the last run's high-water
+    marks ``(id, last_at)``: 'new', 'changed' (updated since), 'archived' or 'vanished'
+    (indexed, but archived now or gone)."""
+    now = rel_session.select("id", "time_updated", F.col("time_archived").isNotNull().alias("archived"), F.lit(True).alias("here"))
+    was = marks.select(F.col("id").alias("mark_id"), "last_at")
+    j = now.join(was, F.col("id") == F.col("mark_id"), "full")
+    known = F.col("mark_id").isNotNull()
+    status = (F.when(F.col("here").isNull(), "vanished").when(F.col("archived") & known, "archived").when(F.col("archived"), None)
+              .when(~known, "new").when(F.coalesce(F.col("time_updated") > F.col("last_at"), F.lit(True)), "changed"))
+    return j.select(F.coalesce("id", "mark_id").alias("id"), status.alias("status")).where(F.col("status").isNotNull())
+
+
+def of_sessions(rel_session: DataFrame, rel_message: DataFrame, rel_part: DataFrame, ids: DataFrame) -> tuple:
+    """The three tables' rows of some sessions (id); others' parts are not parsed."""
+    keys = ids.select("id")
+    by = keys.withColumnRenamed("id", "session_id")
+    return (rel_session.join(keys, "id", "left_semi"), rel_message.join(by, "session_id", "left_semi"), rel_part.join(by, "session_id", "left_semi"))
+
+
 def list_roots_with_counts(rel_session: DataFrame, rel_message: DataFrame) -> DataFrame:
     """JN4 + FLT12: root, unarchived sessions with their count of *all*
     messages (the correlated sub-query, decorrelated to aggregate + join)."""

@@ -94,8 +94,10 @@ def run_index(spark: SparkSession, transcripts_root: str | None, store: TableSet
 
     Files that hold a session of a changed file are read along with it, so a
     session in several files comes out as in a full run.  ``force`` reads
-    everything again, the relational store too.  ``purge`` drops the sessions
-    of which no file is listed any more.  ``slug_map`` names the directories of
+    everything again, the relational store too.  Of the relational store only
+    sessions that are new or updated since they were indexed are read.  ``purge`` drops the
+    sessions of which no file is listed any more, and the relational ones that are
+    archived or gone.  ``slug_map`` names the directories of
     project slugs that the rule gets wrong (S15).  A file that can't be read to its
     end is left out, stays unrecorded and is tried again by the next run.  Where
     another writer commits meanwhile the run starts again from the new state.
@@ -127,7 +129,10 @@ def _run(spark, transcripts_root, store, force, merge_files, relational, purge,
     mine = manifest if relational else manifest.where(F.col("source") != RL.SOURCE)
     stale = INC.stale_files(mine, files).select("path")
     change, counts, failed = Change(forget=stale), {}, 0
-    sessions = messages = facts = texts = held = None
+    sessions = messages = facts = texts = held = feed = None
+    if relational and not force and (seen["changed"] > seen["texts"] or purge):
+        marks = store.sessions().where(F.col("source") == RL.SOURCE).select("id", "last_at")
+        feed = checkpointed(RL.session_changes(relational.session, marks))
     if seen["texts"]:
         todo = changed.where(is_text)
         lines = _stage_files(spark, transcripts_root, glob, todo, scratch_path(spark, "index-lines"), counts, slug_map)
@@ -157,6 +162,8 @@ def _run(spark, transcripts_root, store, force, merge_files, relational, purge,
         texts = msgs.select("session_id", "content")
     if relational and seen["changed"] > seen["texts"]:
         rel = (relational.session, relational.message, relational.part)
+        if feed is not None:
+            rel = RL.of_sessions(*rel, feed.where(F.col("status").isin("new", "changed")))
         rows = RL.relational_sessions(*rel).withColumn("state", F.lit(None).cast(SC.SESSION_STATE))
         more = staged(RL.relational_messages(*rel), "index-relational")
         sessions = rows if sessions is None else sessions.unionByName(rows)
@@ -174,7 +181,8 @@ def _run(spark, transcripts_root, store, force, merge_files, relational, purge,
         alive = (stored if held is None else INC.replace_groups(stored, held.select("session_id", "path"), "session_id")).join(
             files.select("path"), "path", "left_semi")
         change.removed = checkpointed(stored.select(F.col("session_id").alias("id")).distinct().join(
-            alive.select(F.col("session_id").alias("id")).distinct(), "id", "left_anti"))
+            alive.select(F.col("session_id").alias("id")).distinct(), "id", "left_anti").unionByName(
+            INC.empty(spark, "id string") if feed is None else feed.where(F.col("status").isin("archived", "vanished")).select("id")))
     source = F.when(F.col("uri").isNull(), F.lit(RL.SOURCE)).otherwise(F.lit(SOURCE))
     change.manifest = changed.select("path", source.alias("source"), "mtime_ms")
     change.sessions, change.messages, change.facts, change.texts, change.files = sessions, messages, facts, texts, held
