@@ -27,7 +27,7 @@ STORE_BUCKETS = 8
 CHANGED_SLUG = "-work-team1-proj1"        # the project whose files are replaced
 STORE_KW = ["V2: ", "schst"]              # searched through the postings
 STREAM_CUTS = (2, 5)                      # turns at which a session goes on in the next drop
-STREAM_FILES = 15                         # files of a micro-batch
+STREAM_FILES = 20                         # files of a micro-batch
 REMOVED_SCOPE = ["slug=/work/team2", "/work/team0/proj0"]
 OWNER_PREFIX_LEN = 24                     # all but the last digit: a prefix spans ten sessions
 FILTER_TEXT = "proj1"                      # FLT14 over the flat list
