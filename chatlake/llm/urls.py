@@ -7,19 +7,24 @@ the method:
 
 1. Host labels and path parts are cut into pieces at everything but letters
    and digits.  A piece of letters is split into words by a unigram Viterbi:
-   word counts come from the text of all pages, every substring of a distinct
-   piece is joined with them, and the split with the largest probability
-   wins.  An unknown substring of n letters has the probability of one count
-   over 10 ** n times the total, so known words are preferred to unknown
-   ones and one long unknown word to many short ones.  Only distinct pieces
-   are split; pieces and substrings are rows, so nothing is broadcast.
+   word counts come from the text of all pages, words of any length, and the
+   split with the largest probability wins.  Substrings of up to ``STEM``
+   letters of a distinct piece are joined with the words; a longer word is
+   found by its first ``STEM`` letters and then compared whole.  An unknown
+   substring of n letters has the probability of one count over 10 ** n times
+   the total, so known words are preferred to unknown ones and one long
+   unknown word to many short ones.  Only distinct pieces are split; pieces
+   and substrings are rows, so nothing is broadcast.
 2. Multinomial naive Bayes with add-one smoothing scores the words of host and
    path (the two are told apart), with equal class priors.  It learns from all
    URLs that a rule judges.  ``block`` needs a score above 0.
 
 A NULL URL or one without ``://`` has an empty host and path and no words.  A
-URL without words, or where nothing was learned, is allowed.  Rows are kept
-one for one; equal URLs are judged once.
+URL without words, or where nothing was learned, is allowed.  Pages without
+text (NULL or empty) count no words; URLs and texts are read whole, however
+long.  Rows are kept one for one; equal URLs are judged once.  An empty table
+gives an empty result.  Only page_id, url and html are read, so further columns
+of any name can't clash.
 """
 
 from __future__ import annotations
@@ -40,7 +45,7 @@ RULES = [  # fixed by the contract: verdict, host, path
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 ]
-LONGEST = 24  # letters in a word
+STEM = 24  # letters of a word that the join compares; longer words are compared whole after it
 UNKNOWN = 10.0
 
 
@@ -74,19 +79,25 @@ def word_counts(texts: DataFrame) -> DataFrame:
     plain = F.regexp_replace(F.regexp_replace(
         F.coalesce("html", F.lit("")), r"(?is)<(script|style)\b.*?</\1\s*>", " "), r"<[^>]*>|&\w+;", " ")
     w = texts.select(F.explode(F.regexp_extract_all(F.lower(plain), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
-    return w.where(F.length("word") <= LONGEST).groupBy("word").agg(F.count("*").alias("n"))
+    return w.groupBy("word").agg(F.count("*").alias("n"))
 
 
 def viterbi(piece: str, known: dict[tuple[int, int], float], unknown: float) -> list[str]:
     """The split of ``piece`` with the largest probability.  ``known`` maps
     (start, length) of substrings that are words to log probabilities; an
     unknown word of n letters has ``unknown - n * ln 10``.  Ties go to fewer words."""
-    best: list[tuple[float, int, int]] = [(0.0, 0, 0)]  # log probability, minus words, last word's start
     per = math.log(UNKNOWN)
+    ends: list[list[tuple[int, float]]] = [[] for _ in range(len(piece) + 1)]
+    for (s, n), p in known.items():
+        if s + n <= len(piece):
+            ends[s + n].append((s, p))
+    best: list[tuple[float, int, int]] = [(0.0, 0, 0)]  # log probability, minus words, last word's start
+    lead = (0.0, 0, 0)  # the best start of an unknown word, whatever its end
     for end in range(1, len(piece) + 1):
-        best.append(max(
-            (best[s][0] + known.get((s, end - s), unknown - per * (end - s)), best[s][1] - 1, s)
-            for s in range(max(0, end - LONGEST), end)))
+        s = lead[2]
+        best.append(max([(best[s][0] + unknown - per * (end - s), best[s][1] - 1, s),
+                         *((best[s][0] + p, best[s][1] - 1, s) for s, p in ends[end])]))
+        lead = max(lead, (best[end][0] + per * end, best[end][1], end))
     out, end = [], len(piece)
     while end:
         s = best[end][2]
@@ -99,12 +110,19 @@ def segment(found: DataFrame, counts: DataFrame) -> DataFrame:
     """(piece, words): distinct pieces of ``found`` (column piece) split into words."""
     one = found.select("piece").distinct()
     total = counts.agg(F.sum("n").alias("total"))  # one row
-    at = one.select("piece", F.explode(F.sequence(F.lit(1), F.length("piece"))).alias("s"))
-    subs = at.select("piece", "s", F.explode(F.sequence(
-        F.lit(1), F.least(F.lit(LONGEST), F.length("piece") - F.col("s") + 1))).alias("len"))
-    subs = subs.select("piece", "s", "len", F.expr("substring(piece, s, len)").alias("word"))
-    hits = subs.join(counts, "word").groupBy("piece").agg(F.collect_list(F.struct("s", "len", "n")).alias("known"))
-    rows = one.join(hits, "piece", "left").join(F.broadcast(total))
+    # a long piece travels with its substrings as a digest only
+    one = one.withColumn("pid", F.when(F.length("piece") <= STEM, F.col("piece")).otherwise(
+        F.concat(F.lit("#"), F.md5("piece"))))
+    at = one.where(F.col("piece").rlike(r"^\p{L}")).withColumn("s", F.explode(F.sequence(F.lit(1), F.length("piece"))))
+    at = at.select("pid", "s", F.substring("piece", F.col("s"), F.lit(STEM)).alias("from"))
+    subs = at.select("pid", "s", F.explode(F.sequence(F.lit(1), F.length("from"))).alias("len"), "from")
+    subs = subs.select("pid", "s", "len", F.expr("substring(from, 1, len)").alias("word"))
+    short = subs.join(counts.where(F.length("word") <= STEM), "word").select("pid", "s", "len", "n")
+    long = counts.where(F.length("word") > STEM).select("n", F.col("word").alias("whole"), F.substring("word", 1, STEM).alias("word"))
+    long = (at.where(F.length("from") == STEM).withColumnRenamed("from", "word").join(long, "word").join(one, "pid")
+            .where(F.expr("substring(piece, s, length(whole)) = whole")).select("pid", "s", F.length("whole").alias("len"), "n"))
+    hits = short.unionByName(long).groupBy("pid").agg(F.collect_list(F.struct("s", "len", "n")).alias("known"))
+    rows = one.join(hits, "pid", "left").join(F.broadcast(total))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
