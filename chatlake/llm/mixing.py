@@ -10,19 +10,23 @@ every source has had within one block of its share.  Releases and deadlines
 repeat every P slots, so only the P blocks of one period are scheduled; block
 b of a source stands in slot (b div a_s) * P + slot of block (b mod a_s).
 
-The schedule is a fold over the P slots of one row: P is the sum of the weights,
-a size of the configuration and the number of sources, not of the documents.
+The schedule is a fold over the P slots of one row, whose state is the next block
+of every source: P is the sum of the weights, a size of the configuration and
+the number of sources, not of the documents.
 
 Inside a source documents come in the order of md5(doc_id), a fixed shuffle
-(then by hash of the row).  Every row stays, once.  A source that has run out
+(then by hash of the row); those without id in the order of the md5 of their row's
+hash.  So rows that repeat an id, or a whole row without id, are one run: ids
+are taken to be keys.  Every row stays, once.  A source that has run out
 leaves its slots empty, and the other sources keep their rates; ``on_target``
 marks the slots before the first source runs out, where all shares hold.
 
 The index of a document in its source is counted by pieces: a prefix of the
 md5 cuts a source into runs, runs are numbered by themselves and offset by the
 counts of earlier runs, so a source that holds a third of the rows is no
-single task.  NULL is a source of its own; a NULL doc_id sorts as ''.  Columns
-of the input whose names clash with the added ones are replaced.
+single task.  NULL is a source of its own.  Texts, empty, NULL or very long, only
+enter the hash of their row.  No documents give no rows.  Columns of the input
+whose names clash with the added ones are replaced.
 """
 
 from __future__ import annotations
@@ -50,18 +54,23 @@ def source_weights(sources: DataFrame, weights: dict[str, int], default: int = 1
 def period(weighted: DataFrame) -> DataFrame:
     """(src, a, p, i, at): slot ``at`` of block i of every source in one period."""
     total = weighted.agg(F.sum("a").alias("p"))
-    blocks = weighted.join(F.broadcast(total)).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("a") - 1)))
-    p, a, i = F.col("p"), F.col("a"), F.col("i")
-    blocks = blocks.select(F.struct(
-        F.expr("(i + 1) * p div a + if((i + 1) * p % a > 0, 1, 0)").alias("due"),
-        F.struct(F.col("src").isNull().alias("no"), "src").alias("s"), i.alias("i"),
-        F.expr("i * p div a").alias("free"), a.alias("a"), p.alias("p")).alias("b"))
+    zero = F.lit(0).cast("long")
+
+    def block(s, i, a, p):
+        div = lambda x: F.call_function("div", x, a)
+        return F.struct(div((i + 1) * p + a - 1).alias("due"), s.alias("s"), i.alias("i"), div(i * p).alias("free"),
+                        a.alias("a"), p.alias("p"))
+
+    # of every source the first block that is not yet scheduled
+    source = F.struct(F.col("src").isNull().alias("no"), "src")
+    blocks = weighted.join(F.broadcast(total)).select(block(source, zero, F.col("a"), F.col("p")).alias("b"))
     one = blocks.agg(F.sort_array(F.collect_list("b")).alias("wait"), F.max("b.p").alias("p"))
 
     def step(acc, t):
         pick = F.array(F.array_min(F.filter(acc["wait"], lambda b: b["free"] <= t)))
         return F.element_at(F.transform(pick, lambda c: F.struct(
-            F.filter(acc["wait"], lambda b: b != c).alias("wait"),
+            F.transform(acc["wait"], lambda b: F.when(
+                b["s"].eqNullSafe(c["s"]), block(b["s"], b["i"] + 1, b["a"], b["p"])).otherwise(b)).alias("wait"),
             F.concat(acc["done"], F.array(F.struct(t.alias("at"), c.alias("b")))).alias("done"))), 1)
 
     kind = blocks.schema["b"].dataType.simpleString()
@@ -82,10 +91,12 @@ def mix(docs: DataFrame, weights: dict[str, int], default: int = 1, block_docs:
     while 16 ** digits * run_rows < total:
         digits += 1
     cols = without(docs, ADDED)
-    known = [c for c in ("doc_id", "source", "text", "lang", "n_chars") if c in docs.columns]
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema.fields
+              if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))]
+    tie = F.xxhash64(*hashed)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row"), F.col("source").alias("src"),
-                       F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("m"),
-                       F.xxhash64(*known).alias("tie"))
+                       F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("#"), tie.cast("string")))).alias("m"),
+                       tie.alias("tie"))
     rows = rows.withColumn("run", F.substring("m", 1, digits))
     runs = rows.groupBy("src", "run").agg(F.count("*").alias("n"))
     before = Window.partitionBy("src").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
