@@ -16,12 +16,14 @@ PII_KEY = "pipeline-demo-key"  # a deployment passes its own secret
 
 
 def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kdtree.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+    found = kdtree.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+    return found.select("query_id", "rank", "vec_id", "score")
 
 
 def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    return mixing.mix(docs, MIX_WEIGHTS)
+    # the text's hash tells documents without id apart
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.xxhash64("text").alias("text_hash"))
+    return mixing.mix(docs, MIX_WEIGHTS).drop("text_hash")
 
 
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

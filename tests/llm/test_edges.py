@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 from brute import base_places, contamination, simhash
-from cases import LONG, ROWS, edge, empty  # noqa: F401
+from cases import LONG, ROWS, SF001, edge, empty  # noqa: F401
 from pyspark.sql import functions as F
 
 from chatlake.llm import (decontaminate, kdtree, language, licenses, line_dedup, mixing, pii, simhash as sim,
@@ -202,6 +202,80 @@ def test_urls(spark):
     assert urls.judge(pages.limit(0)).count() == 0
 
 
+def test_urls_split_words_of_any_length(spark):
+    word, other = "verylong" * 5, "verylong" * 3 + "x" * 9  # both start with the same 24 letters
+    huge = "cheap" * 1200
+    data = [(1, f"http://a.com/de/{word}pills", f"<p>{word} pills {other} cheap</p>"), (2, f"http://b.net/{other}pills", "pills cheap"),
+            (3, f"http://c.net/{huge}", None), (4, "http://d.net/" + "q" * 40, huge + "z")]
+    pages = spark.createDataFrame(data, "page_id long, url string, html string")
+    got = {r.page_id: r.words for r in urls.judge(pages).collect()}
+    assert {f"p:{word}", "p:pills"} <= set(got[1]) and {f"p:{other}", "p:pills"} <= set(got[2])
+    assert [w for w in got[3] if w.startswith("p:")] == ["p:cheap"] and "p:" + "q" * 40 in got[4]
+
+
+def brute_split(piece, vocab, total):
+    from functools import cache
+    from math import log
+
+    @cache
+    def best(end):
+        if not end:
+            return 0.0, 0, 0, ()
+        out = []
+        for s in range(end):
+            w = piece[s:end]
+            p = log(vocab[w] / total) if w in vocab else -log(total) - len(w) * log(10)
+            head = best(s)
+            out.append((round(head[0] + p, 9), head[1] - 1, s, head[-1] + (w,)))
+        return max(out)
+    return list(best(len(piece))[-1])
+
+
+def test_viterbi_with_long_words():
+    from math import log
+    vocab, total = {"a" * 30: 4, "ab": 3, "b": 2, "c" * 26 + "ab": 1}, 10
+    for piece in ("a" * 30 + "b", "a" * 31, "c" * 26 + "abab", "x" * 50 + "ab", "ab" * 20, "z"):
+        known = {(s, n): log(vocab[piece[s:s + n]] / total) for s in range(len(piece))
+                 for n in range(1, len(piece) - s + 1) if piece[s:s + n] in vocab}
+        assert urls.viterbi(piece, known, -log(total)) == brute_split(piece, vocab, total), piece
+
+
+def test_url_verdicts_against_brute_force(spark):
+    """The Bayes verdict and score of URLs without a rule, over sf0.001 pages."""
+    import re as regex
+    from collections import Counter
+    from math import log
+    rows = spark.read.parquet(f"{SF001}/pages.parquet").select("page_id", "url", "html").collect()
+    counts = Counter()
+    for r in rows:
+        plain = regex.sub(r"(?is)<(script|style)\b.*?</\1\s*>", " ", r.html or "")
+        counts.update(regex.findall(r"[^\W\d_]+", regex.sub(r"<[^>]*>|&\w+;", " ", plain).lower()))
+    total = sum(counts.values())
+    got = urls.judge(spark.read.parquet(f"{SF001}/pages.parquet")).collect()
+    assert len(got) == len(rows)
+
+    def tokens(r):
+        for part, text in (("h", r.host), ("p", r.path)):
+            for piece in regex.findall(r"[^\W\d_]+|\d+", text.lower()):
+                split = [piece] if piece[0].isdigit() else brute_split(piece, counts, total)
+                yield from (f"{part}:{w}" for w in split)
+
+    words = {u: list(tokens(r)) for u, r in {r.url: r for r in got}.items()}
+    bad, good = Counter(), Counter()
+    for r in got:
+        if r.rule is not None:
+            (bad if r.verdict == "block" else good).update(words[r.url])
+    kinds = len(bad | good)
+    n_bad, n_good = sum(bad.values()), sum(good.values())
+    for r in got:
+        assert r.words == sorted(set(words[r.url])), r.url
+        if r.rule is None:
+            score = sum(log((bad[w] + 1) / (n_bad + kinds)) - log((good[w] + 1) / (n_good + kinds))
+                        for w in words[r.url] if w in bad or w in good)
+            assert abs(score - r.score) < 1e-6 and r.verdict == ("block" if r.score > 0 else "allow"), r.url
+    assert any(r.rule is None for r in got)
+
+
 def test_viterbi_is_the_best_split():
     from itertools import product
     from math import log
@@ -238,6 +312,51 @@ def test_top_k(spark, shard_rows):
     assert kdtree.top_k(v.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_top_k_keeps_all_vectors_of_an_id(spark):
+    """Found by the contract: every row but the query's own is a candidate."""
+    data = [(100, [1.0, 0.0]), (1, [0.1, 0.0]), (1, [5.0, 0.0]), (1, [5.0, 0.0]), (2, [1.0, 1.0]), (200, [0.0, 1.0]), (200, [0.0, -1.0])]
+    v = spark.createDataFrame(data, "vec_id long, embedding array<float>")
+    for shard_rows in (2, 100):
+        rows = kdtree.top_k(v, F.col("vec_id") % 100 == 0, k=2, shard_rows=shard_rows, block=1).collect()
+        got = {}
+        for r in sorted(rows, key=lambda r: r.rank):
+            got.setdefault((r.query_id, r.query_vector), []).append((r.vec_id, r.score))
+        assert got.pop(next(q for q in got if q[0] == 100)) == [(1, 5 << 20), (2, 1 << 20)]
+        assert sorted(got.values()) == [[(1, 0), (1, 0)], [(2, 1 << 20), (1, 0)]]
+
+
+def test_top_k_over_cells(spark):
+    """Clusters far apart: cells are pruned, one vector holds a third of the rows, results stay exact."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(600, 5)) * 0.1 + rng.integers(-3, 4, size=(600, 5))
+    x[:200] = x[0]
+    v = spark.createDataFrame([(i, e) for i, e in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    rows = kdtree.top_k(v, F.col("vec_id") % 20 == 0, k=4, shard_rows=40, block=7).collect()
+    e = np.floor(x * 1024).astype(np.int64)
+    want = set()
+    for q in range(0, 600, 20):
+        score = e @ e[q]
+        best = [j for j in np.lexsort((np.arange(600), -score)) if j != q][:4]
+        want |= {(q, r, int(j), int(score[j])) for r, j in enumerate(best, 1)}
+    assert {(r.query_id, r.rank, r.vec_id, r.score) for r in rows} == want and len(rows) == len(want)
+
+
+def test_cells_and_bounds():
+    rng = np.random.default_rng(8)
+    pts = np.floor(rng.normal(size=(3000, 4)) * 300 + rng.integers(-2, 3, size=(3000, 4)) * 4000)
+    nodes = kdtree.fit_cells(pts[:1000], 16)
+    cell = kdtree.cell_of(pts, nodes)
+    assert set(cell) == set(range(16)) and len(nodes) == 15
+    assert kdtree.fit_cells(np.ones((100, 3)), 8) == [] and set(kdtree.cell_of(np.ones((5, 3)), [])) == {0}
+    lo, hi = (np.array([f(pts[cell == c], axis=0) for c in range(16)]) for f in (np.min, np.max))
+    score = pts[:50] @ pts.T
+    floors = np.sort(score, axis=1)[:, -10]
+    keep = kdtree.reaches(pts[:50], lo, hi, floors)
+    for q in range(50):
+        assert all(keep[q, c] for c in set(cell[score[q] >= floors[q]]))
+    assert keep.mean() < 0.9  # cells are left out
+
+
 def test_kd_tree_walk_is_exact():
     rng = np.random.default_rng(0)
     pts = np.floor(rng.normal(size=(900, 6)) * 300)
@@ -263,6 +382,28 @@ def test_mix(spark, edge, empty):
         mixing.mix(edge, {"a": 0})
 
 
+def test_mix_spreads_documents_without_id(spark):
+    """A third of the rows has no id: they are no single run, and every place is taken once."""
+    rows = [(i if i % 3 else None, "a" if i % 2 else None, f"text {i}") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    a, b = (mixing.mix(docs.repartition(n), {"a": 3}, run_rows=100).collect() for n in (3, 5))
+    assert sorted((r.source or "", r.block, r.pos) for r in a) == sorted(
+        (s or "", k // 8, k % 8) for s in ("a", None) for k in range(1500))
+    at = lambda rs: {r.text: (r.slot, r.pos) for r in rs}
+    assert at(a) == at(b)
+    first = [r.doc_id is None for r in a if r.block < 60]
+    assert 0.25 < sum(first) / len(first) < 0.42
+
+
+def test_period_of_many_slots(spark):
+    from brute import edf_slots
+    weights = {f"s{i}": 1 + i * i % 37 for i in range(40)}
+    src = spark.createDataFrame([(s, w) for s, w in weights.items()], "src string, a long")
+    slots, p = edf_slots(weights)
+    got = mixing.period(src).collect()
+    assert {(r.src, r.i): r.at for r in got} == dict(slots) and {r.p for r in got} == {p} and len(got) == p
+
+
 def test_mix_stays_within_one_block(spark):
     from brute import mix
     n = {"a": 400, "b": 100, "c": 90, "d": 60, "e": 37}
