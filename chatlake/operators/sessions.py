@@ -77,23 +77,23 @@ def skim(messages: DataFrame, head: int = 3, tail: int = 3, role: str | None = N
     if prefix is not None:
         m = m.where(F.col("session_id").startswith(prefix))
     h, t = int(head), int(tail)
-    # pick by narrow rows; the text is fetched for the kept ones only
-    at = m.select("session_id", "position")
-    totals = at.groupBy("session_id").agg(F.count(F.lit(1)).alias("total"))
+    # at most h + t rows of a session leave a scan task, text and all; the counts are
+    # partitioned by session as those rows are, so joining them moves no text
+    at = m.select("session_id", "position", "role", "content", "timestamp_ms")
+    totals = m.groupBy("session_id").agg(F.count(F.lit(1)).alias("total"))
     per = Window.partitionBy("session_id")
     first = (at.withColumn("_rn", F.row_number().over(per.orderBy("position")))
              .where(F.col("_rn") <= F.lit(max(h + t, 1))).join(totals, "session_id")
              .where((F.col("_rn") <= F.lit(h)) | (F.col("total") <= F.lit(h + t)))
-             .select("session_id", "position", F.lit("head").alias("section"), "total"))
+             .withColumn("section", F.lit("head")))
     picked = first
     if t > 0:
         last = (at.withColumn("_rn", F.row_number().over(per.orderBy(F.col("position").desc())))
                 .where(F.col("_rn") <= F.lit(t)).join(totals, "session_id")
                 .where(F.col("total") > F.lit(h + t))
-                .select("session_id", "position", F.lit("tail").alias("section"), "total"))
+                .withColumn("section", F.lit("tail")))
         picked = first.unionByName(last)
-    return m.select("session_id", "position", "role", "content", "timestamp_ms").join(
-        picked, ["session_id", "position"]).withColumn(
+    return picked.select("session_id", "position", "role", "content", "timestamp_ms", "section", "total").withColumn(
         "skipped", F.greatest(F.col("total") - F.lit(h + t), F.lit(0)))
 
 
