@@ -148,7 +148,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None) ->
     paths = seen.groupBy("id", "host", "path").agg(F.any_value("r").alias("r"), F.sum("copies").alias("copies"))
     parts = paths.select("id", "r", "copies", F.explode(pieces(F.col("host"), F.col("path"))).alias("x"))
     parts = parts.select("id", "r", "copies", "x.part", "x.piece")
-    split = segment(parts, word_counts(pages))
+    # written: the texts are read once for the total, the short and the long words
+    split = segment(parts, saved(word_counts(pages), "url-counts"))
     tokens = checkpoint(parts.join(split, "piece").select(
         "id", "r", "copies", "part", F.explode("words").alias("word")))
     # naive Bayes over the tokens of rule-judged URLs
