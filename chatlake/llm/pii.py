@@ -3,7 +3,8 @@
 Validated values are replaced by others of the same format: a value is mapped
 to a whole number below the size of its format's domain, permuted there by a
 keyed Feistel network (cycle walking keeps it inside the domain) and written
-back with the same punctuation.  Equal values get equal pseudonyms in all
+back with the same punctuation.  The network orders the domain in one cycle and a
+value becomes the next one, so none stays as it is.  Equal values get equal pseudonyms in all
 documents, different ones different pseudonyms, and ``invert=True`` with the
 same key gives the text back.
 
@@ -14,9 +15,10 @@ phone   +country (area) exchange-line or in pairs, 10 to 15 digits punctuation,
         (area) exchange-line, area-exchange-line, 0d dd dd dd dd  punctuation, validity
 ip      four numbers 0 to 255 without leading zeros  validity
 date    a day of 1900 to 2099: y-m-d (also before T), form, validity, leading zeros
-        d.m.y, m/d/y, and d/m/y where that is no m/d/y
+        d.m.y, y/m/d, m/d/y, and d/m/y where that is no m/d/y
 iban    2 letters, the country's length, mod-97      country, length, right check digits, each letter a letter
-email   local part @ domain with a dot               domain, each letter a letter, each digit a digit
+email   local part @ domain with a dot               domain, each letter or digit its alphabet (``ALPHABETS``; other
+                                                     characters stay, and a local part of them alone is no value)
 
 The whole text is read.  NULL texts stay NULL.  The permutation depends on the
 key alone, so tasks need no shared table and repeated runs agree.
@@ -40,7 +42,7 @@ from chatlake.llm.common import extended
 ROUNDS = 8
 FIRST, LAST = dt.date(1900, 1, 1).toordinal(), dt.date(2099, 12, 31).toordinal()
 PATTERN = re.compile(
-    r"(?P<email>(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"
+    r"(?P<email>(?<![\w.+-])[^\W_][\w.+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"
     r"|(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))"
     r"|(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?(?:(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3,4}[ .-]?\d{3,4}"
     r"|(?:(?:\(0\))?\d{1,2}[ .-])?\d{2}(?:[ .-]\d{2}){3})(?![\w-]))"
@@ -50,18 +52,22 @@ PATTERN = re.compile(
     r"|(?P<iso>(?<![\w.-])\d{4}-\d{2}-\d{2}(?:(?=T\d{2})|(?![\w-])))"
     r"|(?P<dmy>(?<![\w.])\d{1,2}\.\d{1,2}\.\d{4}(?!\w|\.\d))"
     r"|(?P<mdy>(?<![\w/])\d{1,2}/\d{1,2}/\d{4}(?![\w/]))"
+    r"|(?P<ymd>(?<![\w/])\d{4}/\d{1,2}/\d{1,2}(?![\w/]))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
     r"|(?P<ip>(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d))"
     r"|(?P<card>(?<![A-Za-z0-9])(?:\d{13,19}|\d{4}(?P<gap>[ -])\d{4}(?P=gap)\d{4}(?P=gap)\d{1,7}"
     r"|\d{4}(?P<gap2>[ -])\d{6}(?P=gap2)\d{5})(?![A-Za-z0-9]))")
-KINDS = ["email", "iban", "phone", "nanp", "pairs", "iso", "dmy", "mdy", "ssn", "ip", "card"]
-NAMES = {"iso": "date", "dmy": "date", "mdy": "date", "nanp": "phone", "pairs": "phone"}
+KINDS = ["email", "iban", "phone", "nanp", "pairs", "iso", "dmy", "mdy", "ymd", "ssn", "ip", "card"]
+NAMES = {"iso": "date", "dmy": "date", "mdy": "date", "ymd": "date", "nanp": "phone", "pairs": "phone"}
 # characters of an IBAN by country (the registry's)
 IBAN = {c[:2]: int(c[2:]) for c in (
     "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 "
     "FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 "
     "LY25 MC27 MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 QA29 RO24 RS22 SA24 SC31 SE24 SI19 SK24 SM27 "
     "ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20").split()}
+# fixed values: size and first character of runs of letters or digits in Unicode
+ALPHABETS = [(26, "a"), (26, "A"), (10, "0"), (23, "à"), (8, "ø"), (23, "À"), (7, "Ø"), (25, "α"), (32, "а"), (32, "А"),
+             (86, "ぁ"), (90, "ァ"), (20_992, "一"), (11_172, "가")]
 QUICK = re.compile(r"[0-9@]")
 
 
@@ -133,6 +139,11 @@ def _late_days() -> dict[tuple[bool, bool], list[int]]:
     return {k: [n for n in days if dt.date.fromordinal(n).day > 12] for k, days in _days().items()}
 
 
+@lru_cache(maxsize=4096)
+def _alphabet(c: str) -> tuple[int, str] | None:
+    return next((a for a in ALPHABETS if 0 <= ord(c) - ord(a[1]) < a[0]), None)
+
+
 @lru_cache(maxsize=1)
 def _areas() -> list[int]:
     return [a for a in range(1, 900) if a != 666]
@@ -154,14 +165,17 @@ class Pseudonyms:
         self._at = lru_cache(maxsize=256)(lambda tweak, size: Feistel(self.key, tweak, size))
 
     def _move(self, tweak: str, size: int, x: int) -> int:
-        return self._at(tweak, size)(x, self.invert)
+        """One step along the cycle that the Feistel permutation makes of the whole
+        domain, so no value of a domain of two or more stays as it is."""
+        turn = self._at(tweak, size)
+        return turn((turn(x, True) + (-1 if self.invert else 1)) % size)
 
     def _digits(self, tweak: str, digits: str) -> str:
         return str(self._move(tweak, 10 ** len(digits), int(digits))).zfill(len(digits))
 
     def _shaped(self, tweak: str, local: str) -> str | None:
-        """Each letter a letter, each digit a digit; None where there is neither."""
-        bases = [(26, "a") if c.islower() else (26, "A") if c.isalpha() else (10, "0") if c.isdigit() else None for c in local]
+        """Each character of an alphabet another of it; None where there is none."""
+        bases = [_alphabet(c) for c in local]
         x, size = 0, 1
         for c, b in zip(local, bases):
             if b:
@@ -177,10 +191,10 @@ class Pseudonyms:
             out.append(c)
         return "".join(reversed(out))
 
-    def email(self, v: str) -> str:
+    def email(self, v: str) -> str | None:
         local, _, domain = v.partition("@")
         new = self._shaped("email", local)
-        return v if new is None else f"{new}@{domain}"
+        return new and f"{new}@{domain}"
 
     def iban(self, v: str) -> str | None:
         flat = v.replace(" ", "")
@@ -238,6 +252,11 @@ class Pseudonyms:
     def mdy(self, v: str) -> str | None:
         return self._written(v, "/", False) or self._written(v, "/", True)
 
+    def ymd(self, v: str) -> str | None:
+        y, m, d = v.split("/")
+        new = self._day(y, m, d)
+        return new and f"{new.year:04d}/{str(new.month).zfill(len(m))}/{str(new.day).zfill(len(d))}"
+
     def ssn(self, v: str) -> str | None:
         a, g, s = map(int, v.split("-"))
         if a not in _areas() or not g or not s:
