@@ -17,8 +17,11 @@ already.  Readers follow the newest pointer.  So a crash before the pointer leav
 the previous state, what it left behind is never read, and of two writers that
 start from one version the second gets ``CommitConflict`` and changes nothing.
 
-Messages are cut by ranges of ``(session_id, position)`` within a bucket, so a bucket
-is written by several tasks and reads of one session skip most row groups;
+Messages are cut by ranges of ``(session_id, position)`` within a bucket, postings by a
+hash of the trigram, so a bucket is written by several tasks and reads of one session
+or trigram skip most row groups.  Only new messages and postings pass an exchange: what
+a bucket keeps goes from its old files to the new ones without the sessions that are
+replaced or deleted.  Unless there are more than ``FEW_IDS`` of these, they are broadcast;
 sessions are sorted by ``last_at``, in small row groups, so a ``since`` filter skips
 most of them.  Roll-ups are maintained by difference: what the touched
 sessions have now, less what they had (see ``chatlake.store.rollups``).
@@ -43,6 +46,7 @@ from chatlake.store import rollups as RU
 
 DEFAULT_BUCKETS = 64
 MAX_FOLDERS = 8
+FEW_IDS = 200_000                 # ids of replaced and deleted sessions that may be broadcast
 SESSION_ROW_GROUP = 4 << 20       # bytes; sessions are narrow, a row group still holds some ten thousand
 # key and schema of every table
 TABLES = {
@@ -191,11 +195,18 @@ class TableSet:
 
     # ---- commit -----------------------------------------------------------
 
-    def _write(self, table: str, df: DataFrame, folder: str, n: int, prepare=None, options: dict | None = None) -> set[int]:
-        """Write rows by bucket into a new folder; the buckets that have rows."""
+    def _write(self, table: str, df: DataFrame, folder: str, n: int, spread=None, order: list | None = None,
+               options: dict | None = None, kept: DataFrame | None = None) -> set[int]:
+        """Write rows by bucket into a new folder; the buckets that have rows.  ``spread``
+        deals out ``df``; ``kept`` rows stay in the tasks that read them."""
         key, schema = TABLES[table]
-        df = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields]).withColumn("bucket", bucket_of(key, n))
-        df = prepare(df) if prepare else df.repartition("bucket")
+        placed = lambda d: d.select(
+            *[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields]).withColumn("bucket", bucket_of(key, n))
+        df = spread(placed(df)) if spread else placed(df).repartition("bucket")
+        if kept is not None:
+            df = placed(kept).unionByName(df)
+        if order:
+            df = df.sortWithinPartitions("bucket", *order)
         path = f"{self.root}/{table}/{folder}"
         df.write.options(**(options or {})).partitionBy("bucket").parquet(path)
         return {int(x[7:]) for x in self._names(path) if x.startswith("bucket=")}
@@ -226,18 +237,23 @@ class TableSet:
         def of(df, key, kind):
             return df.select(F.lit(kind).alias("kind"), bucket_of(key, n).alias("b"))
         at: dict[str, set[int]] = {"touched": set(), "whole": set(), "append": set(), "paths": set()}
+        n_whole = 0
         for r in (of(touched, "id", "touched").unionAll(of(whole, "id", "whole")).unionAll(of(paths, "path", "paths"))
-                  .unionAll(of(sessions.join(whole, "id", "left_anti"), "id", "append")).distinct().collect()):
+                  .unionAll(of(sessions.join(whole, "id", "left_anti"), "id", "append"))
+                  .groupBy("kind", "b").agg(F.count(F.lit(1)).alias("n")).collect()):
             at[r["kind"]].add(r["b"])
+            n_whole += r["n"] if r["kind"] == "whole" else 0
         tables = {t: dict(st["tables"].get(t, {})) for t in TABLES}
         old = lambda t, buckets: self._read(t, buckets, st)
         long = lambda t: {b for b in at["append"] if len(tables[t].get(str(b), [])) >= MAX_FOLDERS}
         tasks = max(len(at["touched"]), int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
         rid = whole.select(F.col("id").alias("session_id"))
+        if n_whole <= FEW_IDS:
+            rid = F.broadcast(rid)
 
-        def replace(table, new, buckets, prepare=None, options=None):
+        def replace(table, new, buckets, *layout, **more):
             """New content of whole buckets."""
-            written = self._write(table, new, folder, n, prepare, options)
+            written = self._write(table, new, folder, n, *layout, **more)
             for b in buckets:
                 tables[table].pop(str(b), None)          # a bucket may have become empty
             for b in written:
@@ -245,14 +261,13 @@ class TableSet:
 
         def put_sessions():
             rows = INC.upsert(INC.remove_keys(old("session", at["touched"]), touched, "id"), sessions, "id")
-            replace("session", rows, at["touched"], lambda d: d.repartition("bucket").sortWithinPartitions("bucket", F.col("last_at").desc(), "id"),
-                    {"parquet.block.size": SESSION_ROW_GROUP})
+            replace("session", rows, at["touched"], None, [F.col("last_at").desc(), "id"], {"parquet.block.size": SESSION_ROW_GROUP})
 
         def put_messages():
             anew = at["whole"] | long("message")
-            rows = INC.remove_keys(old("message", anew), rid, "session_id").unionByName(messages).unionByName(appended)
-            replace("message", rows, anew, lambda d: d.repartitionByRange(tasks, "bucket", "session_id", "position")
-                    .sortWithinPartitions("bucket", "session_id", "position"))
+            kept = INC.remove_keys(old("message", anew), rid, "session_id")
+            replace("message", messages.unionByName(appended), anew,
+                    lambda d: d.repartitionByRange(tasks, "bucket", "session_id", "position"), ["session_id", "position"], kept=kept)
 
         def put_files():
             new = change.files.select("session_id", "path") if change.files is not None else none(SC.SESSION_FILE)
@@ -266,9 +281,11 @@ class TableSet:
         def put_postings():
             texts = change.texts if change.texts is not None else messages.unionByName(appended)
             anew = at["whole"] | long("posting")
-            rows = INC.remove_keys(old("posting", anew), rid, "session_id").unionByName(PO.postings(texts)).distinct()
-            replace("posting", rows, anew, lambda d: d.repartition(tasks, "bucket", F.pmod(F.hash("session_id"), F.lit(4)))
-                    .sortWithinPartitions("bucket", "trigram", "session_id"))
+            kept, new = INC.remove_keys(old("posting", anew), rid, "session_id"), PO.postings(texts)
+            if at["append"] or any(len(tables["posting"].get(str(b), [])) > 1 for b in anew):
+                # what appended sessions have may be stored already, in one or more folders
+                kept, new = None, kept.unionByName(new)
+            replace("posting", new, anew, lambda d: PO.dealt(d, tasks, max(PO.PARTS, tasks // n)), ["trigram", "session_id"], kept=kept)
 
         def put_manifest():
             rows = INC.remove_keys(old("manifest", at["paths"]), paths, "path").unionByName(

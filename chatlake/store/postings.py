@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+PARTS = 4   # parts of a bucket, at least
+
 
 def trigrams_of(keyword: str) -> list[str] | None:
     """Distinct trigrams of a keyword; None where postings can't tell."""
@@ -23,10 +25,18 @@ def trigrams_of(keyword: str) -> list[str] | None:
 
 
 def postings(messages: DataFrame) -> DataFrame:
-    """Distinct (trigram, session_id); linear in the text: a look-ahead takes the
-    three characters at every place."""
+    """(trigram, session_id), distinct within a message; linear in the text: a look-ahead
+    takes the three characters at every place."""
     grams = F.array_distinct(F.regexp_extract_all(F.lower("content"), F.lit("(?s)(?=(...))"), F.lit(1)))
-    return messages.select("session_id", F.explode(grams).alias("trigram")).select("trigram", "session_id").distinct()
+    return messages.select("session_id", F.explode(grams).alias("trigram")).select("trigram", "session_id")
+
+
+def dealt(rows: DataFrame, tasks: int, parts: int) -> DataFrame:
+    """Distinct rows, a bucket's in ``parts`` by a hash of the trigram: one exchange, which
+    the grouping after it uses, and a long session's rows are in all parts."""
+    cols = rows.columns
+    spread = rows.withColumn("_part", F.pmod(F.hash("trigram"), F.lit(parts))).repartition(tasks, "bucket", "_part")
+    return spread.dropDuplicates(["bucket", "_part", *(c for c in cols if c != "bucket")]).select(*cols)
 
 
 def candidates(posting: DataFrame, keywords: list[list[str]]) -> DataFrame:

@@ -4,6 +4,7 @@ roll-ups by difference."""
 import os
 
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 from test_store import many, relational, snapshot, touch
 from test_transcripts import GARDEN, RAIN, WIND, line, write_project
@@ -189,3 +190,27 @@ def test_since_skips_row_groups(spark, tmpdir_fresh, monkeypatch):
     read = sum(s.max >= 19000 for s in last)
     assert len(groups) > 20 and read <= len(groups) * 0.1
     assert store.sessions().where("last_at >= 19000").count() == 1000
+
+
+def test_kept_messages_and_postings_pass_no_exchange(spark, tmpdir_fresh, monkeypatch):
+    """A deletion copies what a bucket keeps: no exchange between the old files and the new."""
+    src = os.path.join(tmpdir_fresh, "p")
+    write_project(src, "-srv-garden", "w.jsonl", GARDEN)
+    write_project(src, "-srv-many", "m.jsonl", many(40))
+    store = TableSet(spark, os.path.join(tmpdir_fresh, "index"), buckets=2, postings=True)
+    run_index(spark, src, store)
+    rows = lambda: sorted(map(tuple, store._read("posting").collect()))
+    texts = lambda: store.messages().select("session_id", F.lower("content").alias("t")).collect()
+    grams = lambda: sorted({(r["t"][i:i + 3], r["session_id"]) for r in texts() for i in range(len(r["t"]) - 2)})
+    assert rows() == grams()
+    plans, write = {}, DataFrameWriter.parquet
+
+    def seen(self, path, *a, **b):
+        plans[path.split("/index/")[-1].split("/")[0]] = self._df._jdf.queryExecution().executedPlan().toString()
+        return write(self, path, *a, **b)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", seen)
+    store.remove_sessions(store.sessions().orderBy("id").limit(3).select("id"))
+    for table in ("message", "posting"):
+        assert plans[table].index("Union") < plans[table].index(" Exchange ")
+    assert rows() == grams()
