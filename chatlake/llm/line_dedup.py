@@ -94,13 +94,17 @@ def shingles(forms: list[str], k: int = K) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all k-character shingles (k from 5 to 8) of the lines,
     one line after the other, and each line's first index.  A line shorter than
     k is padded and gives one."""
-    units = [f.encode("utf-16-le", "surrogatepass") for f in forms]
-    units = [u if len(u) >= 2 * k else u.ljust(2 * k, b"\0") for u in units]
-    u = np.frombuffer(b"".join(units), "<u2").astype(np.uint64)
+    padded = [f if len(f) >= k else f.ljust(k, "\0") for f in forms]
+    units = "".join(padded).encode("utf-16-le", "surrogatepass")
+    n = np.array([len(f) for f in padded])
+    if len(units) != 2 * n.sum():  # characters of two units
+        each = [f.encode("utf-16-le", "surrogatepass") for f in forms]
+        each = [u if len(u) >= 2 * k else u.ljust(2 * k, b"\0") for u in each]
+        units, n = b"".join(each), np.array([len(x) // 2 for x in each])
+    u = np.frombuffer(units, "<u2").astype(np.uint64)
     four = u[:-3] | u[1:-2] << np.uint64(16) | u[2:-1] << np.uint64(32) | u[3:] << np.uint64(48)
     last = four[k - 4:]  # the last four characters; with the first four they are all
     h = _mix(four[:len(last)] * np.uint64(0x9E3779B97F4A7C15) + (last ^ last >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9))
-    n = np.array([len(x) // 2 for x in units])
     ends = np.cumsum(n)
     keep = np.ones(len(u), bool)
     for back in range(1, k):
@@ -114,12 +118,15 @@ def band_keys(forms: list[str], k: int = K, bands: int = BANDS, rows: int = ROWS
     h, starts = shingles(forms, k)
     low = (h >> np.uint64(32)).astype(np.uint32)
     moved = np.empty_like(low)
-    keys = np.zeros((len(forms), bands), np.uint64)
+    least = np.empty((bands * rows, len(forms)), np.uint32)
     for i in range(bands * rows):
-        v = np.minimum.reduceat(np.multiply(low, FACTORS[i], out=moved), starts)
-        keys[:, i // rows] = (keys[:, i // rows] ^ v.astype(np.uint64)) * FOLD[i]
-    keys += (np.arange(bands, dtype=np.uint64) + np.uint64(k << 32)) * np.uint64(0x9E3779B97F4A7C15)
-    return _mix(keys)
+        np.minimum.reduceat(np.multiply(low, FACTORS[i], out=moved), starts, out=least[i])
+    keys = np.zeros((bands, len(forms)), np.uint64)
+    for r in range(rows):
+        keys ^= least[r::rows]
+        keys *= FOLD[r:bands * rows:rows, None]
+    keys += (np.arange(bands, dtype=np.uint64)[:, None] + np.uint64(k << 32)) * np.uint64(0x9E3779B97F4A7C15)
+    return _mix(keys).T
 
 
 def _least(m: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:

@@ -111,3 +111,13 @@ def test_a_line_repeated_within_a_task_gives_its_keys_once(spark):
     assert len(rows) == 100 and sum(len(r["keys"]) > 0 for r in rows) == 51
     got = line_dedup.deduplicate(docs).collect()
     assert sum(line in r.text for r in got) == 1
+
+
+def test_keys_do_not_depend_on_the_lines_beside():
+    """Lines with characters of two 16-bit units, lone halves of such, lines shorter than a shingle."""
+    forms = ["a", "\U0001f600", "ab\U0001f600" * 30, "\ud83d", "\ude00 y", "x" * 39, "1234567", "12345678", "\u00e9" * 50,
+             "the quick brown fox jumps over the lazy dog again and again"]
+    keys, n = line_dedup.line_keys(forms)
+    alone = [line_dedup.line_keys([f]) for f in forms]
+    assert n.tolist() == [int(a[1][0]) for a in alone]
+    assert keys.tolist() == [k for a in alone for k in a[0].tolist()]
