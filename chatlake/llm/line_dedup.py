@@ -43,8 +43,11 @@ have no line and stay NULL.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -65,7 +68,9 @@ THRESHOLD = 0.8
 CHUNK = 256        # lines on one side of a verification group
 SEEN = 1 << 18     # line hashes a task remembers, to give keys once
 FEW_LINES = 1_000_000  # line hashes that may be broadcast (8 bytes each)
-FEW, PAIRS = 8, 1024  # lines of a small group; pairs compared in one go
+FEW, PAIRS = 8, 1024  # lines of a small group; pairs compared in one sort
+KEYS, RANGE = 1 << 20, 1 << 17  # keys that a task sorts at once; keys in a range of them, about
+HELD = 1 << 23     # characters of small groups' lines held at once
 COLUMNS = 8192     # shingles of a group multiplied at once
 PART = 1 << 16     # characters of lines signed at once (fits the cache)
 _rng = np.random.default_rng(20240607)
@@ -73,6 +78,10 @@ FACTORS = _rng.integers(0, 1 << 31, max(BANDS, SHORT_BANDS) * ROWS, dtype=np.uin
 FOLD = _rng.integers(0, 1 << 63, max(BANDS, SHORT_BANDS) * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+_SPACES = [c for c in map(chr, range(1 << 16)) if c.isspace() and c not in " \n"]
+_ASCII_SPACES = [c for c in _SPACES if c.isascii()]
+
+
 def normal(line: str) -> str:
     return " ".join(line.split()).lower()
 
@@ -81,12 +90,24 @@ def lines_of(text: str | None) -> list[str]:
     return [] if text is None else text.split("\n")
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x ^= x >> np.uint64(32)
+def forms_of(text: str | None) -> list[str]:
+    """``normal`` of every line; at once for a text whose only white space is single
+    blanks within lines (lower case looks at a letter's word, never beyond a line)."""
+    if text is None:
+        return []
+    if ("  " in text or " \n" in text or "\n " in text or text.startswith(" ") or text.endswith(" ")
+            or any(c in text for c in (_ASCII_SPACES if text.isascii() else _SPACES))):
+        return [normal(x) for x in lines_of(text)]
+    return lines_of(text.lower())
+
+
+def _mix(x: np.ndarray, moved: np.ndarray | None = None) -> np.ndarray:
+    moved = np.empty_like(x) if moved is None else moved
+    x ^= np.right_shift(x, np.uint64(32), out=moved)
     x *= np.uint64(0xD6E8FEB86659FD93)
-    x ^= x >> np.uint64(32)
+    x ^= np.right_shift(x, np.uint64(32), out=moved)
     x *= np.uint64(0xD6E8FEB86659FD93)
-    x ^= x >> np.uint64(32)
+    x ^= np.right_shift(x, np.uint64(32), out=moved)
     return x
 
 
@@ -101,12 +122,17 @@ def shingles(forms: list[str], k: int = K) -> tuple[np.ndarray, np.ndarray]:
         each = [f.encode("utf-16-le", "surrogatepass") for f in forms]
         each = [u if len(u) >= 2 * k else u.ljust(2 * k, b"\0") for u in each]
         units, n = b"".join(each), np.array([len(x) // 2 for x in each])
-    u = np.frombuffer(units, "<u2").astype(np.uint64)
-    four = u[:-3] | u[1:-2] << np.uint64(16) | u[2:-1] << np.uint64(32) | u[3:] << np.uint64(48)
+    four = np.ndarray(len(units) // 2 - 3, "<u8", units, strides=(2,)).astype(np.uint64)  # at every character, four
     last = four[k - 4:]  # the last four characters; with the first four they are all
-    h = _mix(four[:len(last)] * np.uint64(0x9E3779B97F4A7C15) + (last ^ last >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9))
+    h = last >> np.uint64(29)
+    h ^= last
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    first = four[:len(last)]
+    first *= np.uint64(0x9E3779B97F4A7C15)
+    h += first
+    _mix(h, first)
     ends = np.cumsum(n)
-    keep = np.ones(len(u), bool)
+    keep = np.ones(len(units) // 2, bool)
     for back in range(1, k):
         keep[ends - back] = False  # shingles that would reach into the next line
     starts = np.r_[0, np.cumsum(n - k + 1)[:-1]]
@@ -149,7 +175,7 @@ def line_keys(forms: list[str]) -> tuple[np.ndarray, np.ndarray]:
     keys = np.zeros((len(forms), BANDS + SHORT_BANDS), np.uint64)
     k, s = _bands(np.array([len(f) for f in forms]))
     def fill(some, at, shingle, bands):
-        for i, j in _parts([forms[x] for x in some]):
+        for i, j in _parts(len(forms[x]) for x in some):
             keys[some[i:j], at:at + bands] = band_keys([forms[x] for x in some[i:j]], shingle, bands)
 
     fill(np.flatnonzero(k), 0, K, BANDS)
@@ -162,13 +188,13 @@ def line_keys(forms: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def _shared(forms: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that each two lines share, and the sizes of the lines' shingle sets."""
     h, starts = shingles(forms, k)
-    owner = np.repeat(np.arange(len(forms)), np.diff(np.r_[starts, len(h)]))
-    order = np.argsort(h, kind="stable")
-    h, owner = h[order], owner[order]
-    new = np.r_[True, h[1:] != h[:-1]]
-    code = np.cumsum(new) - 1
-    fresh = np.r_[True, ~((code[1:] == code[:-1]) & (owner[1:] == owner[:-1]))]  # a set holds a shingle once
-    code, owner = code[fresh], owner[fresh]
+    bits = np.uint64(len(forms).bit_length())              # below the hash's upper bits stands the line
+    x = np.repeat(np.arange(len(forms), dtype=np.uint64), np.diff(np.r_[starts, len(h)]))
+    x |= h >> bits << bits
+    x = _once(x)                                           # a set holds a shingle once
+    owner = (x & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    x >>= bits
+    code = np.cumsum(np.r_[True, x[1:] != x[:-1]]) - 1
     size = np.bincount(owner, minlength=len(forms)).astype(np.float32)
     both = np.zeros((len(forms), len(forms)), np.float32)
     for s in range(0, int(code[-1]) + 1, COLUMNS):
@@ -195,43 +221,72 @@ def similar_pairs(forms: list[str], threshold: float) -> np.ndarray:
     return near
 
 
-def _pair_sets(forms: list[str], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For lines 2p and 2p + 1 of every pair p (PAIRS at most): shingles shared, and
-    each one's number.  One sort of (pair, 53 bits of the shingle's hash, line)."""
-    h, starts = shingles(forms, k)
-    owner = np.repeat(np.arange(len(forms), dtype=np.uint64), np.diff(np.r_[starts, len(h)]))
-    x = np.sort(owner >> np.uint64(1) << np.uint64(54) | h >> np.uint64(11) << np.uint64(1) | owner & np.uint64(1))
-    x = x[np.r_[True, x[1:] != x[:-1]]]                    # a set holds a shingle once
-    pair, one = (x >> np.uint64(54)).astype(np.int64), (x & np.uint64(1)).astype(bool)
-    both = (x[1:] ^ x[:-1]) == 1
-    count = lambda p: np.bincount(p, minlength=len(forms) // 2).astype(np.float32)
-    return count(pair[1:][both]), count(pair[~one]), count(pair[one])
+def _once(x: np.ndarray) -> np.ndarray:
+    x.sort()
+    return x[np.r_[True, x[1:] != x[:-1]]]
+
+
+def _sets(forms: list[str], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """54 bits of the shingles' hashes, each once a line, one line after the other;
+    each line's first index and number."""
+    found, size = [], []
+    for i, j in _parts((max(len(f), PART // PAIRS) for f in forms)):  # PAIRS lines at most
+        h, starts = shingles(forms[i:j], k)
+        x = np.repeat(np.arange(j - i, dtype=np.uint64) << np.uint64(54), np.diff(np.r_[starts, len(h)]))
+        x |= h >> np.uint64(10)
+        x = _once(x)
+        size.append(np.diff(np.searchsorted(x, np.arange(j - i, dtype=np.uint64) << np.uint64(54)), append=len(x)))
+        found.append(x & np.uint64((1 << 54) - 1))
+    size = np.concatenate(size)
+    return np.concatenate(found), np.cumsum(size) - size, size
+
+
+def similar_at(forms: list[str], one: np.ndarray, two: np.ndarray, threshold: float) -> np.ndarray:
+    """The rule of ``similar_pairs`` for each pair of lines one[p] and two[p]."""
+    def at_least(k, some, asked):
+        """Pairs ``some``, whose lines are cut into shingles once however many pairs they are in."""
+        lines, at = np.unique(np.r_[one[some], two[some]], return_inverse=True)
+        h, start, size = _sets([forms[i] for i in lines], k)
+        a, b = at[:len(some)], at[len(some):]
+        low, most = np.minimum(size[a], size[b]).astype(np.float32), np.maximum(size[a], size[b]).astype(np.float32)
+        asked = np.broadcast_to(np.asarray(asked(most), np.float32), most.shape)
+        near = low >= asked * most - 1e-4                  # else not even if one set were within the other
+        left = np.flatnonzero(near)
+        for i, j in _parts((int(n) for n in np.maximum(low + most, PART // PAIRS)[left])):  # PAIRS pairs at most
+            p = left[i:j]
+            ends = np.c_[a[p], b[p]].ravel()
+            n = size[ends]
+            x = h[np.arange(n.sum()) + np.repeat(start[ends] - (np.cumsum(n) - n), n)]
+            x |= np.repeat(np.arange(len(p), dtype=np.uint64) << np.uint64(54), n[::2] + n[1::2])
+            x.sort()
+            both = np.bincount((x[1:][x[1:] == x[:-1]] >> np.uint64(54)).astype(np.int64), minlength=len(p)).astype(np.float32)
+            near[p] = both >= asked[p] * (low[p] + most[p] - both) - 1e-4
+        return near
+
+    near = at_least(K, np.arange(len(one)), lambda m: threshold)
+    n = np.array([len(f) in SHORT for f in forms])
+    short = np.flatnonzero(n[one] & n[two] & ~near)
+    if len(short):
+        near[short] = at_least(SHORT_K, short, lambda m: _least(m, threshold))
+    return near
 
 
 def similar_two(forms: list[str], threshold: float) -> np.ndarray:
     """The rule of ``similar_pairs`` for lines 2p and 2p + 1, all pairs at once."""
-    def at_least(both, a, b, asked):
-        return both >= np.asarray(asked, np.float32) * (a + b - both) - 1e-4
+    at = np.arange(0, len(forms), 2)
+    return similar_at(forms, at, at + 1, threshold)
 
-    near = at_least(*_pair_sets(forms, K), threshold)
-    n = np.array([len(f) in SHORT for f in forms])
-    short = np.flatnonzero(n[::2] & n[1::2] & ~near)
-    if len(short):
-        both, a, b = _pair_sets([f for p in short for f in forms[2 * p:2 * p + 2]], SHORT_K)
-        near[short] = at_least(both, a, b, _least(np.maximum(a, b), threshold))
-    return near
 
-
-def _parts(forms: list[str], part: int = PART):
-    """Slices of ``forms`` of about ``part`` characters."""
-    at = size = 0
-    for i, f in enumerate(forms):
-        size += len(f)
+def _parts(sizes, part: int = PART):
+    """Slices whose sizes (characters) are about ``part`` in sum."""
+    at = size = end = 0
+    for end, n in enumerate(sizes, 1):
+        size += n
         if size >= part:
-            yield at, i + 1
-            at, size = i + 1, 0
-    if at < len(forms):
-        yield at, len(forms)
+            yield at, end
+            at, size = end, 0
+    if at < end:
+        yield at, end
 
 
 def _hash128(form: str) -> bytes:
@@ -258,15 +313,17 @@ def _line_rows(docs: DataFrame, min_chars: int, with_text: bool) -> DataFrame:
     def run(batches):
         seen = set()  # forms whose keys or text this task has given
         for b in batches:
-            row, number, forms = [], [], []
-            for r, text in enumerate(b.column("text").to_pylist()):
-                for i, line in enumerate(lines_of(text)):
-                    form = normal(line)
-                    if len(form) >= min_chars:
-                        row.append(r)
-                        number.append(i)
-                        forms.append(form)
-            for s, e in _parts(forms, 64 * PART):
+            forms, lines = [], []
+            for text in b.column("text").to_pylist():
+                own = forms_of(text)
+                forms += own
+                lines.append(len(own))
+            size = np.array([len(f) for f in forms], np.int64)
+            part = np.flatnonzero(size >= min_chars)
+            row = np.repeat(np.arange(len(lines)), lines)[part]
+            number = part - (np.cumsum(lines) - lines)[row]
+            forms = [forms[i] for i in part]
+            for s, e in _parts(size[part].tolist(), 64 * PART):
                 h = [_hash128(f) for f in forms[s:e]]
                 first = []
                 for i, x in enumerate(h):
@@ -284,7 +341,7 @@ def _line_rows(docs: DataFrame, min_chars: int, with_text: bool) -> DataFrame:
                 else:
                     n = np.zeros(e - s, np.int64)
                     keys, n[first] = line_keys(new) if new else (np.zeros(0, np.uint64), 0)
-                    of = pa.array(row[s:e], pa.int64())
+                    of = pa.array(row[s:e])
                     out = [b.column("k_id").take(of), b.column("k_text").take(of), b.column("k_len").take(of),
                            pa.array(number[s:e], pa.int32()), *out,
                            pa.ListArray.from_arrays(np.r_[0, np.cumsum(n)].astype(np.int32), keys.view(np.int64))]
@@ -315,27 +372,36 @@ def _edges(groups: DataFrame, threshold: float) -> DataFrame:
 
     def run(batches):
         key, rows = None, []           # (id, form, chunk) of the group that is being read
-        ends, forms, found = [], [], []
+        at, forms, pairs, found = {}, [], set(), []
+        held = 0
 
         def finish():
+            nonlocal held
             if len(rows) < 2:
                 return
             if len(rows) <= FEW and key[1] == key[2]:
-                for i, (a, x, _) in enumerate(rows):
-                    for b, y, _ in rows[:i]:
-                        ends.append((a, b))
-                        forms.extend((x, y))
+                here = []
+                for i, x, _ in rows:
+                    here.append(at.setdefault(i, len(forms)))
+                    if here[-1] == len(forms):
+                        forms.append(x)
+                        held += len(x)
+                pairs.update(combinations(sorted(here), 2))
             else:
                 side = np.array([r[2] for r in rows])
                 found.extend((rows[i][0], rows[j][0]) for i, j in _forest(side, [r[1] for r in rows], key[1], key[2], threshold))
 
         def compare():
-            for s in range(0, len(ends), PAIRS):
-                near = similar_two(forms[2 * s:2 * (s + PAIRS)], threshold)
-                found.extend(e for e, x in zip(ends[s:s + PAIRS], near) if x)
+            nonlocal held
+            if pairs:
+                ids = list(at)
+                one, two = np.array(list(pairs)).T
+                near = similar_at(forms, one, two, threshold)
+                found.extend((ids[i], ids[j]) for i, j in zip(one[near].tolist(), two[near].tolist()))
             out = batch(found)
-            for x in (ends, forms, found):
+            for x in (at, forms, pairs, found):
                 x.clear()
+            held = 0
             return out
 
         for b in batches:
@@ -344,6 +410,8 @@ def _edges(groups: DataFrame, threshold: float) -> DataFrame:
                 if k != key:
                     finish()
                     key, rows = k, []
+                    if held > HELD:
+                        yield compare()
                 rows.append(((h1, h2), form, c))
             yield compare()
         finish()
@@ -357,12 +425,68 @@ def _edges(groups: DataFrame, threshold: float) -> DataFrame:
             .mapInArrow(run, "a struct<h1:long,h2:long>, b struct<h1:long,h2:long>"))
 
 
+def _shared_keys(rows: DataFrame) -> DataFrame:
+    """Keys of two lines or more, each once.  A line that occurs often shares its keys
+    with itself: only other lines count.  Keys travel as arrays, a range of keys each;
+    from KEYS keys at once at most two lines of a key go on."""
+    ranges = rows.count() * BANDS // RANGE + 1
+
+    def ordered(key, line):
+        """Sorted by key; which ones are of another key than the one before, and which of another line with the same key."""
+        order = np.argsort(key)
+        key, line = key[order], line[order]
+        new = np.r_[True, key[1:] != key[:-1]]
+        return key, line, new, ~new & np.r_[False, line[1:] != line[:-1]]
+
+    def deal(batches):
+        def out():
+            key, line, new, other = ordered(np.concatenate(keys), np.concatenate(lines))
+            at = np.flatnonzero(other)
+            new[at[np.r_[True, key[at[1:]] != key[at[:-1]]]] if len(at) else at] = True  # the first of another line
+            key, line = key[new], line[new]
+            own, first = np.unique((key >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32), return_index=True)
+            ends = pa.array(np.r_[first, len(key)], pa.int32())
+            cols = [pa.ListArray.from_arrays(ends, pa.array(x.view(np.int64))) for x in (key, line)]
+            return pa.RecordBatch.from_arrays([pa.array(own.astype(np.int64)), *cols], names=["part", "key", "line"])
+
+        keys, lines, n = [], [], 0
+        for b in batches:
+            each = b.column("keys")
+            keys.append(each.flatten().to_numpy(zero_copy_only=False).view(np.uint64))
+            lines.append(np.repeat(b.column("h1").to_numpy(zero_copy_only=False).view(np.uint64), pc.list_value_length(each).to_numpy(zero_copy_only=False)))
+            n += len(keys[-1])
+            if n >= KEYS:
+                yield out()
+                keys, lines, n = [], [], 0
+        if n:
+            yield out()
+
+    def meet(batches):
+        def out():
+            key, _, _, other = ordered(np.concatenate(keys), np.concatenate(lines))
+            return pa.RecordBatch.from_arrays([pa.array(np.unique(key[other]).view(np.int64))], names=["key"])
+
+        part, keys, lines = None, [], []
+        for b in batches:
+            for i, own in enumerate(b.column("part").to_pylist()):
+                if own != part and keys:
+                    yield out()
+                    keys, lines = [], []
+                part = own
+                keys.append(b.column("key")[i].values.to_numpy().view(np.uint64))
+                lines.append(b.column("line")[i].values.to_numpy().view(np.uint64))
+            keys, lines = [np.concatenate(keys)], [np.concatenate(lines)]  # the batch goes
+        if keys:
+            yield out()
+
+    dealt = rows.select("h1", "keys").mapInArrow(deal, "part long, key array<long>, line array<long>")
+    return dealt.repartition("part").sortWithinPartitions("part").mapInArrow(meet, "key long")
+
+
 def _groups(rows: DataFrame, docs: DataFrame, min_chars: int, chunk: int) -> DataFrame:
     """bucket, ci, cj, c, h1, h2, form: the lines of every group to verify."""
     keyed = rows.select("h1", F.explode("keys").alias("key"))
-    # a line that occurs often shares its keys with itself: only other lines count
-    shared = saved(keyed.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high"))
-                   .where("low < high").select("key"), "line-shared")
+    shared = saved(_shared_keys(rows), "line-shared")
     few = shared.count() <= FEW_LINES
     cand = saved(keyed.join(F.broadcast(shared) if few else shared.hint("shuffle_hash"), "key").distinct(), "line-candidates")
     buckets = (cand.groupBy("key").agg(F.count("*").alias("m"), F.bit_xor("h1").alias("x"),
@@ -387,12 +511,15 @@ def line_clusters(docs: DataFrame, threshold: float = THRESHOLD, min_chars: int
     comp = components(_edges(_groups(rows, docs, min_chars, chunk), threshold))
     lines = rows.select("k_id", "k_text", "k_len", "line", F.struct("h1", "h2").alias("id"))
     at = F.struct(F.col("k_id").isNull().alias("no_id"), "k_id", "k_text", "k_len", "line")
-    heads = lines.groupBy("id").agg(F.min(at).alias("first"))
-    heads = heads.join(comp, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id"))
-    best = heads.where("node is not null").groupBy(F.col("root").alias("best_root")).agg(F.min("first").alias("best"))
-    named = heads.join(best, F.col("root") == F.col("best_root"), "left").select(
-        F.col("id").alias("of"), "root", F.coalesce("best", "first").alias("first"))
-    out = lines.join(named, F.col("id") == F.col("of")).drop("of")
+    # a line that stands once and is in no component is its own first and root
+    heads = saved(lines.groupBy("id").agg(F.count("*").alias("n"), F.min(at).alias("first"))
+                  .join(comp, F.col("id") == F.col("node"), "left").where("n > 1 or node is not null")
+                  .select(F.col("id").alias("of"), "node", F.coalesce("root", "id").alias("head"), "first"), "line-heads")
+    best = heads.where("node is not null").groupBy(F.col("head").alias("best_head")).agg(F.min("first").alias("best"))
+    named = heads.join(best, F.col("head") == F.col("best_head"), "left").select(
+        "of", "head", F.coalesce("best", "first").alias("first"))
+    out = lines.join(named.hint("shuffle_hash"), F.col("id") == F.col("of"), "left").select(
+        "k_id", "k_text", "k_len", "line", "id", F.coalesce("head", "id").alias("root"), F.coalesce("first", at).alias("first"))
     return out.withColumn("kept", at.eqNullSafe(F.col("first")))
 
 

@@ -121,3 +121,56 @@ def test_keys_do_not_depend_on_the_lines_beside():
     alone = [line_dedup.line_keys([f]) for f in forms]
     assert n.tolist() == [int(a[1][0]) for a in alone]
     assert keys.tolist() == [k for a in alone for k in a[0].tolist()]
+
+
+def test_forms_of_a_whole_text_are_those_of_its_lines():
+    rng = np.random.default_rng(3)
+    letters = list("aΣς­'. \n\t\r\x0b\x1c\x85\xa0 　éİ")
+    texts = ["", "\n", "a b\nC", "ΑΣ\nΣ", "A É\n\nb ", " x", "two  blanks"] + ["".join(rng.choice(letters, 9)) for _ in range(5000)]
+    for t in texts + ["Ab cΣ\n" * 3 + t for t in texts]:
+        assert line_dedup.forms_of(t) == [line_dedup.normal(x) for x in t.split("\n")]
+    assert line_dedup.forms_of(None) == []
+
+
+def test_keys_of_two_lines_are_found_whatever_their_range(spark, monkeypatch):
+    """Ranges of few keys, tasks that sort few at once, a key of very many lines, lines that repeat."""
+    monkeypatch.setattr(line_dedup, "KEYS", 50)
+    monkeypatch.setattr(line_dedup, "RANGE", 40)
+    rng = np.random.default_rng(6)
+    rows = [(int(rng.integers(-9, 9)), [int(k) for k in rng.integers(-1 << 63, 1 << 63, 600)[:3]] + [int(rng.integers(0, 200)) - 100 << 55]) for _ in range(400)]
+    rows += [(i, [-7]) for i in range(300)] + [(5, [77, 78])] * 30 + [(8, []), (6, [78])]
+    df = spark.createDataFrame(rows, "h1 long, keys array<long>").repartition(3)
+    lines = {}
+    for h, keys in rows:
+        for k in keys:
+            lines.setdefault(k, set()).add(h)
+    got = [r.key for r in line_dedup._shared_keys(df).collect()]
+    want = {k for k, v in lines.items() if len(v) > 1}
+    assert len(got) == len(set(got)) and set(got) == want and {-7, 78} <= want and 77 not in want
+    none = spark.createDataFrame([], "h1 long, keys array<long>")
+    assert line_dedup._shared_keys(none).count() == 0
+
+
+def test_a_line_of_many_pairs_is_cut_once(monkeypatch):
+    rng = np.random.default_rng(10)
+    base = "".join(rng.choice(list("abcdefgh "), 90)).strip()
+    forms = [base[:i] + "#" + base[i + 1:] for i in range(0, 80, 10)] + ["x", "\U0001f600" * 50, base * 9]
+    one, two = np.triu_indices(len(forms), 1)
+    cut, shingles = [], line_dedup.shingles
+    monkeypatch.setattr(line_dedup, "shingles", lambda some, k=line_dedup.K: cut.extend((f, k) for f in some) or shingles(some, k))
+    near = line_dedup.similar_at(forms, one, two, 0.8)
+    assert len(cut) == len(set(cut)) and {f for f, k in cut if k == line_dedup.K} == set(forms)
+    assert near.tolist() == line_dedup.similar_pairs(forms, 0.8)[one, two].tolist() and 0 < near.sum() < len(near)
+
+
+def test_lines_that_stand_once_or_twice_or_in_components(spark):
+    """First occurrence and component of each; rows without id and rows that repeat whole."""
+    a = "a line that stands here with a number at its end 1"
+    docs = [(3, f"{a}\nonly here"), (1, f"{a[:-1]}2\ntwice"), (None, "twice\nnobody's"), (2, "twice"), (9, "own\ncopy"), (9, "own\ncopy")]
+    rows = line_dedup.line_clusters(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    got = sorted((r.k_id or 0, r.line, r.first.k_id or 0, r.first.line, r.kept) for r in rows)
+    assert got == [(0, 0, 1, 1, False), (0, 1, 0, 1, True), (1, 0, 1, 0, True), (1, 1, 1, 1, True), (2, 0, 1, 1, False),
+                   (3, 0, 1, 0, False), (3, 1, 3, 1, True), (9, 0, 9, 0, True), (9, 0, 9, 0, True), (9, 1, 9, 1, True), (9, 1, 9, 1, True)]
+    roots = {(r.k_id, r.line): r.root for r in rows}
+    assert roots[3, 0] == roots[1, 0] and roots[1, 1] == roots[2, 0] == roots[None, 0] and len(set(roots.values())) == 6
+    assert all(r.root == r.id for r in rows if (r.k_id, r.line) not in {(3, 0), (1, 0)})
