@@ -55,6 +55,7 @@ from pyspark.sql import types as T
 
 from chatlake.llm.common import saved
 from chatlake.llm.components import components
+from chatlake.session import shuffle_partitions
 
 K = 8              # characters in a shingle
 BANDS, ROWS = 12, 4
@@ -365,6 +366,23 @@ def _forest(side: np.ndarray, forms: list[str], ci: int, cj: int, threshold: flo
     return out
 
 
+def _stars(links: list[tuple]) -> list[tuple]:
+    """The same components with fewer links and short ways: every line and the
+    smallest one that it hangs together with."""
+    up = {}
+
+    def top(x):
+        while up.setdefault(x, x) != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    for a, b in links:
+        a, b = top(a), top(b)
+        if a != b:
+            up[max(a, b)] = min(a, b)
+    return [(x, top(x)) for x in list(up) if up[x] != x]
+
+
 def _edges(groups: DataFrame, threshold: float) -> DataFrame:
     """Links (a, b), structs of two hashes, of the groups' lines.  The pairs of many
     small groups are compared in one go, a larger group's as one matrix."""
@@ -398,7 +416,7 @@ def _edges(groups: DataFrame, threshold: float) -> DataFrame:
                 one, two = np.array(list(pairs)).T
                 near = similar_at(forms, one, two, threshold)
                 found.extend((ids[i], ids[j]) for i, j in zip(one[near].tolist(), two[near].tolist()))
-            out = batch(found)
+            out = batch(_stars(found))
             for x in (at, forms, pairs, found):
                 x.clear()
             held = 0
@@ -430,6 +448,8 @@ def _shared_keys(rows: DataFrame) -> DataFrame:
     with itself: only other lines count.  Keys travel as arrays, a range of keys each;
     from KEYS keys at once at most two lines of a key go on."""
     ranges = rows.count() * BANDS // RANGE + 1
+    tasks = min(ranges, shuffle_partitions(rows.sparkSession))
+    ranges = -(-ranges // tasks) * tasks                   # as many for each task
 
     def ordered(key, line):
         """Sorted by key; which ones are of another key than the one before, and which of another line with the same key."""
@@ -447,7 +467,7 @@ def _shared_keys(rows: DataFrame) -> DataFrame:
             own, first = np.unique((key >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32), return_index=True)
             ends = pa.array(np.r_[first, len(key)], pa.int32())
             cols = [pa.ListArray.from_arrays(ends, pa.array(x.view(np.int64))) for x in (key, line)]
-            return pa.RecordBatch.from_arrays([pa.array(own.astype(np.int64)), *cols], names=["part", "key", "line"])
+            return pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), *cols], names=["part", "key", "line"])
 
         keys, lines, n = [], [], 0
         for b in batches:
@@ -479,8 +499,8 @@ def _shared_keys(rows: DataFrame) -> DataFrame:
         if keys:
             yield out()
 
-    dealt = rows.select("h1", "keys").mapInArrow(deal, "part long, key array<long>, line array<long>")
-    return dealt.repartition("part").sortWithinPartitions("part").mapInArrow(meet, "key long")
+    dealt = rows.select("h1", "keys").mapInArrow(deal, "part int, key array<long>, line array<long>")
+    return dealt.repartitionById(tasks, F.col("part") % tasks).sortWithinPartitions("part").mapInArrow(meet, "key long")
 
 
 def _groups(rows: DataFrame, docs: DataFrame, min_chars: int, chunk: int) -> DataFrame:
@@ -515,7 +535,9 @@ def line_clusters(docs: DataFrame, threshold: float = THRESHOLD, min_chars: int
     heads = saved(lines.groupBy("id").agg(F.count("*").alias("n"), F.min(at).alias("first"))
                   .join(comp, F.col("id") == F.col("node"), "left").where("n > 1 or node is not null")
                   .select(F.col("id").alias("of"), "node", F.coalesce("root", "id").alias("head"), "first"), "line-heads")
-    best = heads.where("node is not null").groupBy(F.col("head").alias("best_head")).agg(F.min("first").alias("best"))
+    # grouped by a struct: the join back shuffles both sides by itself, a large component's lines can be split there
+    best = heads.where("node is not null").groupBy(F.struct("head").alias("g")).agg(F.min("first").alias("best")).select(
+        F.col("g.head").alias("best_head"), "best")
     named = heads.join(best, F.col("head") == F.col("best_head"), "left").select(
         "of", "head", F.coalesce("best", "first").alias("first"))
     out = lines.join(named.hint("shuffle_hash"), F.col("id") == F.col("of"), "left").select(

@@ -174,3 +174,15 @@ def test_lines_that_stand_once_or_twice_or_in_components(spark):
     roots = {(r.k_id, r.line): r.root for r in rows}
     assert roots[3, 0] == roots[1, 0] and roots[1, 1] == roots[2, 0] == roots[None, 0] and len(set(roots.values())) == 6
     assert all(r.root == r.id for r in rows if (r.k_id, r.line) not in {(3, 0), (1, 0)})
+
+
+def test_links_become_stars_of_the_same_components():
+    rng = np.random.default_rng(11)
+    links = [tuple((int(x), -int(x)) for x in rng.integers(0, 300, 2)) for _ in range(200)]
+    links = [(a, b) for a, b in links if a != b] + [((i, 0), (i + 1, 0)) for i in range(1000, 1100)]
+    label = {x: x for e in links for x in e}
+    for _ in range(len(links)):
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    assert sorted(line_dedup._stars(links)) == sorted((x, r) for x, r in label.items() if x != r)
+    assert line_dedup._stars([]) == []
