@@ -18,15 +18,15 @@ line number; all others are removed from their documents.
 1. One pass over the texts gives a row per line: two 64-bit hashes of the form,
    its band keys (``_bands``).  A task gives the keys of a form once: they
    are the same for its repeats, which have their rows without keys.
-2. The smallest and largest line hash of each key are found, with partial
-   aggregation; only keys of two lines or more are joined back to their lines,
-   by a broadcast where they are few.  A key held by several lines is a bucket; buckets with the same members are compared once (two near copies
+2. Keys of two lines or more are found: sorted ranges of keys (``_shared_keys``),
+   to which a task gives two lines of a key at most; only these keys are joined back
+   to their lines, by a broadcast where they are few.  A key held by several lines is a bucket; buckets with the same members are compared once (two near copies
    meet in most bands).
 3. Only lines in a bucket fetch their text.  A group holds one bucket, or one
    pair of chunks of a bucket beyond ``CHUNK`` lines.  Groups stream, sorted,
    through a task, which counts the shared shingles of all pairs of a group as
    one matrix product and returns a spanning forest of the pairs at or above
-   the threshold, never all pairs.
+   the threshold, never all pairs; of small groups, the pairs of many in one sort.
 4. Components by ``components``; the first occurrence of each is found with
    partial aggregation, so a line repeated in a third of the documents is no
    hot group.
